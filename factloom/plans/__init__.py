@@ -1,6 +1,6 @@
 """Composite plans: the registered queries and the mapping of the provided tables to facts."""
 
-MODULES = ("business", "temporal", "writing")
+MODULES = ("business", "temporal", "writing", "graphs")
 
 
 def load():
