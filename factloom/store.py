@@ -141,7 +141,7 @@ class FactStore:
 
         def view(name: str, df: DataFrame) -> str:
             if name not in used:
-                df.createOrReplaceTempView(name)
+                df.createOrReplaceTempView(f"`{name}`")
                 used.add(name)
             return name
 
