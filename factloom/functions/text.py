@@ -22,13 +22,17 @@ def trigrams(text: Column) -> Column:
 
 def set_similarity(left: Column, right: Column) -> Column:
     """Shared over united elements of two arrays without repeats; 0 where both are empty."""
-    shared = F.size(F.array_intersect(left, right))
-    united = F.size(left) + F.size(right) - shared
-    return F.when(united == 0, F.lit(0.0)).otherwise(shared / united)
+    return _bound(F.size(F.array_intersect(left, right)), lambda shared: F.coalesce(
+        F.try_divide(shared, F.size(left) + F.size(right) - shared), F.lit(0.0)))
 
 
 def similarity(a: Column, b: Column) -> Column:
-    return set_similarity(trigrams(a), trigrams(b))
+    return _bound(trigrams(a), lambda x: _bound(trigrams(b), lambda y: set_similarity(x, y)))
+
+
+def _bound(value: Column, body) -> Column:
+    """`body` of a value computed once: a lambda variable, where an expression would be repeated."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def extent_similarity(wanted: Column, ordered: Column) -> Column:
@@ -36,13 +40,13 @@ def extent_similarity(wanted: Column, ordered: Column) -> Column:
 
     A best extent starts and ends on a wanted trigram, so only those positions are tried.
     """
-    positions = F.filter(F.sequence(F.lit(1), F.size(ordered)),
-                         lambda i: F.array_contains(wanted, F.element_at(ordered, i)))
-    scored = F.transform(positions, lambda s: F.array_max(F.transform(
-        F.filter(positions, lambda t: t >= s),
-        lambda t: set_similarity(wanted, F.array_distinct(F.slice(ordered, s, t - s + 1))))))
+    def best(w: Column, o: Column) -> Column:
+        positions = F.filter(F.sequence(F.lit(1), F.size(o)), lambda i: F.array_contains(w, F.element_at(o, i)))
+        return _bound(positions, lambda p: F.coalesce(F.array_max(F.transform(p, lambda s: F.array_max(F.transform(
+            F.filter(p, lambda t: t >= s),
+            lambda t: set_similarity(w, F.array_distinct(F.slice(o, s, t - s + 1))))))), F.lit(0.0)))
     return F.when((F.size(ordered) == 0) | (F.size(wanted) == 0), F.lit(0.0)).otherwise(
-        F.coalesce(F.array_max(scored), F.lit(0.0)))
+        _bound(wanted, lambda w: _bound(ordered, lambda o: best(w, o))))
 
 
 def word_similarity(a: Column, b: Column) -> Column:
