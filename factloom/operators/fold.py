@@ -63,11 +63,11 @@ def wide(facts: DataFrame, attributes: list[Attribute], as_of: int | None = None
     many = [a for a in attributes if a.cardinality != "one"]
     out = None
     if ones:
-        picked = rows.where(F.col("a").isin([a.id for a in ones])).groupBy("e").agg(*[
-            F.max_by(F.struct(F.col(a.column).alias("v"), "op"),
-                     F.when(F.col("a") == a.id, latest_key())).alias(a.ident) for a in ones])
-        out = picked.select("e", *[F.when(F.col(f"`{a.ident}`.op"), F.col(f"`{a.ident}`.v")).alias(a.ident)
-                                   for a in ones])
+        # the value is NULL where the latest fact is a retract; without a struct in the buffer,
+        # fixed-width attributes aggregate by hash
+        out = rows.where(F.col("a").isin([a.id for a in ones])).groupBy("e").agg(*[
+            F.max_by(F.when(F.col("op"), F.col(a.column)), F.when(F.col("a") == a.id, latest_key())).alias(a.ident)
+            for a in ones])
         held = F.lit(False)
         for a in ones:
             held = held | F.col(f"`{a.ident}`").isNotNull()

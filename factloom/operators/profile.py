@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.operators import graph
-from factloom.session import cut
+from factloom.session import cut, written
 
 
 def final_attributes(attrs: DataFrame) -> DataFrame:
@@ -27,12 +27,11 @@ def folded(state: DataFrame, final: DataFrame | None) -> DataFrame:
 def entity_signatures(rows: DataFrame) -> DataFrame:
     """(e, sig, sid): each entity's set of attributes and its 64-bit id.
 
-    An entity's distinct attributes are folded before they are gathered, so what one entity brings
-    together is bounded by the registry, however many values it holds. The id is a hash of the
-    set, so joins and groups below move a long and never an array.
+    Sets are built map-side first, so what one entity brings together is bounded by the registry
+    times the map tasks, however many values it holds. The id is a hash of the set, so joins and
+    groups below move a long and never an array.
     """
-    once = rows.select("e", "a").distinct()
-    sets = once.groupBy("e").agg(F.array_sort(F.collect_list("a")).alias("sig"))
+    sets = rows.groupBy("e").agg(F.array_sort(F.collect_set("a")).alias("sig"))
     return sets.withColumn("sid", F.xxhash64(F.array_join(F.transform("sig", lambda a: a.cast("string")), ",")))
 
 
@@ -87,12 +86,18 @@ def ref_links(rows: DataFrame, signatures: DataFrame, attrs: DataFrame, listed:
 
 
 def usage(rows: DataFrame, attrs: DataFrame, final: DataFrame | None = None, namespaces: list[str] | None = None,
-          include_kernel: bool = False) -> DataFrame:
+          include_kernel: bool = False, counts: DataFrame | None = None) -> DataFrame:
     """(ident, type, cardinality, entities, values, includes) per attribute in use.
 
-    Entities are counted by folding (a, e) first: partial counts keep a common attribute spread.
+    Given signature counts, entities are added up from the signatures that hold an attribute, and
+    values need one partial count. Without, (a, e) is folded first, so a common attribute stays
+    spread.
     """
-    per = rows.groupBy("a", "e").agg(F.count("*").alias("n")).groupBy("a").agg(F.count("*").alias("entities"), F.sum("n").alias("values"))
+    if counts is None:
+        per = rows.groupBy("a", "e").agg(F.count("*").alias("n")).groupBy("a").agg(F.count("*").alias("entities"), F.sum("n").alias("values"))
+    else:
+        per = rows.groupBy("a").agg(F.count("*").alias("values")).join(
+            counts.select(F.explode("sig").alias("a"), "entities").groupBy("a").agg(F.sum("entities").alias("entities")), "a")
     known = attrs.select(F.col("id").alias("a"), "ident", "type", "cardinality")
     out = per.join(known, "a")
     if final is None:
@@ -114,12 +119,13 @@ def statistics(store, *, namespaces: list[str] | None = None, limit: int = 50, i
     The folded values and the entity signatures are each computed once, into the checkpoint folder.
     """
     final = final_attributes(store.attrs)
-    rows = cut(folded(store.state(), final))
-    signatures = cut(entity_signatures(rows))
-    kept = shown(signature_counts(signatures), store.attrs, namespaces, include_kernel)
+    rows = written(folded(store.state(), final))
+    signatures = written(entity_signatures(rows))
+    counts = cut(signature_counts(signatures))
+    kept = shown(counts, store.attrs, namespaces, include_kernel)
     listed = cut(ranked(kept, limit))
     return {"signatures": listed.select("label", "idents", "entities"), "omitted": omitted(kept, listed),
-            "attributes": usage(rows, store.attrs, final, namespaces, include_kernel),
+            "attributes": usage(rows, store.attrs, final, namespaces, include_kernel, counts),
             "refs": ref_links(rows, signatures, store.attrs, listed)}
 
 

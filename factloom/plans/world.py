@@ -6,6 +6,8 @@ repeat it are one line. A day of order or ship dates is a transaction; each even
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,9 +74,17 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items by their key: measures added up, the smallest part, supplier and ship day kept."""
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
         F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supplier"),
-        F.sum(F.col("l_quantity").cast(MONEY)).alias("quantity"),
-        F.sum(F.col("l_extendedprice").cast(MONEY)).alias("price"),
-        F.min(F.col("l_shipdate").cast("date")).alias("shipped_on"))
+        from_cents(F.sum(cents("l_quantity"))).alias("quantity"), from_cents(F.sum(cents("l_extendedprice"))).alias("price"),
+        F.min("l_shipdate").cast("date").alias("shipped_on"))
+
+
+def cents(column: str) -> Column:
+    """A double with two decimals as whole cents: exact sums in a long buffer."""
+    return F.floor(F.col(column) * 100 + 0.5)
+
+
+def from_cents(total: Column) -> Column:
+    return (total.cast("decimal(18,0)") * F.lit(Decimal("0.01"))).cast(MONEY)
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:

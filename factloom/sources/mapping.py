@@ -28,11 +28,11 @@ def as_facts(df: DataFrame, e: Column, tx: Column, values: dict[Attribute, Colum
         return df.where(value.isNotNull()).select(
             e.cast("long").alias("e"), F.lit(attribute.id).cast("long").alias("a"), *typed_values(attribute, value),
             tx.cast("long").alias("tx"), op.alias("op"))
-    rows = [F.when(value.isNotNull(), F.struct(
-        e.cast("long").alias("e"), F.lit(attribute.id).cast("long").alias("a"), *typed_values(attribute, value),
-        tx.cast("long").alias("tx"), op.alias("op"))) for attribute, value in values.items()]
-    facts = df.select(F.inline(F.filter(F.array(*rows), lambda r: r.isNotNull())))
-    return facts.select(*names)
+    rows = [F.struct(e.cast("long").alias("e"), F.when(value.isNotNull(), F.lit(attribute.id).cast("long")).alias("a"),
+                     *typed_values(attribute, value), tx.cast("long").alias("tx"), op.alias("op"))
+            for attribute, value in values.items()]
+    # the null test follows the generator, so the whole mapping stays in one generated stage
+    return df.select(F.inline(F.array(*rows))).where(F.col("a").isNotNull()).select(*names)
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
