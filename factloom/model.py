@@ -102,7 +102,17 @@ def kernel_attributes() -> list[Attribute]:
     ]
 
 
+def _literal(value: str | int | None) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, int):
+        return f"{value}L"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def registry(spark: SparkSession, attributes: list[Attribute]) -> DataFrame:
-    """Registry DataFrame of the given attributes."""
-    return spark.createDataFrame(
-        [(a.id, a.ident, a.type, a.cardinality, a.uniq, a.doc, a.replaced_by) for a in attributes], ATTR_SCHEMA)
+    """Registry of the given attributes as a local relation: its size is known, so joins with it broadcast."""
+    rows = ", ".join("(" + ", ".join(_literal(v) for v in (a.id, a.ident, a.type, a.cardinality, a.uniq, a.doc, a.replaced_by)) + ")"
+                     for a in attributes)
+    return spark.sql(f"SELECT id, ident, type, cardinality, uniq, doc, CAST(replaced_by AS BIGINT) AS replaced_by FROM VALUES {rows} "
+                     "AS t(id, ident, type, cardinality, uniq, doc, replaced_by)")

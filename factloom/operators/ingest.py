@@ -12,6 +12,7 @@ from factloom.model import (COMMIT_ONLY, FACT_SCHEMA, IDENT_PATTERN, KERNEL, MAX
                             SCHEMA_FACTS, SPARK_TYPE, VALUE_COLUMN, VALUES)
 from factloom.operators import fold
 from factloom.operators.ordered import Running, numbered, previous, running
+from factloom.session import cut, written
 
 COLUMNS = FACT_SCHEMA.fieldNames()
 V_STRUCT = "struct<" + ",".join(f"{c}:{SPARK_TYPE[t].simpleString()}" for t, c in VALUE_COLUMN.items()) + ">"
@@ -327,7 +328,7 @@ def plan_write(proposed: DataFrame, state: DataFrame, facts: DataFrame, attrs: D
     `tmp:name` (a new entity), or `ident=value` (a lookup on an identity attribute).
     """
     reg = attrs.select(F.col("id").alias("aid"), F.col("ident").alias("a"), "type", "cardinality", "uniq")
-    rows = proposed.withColumn("op", F.coalesce("op", F.lit("assert"))).join(reg, "a", "left")
+    rows = cut(proposed.withColumn("op", F.coalesce("op", F.lit("assert"))).join(reg, "a", "left"))
     asserted = F.col("op") == "assert"
 
     named = rows.select("idx", asserted.alias("asserted"), F.col("e").alias("name"), F.lit("e").alias("place")).unionByName(
@@ -342,13 +343,14 @@ def plan_write(proposed: DataFrame, state: DataFrame, facts: DataFrame, attrs: D
     key = F.col("text")
     for t in ("decimal", "date", "instant", "ref"):
         key = F.when(F.col("ltype") == t, V.canonical_key(t, V.coerce(t, F.col("text")))).otherwise(key)
-    look = look.withColumn("key", key)
+    look = cut(look.withColumn("key", key))
     bad_lookup = look.where(F.col("la").isNull() | (F.col("lu") != "identity") | F.col("key").isNull()
                             | (F.length("key") > MAX_KEY_LENGTH)).select(
         "idx", F.lit("lookup").alias("code"), F.concat(F.col("name"), F.lit(" addresses no entity")).alias("message"))
 
     good = look.where((F.col("lu") == "identity") & F.col("key").isNotNull())
-    resolved = resolve_lookups(good.select(F.col("la").alias("a"), "key", "asserted"), identity_index(state, attrs))
+    index = cut(identity_index(state, attrs))
+    resolved = cut(resolve_lookups(good.select(F.col("la").alias("a"), "key", "asserted"), index))
     temporary = named.where(F.col("name").startswith("tmp:") & (F.col("name") != "tmp:tx"))
     new = resolved.where("outcome = 'create'").select(F.lit(0).alias("kind"), F.col("a"), F.col("key")).unionByName(
         temporary.select(F.lit(1).alias("kind"), F.lit(0).cast("long").alias("a"), F.col("name").alias("key")).distinct())
@@ -358,7 +360,7 @@ def plan_write(proposed: DataFrame, state: DataFrame, facts: DataFrame, attrs: D
         "a", "key", F.coalesce("e", "made").alias("e"), F.col("made").isNotNull().alias("created"), "outcome")
 
     targets = good.select("name", F.col("la").alias("a"), "key").distinct().join(lookups, ["a", "key"]).select("name", "e")
-    targets = targets.unionByName(ids.where("kind = 1").select(F.col("key").alias("name"), "e"))
+    targets = cut(targets.unionByName(ids.where("kind = 1").select(F.col("key").alias("name"), "e")))
 
     def place(df: DataFrame, column: str, out: str) -> DataFrame:
         found = df.join(targets.select(F.col("name").alias(column), F.col("e").alias("_t")), column, "left")
@@ -375,9 +377,9 @@ def plan_write(proposed: DataFrame, state: DataFrame, facts: DataFrame, attrs: D
         F.lit(None).cast("long").alias("idx"), "e", "a",
         *[F.when(F.col("type") == t, V.coerce(t, F.col("key"))).alias(c) for t, c in VALUE_COLUMN.items()],
         F.lit(True).alias("op"))
-    batch = ops.unionByName(made)
-
-    changes = diff(batch, state, attrs)
+    # the batch and its changes are each computed once; every check below reads them
+    batch = written(ops.unionByName(made))
+    changes = written(diff(batch, state, attrs))
     checked = rows.select("idx", "e", "a", F.when(F.col("type") == "ref", F.lit("1")).otherwise(F.col("v")).alias("v"), "op")
     errors = validate(checked, attrs).unionByName(bad_lookup)
     errors = errors.unionByName(lookups.where("outcome = 'missing'").select(
@@ -390,6 +392,6 @@ def plan_write(proposed: DataFrame, state: DataFrame, facts: DataFrame, attrs: D
         F.lit(None).cast("long").alias("idx"), F.lit("dangling").alias("code"), F.col("name").alias("message")))
     errors = errors.unionByName(batch_conflicts(batch, attrs).select(
         F.lit(None).cast("long").alias("idx"), "code", F.concat_ws(" ", "e", "a").alias("message")))
-    errors = errors.unionByName(identity_conflicts(changes, identity_index(state, attrs), attrs).select(
+    errors = errors.unionByName(identity_conflicts(changes, index, attrs).select(
         F.lit(None).cast("long").alias("idx"), "code", F.concat_ws(" ", "a", "key").alias("message")))
-    return Written(changes, errors, unchanged(ops, changes).select("idx"), lookups)
+    return Written(changes, errors, unchanged(batch.where("idx IS NOT NULL"), changes).select("idx"), lookups)

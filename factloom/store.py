@@ -38,13 +38,20 @@ class FactStore:
     Reading by attribute lets a partitioned log prune to the partitions a query names.
     """
 
-    def __init__(self, reader: Reader, attrs: DataFrame, tx: DataFrame,
+    def __init__(self, reader: Reader, attrs: DataFrame, tx: DataFrame | Callable[[], DataFrame],
                  known: list[Attribute] | None = None) -> None:
         self.reader = reader
         self.attrs = attrs
-        self.tx = tx
+        self._tx = tx
         self._known = {a.ident: a for a in known or []}
 
+    @property
+    def tx(self) -> DataFrame:
+        """Transactions (id, actor, at), built when first asked for."""
+        if callable(self._tx):
+            self._tx = self._tx()
+        return self._tx
+
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> FactStore:
         """The store written under `path` by `factloom.sources.log`."""
