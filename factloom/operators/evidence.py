@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.fields import make_day
 from factloom.operators.ordered import Running, running
 
 # Shapes of the values a scan for personal data looks for.
@@ -102,9 +103,9 @@ def totals(lines: DataFrame, printed: DataFrame, by: str) -> DataFrame:
 
 def next_day(after: Column, month: Column, day: Column) -> Column:
     """The next such day on or after an instant's day, for a date written without a year."""
-    this = F.try_make_date(F.year(after), month, day) if hasattr(F, "try_make_date") else F.make_date(F.year(after), month, day)
-    following = F.make_date(F.year(after) + 1, month, day)
-    return F.when(this >= F.to_date(after), this).otherwise(following)
+    # eight years on reach the next 29 February from any day
+    days = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: make_day(F.year(after) + i, month, day))
+    return F.array_min(F.filter(days, lambda x: x >= F.to_date(after)))
 
 
 def month_and_day(text: Column) -> tuple[Column, Column]:

@@ -207,20 +207,24 @@ def overlaps(sources: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def id_coverage(sources: DataFrame, held: DataFrame) -> DataFrame:
-    """Per kind of source ID: the attribute holding most, and found, missing, extra, found ignoring case."""
+    """Per kind of source ID: the attribute holding most, and found, missing, extra, found ignoring case.
+
+    Overlaps are counted for every attribute by joins on the values; kinds meet only in aggregates.
+    """
     sources, held = sources.distinct(), held.distinct()
-    sizes = sources.groupBy("kind").agg(F.count("*").alias("in_source"))
-    best = overlaps(sources, held).groupBy("kind").agg(
-        F.max_by(F.struct("attribute", "found"), F.struct("found", "attribute")).alias("b")).select("kind", "b.*")
-    stored = held.groupBy("attribute").agg(F.count("*").alias("in_store"))
+    exact = overlaps(sources, held).select("kind", "attribute", "found", F.lit(0).cast("long").alias("folded"))
     low = held.select("attribute", F.lower("v").alias("low")).distinct()
-    folded_case = sources.join(best.select("kind", "attribute"), "kind").withColumn("low", F.lower("v")).join(
-        low, ["attribute", "low"], "left_semi").groupBy("kind").agg(F.count("*").alias("found_ignoring_case"))
-    out = sizes.join(best, "kind", "left").join(stored, "attribute", "left").join(folded_case, "kind", "left")
-    found = F.coalesce("found", F.lit(0))
-    return out.select("kind", "in_source", "attribute", "in_store", found.alias("found"),
-                      F.coalesce("found_ignoring_case", F.lit(0)).alias("found_ignoring_case"),
-                      (F.col("in_source") - found).alias("missing"), (F.col("in_store") - found).alias("not_in_source"))
+    loose = sources.withColumn("low", F.lower("v")).join(low, "low").groupBy("kind", "attribute").agg(F.count("*").alias("folded")).select(
+        "kind", "attribute", F.lit(0).cast("long").alias("found"), "folded")
+    both = exact.unionByName(loose).groupBy("kind", "attribute").agg(F.sum("found").alias("found"), F.sum("folded").alias("folded"))
+    stored = held.groupBy("attribute").agg(F.count("*").alias("in_store"))
+    best = both.where("found > 0").join(stored, "attribute").select(
+        "kind", F.lit(None).cast("long").alias("in_source"), F.struct("found", "attribute", "in_store", "folded").alias("b"))
+    sizes = sources.groupBy("kind").agg(F.count("*").alias("in_source"))
+    out = best.unionByName(sizes, allowMissingColumns=True).groupBy("kind").agg(F.max("in_source").alias("in_source"), F.max("b").alias("b"))
+    found = F.coalesce("b.found", F.lit(0))
+    return out.select("kind", "in_source", "b.attribute", "b.in_store", found.alias("found"), F.coalesce("b.folded", F.lit(0)).alias("found_ignoring_case"),
+                      (F.col("in_source") - found).alias("missing"), (F.col("b.in_store") - found).alias("not_in_source"))
 
 
 def embedded_ids(values: DataFrame, ids: DataFrame, pattern: str) -> DataFrame:

@@ -89,16 +89,16 @@ def fixpoint(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("components", """
-WITH RECURSIVE n AS (SELECT 'C' || o_custkey AS a, 'D' || strftime(o_orderdate, '%Y-%m-%d') || o_orderpriority AS b FROM orders WHERE o_orderpriority = '1-URGENT'),
+WITH RECURSIVE n AS (SELECT 'P' || p_partkey AS a, 'N' || p_brand || p_name AS b FROM part UNION ALL SELECT 'P' || p_partkey, 'S' || p_brand || p_type || p_size FROM part),
 e AS (SELECT a, b FROM n UNION SELECT b, a FROM n),
 walk(a, b) AS (SELECT a, a FROM e UNION SELECT walk.a, e.b FROM walk JOIN e ON e.a = walk.b)
 SELECT a AS e, min(b) AS root FROM walk GROUP BY 1""")
 def components(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers clustered with the days on which they placed an urgent order."""
-    orders = world.table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
-    return graph.components(orders.select(
-        F.concat(F.lit("C"), "o_custkey").alias("src"),
-        F.concat(F.lit("D"), F.date_format("o_orderdate", "yyyy-MM-dd"), "o_orderpriority").alias("dst")))
+    """Parts clustered with the names, and the types and sizes, that a brand sells them under."""
+    parts = world.table(spark, sf, "part")
+    me = F.concat(F.lit("P"), "p_partkey").alias("src")
+    return graph.components(parts.select(me, F.concat(F.lit("N"), "p_brand", "p_name").alias("dst")).unionByName(
+        parts.select(me, F.concat(F.lit("S"), "p_brand", "p_type", "p_size").alias("dst"))))
 
 
 @query("linked_via", """

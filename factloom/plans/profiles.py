@@ -226,10 +226,12 @@ def part_specs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("near_match")
 def near_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Specs of one type of part screened against those of all types."""
+    """A spec per name and type of part, screened against each other and against one per name."""
     specs = part_specs(spark, sf)
-    attrs = specs.where(~F.col("ident").startswith("economy/")).select("ident", "doc", F.lit(None).cast("long").alias("replaced_by"))
-    return vocabulary.near_matches(specs.where(F.col("ident").startswith("economy/")), attrs)
+    names = world.table(spark, sf, "part").select("p_name").distinct()
+    attrs = names.select(F.concat(F.lit("part/"), F.replace("p_name", F.lit(" "), F.lit("_"))).alias("ident"),
+                         F.concat_ws(" ", F.lit("Stock of any"), "p_name").alias("doc"), F.lit(None).cast("long").alias("replaced_by"))
+    return vocabulary.near_matches(specs, attrs)
 
 
 @query("attribute_search")
