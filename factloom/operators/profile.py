@@ -35,6 +35,37 @@ def entity_signatures(rows: DataFrame) -> DataFrame:
     return sets.withColumn("sid", F.xxhash64(F.array_join(F.transform("sig", lambda a: a.cast("string")), ",")))
 
 
+#: Registries up to this size get bit-mask signatures: 64 attributes per long.
+MOST_MASKED = 1024
+
+
+def masked_signatures(rows: DataFrame, ids: list[int]) -> DataFrame:
+    """(e, sid): each entity's set of attributes as bits over `ids`, the registry in order.
+
+    One bitwise-or per 64 attributes has a fixed-width buffer, so this is a hash aggregate in one
+    shuffle with map-side partials, exact and blind to repeats. `sid` is a long, or the words as
+    text where the registry needs more than one. `decoded` gives the attributes back.
+    """
+    spark = rows.sparkSession
+    words = -(-len(ids) // 64)
+    bits = ", ".join(f"({a}L, {i // 64}, shiftleft(1L, {i % 64}))" for i, a in enumerate(ids))
+    known = rows.join(spark.sql(f"SELECT * FROM VALUES {bits} AS t(a, word, bit)"), "a")
+    if words == 1:
+        return known.groupBy("e").agg(F.bit_or("bit").alias("sid"))
+    per = known.groupBy("e").agg(*[F.coalesce(F.bit_or(F.when(F.col("word") == w, F.col("bit"))), F.lit(0)).alias(f"w{w}") for w in range(words)])
+    return per.select("e", F.concat_ws(",", *[f"w{w}" for w in range(words)]).alias("sid"))
+
+
+def decoded(counts: DataFrame, ids: list[int]) -> DataFrame:
+    """(sid, sig, entities) of masked signature counts, the attributes ascending."""
+    if len(ids) <= 64:
+        held = [F.when(F.shiftright("sid", i).bitwiseAND(F.lit(1)) == 1, F.lit(a)) for i, a in enumerate(ids)]
+    else:
+        part = F.split("sid", ",")
+        held = [F.when(F.shiftright(F.element_at(part, i // 64 + 1).cast("long"), i % 64).bitwiseAND(F.lit(1)) == 1, F.lit(a)) for i, a in enumerate(ids)]
+    return counts.select("sid", F.array_sort(F.filter(F.array(*[h.cast("long") for h in held]), lambda a: a.isNotNull())).alias("sig"), "entities")
+
+
 def signature_counts(signatures: DataFrame) -> DataFrame:
     """(sid, sig, entities) per distinct signature."""
     return signatures.groupBy("sid", "sig").agg(F.count("*").alias("entities"))
@@ -116,13 +147,20 @@ def usage(rows: DataFrame, attrs: DataFrame, final: DataFrame | None = None, nam
 def statistics(store, *, namespaces: list[str] | None = None, limit: int = 50, include_kernel: bool = False) -> dict[str, DataFrame]:
     """Signatures, attribute usage and reference links of a store's current state.
 
-    The folded values and the entity signatures are each computed once, into the checkpoint folder.
+    Current values are read from the store's snapshot if it has an up-to-date one, else folded
+    once into a table. Signatures are bit masks while the registry is small enough.
     """
-    final = final_attributes(store.attrs)
-    rows = written(folded(store.state(), final))
-    signatures = written(entity_signatures(rows))
-    counts = cut(signature_counts(signatures))
-    kept = shown(counts, store.attrs, namespaces, include_kernel)
+    final = cut(final_attributes(store.attrs))
+    state = store.state()
+    rows = folded(state if store.has_snapshot() else written(state.select("e", "a", "v_ref")), final)
+    ids = sorted(r.id for r in store.attrs.select("id").limit(MOST_MASKED + 1).collect())
+    if len(ids) <= MOST_MASKED:
+        signatures = written(masked_signatures(rows, ids))
+        counts = cut(decoded(signatures.groupBy("sid").agg(F.count("*").alias("entities")), ids))
+    else:
+        signatures = written(entity_signatures(rows))
+        counts = cut(signature_counts(signatures))
+    kept = cut(shown(counts, store.attrs, namespaces, include_kernel))
     listed = cut(ranked(kept, limit))
     return {"signatures": listed.select("label", "idents", "entities"), "omitted": omitted(kept, listed),
             "attributes": usage(rows, store.attrs, final, namespaces, include_kernel, counts),

@@ -4,7 +4,7 @@ Layout under the store's path::
 
     fact/batch=<first tx>/a=<attribute>/*.parquet   facts, sorted by (e, tx) inside a file
     attr/batch=<n>/  tx/batch=<first tx>/           registry and transactions
-    cur/a=<attribute>/                              snapshot of current state, with its transaction in _snapshot
+    cur/batch=<last tx>/a=<attribute>/              snapshots of current state
 
 A batch directory is written whole by one job, so a failed job leaves nothing readers see once its
 `_SUCCESS` marker is checked, and a retried one overwrites its own directory.
@@ -16,22 +16,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.model import ATTR_SCHEMA, FACT_SCHEMA, TX_SCHEMA, VALUES, Attribute
+from factloom.model import ATTR_SCHEMA, FACT_SCHEMA, TX_SCHEMA, Attribute
 from factloom.operators import fold
 
 _BATCH = T.StructField("batch", T.LongType())
 
 
-def _read(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    """Committed batches of a folder."""
+def _committed(spark: SparkSession, folder: str) -> list[str]:
+    """Batch folders whose job finished."""
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = []
-    if fs.exists(path):
-        for s in fs.listStatus(path):
-            if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
-                done.append(s.getPath().toString())
+    if not fs.exists(path):
+        return []
+    return [s.getPath().toString() for s in fs.listStatus(path) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+
+
+def _read(spark: SparkSession, folder: str, schema: T.StructType, after: int | None = None) -> DataFrame:
+    """Committed batches of a folder, or those numbered after one."""
+    done = [p for p in _committed(spark, folder) if after is None or int(p.rsplit("=", 1)[1]) > after]
     if not done:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("basePath", folder).parquet(*done).select(*schema.fieldNames())
@@ -74,23 +77,43 @@ def append_transactions(tx: DataFrame, path: str, batch: int) -> None:
 
 
 def write_state(state: DataFrame, path: str, tx: int) -> None:
-    """Snapshot of current state at a transaction, replacing only the attribute partitions given."""
-    (state.repartition("a", F.pmod(F.xxhash64("e"), F.lit(32))).sortWithinPartitions("a", "e")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("a").parquet(f"{path}/cur"))
-    spark = state.sparkSession
-    spark.range(1).select(F.lit(tx).alias("tx")).write.mode("overwrite").parquet(f"{path}/_snapshot")
+    """Snapshot of current state at a transaction, the last of a batch.
 
+    Each snapshot is a folder of its own, read once its marker is there, so readers and retries
+    never see half of one.
+    """
+    (state.repartition("a", F.pmod(F.xxhash64("e"), F.lit(8))).sortWithinPartitions("a", "e")
+     .write.mode("overwrite").partitionBy("a").parquet(f"{path}/cur/batch={tx}"))
 
-def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """Current state: the snapshot's values with the facts written since folded over them.
 
-    A value of the snapshot is an assert at its transaction, so one fold over the union is exact.
+def snapshot(spark: SparkSession, path: str):
+    """A reader of the newest snapshot and the batches after it; None where there is none.
+
+    A value of the snapshot is an assert at its transaction, so one fold over the union is exact
+    and costs the current state and the news, not the history.
     """
-    at = spark.read.parquet(f"{path}/_snapshot").first().tx
+    done = sorted(_committed(spark, f"{path}/cur"), key=lambda p: int(p.rsplit("=", 1)[1]))
+    if not done:
+        return None
+    newest = done[-1]
+    at = int(newest.rsplit("=", 1)[1])
     schema = T.StructType([f for f in FACT_SCHEMA.fields if f.name != "op"])
-    held = spark.read.schema(schema).parquet(f"{path}/cur").select(*schema.fieldNames()).withColumn("op", F.lit(True))
-    later = scan(spark, path).where(F.col("tx") > at)
-    return fold.state(held.unionByName(later))
+    news = [p for p in _committed(spark, f"{path}/fact") if int(p.rsplit("=", 1)[1]) > at]
+
+    def read(wanted: list[Attribute] | None) -> tuple[DataFrame, bool]:
+        rows = spark.read.schema(schema).option("basePath", newest).parquet(newest).select(*schema.fieldNames()).withColumn("op", F.lit(True))
+        if news:
+            rows = rows.unionByName(_read(spark, f"{path}/fact", FACT_SCHEMA, after=at))
+        if wanted is not None:
+            rows = rows.where(F.col("a").isin([x.id for x in wanted]))
+        return rows, not news
+    return read
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    """Current state from the newest snapshot and the batches after it."""
+    rows, final = snapshot(spark, path)(None)
+    return rows.drop("op") if final else fold.state(rows)
 
 
 def compact(spark: SparkSession, path: str, target: str, files_per_attribute: int = 8) -> None:
@@ -120,4 +143,4 @@ def excise(spark: SparkSession, path: str, target: str, erased: DataFrame, tx: i
 
 
 __all__ = ["append_attributes", "append_facts", "append_transactions", "attributes", "compact", "excise",
-           "read_state", "scan", "transactions", "write_state", "VALUES"]
+           "read_state", "scan", "snapshot", "transactions", "write_state"]

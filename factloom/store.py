@@ -13,6 +13,8 @@ from factloom.model import Attribute
 from factloom.operators import fold
 
 Reader = Callable[[list[Attribute] | None], DataFrame]
+#: Current values of some attributes as asserts, with the facts written since, and whether there are none of those.
+Snapshot = Callable[[list[Attribute] | None], tuple[DataFrame, bool]]
 _QUOTED = re.compile(r'"([a-z][a-z0-9_]*/[a-z][a-z0-9_]*)"')
 
 
@@ -39,8 +41,9 @@ class FactStore:
     """
 
     def __init__(self, reader: Reader, attrs: DataFrame, tx: DataFrame | Callable[[], DataFrame],
-                 known: list[Attribute] | None = None) -> None:
+                 known: list[Attribute] | None = None, snapshot: Snapshot | None = None) -> None:
         self.reader = reader
+        self._snapshot = snapshot
         self.attrs = attrs
         self._tx = tx
         self._known = {a.ident: a for a in known or []}
@@ -58,7 +61,8 @@ class FactStore:
         from factloom.sources import log
 
         return cls(lambda attributes: log.scan(spark, path, attributes=attributes),
-                   log.attributes(spark, path), log.transactions(spark, path))
+                   log.attributes(spark, path), log.transactions(spark, path),
+                   snapshot=log.snapshot(spark, path))
 
     @classmethod
     def of(cls, facts: DataFrame, attrs: DataFrame, tx: DataFrame) -> FactStore:
@@ -86,6 +90,11 @@ class FactStore:
     def attr(self, ident: str, as_of=None) -> DataFrame:
         """(e, v, tx) of an attribute."""
         a = self.attribute(ident)
+        if as_of is None and self._snapshot is not None:
+            rows, final = self._snapshot([a])
+            if final:
+                return rows.where(F.col("a") == a.id).select("e", F.col(a.column).alias("v"), "tx")
+            return fold.relation(rows, a)
         return fold.relation(self.reader([a]), a, self.resolve(as_of))
 
     def history(self, ident: str, as_of=None) -> DataFrame:
@@ -95,11 +104,21 @@ class FactStore:
     def wide(self, idents: list[str], as_of=None) -> DataFrame:
         """One row per entity with a column per attribute."""
         attributes = self.attributes(idents)
+        if as_of is None and self._snapshot is not None:
+            return fold.wide(self._snapshot(attributes)[0], attributes)
         return fold.wide(self.reader(attributes), attributes, self.resolve(as_of))
 
     def state(self, as_of=None) -> DataFrame:
+        """Every value that holds; read from the snapshot, with what was written since folded over it, if there is one."""
+        if as_of is None and self._snapshot is not None:
+            rows, final = self._snapshot(None)
+            return rows.drop("op") if final else fold.state(rows)
         return fold.state(self.reader(None), self.resolve(as_of))
 
+    def has_snapshot(self) -> bool:
+        """Whether current state is stored as it stands."""
+        return self._snapshot is not None and self._snapshot(None)[1]
+
     def facts(self, as_of=None) -> DataFrame:
         """(e, a, v as text, tx)."""
         return fold.facts_text(self.state(as_of), self.attrs)

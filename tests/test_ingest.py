@@ -133,7 +133,8 @@ def test_log_on_disk_round_trip_snapshot_and_excision(spark, tmp_path):
     import os
     os.remove(f"{path}/fact/batch=2002/_SUCCESS")
     assert store.log().count() == 5
-    plan_text = store.attr("order/status")._jdf.queryExecution().executedPlan().toString()
+    assert not store.has_snapshot()
+    plan_text = store.attr("order/status", as_of=2001)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*\(a#\d+L? = 1002\)", plan_text)
     disk.excise(spark, path, target, spark.createDataFrame([(1010, None)], "e long, a long"), 2003, datetime(2024, 1, 3), 100)
     clean = FactStore.open(spark, target)
