@@ -53,7 +53,7 @@ def main() -> None:
 
     def ingest(path: str) -> None:
         facts = world.facts(spark, folder)
-        log.append_facts(facts, path, world.DAY_TX, 8)
+        log.append_facts(facts, path, world.DAY_TX)
         log.append_attributes(registry(spark, kernel_attributes() + world.ATTRIBUTES), path, 0)
         log.append_transactions(world.transactions(spark, folder), path, world.DAY_TX)
         log.write_state(fold.state(log.scan(spark, path)), path, world.DAY_TX)

@@ -54,15 +54,15 @@ def statement_recall(statements: DataFrame, hist: DataFrame, evidence: DataFrame
     """(field, statements, found, cited): statements whose value is on the right entity anywhere in
     history, and in a transaction that cites their document.
 
-    `statements` is (id, e, field, value, document) and `hist` (e, field, value, tx), values as
-    canonical text. History is first cut to the stated (entity, field) pairs.
+    `statements` is (e, field, value, document) and `hist` (e, field, value, tx), values as canonical
+    text. History is reduced to distinct values, and to distinct (value, document), before it meets
+    the statements, so repeats on either side never multiply.
     """
-    said = statements.join(hist, ["e", "field", "value"]).select("id", "document", "tx")
-    said = said.join(evidence.select("tx", F.col("document").alias("_cited")), "tx", "left")
-    per = said.groupBy("id").agg(F.lit(True).alias("found"), F.bool_or(F.col("document").eqNullSafe(F.col("_cited"))).alias("cited"))
-    return statements.join(per, "id", "left").groupBy("field").agg(
-        F.count("*").alias("statements"), F.count_if(F.coalesce("found", F.lit(False))).alias("found"),
-        F.count_if(F.coalesce("cited", F.lit(False))).alias("cited"))
+    key = ["e", "field", "value"]
+    found = hist.select(*key).distinct().withColumn("_found", F.lit(1))
+    cited = hist.join(evidence, "tx").select(*key, "document").distinct().withColumn("_cited", F.lit(1))
+    met = statements.join(found, key, "left").join(cited, [*key, "document"], "left")
+    return met.groupBy("field").agg(F.count("*").alias("statements"), F.count("_found").alias("found"), F.count("_cited").alias("cited"))
 
 
 def matched_lines(labelled: DataFrame, held: DataFrame, form: str, key: list[str]) -> DataFrame:

@@ -53,29 +53,24 @@ def wide(facts: DataFrame, attributes: list[Attribute], as_of: int | None = None
     """One row per entity with a column per attribute, in one shuffle.
 
     For cardinality one the latest fact of (e, a) decides, because replacing a value writes the
-    retract and the assert in one transaction and asserts sort last. `many` attributes fold per
-    value and come as sorted arrays. Map-side partials bound what a hot entity sends.
+    retract and the assert in one transaction and asserts sort last. Map-side partials bound what
+    a hot entity sends. A `many` attribute has no bound on the values of one entity, so it is
+    refused here: join its relation instead.
     """
+    several = [a.ident for a in attributes if a.cardinality != "one"]
+    if several:
+        raise ValueError(f"{', '.join(several)}: read attributes of many values as relations")
     rows = facts.where(F.col("a").isin([a.id for a in attributes]))
     if as_of is not None:
         rows = rows.where(F.col("tx") <= as_of)
-    ones = [a for a in attributes if a.cardinality == "one"]
-    many = [a for a in attributes if a.cardinality != "one"]
-    out = None
-    if ones:
-        # the value is NULL where the latest fact is a retract; without a struct in the buffer,
-        # fixed-width attributes aggregate by hash
-        out = rows.where(F.col("a").isin([a.id for a in ones])).groupBy("e").agg(*[
-            F.max_by(F.when(F.col("op"), F.col(a.column)), F.when(F.col("a") == a.id, latest_key())).alias(a.ident)
-            for a in ones])
-        held = F.lit(False)
-        for a in ones:
-            held = held | F.col(f"`{a.ident}`").isNotNull()
-        out = out.where(held)
-    for a in many:
-        lists = relation(rows, a).groupBy("e").agg(F.array_sort(F.collect_set("v")).alias(a.ident))
-        out = lists if out is None else out.join(lists, "e", "full")
-    return out.select("e", *[F.col(f"`{a.ident}`") for a in attributes])
+    # the value is NULL where the latest fact is a retract; without a struct in the buffer,
+    # fixed-width attributes aggregate by hash
+    out = rows.groupBy("e").agg(*[
+        F.max_by(F.when(F.col("op"), F.col(a.column)), F.when(F.col("a") == a.id, latest_key())).alias(a.ident) for a in attributes])
+    held = F.lit(False)
+    for a in attributes:
+        held = held | F.col(f"`{a.ident}`").isNotNull()
+    return out.where(held)
 
 
 def facts_text(folded: DataFrame, attrs: DataFrame) -> DataFrame:

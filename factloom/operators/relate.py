@@ -84,13 +84,11 @@ def across(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def pull(state: DataFrame, attrs: DataFrame, text: Column) -> DataFrame:
-    """(e, attribute, values): every attribute of each entity with its sorted values.
+    """(e, attribute, value): every attribute of each entity, a row per value.
 
-    Kept long, one row per (e, attribute): a map per entity would put a hot entity's whole record
-    in one row.
+    Long on purpose: an array or a map per entity would gather a hot entity's values in one row.
     """
-    named = state.join(attrs.select(F.col("id").alias("a"), "ident"), "a")
-    return named.groupBy("e", F.col("ident").alias("attribute")).agg(F.array_sort(F.collect_list(text)).alias("values"))
+    return state.join(attrs.select(F.col("id").alias("a"), "ident"), "a").select("e", F.col("ident").alias("attribute"), text.alias("value"))
 
 
 def all_of(conditions: list[Column]) -> Column:

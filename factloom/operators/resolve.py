@@ -163,13 +163,14 @@ def organisation_key(name: Column) -> Column:
 
 
 def organisation_variants(names: DataFrame) -> DataFrame:
-    """(name, variant): names whose words start with, or equal, another name's.
+    """(name, variant): each name tied to the one that stands for a leading run of its words.
 
-    Blocks are every leading run of whole words, so a name meets the shorter names it extends and
-    nothing else.
+    The smallest spelling of a run of words stands for it, so spellings form stars and are never
+    paired with each other. A name's blocks are its own leading runs of whole words.
     """
     keyed = names.select("name").distinct().withColumn("key", organisation_key(F.col("name"))).where("key <> ''")
+    stands = keyed.groupBy("key").agg(F.min("name").alias("name"))
     words = F.split("key", " ")
     runs = keyed.select(F.col("name").alias("variant"), F.explode(F.transform(
         F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))).alias("key"))
-    return keyed.join(runs, "key").where("name <> variant").select("name", "variant")
+    return stands.join(runs, "key").where("name <> variant").select("name", "variant")

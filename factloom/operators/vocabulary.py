@@ -111,6 +111,21 @@ def registration_errors(specs: DataFrame, attrs: DataFrame) -> DataFrame:
     return simple.unionByName(absent)
 
 
+def registration_facts(specs: DataFrame, ids: DataFrame, tx: int) -> DataFrame:
+    """The schema facts of new attributes: `ids` is (ident, id), of the new ones and any they are distinct from."""
+    from factloom.model import FACT_SCHEMA, KERNEL, VALUES
+
+    own = specs.join(ids, "ident")
+    text = own.select("id", F.inline(F.array(*[F.struct(F.lit(KERNEL[a]).cast("long").alias("a"), v.alias("v_string")) for a, v in (
+        ("fs/ident", F.col("ident")), ("fs/type", F.col("type")), ("fs/cardinality", F.col("cardinality")),
+        ("fs/unique", F.coalesce("unique", F.lit("none"))), ("fs/doc", F.trim("doc")))])))
+    other = own.select("id", F.explode("distinct_from").alias("ident")).join(ids.select("ident", F.col("id").alias("v_ref")), "ident")
+    refs = other.select("id", F.lit(KERNEL["fs/distinct_from"]).cast("long").alias("a"), "v_ref")
+    rows = text.unionByName(refs, allowMissingColumns=True).select(F.col("id").alias("e"), "a", "v_string", "v_ref")
+    empty = {f.name: F.lit(None).cast(f.dataType) for f in FACT_SCHEMA.fields if f.name in VALUES and f.name not in ("v_string", "v_ref")}
+    return rows.withColumns(empty).withColumn("tx", F.lit(tx).cast("long")).withColumn("op", F.lit(True)).select(*FACT_SCHEMA.fieldNames())
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(ident, type, cardinality, unique, doc) of a vocabulary package's manifest file."""
     schema = "name string, version string, doc string, attributes array<struct<ident:string,type:string,cardinality:string,unique:string,doc:string,distinct_from:array<string>>>"

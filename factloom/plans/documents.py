@@ -69,7 +69,7 @@ def statement_recall(spark: SparkSession, sf: str) -> DataFrame:
     hist, cited, _ = quotes(spark, sf)
     orders = world.table(spark, sf, "orders").select((F.lit(10_000_000) + F.col("o_orderkey")).alias("tx"), "o_orderstatus", F.col("o_orderpriority").alias("p"))
     rows = hist.join(orders, "tx").withColumn("field", F.concat_ws("|", "p", "tx")).withColumn("value", V.decimal_text(F.col("v")))
-    statements = rows.join(cited, "tx").select(F.concat_ws("-", "e", "tx").alias("id"), "e", "field", "value", "document")
+    statements = rows.join(cited, "tx").select("e", "field", "value", "document")
     written = rows.where("o_orderstatus <> 'P'").select("e", "field", "value", "tx")
     backing = cited.join(orders.where("o_orderstatus = 'F'").select("tx"), "tx", "left_semi")
     out = evidence.statement_recall(statements, written, backing)

@@ -197,7 +197,7 @@ def person_key(spark: SparkSession, sf: str) -> DataFrame:
 @query("org_variants", """
 WITH n AS (SELECT DISTINCT p_name || CASE WHEN p_type = 'PROMO' THEN ' Co., Ltd.' WHEN p_type = 'SMALL' THEN ' of ' || lower(p_type) ELSE '' END AS name FROM part),
 k AS (SELECT name, array_to_string(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda w: w NOT IN ('', 'co', 'ltd')), ' ') AS key FROM n)
-SELECT a.name, b.name AS variant FROM k a JOIN k b ON a.name <> b.name AND (a.key = b.key OR starts_with(b.key, a.key || ' '))""")
+SELECT a.name, b.name AS variant FROM (SELECT key, min(name) AS name FROM k GROUP BY 1) a JOIN k b ON a.name <> b.name AND (a.key = b.key OR starts_with(b.key, a.key || ' '))""")
 def org_variants(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.col("p_type")
     end = F.when(kind == "PROMO", " Co., Ltd.").when(kind == "SMALL", F.concat(F.lit(" of "), F.lower(kind))).otherwise("")

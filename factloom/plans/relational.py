@@ -242,7 +242,7 @@ UNION ALL SELECT 10000000000 + c_custkey, 'customer/segment', c_mktsegment FROM
 def entity_pull(spark: SparkSession, sf: str) -> DataFrame:
     store = world.store(spark, sf)
     state = fold.state(store.log(["customer/name", "customer/nation", "customer/segment"]))
-    return relate.pull(state, store.attrs, V.any_text()).select("e", "attribute", F.array_join("values", ",").alias("value"))
+    return relate.pull(state, store.attrs, V.any_text())
 
 
 @query("nested_pull", """

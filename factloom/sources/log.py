@@ -12,6 +12,9 @@ A batch directory is written whole by one job, so a failed job leaves nothing re
 
 from __future__ import annotations
 
+from datetime import datetime
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +22,9 @@ from pyspark.sql import types as T
 from factloom.model import ATTR_SCHEMA, FACT_SCHEMA, TX_SCHEMA, Attribute
 from factloom.operators import fold
 
+if TYPE_CHECKING:
+    from factloom.operators.ingest import Written
+
 _BATCH = T.StructField("batch", T.LongType())
 
 
@@ -60,12 +66,16 @@ def transactions(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, f"{path}/tx", TX_SCHEMA)
 
 
-def append_facts(facts: DataFrame, path: str, batch: int, files_per_attribute: int = 1) -> None:
-    """Append one batch. Rows meet by attribute and a hash of the entity, so a common attribute
-    spreads over `files_per_attribute` tasks and a rare one leaves one small file."""
-    (facts.withColumn("_spread", F.pmod(F.xxhash64("e"), F.lit(files_per_attribute)))
-     .repartition("a", "_spread").drop("_spread").sortWithinPartitions("a", "e", "tx")
-     .write.mode("overwrite").partitionBy("a").parquet(f"{path}/fact/batch={batch}"))
+def append_facts(facts: DataFrame, path: str, batch: int, files: int | None = None) -> None:
+    """Append one batch, range-partitioned and sorted by (attribute, entity, transaction).
+
+    Ranges are balanced by rows: a common attribute, or one hot entity of it, spreads over many
+    tasks and files, rare attributes share one, and each file covers a narrow range of entities,
+    which its statistics let a read skip.
+    """
+    order = ["a", "e", "tx"]
+    ranged = facts.repartitionByRange(*order) if files is None else facts.repartitionByRange(files, *order)
+    ranged.sortWithinPartitions(*order).write.mode("overwrite").partitionBy("a").parquet(f"{path}/fact/batch={batch}")
 
 
 def append_attributes(attrs: DataFrame, path: str, batch: int) -> None:
@@ -82,7 +92,7 @@ def write_state(state: DataFrame, path: str, tx: int) -> None:
     Each snapshot is a folder of its own, read once its marker is there, so readers and retries
     never see half of one.
     """
-    (state.repartition("a", F.pmod(F.xxhash64("e"), F.lit(8))).sortWithinPartitions("a", "e")
+    (state.repartitionByRange("a", "e", "tx").sortWithinPartitions("a", "e")
      .write.mode("overwrite").partitionBy("a").parquet(f"{path}/cur/batch={tx}"))
 
 
@@ -116,13 +126,36 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
     return rows.drop("op") if final else fold.state(rows)
 
 
-def compact(spark: SparkSession, path: str, target: str, files_per_attribute: int = 8) -> None:
+def compact(spark: SparkSession, path: str, target: str, files: int | None = None) -> None:
     """Rewrite the log as one batch with files sorted by (e, tx), for export or to merge small files."""
-    append_facts(scan(spark, path), target, 0, files_per_attribute)
+    append_facts(scan(spark, path), target, 0, files)
     append_attributes(attributes(spark, path), target, 0)
     append_transactions(transactions(spark, path), target, 0)
 
 
+def commit(spark: SparkSession, path: str, write: Written, actor: int, at: datetime) -> int | None:
+    """Append a planned write as one transaction; its number, or None where nothing changes.
+
+    Refuses a write with errors. The transaction follows the last one, at a later instant. One
+    commit runs at a time, as one job or one stream; the batch folder is named by the transaction,
+    so a repeated commit overwrites itself.
+    """
+    from factloom.operators.ingest import next_instant, stamp
+
+    problems = write.errors.limit(20).collect()
+    if problems:
+        raise ValueError("; ".join(f"{p.code}: {p.message}" for p in problems))
+    if not write.changes.take(1):
+        return None
+    last = transactions(spark, path).agg(F.max("id").alias("id"), F.max("at").alias("at")).first()
+    tx = max(last.id or 0, scan(spark, path).agg(F.max("e")).first()[0] or 0, write.changes.agg(F.max("e")).first()[0] or 0) + 1
+    now = F.lit(at)
+    when = now if last.at is None else next_instant(F.lit(last.at), now)
+    append_facts(stamp(write.changes, tx, actor, when), path, tx)
+    append_transactions(spark.range(1).select(F.lit(tx).cast("long").alias("id"), F.lit(actor).cast("long").alias("actor"), when.alias("at")), path, tx)
+    return tx
+
+
 def excise(spark: SparkSession, path: str, target: str, erased: DataFrame, tx: int, at, actor: int) -> None:
     """The store without the facts of `erased` (e, and a or NULL for all attributes), written to `target`.
 
@@ -137,10 +170,10 @@ def excise(spark: SparkSession, path: str, target: str, erased: DataFrame, tx: i
         raise ValueError("transactions and attributes cannot be excised")
     stamp = spark.createDataFrame([(tx, actor, at)], TX_SCHEMA)
     kept = without(facts, erased).unionByName(excision_facts(erased, tx, stamp))
-    append_facts(kept, target, 0, 8)
+    append_facts(kept, target, 0)
     append_attributes(attributes(spark, path), target, 0)
     append_transactions(transactions(spark, path).unionByName(stamp), target, 0)
 
 
-__all__ = ["append_attributes", "append_facts", "append_transactions", "attributes", "compact", "excise",
+__all__ = ["append_attributes", "append_facts", "append_transactions", "attributes", "commit", "compact", "excise",
            "read_state", "scan", "snapshot", "transactions", "write_state"]

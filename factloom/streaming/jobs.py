@@ -57,7 +57,7 @@ def keep_state(facts: DataFrame, target: str, checkpoint: str, *, trigger: dict
     pieces; `merge` makes one of them.
     """
     def write(batch: DataFrame, number: int) -> None:
-        latest(batch).repartition("a").sortWithinPartitions("a", "e").write.mode("overwrite").parquet(delta_path(target, number))
+        latest(batch).sortWithinPartitions("a", "e").write.mode("overwrite").parquet(delta_path(target, number))
     return (facts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
@@ -72,7 +72,7 @@ def current(spark: SparkSession, target: str) -> DataFrame:
 def merge(spark: SparkSession, target: str, merged: str) -> None:
     """The kept pieces as one piece of a new target, values that no longer hold included so a late fact still counts."""
     words = _read(spark, target, "delta", _LATEST)
-    words.groupBy("e", "a", *VALUES).agg(F.max("k").alias("k")).repartition("a", F.pmod(F.xxhash64("e"), F.lit(32))).sortWithinPartitions(
+    words.groupBy("e", "a", *VALUES).agg(F.max("k").alias("k")).repartitionByRange("a", "e").sortWithinPartitions(
         "a", "e").write.parquet(delta_path(merged, 0))
 
 

@@ -153,3 +153,25 @@ def test_stamps_and_next_instant(spark):
     assert got == {(1, 1002), (50, 8), (50, 9)}
     t = F.lit("2024-01-01 00:00:00").cast("timestamp")
     assert spark.range(1).select(F.unix_micros(ingest.next_instant(t, t)) - F.unix_micros(t)).first()[0] == 1
+
+
+def test_commit_writes_once_and_refuses_errors(spark, tmp_path):
+    path = str(tmp_path / "store")
+    disk.append_facts(naive.facts(spark, [(2010, 1001, "A1", 2000, True), (2010, 1002, "open", 2000, True)]), path, 2000)
+    disk.append_attributes(registry(spark, ALL), path, 0)
+    disk.append_transactions(spark.createDataFrame([(2000, 100, datetime(2024, 1, 1))], TX_SCHEMA), path, 2000)
+
+    def write(rows):
+        store = FactStore.open(spark, path)
+        proposed = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "idx long, e string, a string, v string, op string")
+        plan = ingest.plan_write(proposed, store.state(), store.log(), store.attrs, 3000)
+        return disk.commit(spark, path, plan, 100, datetime(2023, 1, 1))
+    batch = [("shopify/order_id=A1", "order/status", "paid", None), ("shopify/order_id=B1", "order/status", "open", None)]
+    tx = write(batch)
+    assert tx > 3000 and write(batch) is None
+    store = FactStore.open(spark, path)
+    assert sorted((r.e, r.v) for r in store.attr("order/status").collect()) == [(2010, "paid"), (3000, "open")]
+    assert [(r.id, str(r.at)) for r in store.tx.where("id > 2000").collect()] == [(tx, "2024-01-01 00:00:00.000001")]
+    assert store.attr("order/status", as_of=2000).first().v == "open"
+    with pytest.raises(ValueError):
+        write([("2010", "order/nothing", "x", None)])

@@ -183,3 +183,19 @@ def test_scores(spark):
     left = spark.createDataFrame([(1,), (1,), (2,)], "k long")
     right = spark.createDataFrame([(1,), (3,)], "k long")
     assert sorted(map(tuple, relate.bag_difference(left, right).collect())) == [(1, 1, 0), (2, 1, 0), (3, 0, 1)]
+
+
+def test_registration_facts_and_who_registered(spark):
+    specs = spark.createDataFrame([("po/etd", "date", "one", None, " Departure. ", ["po/eta"])], "ident string, type string, cardinality string, unique string, doc string, distinct_from array<string>")
+    ids = spark.createDataFrame([("po/etd", 1500), ("po/eta", 1400)], "ident string, id long")
+    facts = vocabulary.registration_facts(specs, ids, 9)
+    got = sorted((r.a, r.v_string or r.v_ref) for r in facts.collect())
+    assert got == [(1, "po/etd"), (2, "date"), (3, "one"), (4, "none"), (5, "Departure."), (6, 1400)]
+    tx = spark.createDataFrame([(9, 70)], "id long, actor long")
+    names = spark.createDataFrame([(70, "core")], "e long, v string")
+    made = vocabulary.registered_by(facts, tx, names)
+    assert [tuple(r) for r in made.collect()] == [("po/etd", "core")]
+    assert [r.actor for r in vocabulary.installed(made).collect()] == ["core"]
+    reg = attrs(spark, [("po/etd", "date", "one", "none", "d"), ("po/tag", "string", "one", "none", "d")])
+    systems = spark.createDataFrame([(1000, "erp")], "e long, v string")
+    assert sorted(map(tuple, vocabulary.field_authority(reg, systems).collect())) == [("po/etd", "erp"), ("po/tag", None)]
