@@ -24,7 +24,7 @@ from factloom.model import kernel_attributes, registry  # noqa: E402
 from factloom.operators import fold, profile  # noqa: E402
 from factloom.plans import load, world  # noqa: E402
 from factloom.sources import log  # noqa: E402
-from factloom.store import FactStore  # noqa: E402
+from factloom.store import FactLog  # noqa: E402
 
 TABLES = ["canonicalise_one", "asof_fold", "open_order_value", "in_transit", "in_transit_asof", "quarter_totals", "inspections", "crosswalk", "open_value",
           "person_orders", "provenance", "derived_stock", "slipped", "known_by_date", "upsert_diff", "same_as_root", "components", "tier_match", "dup_accounts",
@@ -61,7 +61,7 @@ def main() -> None:
     ingest(f"{base}/warm")
     path = f"{base}/store"
     out["ingest"] = timed(lambda: ingest(path))
-    store = FactStore.open(spark, path)
+    store = FactLog.open(spark, path)
     facts = store.log().count()
 
     def stats() -> None:

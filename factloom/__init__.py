@@ -6,6 +6,6 @@ identity resolution, evidence checks and scores. Each operator is a DataFrame pl
 """
 
 from factloom.model import Attribute, FACT_SCHEMA
-from factloom.store import FactStore
+from factloom.store import FactLog
 
-__all__ = ["Attribute", "FACT_SCHEMA", "FactStore"]
+__all__ = ["Attribute", "FACT_SCHEMA", "FactLog"]

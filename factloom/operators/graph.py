@@ -92,24 +92,22 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFra
 
     `step` maps the rows new in the last round to candidates of the same columns.
     """
+    columns = seed.columns
     newest = cut(seed.distinct())
     rounds = [newest]
-    columns = seed.columns
     while not is_empty(newest):
-        fresh = step(newest).select(*columns).distinct()
-        for old in rounds:
-            fresh = fresh.join(old, columns, "left_anti")
-        newest = cut(fresh)
+        newest = cut(step(newest).select(*columns).distinct().join(_together(rounds), columns, "left_anti"))
         rounds.append(newest)
         if len(rounds) >= 8:
-            # merge so a long walk joins a few tables per round, not one per round so far
-            merged = rounds[0]
-            for r in rounds[1:]:
-                merged = merged.unionByName(r)
-            rounds = [cut(merged)]
-    out = rounds[0]
-    for r in rounds[1:]:
-        out = out.unionByName(r)
+            # merged now and then, so a long walk reads a few tables per round
+            rounds = [cut(_together(rounds))]
+    return _together(rounds)
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 

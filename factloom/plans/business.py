@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions import codes
 from factloom.operators import fold, relate
 from factloom.plans import world
 from factloom.plans.registry import query
@@ -184,3 +185,31 @@ def closed_that_sold(spark: SparkSession, sf: str) -> DataFrame:
     nation = relate.follow(store.attr("nation/region").withColumnRenamed("v", "region"), "region", asia).select("e")
     there = relate.follow(store.attr("supplier/nation").withColumnRenamed("v", "nation"), "nation", nation).select("e")
     return store.attr("supplier/name").join(sold.intersect(there), "e", "left_semi").select(F.col("v").alias("supplier"))
+
+
+@query("po_value", """
+SELECT l_orderkey AS k, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS value, count(DISTINCT l_linenumber) AS lines,
+ CAST(min(q) AS DOUBLE) AS least, CAST(max(q) AS DOUBLE) AS most FROM
+ (SELECT l_orderkey, l_linenumber, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS l_extendedprice, sum(CAST(l_quantity AS DECIMAL(18,2))) AS q FROM lineitem GROUP BY 1, 2) GROUP BY 1""")
+def po_value(spark: SparkSession, sf: str) -> DataFrame:
+    lines = world.store(spark, sf).wide(["line/order", "line/price", "line/quantity"])
+    q = F.col("`line/quantity`")
+    return lines.groupBy((F.col("`line/order`") % world.WIDTH).alias("k")).agg(
+        money(F.sum("`line/price`")).alias("value"), F.count("*").alias("lines"), money(F.min(q)).alias("least"), money(F.max(q)).alias("most"))
+
+
+@query("shop_questions", """
+SELECT c_custkey AS customer, count(DISTINCT o_orderkey) AS invoices, count(DISTINCT o_orderkey) FILTER (WHERE o_orderstatus = 'P') AS cancelled,
+ count(DISTINCT p_brand) AS products FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1""")
+def shop_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """Invoices, cancelled ones and products of each customer, from a sheet that writes customers as
+    decimals, invoices with a C when cancelled, and products in mixed case."""
+    orders, parts = world.table(spark, sf, "orders"), world.table(spark, sf, "part")
+    sheet = world.table(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
+        parts, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.concat("o_custkey", F.lit(".0")).alias("customer"),
+        F.concat(F.when(F.col("o_orderstatus") == "P", "C").otherwise(""), "o_orderkey").alias("invoice"),
+        F.when(F.col("p_size") > 25, F.lower("p_brand")).otherwise(F.col("p_brand")).alias("product"))
+    rows = sheet.select(codes.whole_number_id(F.col("customer")).cast("long").alias("customer"), "invoice",
+                        F.when(F.col("invoice").startswith("C"), F.col("invoice")).alias("cancelled"), codes.normal_code(F.col("product")).alias("product"))
+    return relate.distinct_counts(rows, "customer", {"invoice": "invoices", "cancelled": "cancelled", "product": "products"})

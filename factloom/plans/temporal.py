@@ -78,7 +78,7 @@ def asof_fold(spark: SparkSession, sf: str) -> DataFrame:
 def event_store(spark: SparkSession, sf: str):
     """The event log with one transaction per event."""
     from factloom.model import registry
-    from factloom.store import FactStore
+    from factloom.store import FactLog
 
     tx = world.table(spark, sf, "events").select((F.lit(world.EVENT_TX) + F.col("event_id")).alias("id"),
                                                  world.entity("user", "user_id").alias("actor"),
@@ -87,7 +87,7 @@ def event_store(spark: SparkSession, sf: str):
     def read(attributes):
         log = world.event_log(spark, sf)
         return log if attributes is None else log.where(F.col("a").isin([a.id for a in attributes]))
-    return FactStore(read, registry(spark, world.ATTRIBUTES), tx, known=world.ATTRIBUTES)
+    return FactLog(read, registry(spark, world.ATTRIBUTES), tx, known=world.ATTRIBUTES)
 
 
 @query("history", WALK + """SELECT e, v, tx, CASE WHEN op THEN 'assert' ELSE 'retract' END AS op FROM canon WHERE a = 'user/purchase'""")
@@ -255,3 +255,30 @@ def coerce(spark: SparkSession, sf: str) -> DataFrame:
 
 
 __all__ = ["as_facts", "event_store", "quotes"]
+
+
+@query("keyed_fold", WALK + LAST.format(tx=EVERY) + "SELECT e, a, v, tx FROM held")
+def keyed_fold(spark: SparkSession, sf: str) -> DataFrame:
+    """The streaming job's aggregate, run over the whole event log at once."""
+    from factloom.streaming import jobs
+
+    last = jobs.latest(world.event_log(spark, sf)).where(F.col("k") % 2 == 1).withColumn("tx", F.shiftright("k", 1))
+    return whole(named(last)).select("e", "a", "v", "tx")
+
+
+@query("incremental_state", WALK + LAST.format(tx=EVERY) + "SELECT e, a, v, tx FROM held")
+def incremental_state(spark: SparkSession, sf: str) -> DataFrame:
+    """State kept by the streaming job while the event log arrives in two committed batches."""
+    import uuid
+
+    from factloom.session import ensure_checkpoint_dir
+    from factloom.sources import log
+    from factloom.streaming import jobs
+
+    base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events = world.event_log(spark, sf)
+    middle = event_store(spark, sf).resolve("2024-01-15T00:00:00+00:00")
+    for number, part in enumerate([events.where(F.col("tx") <= middle), events.where(F.col("tx") > middle)]):
+        log.append_facts(part, f"{base}/store", number)
+        jobs.keep_state(jobs.changes(spark, f"{base}/store"), f"{base}/kept", f"{base}/progress").awaitTermination()
+    return whole(named(jobs.current(spark, f"{base}/kept"))).select("e", "a", "v", "tx")

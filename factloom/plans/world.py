@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from factloom.model import Attribute, kernel_attributes, registry
 from factloom.sources.mapping import as_facts, union
-from factloom.store import FactStore
+from factloom.store import FactLog
 
 KIND = {"customer": 1, "order": 2, "part": 3, "supplier": 4, "nation": 5, "region": 6, "line": 7, "user": 8,
         "document": 9, "message": 10}
@@ -197,8 +197,8 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("day").cast("timestamp").alias("at"))
 
 
-def store(spark: SparkSession, sf_dir: str) -> FactStore:
+def store(spark: SparkSession, sf_dir: str) -> FactLog:
     def read(attributes):
         return facts(spark, sf_dir, None if attributes is None else [a.ident for a in attributes])
-    return FactStore(read, registry(spark, kernel_attributes() + ATTRIBUTES), lambda: transactions(spark, sf_dir),
+    return FactLog(read, registry(spark, kernel_attributes() + ATTRIBUTES), lambda: transactions(spark, sf_dir),
                      known=kernel_attributes() + ATTRIBUTES)

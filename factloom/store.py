@@ -34,7 +34,7 @@ class BeforeFirstTransaction(AsOfError):
     pass
 
 
-class FactStore:
+class FactLog:
     """A fact log read through `reader`, which returns the facts of the attributes it is given.
 
     Reading by attribute lets a partitioned log prune to the partitions a query names.
@@ -56,7 +56,7 @@ class FactStore:
         return self._tx
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str) -> FactStore:
+    def open(cls, spark: SparkSession, path: str) -> FactLog:
         """The store written under `path` by `factloom.sources.log`."""
         from factloom.sources import log
 
@@ -65,7 +65,7 @@ class FactStore:
                    snapshot=log.snapshot(spark, path))
 
     @classmethod
-    def of(cls, facts: DataFrame, attrs: DataFrame, tx: DataFrame) -> FactStore:
+    def of(cls, facts: DataFrame, attrs: DataFrame, tx: DataFrame) -> FactLog:
         """A store over a facts DataFrame."""
         def read(attributes):
             return facts if attributes is None else facts.where(F.col("a").isin([a.id for a in attributes]))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom.model import TX_SCHEMA, Attribute, kernel_attributes, registry
 from factloom.operators import fold
 from factloom.operators.ordered import Running, numbered, previous, running
-from factloom.store import BeforeFirstTransaction, FactStore, NoZone, UnknownTransaction, capped
+from factloom.store import BeforeFirstTransaction, FactLog, NoZone, UnknownTransaction, capped
 
 NAME = Attribute(1001, "prop/one", "string")
 MANY = Attribute(1002, "prop/many", "string", "many")
@@ -97,7 +97,7 @@ def test_numbers_are_dense_in_key_order(spark):
 
 def store_of(spark, log):
     tx = spark.createDataFrame([(t, 7, datetime(2024, 1, 1 + t)) for t in range(1, 6)], TX_SCHEMA)
-    return FactStore.of(naive.facts(spark, log), registry(spark, kernel_attributes() + [NAME, MANY]), tx)
+    return FactLog.of(naive.facts(spark, log), registry(spark, kernel_attributes() + [NAME, MANY]), tx)
 
 
 def test_as_of_points(spark):

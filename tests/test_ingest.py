@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from factloom.model import TX_SCHEMA, Attribute, kernel_attributes, registry
 from factloom.operators import fold, ingest
 from factloom.sources import log as disk
-from factloom.store import FactStore
+from factloom.store import FactLog
 
 ID = Attribute(1001, "shopify/order_id", "string", "one", "identity")
 STATUS = Attribute(1002, "order/status", "string")
@@ -124,7 +124,7 @@ def test_log_on_disk_round_trip_snapshot_and_excision(spark, tmp_path):
     second = naive.facts(spark, [(1010, 1002, "open", 2001, False), (1010, 1002, "paid", 2001, True)])
     disk.append_facts(second, path, 2001)
     disk.append_transactions(spark.createDataFrame([(2001, 100, datetime(2024, 1, 2))], TX_SCHEMA), path, 2001)
-    store = FactStore.open(spark, path)
+    store = FactLog.open(spark, path)
     assert sorted((r.e, r.v) for r in store.attr("order/status").collect()) == [(1010, "paid"), (1011, "open")]
     assert sorted((r.e, r.v) for r in store.attr("order/status", as_of="2024-01-01T10:00:00Z").collect()) == [(1010, "open"), (1011, "open")]
     assert naive.rows(disk.read_state(spark, path), with_op=False) == naive.rows(store.state(), with_op=False)
@@ -137,14 +137,14 @@ def test_log_on_disk_round_trip_snapshot_and_excision(spark, tmp_path):
     plan_text = store.attr("order/status", as_of=2001)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*\(a#\d+L? = 1002\)", plan_text)
     disk.excise(spark, path, target, spark.createDataFrame([(1010, None)], "e long, a long"), 2003, datetime(2024, 1, 3), 100)
-    clean = FactStore.open(spark, target)
+    clean = FactLog.open(spark, target)
     assert {r.e for r in clean.log().collect()} == {1011, 2003}
     assert clean.attr("order/status", as_of=2000).count() == 1
     assert [r.v for r in clean.attr("fs/excised_entity").collect()] == [1010]
     with pytest.raises(ValueError):
         disk.excise(spark, path, str(tmp_path / "x"), spark.createDataFrame([(2000, None)], "e long, a long"), 2004, datetime(2024, 1, 4), 100)
     disk.compact(spark, path, str(tmp_path / "small"))
-    assert FactStore.open(spark, str(tmp_path / "small")).log().count() == 5
+    assert FactLog.open(spark, str(tmp_path / "small")).log().count() == 5
 
 
 def test_stamps_and_next_instant(spark):
@@ -162,14 +162,14 @@ def test_commit_writes_once_and_refuses_errors(spark, tmp_path):
     disk.append_transactions(spark.createDataFrame([(2000, 100, datetime(2024, 1, 1))], TX_SCHEMA), path, 2000)
 
     def write(rows):
-        store = FactStore.open(spark, path)
+        store = FactLog.open(spark, path)
         proposed = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "idx long, e string, a string, v string, op string")
         plan = ingest.plan_write(proposed, store.state(), store.log(), store.attrs, 3000)
         return disk.commit(spark, path, plan, 100, datetime(2023, 1, 1))
     batch = [("shopify/order_id=A1", "order/status", "paid", None), ("shopify/order_id=B1", "order/status", "open", None)]
     tx = write(batch)
     assert tx > 3000 and write(batch) is None
-    store = FactStore.open(spark, path)
+    store = FactLog.open(spark, path)
     assert sorted((r.e, r.v) for r in store.attr("order/status").collect()) == [(2010, "paid"), (3000, "open")]
     assert [(r.id, str(r.at)) for r in store.tx.where("id > 2000").collect()] == [(tx, "2024-01-01 00:00:00.000001")]
     assert store.attr("order/status", as_of=2000).first().v == "open"
