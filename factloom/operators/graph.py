@@ -142,9 +142,9 @@ def _small_star(pairs: DataFrame) -> DataFrame:
 
 def _is_star(pairs: DataFrame) -> bool:
     """Whether every node points at one root and no root points on."""
-    if not is_empty(pairs.groupBy("src").agg(F.count("*").alias("n")).where("n > 1")):
-        return False
-    return is_empty(pairs.join(pairs.select(F.col("src").alias("dst")), "dst", "left_semi"))
+    several = pairs.groupBy("src").agg(F.count("*").alias("n")).where("n > 1").select("src")
+    onward = pairs.select(F.col("dst").alias("src")).join(pairs.select("src"), "src", "left_semi")
+    return is_empty(several.unionByName(onward))
 
 
 def linked(pairs: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:

@@ -184,9 +184,11 @@ def data_signature(state: DataFrame, holders: DataFrame, *, bare: bool = True) -
     if not bare:
         more = once.groupBy("e").agg(F.count("*").alias("n")).where("n > 1").select("e")
         once = once.join(more, "e", "left_semi")
-    size = once.groupBy("e").agg(F.lit(1).alias("x")).agg(F.count("*").alias("total")).select("total", F.lit(1).alias("k"))
-    per = once.groupBy("a").agg(F.count("*").alias("n")).withColumn("k", F.lit(1))
-    return per.join(size, "k").where("n = total").select("a")
+    # entities are counted beside the attributes, under no attribute; the counts fit the registry
+    everyone = once.select("e").distinct().withColumn("a", F.lit(None).cast("long"))
+    counts = once.unionByName(everyone).groupBy("a").agg(F.count("*").alias("n"))
+    whole = counts.agg(F.max(F.when(F.col("a").isNull(), F.col("n"))).alias("total"), F.collect_list(F.struct("a", "n")).alias("c"))
+    return whole.select("total", F.inline("c")).where("a IS NOT NULL AND n = total").select("a")
 
 
 def closest_shape(counts: DataFrame, shapes: DataFrame) -> DataFrame:

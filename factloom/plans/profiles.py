@@ -181,7 +181,10 @@ def split_records(spark: SparkSession, sf: str) -> DataFrame:
     return profile.split_records(low, view, purchase).select(F.col("e").alias("u"), F.when(F.col("has") == view, "view").otherwise("purchase").alias("has"))
 
 
-@query("fingerprint")
+@query("fingerprint", """
+WITH h AS (SELECT sha256('doc/' || doc_id || chr(0) || text) AS h FROM documents),
+s AS (SELECT count(*) AS files, """ + ", ".join(f"sum(CAST('0x' || substring(h, {1 + 8 * i}, 8) AS BIGINT)) AS p{i}" for i in range(8)) + """ FROM h)
+SELECT sha256(concat_ws(',', """ + ", ".join(f"p{i}" for i in range(8)) + """)) AS fingerprint, files FROM s""")
 def fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     docs = world.table(spark, sf, "documents").select(F.concat(F.lit("doc/"), "doc_id").alias("path"), "text")
     return profile.fingerprint(docs, "path", F.encode("text", "UTF-8"))
@@ -198,7 +201,20 @@ def trgm_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return world.table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.round(text.similarity(F.col("p_name"), long), 9).alias("score"))
 
 
-@query("word_similarity")
+def trigram_sql(text_sql: str) -> str:
+    """DuckDB: the ordered trigrams of a text."""
+    return (f"flatten(list_transform(list_filter(regexp_split_to_array(lower({text_sql}), '[^a-z0-9]+'), lambda x: x <> ''), "
+            "lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3))))")
+
+
+def extent_sql(wanted: str, ordered: str) -> str:
+    """DuckDB: the best similarity of a trigram set with any extent of an ordered list."""
+    return (f"coalesce(list_max(flatten(list_transform(range(1, len({ordered}) + 1), lambda s: list_transform(range(s, len({ordered}) + 1), "
+            f"lambda t: len(list_intersect({wanted}, {ordered}[s:t])) / len(list_distinct(list_concat({wanted}, {ordered}[s:t]))))))), 0)")
+
+
+@query("word_similarity", "WITH t AS (SELECT p_partkey AS k, list_distinct(" + trigram_sql("p_name") + ") AS a, " + trigram_sql("p_type || ' ' || p_name || ' ' || p_brand") + """ AS b FROM part)
+SELECT k, round(""" + extent_sql("a", "b") + ", 9) AS score FROM t")
 def word_similarity(spark: SparkSession, sf: str) -> DataFrame:
     long = F.concat_ws(" ", "p_type", "p_name", "p_brand")
     return world.table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.round(text.word_similarity(F.col("p_name"), long), 9).alias("score"))
@@ -224,7 +240,17 @@ def part_specs(spark: SparkSession, sf: str) -> DataFrame:
                        F.concat_ws(" ", "p_name", F.lower("p_type"), F.lit("stock")).alias("doc"))
 
 
-@query("near_match")
+@query("near_match", """
+WITH s AS (SELECT DISTINCT lower(p_type) || '/' || replace(p_name, ' ', '_') AS ident, p_name || ' ' || lower(p_type) || ' stock' AS doc FROM part),
+c AS (SELECT ident, doc FROM s UNION SELECT 'part/' || replace(p_name, ' ', '_'), 'Stock of any ' || p_name FROM part),
+t AS (SELECT ident, split_part(ident, '/', 1) AS ns, string_split(split_part(ident, '/', 2), '_') AS w, """ + trigram_sql("replace(split_part(ident, '/', 2), '_', '')") + """ AS g,
+ list_distinct(""" + trigram_sql("doc") + """) AS d FROM c),
+n AS (SELECT DISTINCT list_distinct(a.g) AS x, b.g AS y FROM t a CROSS JOIN t b), m AS (SELECT x, y, """ + extent_sql("x", "y") + """ AS v FROM n),
+p AS (SELECT a.ident, b.ident AS other, greatest(m1.v, m2.v) AS name_score, len(list_intersect(a.d, b.d)) / len(list_distinct(list_concat(a.d, b.d))) AS doc_score,
+ a.ns = b.ns AS same, list_has_all(a.w, b.w) OR list_has_all(b.w, a.w) AS nested FROM t a JOIN s ON s.ident = a.ident JOIN t b ON a.ident <> b.ident
+ JOIN m m1 ON m1.x = list_distinct(a.g) AND m1.y = b.g JOIN m m2 ON m2.x = list_distinct(b.g) AND m2.y = a.g)
+SELECT ident, other, round(name_score, 3) AS name_score, round(doc_score, 3) AS doc_score FROM p
+WHERE (name_score >= 0.6 AND (same OR doc_score >= 0.3)) OR (same AND nested) OR doc_score >= 0.6""")
 def near_match(spark: SparkSession, sf: str) -> DataFrame:
     """A spec per name and type of part, screened against each other and against one per name."""
     specs = part_specs(spark, sf)
@@ -234,7 +260,11 @@ def near_match(spark: SparkSession, sf: str) -> DataFrame:
     return vocabulary.near_matches(specs, attrs)
 
 
-@query("attribute_search")
+@query("attribute_search", """
+WITH s AS (SELECT DISTINCT lower(p_type) || '/' || replace(p_name, ' ', '_') AS ident, p_name || ' ' || lower(p_type) || ' stock' AS doc FROM part),
+t AS (SELECT ident, doc, list_distinct(""" + trigram_sql("'red ring'") + ") AS q, " + trigram_sql("ident") + " AS i, " + trigram_sql("doc") + """ AS d FROM s),
+r AS (SELECT ident, 'decimal' AS type, 'one' AS cardinality, doc, CAST(NULL AS BIGINT) AS replaced_by, greatest(""" + extent_sql("q", "i") + ", " + extent_sql("q", "d") + """) AS score FROM t),
+top AS (SELECT * FROM r ORDER BY score DESC, ident LIMIT 10) SELECT ident, type, cardinality, doc, replaced_by, round(score, 3) AS score FROM top WHERE score >= 0.2""")
 def attribute_search(spark: SparkSession, sf: str) -> DataFrame:
     attrs = part_specs(spark, sf).select("ident", F.lit("decimal").alias("type"), F.lit("one").alias("cardinality"), "doc",
                                          F.lit(None).cast("long").alias("replaced_by"))
