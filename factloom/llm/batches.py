@@ -5,11 +5,14 @@ Words are `[^\x20\x09-\x0D]+` of the UTF-8 bytes; `bytes.split()` splits on exac
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import DataFrame
 from xxhash import xxh64_intdigest
 
 #: Text bytes handled at once inside a task; a single longer text is handled alone.
@@ -32,6 +35,15 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             yield batch.slice(a, b - a)
 
 
+def sent(df: DataFrame, value) -> Broadcast:
+    """`value` for the tasks that map `df`, with its classes; its size must be bounded by the caller."""
+    return df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(held: Broadcast):
+    return pickle.loads(held.value)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The UTF-8 bytes of each row; a null text is empty."""
     return [b"" if x is None else x for x in batch.column(column).cast(pa.binary()).to_pylist()]

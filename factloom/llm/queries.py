@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import simhash, substring
+from factloom.llm import decontaminate, extract, language, rules, sentences, shards, simhash, substring, token_counts, token_store
+from factloom.session import ensure_checkpoint_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -35,11 +39,80 @@ FROM k LEFT JOIN t USING (doc_id)
 """
 
 
+def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document and benchmark item that it contains."""
+    return decontaminate.contained(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet")).select(
+        "doc_id", "item_id", "n_shingles", "n_found")
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+k AS (SELECT item_id, w, least(5, len(w)) AS k FROM b WHERE len(w) > 0),
+i AS (SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' '))) AS s FROM k),
+n AS (SELECT item_id, count(*) AS n_shingles FROM i GROUP BY item_id),
+s AS (SELECT DISTINCT d.doc_id, k.k, unnest(list_transform(range(1, len(d.w) - k.k + 2), lambda j: array_to_string(d.w[j:j + k.k - 1], ' '))) AS s
+      FROM d, (SELECT DISTINCT k FROM k) k WHERE len(d.w) >= k.k),
+f AS (SELECT doc_id, item_id, count(*) AS n_found FROM s JOIN i USING (k, s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shingles::BIGINT AS n_shingles, n_found::BIGINT AS n_found FROM f JOIN n USING (item_id) WHERE 10 * n_found >= 8 * n_shingles
+"""
+
+
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's language, learned from the documents that are not held out."""
+    docs = documents(spark, folder)
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = language.train(docs.where(~held_out).select("doc_id", "text", "lang"))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("row.doc_id", "lang_pred", "score", F.size("spans").alias("n_spans")).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+
+
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's number of pieces and best score."""
+    return token_counts.count_tokens(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op5_token_store(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's place and checksum in a token store written from the whole table and read back."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        tokenizer = f.read()
+    store = f"{ensure_checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_store.write(documents(spark, folder), store, tokenizer, end_id=1)
+    found = token_store.read(spark, store)
+    return found.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's piece ids, and the checksum of the text they decode to."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    found = sentences.decode(sentences.encode(documents(spark, folder), model), model)
+    return found.select("doc_id", "ids", F.size("ids").alias("n_ids"), F.crc32(F.col("text").cast("binary")).alias("decoded_crc32"))
+
+
+def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's shard of 40 with near-equal bytes, and its slot there."""
+    found = shards.shard(documents(spark, folder))
+    return found.select("row.doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
+                        F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's fingerprint and near-duplicate component."""
     found = simhash.near_duplicates(documents(spark, folder))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op8_simhash_near_dedup)}
-ORACLES = {"op1_substring_dedup": OP1_SQL}
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's statistics and the verdict of the base rules and the learned list."""
+    found = rules.judge(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+    return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's main text."""
+    return extract.extract(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_benchmark_decontamination, op3_language_id, op4_token_counts, op5_token_store, op6_sentencepiece,
+                                  op7_sharding, op8_simhash_near_dedup, op9_quality_rules, op10_html_extraction)}
+ORACLES = {"op1_substring_dedup": OP1_SQL, "op2_benchmark_decontamination": OP2_SQL}
