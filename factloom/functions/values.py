@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.model import DECIMAL
+from factloom.model import DECIMAL, VALUES
 
 _NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 _DAY = r"^\d{4}-\d{2}-\d{2}$"
@@ -20,7 +20,7 @@ def coerce(type_: str, raw: Column) -> Column:
     if type_ == "string":
         return raw
     if type_ == "decimal":
-        return F.when(raw.rlike(_NUMBER), F.trim(raw).try_cast(DECIMAL))
+        return F.when(raw.rlike(_NUMBER) & _exact(raw), F.trim(raw).try_cast(DECIMAL))
     if type_ == "boolean":
         return F.when(raw.isin("true", "false"), raw == "true")
     if type_ == "date":
@@ -32,10 +32,22 @@ def coerce(type_: str, raw: Column) -> Column:
     raise ValueError(f"no value type {type_}")
 
 
+def _exact(raw: Column) -> Column:
+    """Whether number text needs no more fraction digits than the type keeps: a value is refused, never rounded."""
+    mantissa = F.regexp_extract(raw, r"([\d.]+)", 1)
+    digits = F.regexp_replace(mantissa, r"\.", "")
+    significant = F.length(F.regexp_replace(digits, "0+$", ""))
+    exponent = F.coalesce(F.regexp_extract(raw, r"[eE]([+-]?\d+)", 1).try_cast("int"), F.lit(0))
+    scale = F.length(F.regexp_extract(mantissa, r"\.(\d*)", 1)) - exponent - (F.length(digits) - significant)
+    return (significant == 0) | (scale <= DECIMAL.scale)
+
+
 def decimal_text(value: Column) -> Column:
-    """Plain decimal text without trailing zeros; zero is "0"."""
-    text = value.cast(DECIMAL).cast("string")
-    return F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+    """Plain decimal text without trailing zeros; zero is "0".
+
+    A number format has no exponent, whatever the session's settings are.
+    """
+    return F.call_function("format_number", value.cast(DECIMAL), F.lit("0." + "#" * DECIMAL.scale))
 
 
 def instant_text(value: Column) -> Column:
@@ -57,6 +69,11 @@ def canonical_key(type_: str, value: Column) -> Column:
     return value.cast("string")
 
 
+def one_value() -> Column:
+    """Whether exactly one typed column of a fact is set, as every fact must have it."""
+    return sum((F.col(c).isNotNull().cast("int") for c in VALUES), F.lit(0)) == 1
+
+
 def any_text() -> Column:
     """Canonical text of whichever typed column of a fact is set."""
     return F.coalesce(F.col("v_string"), decimal_text(F.col("v_decimal")), F.col("v_boolean").cast("string"),

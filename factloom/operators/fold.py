@@ -31,6 +31,11 @@ def state(facts: DataFrame, as_of: int | None = None) -> DataFrame:
     return latest.where(F.col("_k") % 2 == 1).select("e", "a", *VALUES, F.shiftright("_k", 1).alias("tx"))
 
 
+def malformed(facts: DataFrame) -> DataFrame:
+    """Facts that don't have exactly one typed value, with how many `values` they have."""
+    return facts.where(~V.one_value()).withColumn("values", sum((F.col(c).isNotNull().cast("int") for c in VALUES), F.lit(0)))
+
+
 def relation(facts: DataFrame, attribute: Attribute, as_of: int | None = None) -> DataFrame:
     """(e, v, tx) of one attribute, now or as of a transaction; only its typed column is read."""
     rows = facts.where(F.col("a") == attribute.id)

@@ -66,6 +66,15 @@ def canonical_many(feed: DataFrame, *, rows_per_range: int | None = None) -> Dat
 
 # --- validation -----------------------------------------------------------------------------
 
+#: Stands for the transaction being written until `stamp` puts its number in; ids of entities are positive.
+OWN_TX = -1
+OWN_TX_NAME = "tmp:tx"
+
+
+def entity_text(name: Column) -> Column:
+    """Whether text addresses an entity: a positive id, `tmp:name`, or a lookup `ident=value`."""
+    return name.rlike(r"^0*[1-9]\d{0,17}$") | name.rlike("^tmp:.") | name.rlike(IDENT_PATTERN[:-1] + "=")
+
 
 def validate(proposed: DataFrame, attrs: DataFrame) -> DataFrame:
     """Errors (idx, code, message) of proposed facts (idx, e, a, v, op), all as text.
@@ -78,7 +87,7 @@ def validate(proposed: DataFrame, attrs: DataFrame) -> DataFrame:
     known = F.col("type").isNotNull()
     fits = F.lit(None).cast("boolean")
     for t in SPARK_TYPE:
-        fits = F.when(F.col("type") == t, V.coerce(t, F.col("v")).isNotNull()).otherwise(fits)
+        fits = F.when(F.col("type") == t, entity_text(F.col("v")) if t == "ref" else V.coerce(t, F.col("v")).isNotNull()).otherwise(fits)
     asserting = F.coalesce(F.col("op"), F.lit("assert")) == "assert"
 
     def problem(code: str, when: Column, message: Column) -> Column:
@@ -87,6 +96,7 @@ def validate(proposed: DataFrame, attrs: DataFrame) -> DataFrame:
     checks = F.array(
         problem("missing", F.col("e").isNull() | F.col("a").isNull() | F.col("v").isNull(),
                 F.lit("a fact names e, a and v")),
+        problem("entity", F.col("e").isNotNull() & ~entity_text(F.col("e")), F.concat(F.col("e"), F.lit(" addresses no entity"))),
         problem("op", ~F.coalesce(F.col("op"), F.lit("assert")).isin("assert", "retract"),
                 F.concat(F.lit("op is assert or retract, not "), F.col("op"))),
         problem("ident", ~known & F.col("a").isNotNull() & ~F.col("a").rlike(IDENT_PATTERN),
@@ -227,7 +237,7 @@ def identity_candidate(state: DataFrame, attribute: int, limit: int = 5) -> tupl
 
 
 def stamp(changes: DataFrame, tx: int, actor: int, at: Column) -> DataFrame:
-    """The facts of one committed transaction: its changes and who and when."""
+    """The facts of one committed transaction: its changes, with its number where they name it, and who and when."""
     spark = changes.sparkSession
     null = {c: F.lit(None).cast(SPARK_TYPE[t]) for t, c in VALUE_COLUMN.items()}
     row = spark.range(1)
@@ -236,7 +246,8 @@ def stamp(changes: DataFrame, tx: int, actor: int, at: Column) -> DataFrame:
         return row.select(F.lit(tx).cast("long").alias("e"), F.lit(KERNEL[attribute]).cast("long").alias("a"),
                           *[(value if c == column else null[c]).alias(c) for c in VALUES],
                           F.lit(tx).cast("long").alias("tx"), F.lit(True).alias("op"))
-    return (changes.withColumn("tx", F.lit(tx).cast("long")).select(*COLUMNS)
+    own = {c: F.when(F.col(c) == OWN_TX, F.lit(tx).cast("long")).otherwise(F.col(c)) for c in ("e", "v_ref")}
+    return (changes.withColumns(own).withColumn("tx", F.lit(tx).cast("long")).select(*COLUMNS)
             .unionByName(fact("fs/actor", "v_ref", F.lit(actor).cast("long")))
             .unionByName(fact("fs/at", "v_instant", at)))
 
@@ -325,7 +336,8 @@ def plan_write(proposed: DataFrame, state: DataFrame, facts: DataFrame, attrs: D
     """Validate, resolve and diff proposed facts without writing; the dry run.
 
     `proposed` is (idx, e, a, v, op) text with e and ref values given as `123` (an entity id),
-    `tmp:name` (a new entity), or `ident=value` (a lookup on an identity attribute).
+    `tmp:name` (a new entity), `tmp:tx` (the transaction written), or `ident=value` (a lookup on an
+    identity attribute). Every row ends as a change, as unchanged, or with an error.
     """
     reg = attrs.select(F.col("id").alias("aid"), F.col("ident").alias("a"), "type", "cardinality", "uniq")
     rows = cut(proposed.withColumn("op", F.coalesce("op", F.lit("assert"))).join(reg, "a", "left"))
@@ -334,7 +346,7 @@ def plan_write(proposed: DataFrame, state: DataFrame, facts: DataFrame, attrs: D
     named = rows.select("idx", asserted.alias("asserted"), F.col("e").alias("name"), F.lit("e").alias("place")).unionByName(
         rows.where("type = 'ref'").select("idx", asserted.alias("asserted"), F.col("v").alias("name"),
                                           F.lit("v").alias("place")))
-    is_lookup = F.col("name").contains("=")
+    is_lookup = F.col("name").rlike(IDENT_PATTERN[:-1] + "=")
     look = named.where(is_lookup).select(
         "idx", "asserted", "place", "name", F.split_part("name", F.lit("="), F.lit(1)).alias("ident"),
         F.expr("substring(name, instr(name, '=') + 1)").alias("text"))
@@ -364,14 +376,15 @@ def plan_write(proposed: DataFrame, state: DataFrame, facts: DataFrame, attrs: D
 
     def place(df: DataFrame, column: str, out: str) -> DataFrame:
         found = df.join(targets.select(F.col("name").alias(column), F.col("e").alias("_t")), column, "left")
-        return found.withColumn(out, F.coalesce("_t", V.coerce("ref", F.col(column)))).drop("_t")
+        return found.withColumn(out, F.when(F.col(column) == OWN_TX_NAME, OWN_TX).otherwise(
+            F.coalesce("_t", F.when(F.col(column).rlike(r"^\d+$"), V.coerce("ref", F.col(column)))))).drop("_t")
 
     placed = place(rows.withColumn("_e", F.col("e")).withColumn("_v", F.when(F.col("type") == "ref", F.col("v"))), "_e", "eid")
     placed = place(placed, "_v", "vid")
     typed = [F.when(F.col("type") == t, F.col("vid") if t == "ref" else V.coerce(t, F.col("v"))).alias(c)
              for t, c in VALUE_COLUMN.items()]
     ops = placed.where(F.col("aid").isNotNull()).select("idx", F.col("eid").alias("e"), F.col("aid").alias("a"), *typed,
-                                                        asserted.alias("op")).where("e is not null")
+                                                        asserted.alias("op")).where(F.col("e").isNotNull() & V.one_value())
     # a created entity carries the value it was looked up by
     made = lookups.where("created").join(attrs.select(F.col("id").alias("a"), "type"), "a").select(
         F.lit(None).cast("long").alias("idx"), "e", "a",
@@ -380,12 +393,11 @@ def plan_write(proposed: DataFrame, state: DataFrame, facts: DataFrame, attrs: D
     # the batch and its changes are each computed once; every check below reads them
     batch = written(ops.unionByName(made))
     changes = written(diff(batch, state, attrs))
-    checked = rows.select("idx", "e", "a", F.when(F.col("type") == "ref", F.lit("1")).otherwise(F.col("v")).alias("v"), "op")
-    errors = validate(checked, attrs).unionByName(bad_lookup)
+    errors = validate(rows.select("idx", "e", "a", "v", "op"), attrs).unionByName(bad_lookup)
     errors = errors.unionByName(lookups.where("outcome = 'missing'").select(
         F.lit(None).cast("long").alias("idx"), F.lit("missing entity").alias("code"),
         F.concat(F.lit("no entity has the value "), F.col("key")).alias("message")))
-    numbers = named.where(F.col("name").rlike(r"^\d+$")).select(F.col("name").cast("long").alias("e"))
+    numbers = named.where(F.col("name").rlike(r"^0*[1-9]\d{0,17}$")).select(F.col("name").cast("long").alias("e"))
     errors = errors.unionByName(missing_entities(numbers, facts).select(
         F.lit(None).cast("long").alias("idx"), F.lit("no such entity").alias("code"), F.col("e").cast("string").alias("message")))
     errors = errors.unionByName(dangling_temporaries(temporary.where("place = 'v'"), temporary.where("place = 'e'")).select(

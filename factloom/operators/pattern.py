@@ -36,16 +36,16 @@ def pattern(store, e=None, a=None, v=None, tx=None, op=None, *, source: str = "s
         rows = store.history(a, as_of) if source == "log" else store.attr(a, as_of)
         literal = SPARK_TYPE[store.attribute(a).type]
     else:
-        log = store.log()
         at = store.resolve(as_of)
         if source == "log":
+            log = store.log()
             log = log if at is None else log.where(F.col("tx") <= at)
             named = log.join(store.attrs.select(F.col("id").alias("a"), "ident"), "a")
             from factloom.functions.values import any_text
             rows = named.select("e", F.col("ident").alias("a"), any_text().alias("v"), "tx",
                                 F.when(F.col("op"), "assert").otherwise("retract").alias("op"))
         else:
-            rows = fold.facts_text(fold.state(log, at), store.attrs)
+            rows = store.facts(at)
         literal = SPARK_TYPE["string"]
     places = {"e": e, "v": v, "tx": tx}
     if not isinstance(a, str):
@@ -65,7 +65,11 @@ def pattern(store, e=None, a=None, v=None, tx=None, op=None, *, source: str = "s
         elif want is not None:
             # the literal takes the attribute's type, so the comparison stays on the stored column
             rows = rows.where(cell == (F.lit(want).cast(literal) if column == "v" else F.lit(want)))
-    return rows.select(*[c.alias(n) for n, c in out.items()]).distinct()
+    found = rows.select(*[c.alias(n) for n, c in out.items()])
+    # what holds is one row for each e, a and v, and a log one for each tx and op of these
+    identity = [w for c, w in places.items() if source == "log" or c != "tx"]
+    fixed = all(isinstance(w, Var) or (w is not None and not callable(w)) for w in identity)
+    return found if fixed else found.distinct()
 
 
 def conjunction(*parts: DataFrame) -> DataFrame:
@@ -167,8 +171,11 @@ def match(store, shape: dict, entity: str = "e", as_of=None) -> DataFrame:
             nested.append((k, s, name))
     for k, s in shape.items():
         if k.startswith("^"):
-            name = s.get("as", f"_back_{k[1:].replace('/', '_')}") if isinstance(s, dict) else s.name
-            part = pattern(store, Var(name), k[1:], Var(entity), as_of=as_of)
+            if s is None:
+                continue
+            name = s.get("as", f"_back_{k[1:].replace('/', '_')}") if isinstance(s, dict) else None
+            # a constant or a test is about the entity that refers here
+            part = pattern(store, Var(name) if name else s, k[1:], Var(entity), as_of=as_of)
             rows = part if rows is None else conjunction(rows, part)
             if isinstance(s, dict):
                 nested.append((k, s, name))
@@ -180,4 +187,8 @@ def match(store, shape: dict, entity: str = "e", as_of=None) -> DataFrame:
     for k, s in forward.items():
         if s is None:
             rows = missing(rows, store, entity, k, as_of)
+    for k, s in shape.items():
+        if k.startswith("^") and s is None:
+            named = store.attr(k[1:], as_of).select(F.col("v").alias(entity))
+            rows = rows.join(named, entity, "left_anti")
     return rows.drop(*[n for _, s, n in nested if n.startswith("_")])

@@ -35,35 +35,32 @@ def entity_signatures(rows: DataFrame) -> DataFrame:
     return sets.withColumn("sid", F.xxhash64(F.array_join(F.transform("sig", lambda a: a.cast("string")), ",")))
 
 
-#: Registries up to this size get bit-mask signatures: 64 attributes per long.
-MOST_MASKED = 1024
-
-
 def masked_signatures(rows: DataFrame, ids: list[int]) -> DataFrame:
-    """(e, sid): each entity's set of attributes as bits over `ids`, the registry in order.
+    """(e, sid): each entity's set of attributes as bits over `ids`, 64 to a word.
 
-    One bitwise-or per 64 attributes has a fixed-width buffer, so this is a hash aggregate in one
-    shuffle with map-side partials, exact and blind to repeats. `sid` is a long, or the words as
-    text where the registry needs more than one. `decoded` gives the attributes back.
+    A bitwise-or per entity and word has a fixed-width buffer, so it is a hash aggregate with
+    map-side partials, exact and blind to repeats. `sid` is the word where there is one, else the
+    entity's words as text. `decoded` gives the attributes back.
     """
-    spark = rows.sparkSession
-    words = -(-len(ids) // 64)
-    bits = ", ".join(f"({a}L, {i // 64}, shiftleft(1L, {i % 64}))" for i, a in enumerate(ids))
-    known = rows.join(spark.sql(f"SELECT * FROM VALUES {bits} AS t(a, word, bit)"), "a")
-    if words == 1:
+    places = rows.sparkSession.createDataFrame([(a, i // 64, 1 << i % 64 if i % 64 < 63 else -(1 << 63)) for i, a in enumerate(ids)], "a long, word int, bit long")
+    known = rows.join(places, "a")
+    if len(ids) <= 64:
         return known.groupBy("e").agg(F.bit_or("bit").alias("sid"))
-    per = known.groupBy("e").agg(*[F.coalesce(F.bit_or(F.when(F.col("word") == w, F.col("bit"))), F.lit(0)).alias(f"w{w}") for w in range(words)])
-    return per.select("e", F.concat_ws(",", *[f"w{w}" for w in range(words)]).alias("sid"))
+    words = known.groupBy("e", "word").agg(F.bit_or("bit").alias("bits"))
+    # at most one row a word is left of each entity
+    return words.groupBy("e").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("w")).select(
+        "e", F.array_join(F.transform("w", lambda x: F.concat_ws(":", x["word"], x["bits"])), ",").alias("sid"))
 
 
 def decoded(counts: DataFrame, ids: list[int]) -> DataFrame:
     """(sid, sig, entities) of masked signature counts, the attributes ascending."""
-    if len(ids) <= 64:
-        held = [F.when(F.shiftright("sid", i).bitwiseAND(F.lit(1)) == 1, F.lit(a)) for i, a in enumerate(ids)]
-    else:
-        part = F.split("sid", ",")
-        held = [F.when(F.shiftright(F.element_at(part, i // 64 + 1).cast("long"), i % 64).bitwiseAND(F.lit(1)) == 1, F.lit(a)) for i, a in enumerate(ids)]
-    return counts.select("sid", F.array_sort(F.filter(F.array(*[h.cast("long") for h in held]), lambda a: a.isNotNull())).alias("sig"), "entities")
+    word = F.split(F.concat(F.lit("0:"), F.col("sid")) if len(ids) <= 64 else F.col("sid"), ",")
+    bits = F.sequence(F.lit(0), F.lit(63))
+    held = F.flatten(F.transform(word, lambda w: F.transform(
+        F.filter(bits, lambda b: F.getbit(F.split_part(w, F.lit(":"), F.lit(2)).cast("long"), b) == 1),
+        lambda b: F.split_part(w, F.lit(":"), F.lit(1)).cast("int") * 64 + b)))
+    known = F.array(*[F.lit(a).cast("long") for a in ids])
+    return counts.select("sid", F.array_sort(F.transform(held, lambda i: F.get(known, i))).alias("sig"), "entities")
 
 
 def signature_counts(signatures: DataFrame) -> DataFrame:
@@ -73,7 +70,9 @@ def signature_counts(signatures: DataFrame) -> DataFrame:
 
 def shown(counts: DataFrame, attrs: DataFrame, namespaces: list[str] | None = None, include_kernel: bool = False) -> DataFrame:
     """(sid, sig, entities, idents) of signatures in which any attribute is of a wanted namespace."""
-    named = counts.select("sid", F.explode("sig").alias("id")).join(attrs.select("id", "ident"), "id")
+    # an attribute that is not registered is shown by its number
+    named = counts.select("sid", F.explode("sig").alias("id")).join(attrs.select("id", "ident"), "id", "left").withColumn(
+        "ident", F.coalesce("ident", F.concat(F.lit("#"), F.col("id"))))
     space = F.split_part("ident", F.lit("/"), F.lit(1))
     wanted = F.lit(True) if namespaces is None else space.isin(namespaces)
     per = named.groupBy("sid").agg(F.array_sort(F.collect_list("ident")).alias("idents"), F.bool_or(wanted).alias("_wanted"),
@@ -148,21 +147,18 @@ def statistics(store, *, namespaces: list[str] | None = None, limit: int = 50, i
     """Signatures, attribute usage and reference links of a store's current state.
 
     Current values are read from the store's snapshot if it has an up-to-date one, else folded
-    once into a table. Signatures are bit masks while the registry is small enough.
+    once into a table. `counts` has every distinct signature (sid, sig, entities).
     """
     final = cut(final_attributes(store.attrs))
     state = store.state()
     rows = folded(state if store.has_snapshot() else written(state.select("e", "a", "v_ref")), final)
-    ids = sorted(r.id for r in store.attrs.select("id").limit(MOST_MASKED + 1).collect())
-    if len(ids) <= MOST_MASKED:
-        signatures = written(masked_signatures(rows, ids))
-        counts = cut(decoded(signatures.groupBy("sid").agg(F.count("*").alias("entities")), ids))
-    else:
-        signatures = written(entity_signatures(rows))
-        counts = cut(signature_counts(signatures))
+    # the attributes in use, as many as the registry and any that it doesn't know
+    ids = sorted(r.a for r in rows.select("a").distinct().collect())
+    signatures = written(masked_signatures(rows, ids))
+    counts = cut(decoded(signatures.groupBy("sid").agg(F.count("*").alias("entities")), ids))
     kept = cut(shown(counts, store.attrs, namespaces, include_kernel))
     listed = cut(ranked(kept, limit))
-    return {"signatures": listed.select("label", "idents", "entities"), "omitted": omitted(kept, listed),
+    return {"signatures": listed.select("label", "idents", "entities"), "counts": counts, "omitted": omitted(kept, listed),
             "attributes": usage(rows, store.attrs, final, namespaces, include_kernel, counts),
             "refs": ref_links(rows, signatures, store.attrs, listed)}
 

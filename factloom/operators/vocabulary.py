@@ -18,14 +18,15 @@ SEARCH_FLOOR = 0.2
 
 
 def search(attrs: DataFrame, text: str, limit: int = 10) -> DataFrame:
-    """(ident, type, cardinality, doc, replaced_by, score): attributes resembling a text, best first.
+    """(ident, type, cardinality, doc, replaced_by, score): attributes resembling a text; replaced_by is a name.
 
     The limit is taken first and low scores dropped after, so a search returns at most `limit`.
     """
     wanted = trigrams(F.lit(text))
     score = F.greatest(extent_similarity(wanted, trigram_list(F.col("ident"))), extent_similarity(wanted, trigram_list(F.col("doc"))))
     rows = attrs.where(~F.col("ident").startswith("fs/")).withColumn("score", score)
-    top = rows.orderBy(F.desc("score"), "ident").limit(limit)
+    names = attrs.select(F.col("id").alias("replaced_by"), F.col("ident").alias("_by"))
+    top = rows.orderBy(F.desc("score"), "ident").limit(limit).join(names, "replaced_by", "left").withColumn("replaced_by", F.col("_by"))
     return top.where(F.col("score") >= SEARCH_FLOOR).select("ident", "type", "cardinality", "doc", "replaced_by", F.round("score", 3).alias("score"))
 
 

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import text
-from factloom.model import registry
+from factloom.model import SPARK_TYPE, VALUE_COLUMN, Attribute, registry
 from factloom.operators import fold, profile, similar, vocabulary
 from factloom.plans import world
 from factloom.plans.registry import query
+from factloom.sources.mapping import union
+from factloom.store import FactLog
 from factloom.plans.temporal import EVERY, LAST, WALK, named
 
 LINES = "(SELECT l_orderkey, l_linenumber, min(l_partkey) AS part FROM lineitem GROUP BY 1, 2)"
@@ -26,20 +28,41 @@ def rows_of(spark: SparkSession, sf: str) -> DataFrame:
     return profile.folded(world.store(spark, sf).state(), None)
 
 
-@query("signatures", "WITH s AS (" + SIGS + """) SELECT 's' || row_number() OVER (ORDER BY entities DESC, signature) AS label, signature, entities FROM s""")
+RANKED = "s AS (" + SIGS + "), r AS (SELECT *, 's' || row_number() OVER (ORDER BY entities DESC, signature) AS label FROM s)"
+
+
+@query("signatures", "WITH " + RANKED + " SELECT label, signature, entities FROM r")
 def signatures(spark: SparkSession, sf: str) -> DataFrame:
-    store = world.store(spark, sf)
-    counts = profile.signature_counts(profile.entity_signatures(rows_of(spark, sf)))
-    return profile.ranked(profile.shown(counts, store.attrs)).select("label", F.array_join("idents", ",").alias("signature"), "entities")
+    found = profile.statistics(world.store(spark, sf))["signatures"]
+    return found.select("label", F.array_join("idents", ",").alias("signature"), "entities")
 
 
-@query("ref_links", """
-SELECT 'order/customer' AS attribute, count(*) AS count FROM orders UNION ALL SELECT 'line/order', count(*) FROM """ + LINES + """
-UNION ALL SELECT 'line/part', count(*) FROM """ + LINES + """ UNION ALL SELECT 'line/supplier', count(*) FROM """ + LINES + """
-UNION ALL SELECT 'customer/nation', count(*) FROM customer UNION ALL SELECT 'supplier/nation', count(*) FROM supplier
-UNION ALL SELECT 'nation/region', count(*) FROM nation""")
+@query("ref_links", "WITH " + RANKED + """, l AS (
+SELECT 'order/customer' AS attribute, 'order' AS f, 'customer' AS t, count(*) AS count FROM orders UNION ALL SELECT 'line/order', 'line', 'order', count(*) FROM """ + LINES + """
+UNION ALL SELECT 'line/part', 'line', 'part', count(*) FROM """ + LINES + """ UNION ALL SELECT 'line/supplier', 'line', 'supplier', count(*) FROM """ + LINES + """
+UNION ALL SELECT 'customer/nation', 'customer', 'nation', count(*) FROM customer UNION ALL SELECT 'supplier/nation', 'supplier', 'nation', count(*) FROM supplier
+UNION ALL SELECT 'nation/region', 'nation', 'region', count(*) FROM nation)
+SELECT attribute, a.label AS source, b.label AS target, count FROM l JOIN r a ON split_part(a.signature, '/', 1) = f JOIN r b ON split_part(b.signature, '/', 1) = t""")
 def ref_links(spark: SparkSession, sf: str) -> DataFrame:
-    return profile.statistics(world.store(spark, sf))["refs"].groupBy("attribute").agg(F.sum("count").alias("count"))
+    return profile.statistics(world.store(spark, sf))["refs"]
+
+
+@query("wide_registry", """
+WITH f AS (SELECT o_orderkey AS e, 5000 + o_orderkey % 1500 AS a FROM orders UNION ALL SELECT o_orderkey, 5000 + o_custkey % 7 FROM orders
+  UNION ALL SELECT o_orderkey, 77777 FROM orders WHERE o_orderstatus = 'P'),
+s AS (SELECT e, string_agg(DISTINCT CAST(a AS VARCHAR), ',' ORDER BY CAST(a AS VARCHAR)) AS signature FROM f GROUP BY e)
+SELECT signature, count(*) AS entities FROM s GROUP BY signature""")
+def wide_registry(spark: SparkSession, sf: str) -> DataFrame:
+    """Signatures over 1,500 attributes and one that is not registered."""
+    orders, value = world.table(spark, sf, "orders"), F.lit("x")
+
+    def facts(rows: DataFrame, a) -> DataFrame:
+        return rows.select(F.col("o_orderkey").alias("e"), a.cast("long").alias("a"), *[(value if t == "string" else F.lit(None)).cast(SPARK_TYPE[t]).alias(c) for t, c in VALUE_COLUMN.items()],
+                           F.lit(1).cast("long").alias("tx"), F.lit(True).alias("op"))
+    log = union([facts(orders, 5000 + F.col("o_orderkey") % 1500), facts(orders, 5000 + F.col("o_custkey") % 7), facts(orders.where("o_orderstatus = 'P'"), F.lit(77777))])
+    attrs = registry(spark, [Attribute(5000 + i, f"wide/a{i}", "string", "many") for i in range(1500)])
+    counts = profile.statistics(FactLog.of(log, attrs, world.transactions(spark, sf)))["counts"]
+    return counts.select(F.array_join(F.array_sort(F.transform("sig", lambda a: a.cast("string"))), ",").alias("signature"), "entities")
 
 
 @query("attr_usage", """
@@ -49,7 +72,6 @@ def attr_usage(spark: SparkSession, sf: str) -> DataFrame:
     """Usage after two attributes were deprecated, one by way of the other, for a third."""
     from dataclasses import replace
 
-    from factloom.model import Attribute
     changed = {"line/supplier": 1018, "line/part": 2000}
     attributes = [replace(a, replaced_by=changed.get(a.ident)) for a in world.ATTRIBUTES]
     attributes = [a if a.ident != "line/supplier" else replace(a, replaced_by=world.BY_IDENT["line/part"].id) for a in attributes]
@@ -65,7 +87,7 @@ WITH s AS (""" + SIGS + """), x AS (SELECT unnest(string_split(signature, ','))
 SELECT x.a, y.a AS b, CAST(sum(x.entities) AS BIGINT) AS entities FROM x JOIN x y ON y.signature = x.signature AND y.a > x.a GROUP BY 1, 2""")
 def cooccur(spark: SparkSession, sf: str) -> DataFrame:
     store = world.store(spark, sf)
-    pairs = profile.cooccurrence(profile.signature_counts(profile.entity_signatures(rows_of(spark, sf))))
+    pairs = profile.cooccurrence(profile.statistics(store)["counts"])
     names = store.attrs.select("id", "ident")
     out = pairs.join(names.select(F.col("id").alias("a"), F.col("ident").alias("x")), "a").join(
         names.select(F.col("id").alias("b"), F.col("ident").alias("y")), "b")
@@ -91,7 +113,7 @@ def jaccard(spark: SparkSession, sf: str) -> DataFrame:
     ids = {i: a.id for i, a in world.BY_IDENT.items()}
     shapes = spark.createDataFrame([("who", [ids["customer/name"], ids["customer/nation"]]), ("sale", [ids["order/number"], ids["order/customer"], 7777]),
                                     ("item", [ids["line/part"], ids["line/order"]])], "name string, attributes array<bigint>")
-    counts = profile.signature_counts(profile.entity_signatures(rows_of(spark, sf)))
+    counts = profile.statistics(world.store(spark, sf))["counts"]
     return profile.closest_shape(counts, shapes).join(counts, "sid").select("name", F.round("score", 6).alias("score"), "missing", "extra", "entities")
 
 
@@ -266,7 +288,7 @@ t AS (SELECT ident, doc, list_distinct(""" + trigram_sql("'red ring'") + ") AS q
 r AS (SELECT ident, 'decimal' AS type, 'one' AS cardinality, doc, CAST(NULL AS BIGINT) AS replaced_by, greatest(""" + extent_sql("q", "i") + ", " + extent_sql("q", "d") + """) AS score FROM t),
 top AS (SELECT * FROM r ORDER BY score DESC, ident LIMIT 10) SELECT ident, type, cardinality, doc, replaced_by, round(score, 3) AS score FROM top WHERE score >= 0.2""")
 def attribute_search(spark: SparkSession, sf: str) -> DataFrame:
-    attrs = part_specs(spark, sf).select("ident", F.lit("decimal").alias("type"), F.lit("one").alias("cardinality"), "doc",
+    attrs = part_specs(spark, sf).select(F.xxhash64("ident").alias("id"), "ident", F.lit("decimal").alias("type"), F.lit("one").alias("cardinality"), "doc",
                                          F.lit(None).cast("long").alias("replaced_by"))
     return vocabulary.search(attrs, "red ring")
 

@@ -12,6 +12,7 @@ A batch directory is written whole by one job, so a failed job leaves nothing re
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime
 from typing import TYPE_CHECKING
 
@@ -38,32 +39,48 @@ def _committed(spark: SparkSession, folder: str) -> list[str]:
     return [s.getPath().toString() for s in fs.listStatus(path) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
 
 
-def _read(spark: SparkSession, folder: str, schema: T.StructType, after: int | None = None) -> DataFrame:
-    """Committed batches of a folder, or those numbered after one."""
-    done = [p for p in _committed(spark, folder) if after is None or int(p.rsplit("=", 1)[1]) > after]
+@dataclass(frozen=True)
+class Version:
+    """The committed batches of a store at one moment: every read of one version sees the same facts."""
+
+    fact: tuple[str, ...]
+    attr: tuple[str, ...]
+    tx: tuple[str, ...]
+    cur: tuple[str, ...]
+
+
+def version(spark: SparkSession, path: str) -> Version:
+    return Version(*(tuple(_committed(spark, f"{path}/{f}")) for f in ("fact", "attr", "tx", "cur")))
+
+
+def _number(folder: str) -> int:
+    return int(folder.rsplit("=", 1)[1])
+
+
+def _read(spark: SparkSession, folder: str, schema: T.StructType, done: tuple[str, ...]) -> DataFrame:
     if not done:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("basePath", folder).parquet(*done).select(*schema.fieldNames())
 
 
 def scan(spark: SparkSession, path: str, *, attributes: list[Attribute] | None = None,
-         as_of: int | None = None) -> DataFrame:
+         as_of: int | None = None, at: Version | None = None) -> DataFrame:
     """Facts, of the given attributes only (pruned to their partitions) and up to a transaction."""
-    facts = _read(spark, f"{path}/fact", FACT_SCHEMA)
+    facts = _read(spark, f"{path}/fact", FACT_SCHEMA, (at or version(spark, path)).fact)
     if attributes is not None:
         facts = facts.where(F.col("a").isin([x.id for x in attributes]))
     return facts if as_of is None else facts.where(F.col("tx") <= as_of)
 
 
-def attributes(spark: SparkSession, path: str) -> DataFrame:
+def attributes(spark: SparkSession, path: str, at: Version | None = None) -> DataFrame:
     """The registry: the newest row of each attribute."""
-    rows = _read(spark, f"{path}/attr", T.StructType([*ATTR_SCHEMA.fields, _BATCH]))
+    rows = _read(spark, f"{path}/attr", T.StructType([*ATTR_SCHEMA.fields, _BATCH]), (at or version(spark, path)).attr)
     names = ATTR_SCHEMA.fieldNames()
     return rows.groupBy("id").agg(F.max_by(F.struct(*names[1:]), "batch").alias("r")).select("id", "r.*")
 
 
-def transactions(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, f"{path}/tx", TX_SCHEMA)
+def transactions(spark: SparkSession, path: str, at: Version | None = None) -> DataFrame:
+    return _read(spark, f"{path}/tx", TX_SCHEMA, (at or version(spark, path)).tx)
 
 
 def append_facts(facts: DataFrame, path: str, batch: int, files: int | None = None) -> None:
@@ -96,24 +113,23 @@ def write_state(state: DataFrame, path: str, tx: int) -> None:
      .write.mode("overwrite").partitionBy("a").parquet(f"{path}/cur/batch={tx}"))
 
 
-def snapshot(spark: SparkSession, path: str):
+def snapshot(spark: SparkSession, path: str, at: Version | None = None):
     """A reader of the newest snapshot and the batches after it; None where there is none.
 
     A value of the snapshot is an assert at its transaction, so one fold over the union is exact
     and costs the current state and the news, not the history.
     """
-    done = sorted(_committed(spark, f"{path}/cur"), key=lambda p: int(p.rsplit("=", 1)[1]))
-    if not done:
+    at = at or version(spark, path)
+    if not at.cur:
         return None
-    newest = done[-1]
-    at = int(newest.rsplit("=", 1)[1])
+    newest = max(at.cur, key=_number)
     schema = T.StructType([f for f in FACT_SCHEMA.fields if f.name != "op"])
-    news = [p for p in _committed(spark, f"{path}/fact") if int(p.rsplit("=", 1)[1]) > at]
+    news = tuple(p for p in at.fact if _number(p) > _number(newest))
 
     def read(wanted: list[Attribute] | None) -> tuple[DataFrame, bool]:
         rows = spark.read.schema(schema).option("basePath", newest).parquet(newest).select(*schema.fieldNames()).withColumn("op", F.lit(True))
         if news:
-            rows = rows.unionByName(_read(spark, f"{path}/fact", FACT_SCHEMA, after=at))
+            rows = rows.unionByName(_read(spark, f"{path}/fact", FACT_SCHEMA, news))
         if wanted is not None:
             rows = rows.where(F.col("a").isin([x.id for x in wanted]))
         return rows, not news
@@ -140,12 +156,13 @@ def commit(spark: SparkSession, path: str, write: Written, actor: int, at: datet
     commit runs at a time, as one job or one stream; the batch folder is named by the transaction,
     so a repeated commit overwrites itself.
     """
-    from factloom.operators.ingest import next_instant, stamp
+    from factloom.operators.ingest import OWN_TX, next_instant, stamp
 
     problems = write.errors.limit(20).collect()
     if problems:
         raise ValueError("; ".join(f"{p.code}: {p.message}" for p in problems))
-    if not write.changes.take(1):
+    # facts about the transaction alone write nothing
+    if not write.changes.where(F.col("e") != OWN_TX).take(1):
         return None
     last = transactions(spark, path).agg(F.max("id").alias("id"), F.max("at").alias("at")).first()
     tx = max(last.id or 0, scan(spark, path).agg(F.max("e")).first()[0] or 0, write.changes.agg(F.max("e")).first()[0] or 0) + 1
@@ -176,4 +193,4 @@ def excise(spark: SparkSession, path: str, target: str, erased: DataFrame, tx: i
 
 
 __all__ = ["append_attributes", "append_facts", "append_transactions", "attributes", "commit", "compact", "excise",
-           "read_state", "scan", "snapshot", "transactions", "write_state"]
+           "read_state", "scan", "snapshot", "transactions", "version", "write_state"]

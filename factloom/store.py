@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -15,7 +16,11 @@ from factloom.operators import fold
 Reader = Callable[[list[Attribute] | None], DataFrame]
 #: Current values of some attributes as asserts, with the facts written since, and whether there are none of those.
 Snapshot = Callable[[list[Attribute] | None], tuple[DataFrame, bool]]
-_QUOTED = re.compile(r'"([a-z][a-z0-9_]*/[a-z][a-z0-9_]*)"')
+#: A string literal or a comment, which stay as they are, or a relation in double quotes.
+_QUOTED = re.compile(r"""'(?:[^'\\]|\\.|'')*'|--[^\n]*|/\*.*?\*/|(\bhistory\s*\.\s*)?"([a-z][a-z0-9_]*/[a-z][a-z0-9_]*)\"""", re.I | re.S)
+
+_KEYWORDS = "where|group|order|join|left|right|inner|full|cross|natural|semi|anti|on|using|having|limit|offset|union|intersect|except|minus|lateral|window|tablesample|pivot|unpivot|cluster|distribute|sort"
+_FACTS = re.compile(rf"""'(?:[^'\\]|\\.|'')*'|--[^\n]*|/\*.*?\*/|`[^`]*`|(\b(?:from|join)\s+)facts\b(?!\s*[.(])(?=(\s+(?:as\s+)?(?!(?:{_KEYWORDS})\b)[a-z_])?)""", re.I | re.S)
 
 
 class AsOfError(ValueError):
@@ -47,6 +52,7 @@ class FactLog:
         self.attrs = attrs
         self._tx = tx
         self._known = {a.ident: a for a in known or []}
+        self._again: Callable[[], FactLog] | None = None
 
     @property
     def tx(self) -> DataFrame:
@@ -57,12 +63,23 @@ class FactLog:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> FactLog:
-        """The store written under `path` by `factloom.sources.log`."""
+        """The store written under `path` by `factloom.sources.log`, as it is now.
+
+        Every method reads the batches committed by now, so their answers agree; `refresh` gives
+        the store with what was committed since.
+        """
         from factloom.sources import log
 
-        return cls(lambda attributes: log.scan(spark, path, attributes=attributes),
-                   log.attributes(spark, path), log.transactions(spark, path),
-                   snapshot=log.snapshot(spark, path))
+        at = log.version(spark, path)
+        store = cls(lambda attributes: log.scan(spark, path, attributes=attributes, at=at),
+                    log.attributes(spark, path, at), log.transactions(spark, path, at),
+                    snapshot=log.snapshot(spark, path, at))
+        store._again = lambda: cls.open(spark, path)
+        return store
+
+    def refresh(self) -> FactLog:
+        """The store with all that is committed now; itself where it is not on disk."""
+        return self._again() if self._again else self
 
     @classmethod
     def of(cls, facts: DataFrame, attrs: DataFrame, tx: DataFrame) -> FactLog:
@@ -89,13 +106,15 @@ class FactLog:
 
     def attr(self, ident: str, as_of=None) -> DataFrame:
         """(e, v, tx) of an attribute."""
-        a = self.attribute(ident)
-        if as_of is None and self._snapshot is not None:
+        return self._relation(self.attribute(ident), self.resolve(as_of))
+
+    def _relation(self, a: Attribute, tx: int | None) -> DataFrame:
+        if tx is None and self._snapshot is not None:
             rows, final = self._snapshot([a])
             if final:
                 return rows.where(F.col("a") == a.id).select("e", F.col(a.column).alias("v"), "tx")
             return fold.relation(rows, a)
-        return fold.relation(self.reader([a]), a, self.resolve(as_of))
+        return fold.relation(self.reader([a]), a, tx)
 
     def history(self, ident: str, as_of=None) -> DataFrame:
         a = self.attribute(ident)
@@ -163,28 +182,28 @@ class FactLog:
         at = self.resolve(as_of)
         if not re.match(r"^\s*(select|with)\b", text, re.IGNORECASE):
             raise ValueError("a query is one SELECT")
-        used: set[str] = set()
-
-        def view(name: str, df: DataFrame) -> str:
-            if name not in used:
-                df.createOrReplaceTempView(f"`{name}`")
-                used.add(name)
-            return name
-
-        def past(m):
-            return "`" + view(f"history:{m[1]}", fold.history(
-                self.reader([self.attribute(m[1])]), self.attribute(m[1]), at)) + "`"
-
-        def now(m):
-            return "`" + view(m[1], fold.relation(
-                self.reader([self.attribute(m[1])]), self.attribute(m[1]), at)) + "`"
-
-        text = re.sub(r'\bhistory\.' + _QUOTED.pattern, past, text)
-        text = _QUOTED.sub(now, text)
-        if re.search(r"\b(from|join)\s+facts\b", text, re.IGNORECASE):
-            view("facts", fold.facts_text(fold.state(self.reader(None), at), self.attrs))
-        out = spark.sql(text)
-        for name in used:
+        views: dict[tuple[str, bool], str] = {}
+        mark = uuid.uuid4().hex[:8]
+
+        def view(m) -> str:
+            if m[2] is None:
+                return m[0]
+            a, past = self.attribute(m[2]), m[1] is not None
+            if (m[2], past) not in views:
+                # names of its own, so that two queries of one session don't meet
+                views[m[2], past] = f"{m[2]}:{'history' if past else 'now'}:{mark}"
+                (fold.history(self.reader([a]), a, at) if past else self._relation(a, at)).createOrReplaceTempView(f"`{views[m[2], past]}`")
+            return f"`{views[m[2], past]}`"
+
+        def whole(m) -> str:
+            if m[1] is None:
+                return m[0]
+            name = views.setdefault(("facts", False), f"facts:{mark}")
+            fold.facts_text(self.state(at), self.attrs).createOrReplaceTempView(f"`{name}`")
+            return f"{m[1]}`{name}`" + ("" if m[2] else " facts")
+
+        out = spark.sql(_FACTS.sub(whole, _QUOTED.sub(view, text)))
+        for name in views.values():
             spark.catalog.dropTempView(name)
         return out
 
