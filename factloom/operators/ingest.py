@@ -278,22 +278,30 @@ def without(facts: DataFrame, erased: DataFrame) -> DataFrame:
     return facts.join(whole, "e", "left_anti").join(some, ["e", "a"], "left_anti").select(*COLUMNS)
 
 
-def excision_facts(erased: DataFrame, tx: int, stamp_row: DataFrame) -> DataFrame:
-    """Facts that record an excision: the entities, the attributes where not all, who and when.
+def excisions(erased: DataFrame, tx: int) -> DataFrame:
+    """(e, a, tx) of `erased` (e, a): each entity with its own transaction, dense from `tx` in entity order.
 
-    One transaction per erased entity, numbered from `tx`.
+    An entity that is also erased whole has only that one row.
     """
+    numbers = numbered(erased.select("e").distinct(), ["e"], "tx", tx)
+    whole = erased.where("a is null").select("e").distinct()
+    rows = erased.where("a is not null").select("e", "a").distinct().join(whole, "e", "left_anti").unionByName(
+        whole.select("e", F.lit(None).cast("long").alias("a")))
+    return rows.join(numbers, "e").select("e", "a", "tx")
+
+
+def excision_facts(wanted: DataFrame, stamps: DataFrame) -> DataFrame:
+    """Facts that record `wanted` (e, a, tx): the entity, the attributes where not all, and `stamps` (id, actor, at)."""
     null = {c: F.lit(None).cast(SPARK_TYPE[t]) for t, c in VALUE_COLUMN.items()}
 
-    def rows(df: DataFrame, attribute: str, column: str, value: Column) -> DataFrame:
-        return df.select(F.lit(tx).cast("long").alias("e"), F.lit(KERNEL[attribute]).cast("long").alias("a"),
+    def rows(df: DataFrame, attribute: str, column: str, value: Column, tx: str = "tx") -> DataFrame:
+        return df.select(F.col(tx).alias("e"), F.lit(KERNEL[attribute]).cast("long").alias("a"),
                          *[(value if c == column else null[c]).alias(c) for c in VALUES],
-                         F.lit(tx).cast("long").alias("tx"), F.lit(True).alias("op"))
-    return (rows(erased.select("e").distinct(), "fs/excised_entity", "v_ref", F.col("e"))
-            .unionByName(rows(erased.where("a is not null").select("a").distinct(), "fs/excised_attribute", "v_ref",
-                              F.col("a")))
-            .unionByName(rows(stamp_row, "fs/actor", "v_ref", F.col("actor")))
-            .unionByName(rows(stamp_row, "fs/at", "v_instant", F.col("at"))))
+                         F.col(tx).alias("tx"), F.lit(True).alias("op"))
+    return (rows(wanted.select("e", "tx").distinct(), "fs/excised_entity", "v_ref", F.col("e"))
+            .unionByName(rows(wanted.where("a is not null"), "fs/excised_attribute", "v_ref", F.col("a")))
+            .unionByName(rows(stamps, "fs/actor", "v_ref", F.col("actor"), "id"))
+            .unionByName(rows(stamps, "fs/at", "v_instant", F.col("at"), "id")))
 
 
 def evolution_errors(requests: DataFrame, attrs: DataFrame, state: DataFrame) -> DataFrame:

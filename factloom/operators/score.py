@@ -62,24 +62,31 @@ def cluster_pairs(predicted: DataFrame, truth: DataFrame, visible: DataFrame | N
                       ratio(F.col("found"), F.col("visible")).alias("recall"))
 
 
+def _gives_day(given: Column, day: Column) -> Column:
+    """Written in any form, or as month/day alone."""
+    yearless = F.regexp_replace(F.trim(given), r"(^|/)0", "$1") == F.date_format(day, "M/d")
+    return F.array_contains(fields.days(given), day) | yearless
+
+
+def _gives_number(given: Column, number: Column) -> Column:
+    """Among the numbers of the text, or as its last part once spaces and dashes are dropped."""
+    parts = F.split(given, "/")
+    return F.array_contains(fields.numbers(given), number.try_cast("decimal(38,10)")) | (F.translate(F.element_at(parts, -1), " \t\n-", "") == number)
+
+
+def _gives_name(given: Column, name: Column) -> Column:
+    """Its letters, digits and points in one piece, case and other signs aside."""
+    given, name = (F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9.]+", " ")) for c in (given, name))
+    return given.contains(name)
+
+
 def answer_matches(given: Column, expected: Column) -> Column:
-    """Whether an answer text gives the expected text: a number written any way, a day in any common
-    form, or a name contained in it, case and punctuation aside."""
-    numeric = expected.rlike(r"^-?\d+(\.\d+)?$")
-    day = expected.rlike(r"^\d{4}-\d{2}-\d{2}$")
-    numbers = F.transform(F.regexp_extract_all(F.replace(given, F.lit(","), F.lit("")), F.lit(r"(-?\d+(?:\.\d+)?)"), F.lit(1)),
-                          lambda n: n.try_cast("decimal(38,10)"))
-    tail = F.regexp_replace(F.regexp_extract(given, r"([^/]*)$", 1), r"[\s-]", "")
-    as_number = F.array_contains(numbers, expected.try_cast("decimal(38,10)")) | (tail == expected)
-    short = F.regexp_extract(given, r"^\s*(\d{1,2})/(\d{1,2})\s*$", 1).try_cast("int")
-    short_day = F.regexp_extract(given, r"^\s*(\d{1,2})/(\d{1,2})\s*$", 2).try_cast("int")
-    want = expected.try_cast("date")
-    as_day = F.array_contains(fields.days_in(given), want) | F.coalesce(
-        (short == F.month(want)) & (short_day == F.dayofmonth(want)), F.lit(False))
-
-    def words(c: Column) -> Column:
-        return F.array_join(F.regexp_extract_all(F.lower(c), F.lit(r"([a-z0-9.]+)"), F.lit(1)), " ")
-    return F.coalesce(F.when(day, as_day).when(numeric, as_number).otherwise(words(given).contains(words(expected))), F.lit(False))
+    """Whether an answer gives what is expected, judged by the kind of thing that is: a day, a number, or a name."""
+    kinds = [(r"\d{4}-\d\d-\d\d", _gives_day(given, expected.try_cast("date"))), (r"-?\d+(\.\d+)?", _gives_number(given, expected))]
+    verdict = _gives_name(given, expected)
+    for shape, judged in reversed(kinds):
+        verdict = F.when(expected.rlike(f"^{shape}$"), judged).otherwise(verdict)
+    return F.coalesce(verdict, F.lit(False))
 
 
 def ever_had(hist: DataFrame, reference: DataFrame) -> DataFrame:
@@ -120,7 +127,12 @@ def closed_sample(seeds: DataFrame, tables: dict[str, tuple[DataFrame, str, str
     return out
 
 
-def audit_sample(facts: DataFrame, size: int, seed: int = 0) -> DataFrame:
-    """A repeatable sample of facts to check by hand: the `size` smallest by a seeded hash."""
-    order = F.xxhash64(F.lit(seed), *[F.col(c) for c in facts.columns])
-    return facts.orderBy(order, *facts.columns).limit(size)
+def audit_sample(facts: DataFrame, name: Column, size: int, seed: int = 0, evidence: DataFrame | None = None) -> DataFrame:
+    """A repeatable sample of facts to check by hand: the `size` smallest by a seeded hash of their `name`.
+
+    With `evidence` (tx, evidence), each fact shows what its transaction rests on; only the sample
+    is joined.
+    """
+    order = F.sha2(F.concat_ws(":", F.lit(str(seed)), name), 256)
+    sample = facts.withColumn("_order", order).orderBy("_order").limit(size).drop("_order")
+    return sample if evidence is None else sample.join(evidence, "tx", "left")

@@ -146,7 +146,7 @@ def candidate_labels(spark: SparkSession, sf: str) -> DataFrame:
     kind, name = F.col("p_type"), F.replace("p_name", F.lit(" "), F.lit(""))
     label = F.when(kind == "PROMO", F.concat(F.lit("POL/"), name, F.lit("/Governor/WV/Dem"))).when(
         kind == "STANDARD", F.concat(name, F.lit(", bill - TN Senate"))).when(kind == "ECONOMY", F.concat(name, F.lit(" for Governor-R"))).otherwise(name)
-    return world.table(spark, sf, "part").select(F.col("p_partkey").alias("k"), fields.names_candidate(label).alias("candidate"))
+    return world.table(spark, sf, "part").select(F.col("p_partkey").alias("k"), fields.candidate_label(label).alias("candidate"))
 
 
 @query("issue_order", """

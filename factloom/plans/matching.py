@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import codes, fields
-from factloom.operators import relate, resolve, score
+from factloom.operators import fold, relate, resolve, score
 from factloom.operators.graph import chain_roots
 from factloom.plans import world
 from factloom.plans.business import money
@@ -225,8 +225,8 @@ def field_readers(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_orderkey").alias("k"), F.concat(F.lit("Issued "), F.date_format("o_orderdate", "M/d/yyyy"), F.lit(" by us")).alias("day"),
         F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("($"), total, F.lit(")"))).otherwise(F.concat(F.lit(" $ "), total)).alias("amount"),
         F.concat(F.lit("O-"), "o_orderkey", F.lit(" X")).alias("id"), F.concat(F.lit("POL/Order, "), "o_orderkey", F.lit(" (123)")).alias("name"))
-    return printed.select("k", fields.as_date(F.col("day")).cast("string").alias("day"), money(fields.as_amount(F.col("amount"))).alias("amount"),
-                          fields.as_id(F.col("id")).alias("id"), fields.as_name(F.col("name")).alias("name"))
+    return printed.select("k", fields.first_day(F.col("day")).cast("string").alias("day"), money(fields.amount(F.col("amount"))).alias("amount"),
+                          fields.plain_id(F.col("id")).alias("id"), fields.plain_name(F.col("name")).alias("name"))
 
 
 @query("precision_recall", "WITH " + CODES + ", s AS (SELECT p_partkey, p_type AS system, code, " + SPELT + """ AS spelt FROM codes),
@@ -299,7 +299,13 @@ def across_stores(spark: SparkSession, sf: str) -> DataFrame:
     return relate.across(one, two)
 
 
-@query("audit_sample")
+@query("audit_sample", """
+WITH f AS (SELECT 20000000000 + o_orderkey AS e, 'order/status' AS a, o_orderstatus AS v, CAST(o_orderdate AS DATE) AS d FROM orders
+  UNION ALL SELECT 20000000000 + o_orderkey, 'order/number', 'O-' || o_orderkey, CAST(o_orderdate AS DATE) FROM orders)
+SELECT e, a, v, strftime(d, '%Y-%m-%d') AS evidence FROM f ORDER BY sha256('7:' || e || ' ' || a || ' ' || v) LIMIT 50""")
 def audit_sample(spark: SparkSession, sf: str) -> DataFrame:
-    rows = world.store(spark, sf).log(["order/status", "order/total"])
-    return score.audit_sample(rows, 50, seed=7)
+    """Fifty facts about orders, each with the day its transaction stands for."""
+    store = world.store(spark, sf)
+    rows = fold.facts_text(store.log(["order/status", "order/number"]), store.attrs)
+    evidence = store.tx.select(F.col("id").alias("tx"), F.date_format("at", "yyyy-MM-dd").alias("evidence"))
+    return score.audit_sample(rows, F.concat_ws(" ", "e", "a", "v"), 50, 7, evidence).select("e", "a", "v", "evidence")

@@ -168,3 +168,26 @@ def malformed_facts(spark: SparkSession, sf: str) -> DataFrame:
     return fold.malformed(facts).select("e", F.col("values"))
 
 
+
+
+@query("excised_store", """
+WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_custkey % 3 AS c FROM orders)
+SELECT 'status' AS what, count(*) AS n FROM o WHERE c = 2 UNION ALL SELECT 'total', count(*) FROM o WHERE c > 0
+UNION ALL SELECT 'past status', count(*) FROM o WHERE c = 2 UNION ALL SELECT 'state total', count(*) FROM o WHERE c > 0
+UNION ALL SELECT 'entities named', count(*) FROM o WHERE c < 2 UNION ALL SELECT 'attributes named', count(*) FROM o WHERE c = 1
+UNION ALL SELECT 'transactions', count(*) FROM o WHERE c < 2""")
+def excised_store(spark: SparkSession, sf: str) -> DataFrame:
+    """A store after a third of the orders was erased whole, and of another third the status only, in one call."""
+    stored = Stored(spark, sf)
+    third = F.col("o_custkey") % 3
+    erased = world.table(spark, sf, "orders").where(third < 2).select(
+        world.entity("order", "o_orderkey").alias("e"), F.when(third == 1, world.BY_IDENT["order/status"].id).cast("long").alias("a"))
+    first = 95_000_000_000
+    log.excise(spark, stored.path, erased, first, datetime(2002, 1, 2), 100)
+    store = FactLog.open(spark, stored.path)
+    last = stored.before.tx.agg(F.max("id")).first()[0]
+    counts = {
+        "status": store.attr("order/status"), "total": store.attr("order/total"), "past status": store.attr("order/status", as_of=last),
+        "state total": store.state().where(F.col("a") == world.BY_IDENT["order/total"].id), "entities named": store.attr("fs/excised_entity").select("v").distinct(),
+        "attributes named": store.attr("fs/excised_attribute").where(F.col("v") == world.BY_IDENT["order/status"].id), "transactions": store.tx.where(F.col("id") >= first)}
+    return union([df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n") for what, df in counts.items()])

@@ -173,24 +173,62 @@ def commit(spark: SparkSession, path: str, write: Written, actor: int, at: datet
     return tx
 
 
-def excise(spark: SparkSession, path: str, target: str, erased: DataFrame, tx: int, at, actor: int) -> None:
-    """The store without the facts of `erased` (e, and a or NULL for all attributes), written to `target`.
-
-    The excision is itself a transaction naming entities and attributes, never values.
+def excise(spark: SparkSession, path: str, erased: DataFrame, tx: int, at: datetime, actor: int) -> int:
+    """Erase the facts of `erased` (e, and a or NULL for all attributes) in place; the number of excisions.
+
+    Batches that hold such facts are written anew beside the log, without them, and then take their
+    places; snapshots are replaced by one of what is left. Each entity's excision is a transaction
+    of its own, numbered from `tx`, that names the entity and the attributes, never values.
+    Transactions, attributes and entities without facts are refused. A call that broke off has
+    erased a part; calling again erases the rest.
     """
-    from factloom.operators.ingest import excision_facts, without
+    from factloom.operators.ingest import excision_facts, excisions, missing_entities, without
 
-    facts = scan(spark, path)
-    protected = transactions(spark, path).select(F.col("id").alias("e")).unionByName(
-        attributes(spark, path).select(F.col("id").alias("e")))
+    settle(spark, path)
+    before = version(spark, path)
+    facts = scan(spark, path, at=before)
+    protected = transactions(spark, path, before).select(F.col("id").alias("e")).unionByName(
+        attributes(spark, path, before).select(F.col("id").alias("e")))
     if erased.join(protected, "e", "left_semi").take(1):
         raise ValueError("transactions and attributes cannot be excised")
-    stamp = spark.createDataFrame([(tx, actor, at)], TX_SCHEMA)
-    kept = without(facts, erased).unionByName(excision_facts(erased, tx, stamp))
-    append_facts(kept, target, 0)
-    append_attributes(attributes(spark, path), target, 0)
-    append_transactions(transactions(spark, path).unionByName(stamp), target, 0)
+    if missing_entities(erased, facts).take(1):
+        raise ValueError("there is nothing to excise of an entity without facts")
+    wanted = excisions(erased, tx)
+    stamps = wanted.select(F.col("tx").alias("id"), F.lit(actor).cast("long").alias("actor"),
+                           F.timestamp_micros(F.unix_micros(F.lit(at)) + F.col("tx") - tx).alias("at")).distinct()
+    with_batch = _read(spark, f"{path}/fact", T.StructType([*FACT_SCHEMA.fields, _BATCH]), before.fact)
+    whole = erased.where("a is null").select("e").distinct()
+    some = erased.where("a is not null").select("e", "a").distinct()
+    hit = with_batch.join(whole, "e", "left_semi").select("batch").unionByName(with_batch.join(some, ["e", "a"], "left_semi").select("batch")).distinct()
+    # one row for each batch of the log at most
+    for row in hit.collect():
+        mine = tuple(p for p in before.fact if _number(p) == row.batch)
+        append_facts(without(_read(spark, f"{path}/fact", FACT_SCHEMA, mine), erased), f"{path}/.excised", row.batch)
+    append_facts(excision_facts(wanted, stamps), path, tx)
+    append_transactions(stamps, path, tx)
+    settle(spark, path)
+    if before.cur:
+        for folder in before.cur:
+            _drop(spark, folder)
+        left = version(spark, path)
+        write_state(fold.state(scan(spark, path, at=left)), path, max(map(_number, left.fact)))
+    return stamps.count()
+
+
+def settle(spark: SparkSession, path: str) -> None:
+    """Batches written anew by an excision take the places of those they replace."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for new in _committed(spark, f"{path}/.excised/fact"):
+        old = hadoop(f"{path}/fact/{new.rsplit('/', 1)[1]}")
+        fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.delete(old, True)
+        fs.rename(hadoop(new), old)
+
+
+def _drop(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 __all__ = ["append_attributes", "append_facts", "append_transactions", "attributes", "commit", "compact", "excise",
-           "read_state", "scan", "snapshot", "transactions", "version", "write_state"]
+           "read_state", "scan", "settle", "snapshot", "transactions", "version", "write_state"]

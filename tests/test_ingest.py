@@ -115,7 +115,7 @@ def test_evolution_rules(spark):
 
 
 def test_log_on_disk_round_trip_snapshot_and_excision(spark, tmp_path):
-    path, target = str(tmp_path / "store"), str(tmp_path / "clean")
+    path = str(tmp_path / "store")
     first = naive.facts(spark, [(1010, 1002, "open", 2000, True), (1010, 1003, "x", 2000, True), (1011, 1002, "open", 2000, True)])
     disk.append_facts(first, path, 2000)
     disk.append_attributes(registry(spark, ALL), path, 0)
@@ -136,15 +136,18 @@ def test_log_on_disk_round_trip_snapshot_and_excision(spark, tmp_path):
     assert not store.has_snapshot()
     plan_text = store.attr("order/status", as_of=2001)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*\(a#\d+L? = 1002\)", plan_text)
-    disk.excise(spark, path, target, spark.createDataFrame([(1010, None)], "e long, a long"), 2003, datetime(2024, 1, 3), 100)
-    clean = FactLog.open(spark, target)
-    assert {r.e for r in clean.log().collect()} == {1011, 2003}
-    assert clean.attr("order/status", as_of=2000).count() == 1
-    assert [r.v for r in clean.attr("fs/excised_entity").collect()] == [1010]
-    with pytest.raises(ValueError):
-        disk.excise(spark, path, str(tmp_path / "x"), spark.createDataFrame([(2000, None)], "e long, a long"), 2004, datetime(2024, 1, 4), 100)
     disk.compact(spark, path, str(tmp_path / "small"))
     assert FactLog.open(spark, str(tmp_path / "small")).log().count() == 5
+    gone = spark.createDataFrame([(1010, 1002), (1011, None), (1011, 1002)], "e long, a long")
+    assert disk.excise(spark, path, gone, 2003, datetime(2024, 1, 3), 100) == 2
+    clean = FactLog.open(spark, path)
+    assert {(r.e, r.a) for r in clean.log().where("e < 2000").collect()} == {(1010, 1003)}
+    assert [(r.e, r.v) for r in clean.attr("fs/excised_entity").orderBy("e").collect()] == [(2003, 1010), (2004, 1011)]
+    assert [(r.e, r.v) for r in clean.attr("fs/excised_attribute").collect()] == [(2003, 1002)]
+    assert clean.attr("order/status", as_of=2000).count() == 0 and clean.has_snapshot()
+    for bad in (2000, 1002, 4711):
+        with pytest.raises(ValueError):
+            disk.excise(spark, path, spark.createDataFrame([(bad, None)], "e long, a long"), 2009, datetime(2024, 1, 4), 100)
 
 
 def test_stamps_and_next_instant(spark):

@@ -135,10 +135,10 @@ def test_codes(spark):
 
 
 def test_fields(spark):
-    got = one(spark, a=fields.as_amount(F.lit(" ($1,234.50)")), b=fields.as_amount(F.lit("12x")), c=fields.as_date(F.lit("on 06/16/20 at")), d=fields.as_date(F.lit("2020-02-31")),
-              e=fields.as_name(F.lit("POL/America First (12)")), f=fields.as_id(F.lit("A-1")), g=fields.names_match(F.lit("wsb"), F.lit("wsb tv")),
-              h=fields.names_match(F.lit("ann"), F.lit("joanne")), i=fields.names_candidate(F.lit("POL/Ben S/Governor/WV/Dem")), j=fields.names_candidate(F.lit("Greg G for Governor-R")),
-              k=fields.names_candidate(F.lit("Hagerty, Bill - TN Senate")))
+    got = one(spark, a=fields.amount(F.lit(" ($1,234.50)")), b=fields.amount(F.lit("12x")), c=fields.first_day(F.lit("on 06/16/20 at")), d=fields.first_day(F.lit("2020-02-31")),
+              e=fields.plain_name(F.lit("POL/America First (12)")), f=fields.plain_id(F.lit("A-1")), g=fields.same_name(F.lit("wsb"), F.lit("wsb tv")),
+              h=fields.same_name(F.lit("ann"), F.lit("joanne")), i=fields.candidate_label(F.lit("POL/Ben S/Governor/WV/Dem")), j=fields.candidate_label(F.lit("Greg G for Governor-R")),
+              k=fields.candidate_label(F.lit("Hagerty, Bill - TN Senate")))
     assert (str(got[0]), got[1], str(got[2]), got[3], got[4], got[5], got[6:]) == ("-1234.50", None, "2020-06-16", None, "america first", None, (True, False, True, False, True))
     hits = lit_all([("About 2,220 MMcf/d", "2220"), ("kern/2001-042", "2001042"), ("May 4, 2001", "2001-05-04"), ("5/4", "2001-05-04"), ("NUI Utilities, Inc.", "NUI Utilities"), ("none", "7")],
                    score.answer_matches(F.col("g"), F.col("e")), spark, "g string, e string")
