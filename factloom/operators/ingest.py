@@ -168,16 +168,15 @@ def diff(proposed: DataFrame, state: DataFrame, attrs: DataFrame) -> DataFrame:
     """Changes (fact columns without tx, plus `implied`) a batch makes to current state.
 
     Asserts of held values and retracts of absent ones drop out. A new value of a `one` attribute
-    retracts the held one, marked implied. Batch and state meet on (e, a, value) once; the implied
-    retractions join the few effective asserts back to state on (e, a).
+    retracts the held one, marked implied. Batch and state, of the attributes the batch names, meet
+    on (e, a, value) in one shuffle; the implied retractions join the few effective asserts back to
+    what met on (e, a).
     """
-    asked = proposed.groupBy("e", "a", *VALUES).agg(F.bool_or("op").alias("op"))
-    touched = state.join(asked.select("e", "a").distinct(), ["e", "a"], "left_semi")
-    held = touched.select("e", "a", *VALUES, F.lit(True).alias("_held"))
-    tagged = asked.withColumn("_asked", F.col("op")).select("e", "a", *VALUES, "_asked").unionByName(
-        held.withColumn("_asked", F.lit(None).cast("boolean")).select("e", "a", *VALUES, "_asked", "_held"),
-        allowMissingColumns=True)
-    met = tagged.groupBy("e", "a", *VALUES).agg(F.max("_asked").alias("_asked"), F.max("_held").alias("_held"))
+    # the attributes a batch names are no more than the registry has
+    named = [r.a for r in proposed.select("a").distinct().collect()]
+    asked = proposed.select("e", "a", *VALUES, F.col("op").alias("_asked"), F.lit(None).cast("boolean").alias("_held"))
+    held = state.where(F.col("a").isin(named)).select("e", "a", *VALUES, F.lit(None).cast("boolean").alias("_asked"), F.lit(True).alias("_held"))
+    met = cut(asked.unionByName(held).groupBy("e", "a", *VALUES).agg(F.max("_asked").alias("_asked"), F.max("_held").alias("_held")))
     held_now = F.coalesce(F.col("_held"), F.lit(False))
     direct = met.where(F.col("_asked").isNotNull() & (F.col("_asked") != held_now)).select(
         "e", "a", *VALUES, F.col("_asked").alias("op"))
@@ -215,8 +214,12 @@ def identity_conflicts(changes: DataFrame, index: DataFrame, attrs: DataFrame) -
 
 
 def missing_entities(named: DataFrame, facts: DataFrame) -> DataFrame:
-    """Entity ids (e) a batch names that no fact is about."""
-    return named.select("e").distinct().join(facts.select("e").distinct(), "e", "left_anti")
+    """Entity ids (e) a batch names that no fact is about.
+
+    The names are written first: their size is known, and the log is only probed for them.
+    """
+    asked = written(named.select("e").distinct())
+    return asked.join(facts.select("e").join(asked, "e", "left_semi").distinct(), "e", "left_anti")
 
 
 def dangling_temporaries(as_value: DataFrame, as_entity: DataFrame) -> DataFrame:

@@ -17,6 +17,10 @@ def test_csv_trims_strips_and_blanks(spark, tmp_path):
     assert sorted(map(tuple, df.collect())) == [("", "two\nlines"), ("x1", "")]
     (tmp_path / "b.csv").write_text("Code,Name\nx1,q\nx2,\n")
     assert sorted(r.v for r in tabular.column_values(spark, str(tmp_path / "*.csv"), "Code").collect()) == ["x1", "x2"]
+    (tmp_path / "c d.csv").write_text("Name,Extra,Code\nbar,e,x3\n")
+    assert sorted(r.v for r in tabular.column_values(spark, str(tmp_path / "*.csv"), "Code").collect()) == ["x1", "x2", "x3"]
+    mixed = tabular.read_csv(spark, str(tmp_path / "*.csv")).where("Code <> ''")
+    assert sorted((r.Code, r.Name, r.Extra) for r in mixed.collect()) == [("x1", "", ""), ("x1", "q", ""), ("x2", "", ""), ("x3", "bar", "e")]
 
 
 def test_marketplace_and_warehouse_files(spark, tmp_path):
