@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from factloom.llm.batches import WordHashes, pieces, shingles, signed, texts
 from factloom.session import written
@@ -104,7 +104,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _runs(rows: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(doc_id, th, key, run, start, n): the minimizer runs of each text; `run` is the 128-bit hash of its words."""
+    """(doc_id, th, key, run, start, n): the minimizer runs of each text; `run` hashes its words, beside `key` with 64 bits more."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in pieces(batches):
@@ -117,12 +117,12 @@ def _runs(rows: DataFrame, window: int, anchor: int) -> DataFrame:
                 starts.append(start)
                 sizes.append(n)
                 raw = hashes.tobytes()
-                runs += [xxh3_128_digest(raw[8 * a:8 * (a + c + window - 1)]) for a, c in zip(start.tolist(), n.tolist(), strict=True)]
+                runs += [xxh3_64_intdigest(raw[8 * a:8 * (a + c + window - 1)]) for a, c in zip(start.tolist(), n.tolist(), strict=True)]
             at = np.concatenate(where)
             yield pa.record_batch({
                 "doc_id": batch.column("doc_id").take(pa.array(at)), "th": batch.column("th").take(pa.array(at)), "key": pa.array(signed(np.concatenate(keys))),
-                "run": pa.array(runs, pa.binary()), "start": pa.array(np.concatenate(starts).astype(np.int32)), "n": pa.array(np.concatenate(sizes).astype(np.int32))})
-    return rows.where("doc_id is not null and text is not null").mapInArrow(cut, "doc_id long, th long, key long, run binary, start int, n int")
+                "run": pa.array(np.array(runs, np.uint64).view(np.int64)), "start": pa.array(np.concatenate(starts).astype(np.int32)), "n": pa.array(np.concatenate(sizes).astype(np.int32))})
+    return rows.where("doc_id is not null and text is not null").mapInArrow(cut, "doc_id long, th long, key long, run long, start int, n int")
 
 
 def _streamed(contested: DataFrame, window: int) -> DataFrame:
@@ -146,9 +146,9 @@ def _streamed(contested: DataFrame, window: int) -> DataFrame:
                         for name, value in (("key", k), ("run", run), ("start", a), ("n", b - a)):
                             out[name].append(value)
                 waiting.append(sequence)
-            yield pa.record_batch({"key": pa.array(out["key"], pa.int64()), "run": pa.array(out["run"], pa.binary()),
+            yield pa.record_batch({"key": pa.array(out["key"], pa.int64()), "run": pa.array(out["run"], pa.int64()),
                                    "start": pa.array(out["start"], pa.int32()), "n": pa.array(out["n"], pa.int32())})
-    return contested.repartition("key").sortWithinPartitions("key", "first").mapInArrow(match, "key long, run binary, start int, n int")
+    return contested.repartition("key").sortWithinPartitions("key", "first").mapInArrow(match, "key long, run long, start int, n int")
 
 
 def _words_of(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -167,11 +167,11 @@ def _words_of(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                     out["first"].append(doc)
                     out["runs"].append(x["runs"])
                     out["words"].append(raw[8 * x["start"]:8 * (x["start"] + x["n"] + window - 1)])
-            yield pa.record_batch({"key": pa.array(out["key"], pa.int64()), "run": pa.array(out["run"], pa.binary()), "first": pa.array(out["first"], pa.int64()),
+            yield pa.record_batch({"key": pa.array(out["key"], pa.int64()), "run": pa.array(out["run"], pa.int64()), "first": pa.array(out["first"], pa.int64()),
                                    "runs": pa.array(out["runs"], pa.int64()), "words": pa.array(out["words"], pa.binary())})
     # repeated rows hold the same runs: one is enough
     return rows.join(asked, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("doc_id", "text", "asked").mapInArrow(
-        read, "key long, run binary, first long, runs long, words binary")
+        read, "key long, run long, first long, runs long, words binary")
 
 
 def _by_window(hot: DataFrame, window: int) -> DataFrame:
@@ -187,7 +187,7 @@ def _by_window(hot: DataFrame, window: int) -> DataFrame:
             take = pa.array(np.concatenate(at) if at else np.empty(0, np.int64))
             yield pa.record_batch({"key": batch.column("key").take(take), "run": batch.column("run").take(take), "first": batch.column("first").take(take),
                                    "window": pa.array(lines, pa.binary()), "start": pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))})
-    each = hot.select("key", "run", "first", "words").mapInArrow(windows, "key long, run binary, first long, window binary, start int")
+    each = hot.select("key", "run", "first", "words").mapInArrow(windows, "key long, run long, first long, window binary, start int")
     least = each.groupBy("window").agg(F.min("first").alias("least"))
     return each.join(least, "window").where("least < first").select("key", "run", "start", F.lit(1).alias("n"))
 
@@ -200,7 +200,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
     repeat an id are one document as a reference. An empty table gives no rows.
     """
     rows = _rows(docs)
-    runs = written(_runs(rows, window, anchor))
+    every = written(_runs(rows, window, anchor))
+    # most minimizers are of one document, and go before anything wider is shuffled
+    shared = every.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
+    runs = written(every.join(shared, "key", "left_semi"))
     # the smallest document of each distinct run, with the place to read it from
     firsts = written(runs.groupBy("key", "run").agg(F.min(F.struct("doc_id", "th", "start", "n")).alias("f")).select("key", "run", "f.*"))
     runs_of = firsts.groupBy("key").agg(F.count("*").alias("runs")).where("runs > 1")
