@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 _MONEY = "struct<shopMoney:struct<amount:string,currencyCode:string>>"
 ORDERS = f"""id string, name string, createdAt string, processedAt string, updatedAt string, cancelledAt string, cancelReason string,
   displayFinancialStatus string, displayFulfillmentStatus string, currencyCode string, sourceName string, discountCodes array<string>,
-  subtotalPriceSet {_MONEY}, totalPriceSet {_MONEY}, totalTaxSet {_MONEY}, totalShippingPriceSet {_MONEY},
+  subtotalPriceSet {_MONEY}, totalPriceSet {_MONEY}, totalTaxSet {_MONEY}, totalShippingPriceSet {_MONEY}, totalRefundedSet {_MONEY},
   customer struct<id:string,email:string,firstName:string,lastName:string,phone:string>, email string,
   shippingAddress struct<name:string,address1:string,city:string,provinceCode:string,zip:string,countryCodeV2:string>,
   sku string, title string, variantTitle string, quantity int, originalUnitPriceSet {_MONEY}, totalDiscountSet {_MONEY}, vendor string,
@@ -33,10 +33,13 @@ def shop_orders(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         last_id(F.col("id")).alias("order_id"), "name", F.col("createdAt").try_cast("timestamp").alias("created"),
         F.col("displayFinancialStatus").alias("financial_status"), F.col("displayFulfillmentStatus").alias("fulfillment_status"),
         F.col("currencyCode").alias("currency"), F.col("sourceName").alias("source"), _amount("totalPriceSet").alias("total"),
+        *(F.col(f"{x}At").try_cast("timestamp").alias(x) for x in ("processed", "updated", "cancelled")), F.col("cancelReason").alias("cancel_reason"),
+        _amount("subtotalPriceSet").alias("subtotal"), _amount("totalTaxSet").alias("tax"), _amount("totalShippingPriceSet").alias("shipping"),
+        _amount("totalRefundedSet").alias("refunded"), F.col("discountCodes").alias("discount_codes"), F.col("customer.phone").alias("customer_phone"),
         last_id(F.col("customer.id")).alias("customer_id"), F.col("customer.email").alias("customer_email"), F.col("email").alias("order_email"),
         F.lower(F.trim(F.concat_ws(" ", "customer.firstName", "customer.lastName"))).alias("customer_name"), "shippingAddress")
     lines = rows.where("__parentId IS NOT NULL").select(
-        last_id(F.col("id")).alias("line_id"), last_id(F.col("__parentId")).alias("order_id"), "sku", "name", "quantity",
+        last_id(F.col("id")).alias("line_id"), last_id(F.col("__parentId")).alias("order_id"), "sku", "name", "title", F.col("variantTitle").alias("variant_title"), "vendor", "quantity",
         _amount("originalUnitPriceSet").alias("unit_price"), _amount("totalDiscountSet").alias("discount"), last_id(F.col("variant.id")).alias("variant_id"))
     return orders, lines
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import codes
@@ -44,27 +44,37 @@ def column_values(spark: SparkSession, glob: str, column: str) -> DataFrame:
     return read_csv(spark, glob).select(F.col(f"`{column}`").alias("v")).where("v <> ''").distinct()
 
 
+def _others(df: DataFrame, *taken: str) -> Column:
+    """The columns of a file that no typed column is read from, by their own names; blank ones are left out."""
+    rest = [c for c in df.columns if c not in taken]
+    cells = F.map_from_arrays(F.array(*map(F.lit, rest)), F.array(*(F.col(f"`{c}`") for c in rest))) if rest else F.create_map().cast("map<string,string>")
+    return F.map_filter(cells, lambda _, v: v != "").alias("others")
+
+
 def amazon_orders(spark: SparkSession, path: str) -> DataFrame:
-    """A tab-separated order report; one row per order line."""
+    """A tab-separated order report; one row per order line, with every further column in `others`."""
     df = read_csv(spark, path, sep="\t")
     return df.select(F.col("`amazon-order-id`").alias("order_id"), F.col("`purchase-date`").try_cast("timestamp").alias("purchased"),
                      F.col("`order-status`").alias("status"), F.col("sku"), F.col("asin"), F.col("quantity").try_cast("int").alias("quantity"),
-                     F.col("`item-price`").try_cast("decimal(18,2)").alias("price"), F.col("currency"))
+                     F.col("`item-price`").try_cast("decimal(18,2)").alias("price"), F.col("currency"),
+                     _others(df, "amazon-order-id", "purchase-date", "order-status", "sku", "asin", "quantity", "item-price", "currency"))
 
 
 def amazon_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """A tab-separated stock report; one row per seller SKU."""
+    """A tab-separated stock report; one row per seller SKU, with every further column in `others`."""
     df = read_csv(spark, path, sep="\t")
     return df.select("sku", "fnsku", "asin", F.col("`product-name`").alias("name"), F.col("condition"),
                      F.col("`your-price`").try_cast("decimal(18,2)").alias("price"),
-                     F.col("`afn-inbound-shipped-quantity`").try_cast("int").alias("inbound"))
+                     F.col("`afn-inbound-shipped-quantity`").try_cast("int").alias("inbound"),
+                     _others(df, "sku", "fnsku", "asin", "product-name", "condition", "your-price", "afn-inbound-shipped-quantity"))
 
 
 def amazon_inbound(spark: SparkSession, path: str) -> DataFrame:
     df = read_csv(spark, path)
     return df.select(F.col("`Shipment ID`").alias("shipment_id"), F.col("`Shipment name`").alias("name"), F.col("`Ship to`").alias("ship_to"),
                      F.col("Status").alias("status"), F.col("SKUs").try_cast("int").alias("skus"),
-                     F.col("`Units expected`").try_cast("int").alias("expected"), F.col("`Units located`").try_cast("int").alias("located"))
+                     F.col("`Units expected`").try_cast("int").alias("expected"), F.col("`Units located`").try_cast("int").alias("located"),
+                     _others(df, "Shipment ID", "Shipment name", "Ship to", "Status", "SKUs", "Units expected", "Units located"))
 
 
 def _us_day(name: str):
@@ -77,7 +87,8 @@ def warehouse_receipts(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("`Receipt #`").alias("receipt_no"), F.col("`ASN #`").alias("asn"), F.col("`Container #`").alias("container"),
                      codes.references(F.col("Reference")).alias("references"), _us_day("Received Date").alias("received_on"),
                      F.col("`Item Code`").alias("item_code"), F.col("`Client SKU`").alias("client_sku"), F.col("Description").alias("description"),
-                     *[F.col(c).try_cast("int").alias(c.lower()) for c in ("Expected", "Received", "Damaged")])
+                     *[F.col(c).try_cast("int").alias(c.lower()) for c in ("Expected", "Received", "Damaged")],
+                     _others(df, "Receipt #", "ASN #", "Container #", "Reference", "Received Date", "Item Code", "Client SKU", "Description", "Expected", "Received", "Damaged"))
 
 
 def warehouse_stock(spark: SparkSession, path: str) -> DataFrame:
@@ -85,14 +96,16 @@ def warehouse_stock(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("`Item Code`").alias("item_code"), F.col("`Client SKU`").alias("client_sku"), F.col("Description").alias("description"),
                      F.col("UPC").alias("upc"), F.col("Warehouse").alias("warehouse"), F.col("`On Hand`").try_cast("int").alias("on_hand"),
                      *[F.col(c).try_cast("int").alias(c.lower()) for c in ("Allocated", "Available", "Damaged")],
-                     _us_day("Last Receipt Date").alias("last_receipt_on"))
+                     _us_day("Last Receipt Date").alias("last_receipt_on"),
+                     _others(df, "Item Code", "Client SKU", "Description", "UPC", "Warehouse", "On Hand", "Allocated", "Available", "Damaged", "Last Receipt Date"))
 
 
 def warehouse_outbound(spark: SparkSession, path: str) -> DataFrame:
     df = read_csv(spark, path)
     return df.select(_us_day("Ship Date").alias("shipped_on"), F.col("`Order Reference`").alias("order_reference"),
                      F.col("`Item Code`").alias("item_code"), F.col("`Client SKU`").alias("client_sku"),
-                     F.col("Qty").try_cast("int").alias("quantity"), F.col("Carrier").alias("carrier"), F.col("`Tracking #`").alias("tracking"))
+                     F.col("Qty").try_cast("int").alias("quantity"), F.col("Carrier").alias("carrier"), F.col("`Tracking #`").alias("tracking"),
+                     _others(df, "Ship Date", "Order Reference", "Item Code", "Client SKU", "Qty", "Carrier", "Tracking #"))
 
 
 def vendors(spark: SparkSession, path: str) -> DataFrame:
@@ -100,7 +113,8 @@ def vendors(spark: SparkSession, path: str) -> DataFrame:
     df = read_csv(spark, path)
     return df.select(F.col("Vendor").alias("vendor"), F.col("`Company name`").alias("company"), F.col("Currency").alias("currency"),
                      F.col("Terms").alias("terms"), F.col("Email").alias("email"),
-                     F.replace(F.col("`Open balance`"), F.lit(","), F.lit("")).try_cast("decimal(18,2)").alias("balance"))
+                     F.replace(F.col("`Open balance`"), F.lit(","), F.lit("")).try_cast("decimal(18,2)").alias("balance"),
+                     _others(df, "Vendor", "Company name", "Currency", "Terms", "Email", "Open balance"))
 
 
 def truth_links(spark: SparkSession, path: str, key: str = "sku") -> DataFrame:

@@ -24,9 +24,10 @@ def test_csv_trims_strips_and_blanks(spark, tmp_path):
 
 
 def test_marketplace_and_warehouse_files(spark, tmp_path):
-    (tmp_path / "orders.txt").write_text("amazon-order-id\tpurchase-date\torder-status\tsku\tasin\tquantity\titem-price\tcurrency\n111-1\t2024-01-02T03:04:05+00:00\tShipped\tS-1\tB0\t2\t19.90\tUSD\n")
+    (tmp_path / "orders.txt").write_text("amazon-order-id\tpurchase-date\torder-status\tsku\tasin\tquantity\titem-price\tcurrency\tship-city\tpromo\n111-1\t2024-01-02T03:04:05+00:00\tShipped\tS-1\tB0\t2\t19.90\tUSD\tRome\t\n")
     r = tabular.amazon_orders(spark, str(tmp_path / "orders.txt")).first()
     assert (r.order_id, r.quantity, str(r.price), r.purchased.hour) == ("111-1", 2, "19.90", 3)
+    assert r.others == {"ship-city": "Rome"}
     (tmp_path / "receipts.csv").write_text("Receipt #,ASN #,Container #,Reference,Received Date,Item Code,Client SKU,Description,Expected,Received,Damaged\nR1,A1,,PO-1 / PO-2,03/08/2024,I,S,D,10,9,1\nR2,,,,bad,I,S,D,1,1,\n")
     a, b = tabular.warehouse_receipts(spark, str(tmp_path / "receipts.csv")).orderBy("receipt_no").collect()
     assert (a.references, a.received_on, a.received) == (["PO-1", "PO-2"], date(2024, 3, 8), 9)
