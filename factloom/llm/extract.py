@@ -30,7 +30,7 @@ RAW = frozenset("script style textarea title".split())
 #: Tags whose start ends an open paragraph.
 ENDS_P = frozenset("p div article section main aside nav header footer form ul ol dl table pre blockquote h1 h2 h3 h4 h5 h6 hr figure address fieldset details".split())
 OWN_KIND = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-BAD_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-ad comment comments commentlist consent cookie cookies copyright discuss disqus "
+BAD_WORDS = frozenset("ad ads alert announcement advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-ad comment comments commentlist consent cookie cookies copyright discuss disqus "
                       "footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promotion recommended "
                       "related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split())
 GOOD_WORDS = frozenset("article articlebody body content entry main maincontent post story text".split())

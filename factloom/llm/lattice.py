@@ -30,10 +30,13 @@ class PieceTable:
     byte_ids: list[int]
     dummy_prefix: bool
     trim_spaces: bool
+    #: Every ending of a usable piece: the piece's (score, id) if it is one itself, else None.
+    endings: dict[str, tuple[float, int] | None] = field(init=False)
     longest: int = field(init=False)
     cuts: re.Pattern = field(init=False)
 
     def __post_init__(self) -> None:
+        self.endings = {p[i:]: None for p in self.usable for i in range(1, len(p))} | self.usable
         self.longest = max(map(len, self.usable), default=1)
         crossing = any(SPACE in p.lstrip(SPACE) for p in self.usable)
         alone = bool(self.byte_ids) and not any("\n" in p for p in self.usable)

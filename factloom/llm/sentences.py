@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from factloom.llm.batches import MEMO_WORDS, pieces, received, sent
 from factloom.llm.lattice import BYTE, CONTROL, SPACE, UNKNOWN, UNKNOWN_TEXT, PieceTable, load
 
-#: Segments longer than this are encoded each time, not remembered.
+#: Longer segments are streamed; others are decided whole, and remembered.
 MOST_REMEMBERED = 64
 #: Text bytes handled at once: ids take more room than the text.
 PIECE_BYTES = 1 << 20
@@ -56,18 +56,21 @@ def _committed(root: _Node, node: _Node) -> list[int]:
 def stream(table: PieceTable, characters: Iterable[str]) -> Iterator[int]:
     """The ids of `characters`, which are already normal, as they are decided."""
     root = _Node(0, 0.0, (), None)
-    window, tail, usable, most = [root], "", table.usable, table.longest
+    window, tail, endings, most = [root], "", table.endings, table.longest
     for end, character in enumerate(characters, 1):
         tail = (tail + character)[-most:]
         best, alone = None, False
-        # longest first: an equal sum does not replace the path whose last piece starts earlier
-        for length in range(min(len(tail), len(window)), 0, -1):
-            hit = usable.get(tail[-length:])
+        # shortest first: an equal sum gives way to the path whose last piece starts earlier
+        for length in range(1, min(len(tail), len(window)) + 1):
+            ending = tail[-length:]
+            if ending not in endings:
+                break
+            hit = endings[ending]
             if hit is not None:
                 score = window[-length].score + hit[0]
-                if best is None or score > best[0]:
+                if best is None or score >= best[0]:
                     best = (score, (hit[1],), window[-length])
-                alone = length == 1
+                alone = alone or length == 1
         if not alone:
             score = window[-1].score + table.unknown_score
             if best is None or score > best[0]:
@@ -84,6 +87,36 @@ def stream(table: PieceTable, characters: Iterable[str]) -> Iterator[int]:
     yield from _committed(root, window[-1])
 
 
+def whole(table: PieceTable, segment: str) -> tuple[int, ...]:
+    """What `stream` gives, for a segment short enough to be decided at its end."""
+    score, start, ids = [0.0], [0], [()]
+    find, most = table.endings.get, len(segment)
+    for end in range(1, most + 1):
+        best, at, piece, first = None, 0, (), end - 1
+        while first >= 0:
+            hit = find(segment[first:end], False)
+            if hit is False:
+                break
+            if hit is not None:
+                total = score[first] + hit[0]
+                if best is None or total >= best:
+                    best, at, piece = total, first, (hit[1],)
+            first -= 1
+        if find(segment[end - 1]) is None:
+            total = score[end - 1] + table.unknown_score
+            if best is None or total > best:
+                best, at = total, end - 1
+                piece = tuple(table.byte_ids[b] for b in segment[at].encode()) if table.byte_ids else (table.unknown_id,)
+        score.append(best)
+        start.append(at)
+        ids.append(piece)
+    out, end = [], most
+    while end:
+        out.append(ids[end])
+        end = start[end]
+    return tuple(chain.from_iterable(reversed(out)))
+
+
 class Encoder(dict):
     """Ids of segments, in a memo of bounded size."""
 
@@ -91,11 +124,11 @@ class Encoder(dict):
         self.table = table
 
     def __missing__(self, segment: str) -> tuple[int, ...]:
-        found = tuple(stream(self.table, segment))
-        if len(segment) <= MOST_REMEMBERED:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
-            self[segment] = found
+        if len(segment) > MOST_REMEMBERED:
+            return tuple(stream(self.table, segment))
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        found = self[segment] = whole(self.table, segment)
         return found
 
     def encode(self, text: str) -> np.ndarray:

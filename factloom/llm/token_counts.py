@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +38,8 @@ class Counter(dict):
         best, pieces_to, open_unknown = [0.0], [0], [False]
         for end in range(n):
             value, count, unknown, alone = None, 0, False, False
-            # longest first: an equal sum does not replace the path whose last piece starts earlier
-            for length, score in sorted(ends[end], reverse=True):
+            # the automaton gives the longest first: an equal sum does not replace the path whose last piece starts earlier
+            for length, score in ends[end]:
                 at = end + 1 - length
                 total = best[at] + score
                 if value is None or total > value:
@@ -57,6 +56,11 @@ class Counter(dict):
             open_unknown.append(unknown)
         return best[n], pieces_to[n]
 
+    def total(self, text: str) -> tuple[float, int]:
+        """(score, pieces) of a whole text."""
+        found = [self[s] for s in self.table.segments(text)]
+        return sum(s for s, _ in found), sum(n for _, n in found)
+
     def __missing__(self, segment: str) -> tuple[float, int]:
         found = self.count(segment)
         if len(segment) <= MOST_REMEMBERED:
@@ -77,11 +81,8 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(received(shipped))
         for batch in pieces(batches):
-            scores, counts = [], []
-            for text in batch.column("text").to_pylist():
-                found = np.array([counter[s] for s in counter.table.segments(text or "")]).reshape(-1, 2).sum(axis=0)
-                scores.append(float(found[0]))
-                counts.append(int(found[1]))
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "score": pa.array(scores, pa.float64())})
+            found = [counter.total(text or "") for text in batch.column("text").to_pylist()]
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_tokens": pa.array([n for _, n in found], pa.int64()),
+                                   "score": pa.array([float(s) for s, _ in found], pa.float64())})
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, "doc_id long, n_tokens long, score double")
