@@ -12,8 +12,10 @@ of documents and ids before the chunk. Parts, then chunks, ascend with the docum
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain, count
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from factloom.llm.batches import MEMO_WORDS, pieces, received, sent, texts
 BLOCK_IDS = 1 << 16
 #: Ids after which a chunk is closed, at the end of a document.
 CHUNK_IDS = 1 << 20
-LEVEL = 3
+LEVEL = 1
 PLANES = ("byte", "bit")
 CHUNKS = ("part int, chunk int, docs_in_part long, ids_in_part long, n_docs long, n_ids long, first_doc long, "
           "doc_ids binary, lengths binary, planes string, sizes binary, data binary")
@@ -63,52 +65,108 @@ def unpack(sizes: np.ndarray, data: bytes, n_ids: int, planes: str = "byte") ->
     return np.concatenate(out or [np.empty(0, "<u4")])
 
 
-class WordEncoder(dict):
+class WordEncoder:
     """Ids by whole text, for tokenizers of which no token crosses white space.
 
     Such a tokenizer gives a text the ids of its white-space-separated words, one after the other,
-    so each word is encoded once. `start` and `size` place a word's ids in `ids`.
+    so each word is encoded once. Most words are letters with marks behind. If the tokenizer turns
+    letters to small ones and parts them from marks (tried on `PROBES` first), letters and marks
+    are looked up apart, and a run of letters, being one piece before merging, goes straight to the
+    merges. All else takes the tokenizer's whole way.
     """
 
+    MARKS = b".,!?;:*#%&$"
+    PROBES = ("word", "Word.", "WORD,,", "étés!?", "ÉTÉ***", "straße:", "Ñandú;", "мир.", "don't", "İx.", "e\u0301x.", "x1.", "1.", "...", "<|endoftext|>.", "<|ENDOFTEXT|>", "日本!", "a.b.")
+
     def __init__(self, tokenizer_json: str) -> None:
+        # one core a task: the library's own threads would take others' cores, and memory for each
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.letters = _Letters(self.tokenizer)
+        self._new()
+        self.parts = True
+        self.parts = all(self.encode([w.encode()])[0].tolist() == self.tokenizer.encode(w, add_special_tokens=False).ids for w in self.PROBES)
         self._new()
 
     def _new(self) -> None:
-        self.clear()
-        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
-        self.start, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        # piece 0 is empty: the marks of a word without any
+        self.known: dict[bytes, int] = {b"": 0}
+        self.ids = np.empty(0, np.uint32)
+        self.start, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _pieces_of(self, word: bytes) -> tuple[bytes, bytes]:
+        if not self.parts or b"<|" in word:
+            return word, b""
+        core = word.rstrip(self.MARKS)
+        if len(core) == len(word):
+            return word.lower(), b""
+        # marks behind anything but a letter may belong to it
+        if core[-1:].isalpha() or core[-4:].decode(errors="ignore")[-1:].isalpha():
+            return core.lower(), word[len(core):]
+        return word, b""
 
     def _learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 4096):
-            part = words[at:at + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                ids, n = found.ids, len(self)
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-                if n == len(self.start):
-                    self.start, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.size))
-                self.ids[self.used:self.used + len(ids)] = ids
-                self.start[n], self.size[n] = self.used, len(ids)
-                self.used += len(ids)
-                self[word] = n
+        merges, found, rest = self.tokenizer.model.tokenize, [], []
+        for word in words:
+            text = word.decode()
+            if self.parts and text.isalpha() and is_normalized("NFC", text):
+                try:
+                    found.append((word, [t.id for t in merges(text.translate(self.letters))]))
+                    continue
+                except ValueError:
+                    pass
+            rest.append(word)
+        for at in range(0, len(rest), 1024):
+            part = rest[at:at + 1024]
+            whole = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            found += zip(part, (x.ids for x in whole), strict=True)
+        if not found:
+            return
+        sizes = np.fromiter((len(ids) for _, ids in found), np.int64, len(found))
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids for _, ids in found), np.uint32, int(sizes.sum()))])
+        self.known.update(zip((word for word, _ in found), range(len(self.known), len(self.known) + len(found)), strict=True))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, ids of each)."""
-        if len(self) > MEMO_WORDS:
+        if len(self.known) > MEMO_WORDS:
             self._new()
-        words = [t.split() for t in texts]
-        new = {w for ws in words for w in ws if w not in self}
-        self._learn(list(new))
-        index = np.fromiter((self[w] for ws in words for w in ws), np.int64)
+        split = [t.split() for t in texts]
+        words = list(chain.from_iterable(split))
+        distinct = dict(zip(dict.fromkeys(words), count(), strict=False))
+        # two pieces a word, the marks' often empty
+        parted = list(chain.from_iterable(map(self._pieces_of, distinct)))
+        self._learn(list(set(parted) - self.known.keys()))
+        pieces_of = np.fromiter(map(self.known.__getitem__, parted), np.int64, len(parted)).reshape(-1, 2)
+        pairs = pieces_of[np.fromiter(map(distinct.__getitem__, words), np.int64, len(words))]
+        per_word = self.size[pairs].sum(axis=1)
+        index = pairs.ravel()
+        index = index[index > 0]
         sizes = self.size[index]
         ends = np.cumsum(sizes)
-        # position of each id: its word's start, plus how far into the word it is
-        ids = self.ids[np.repeat(self.start[index] - np.r_[0, ends[:-1]] if len(index) else index, sizes) + np.arange(sizes.sum())]
-        per_text = np.diff(np.r_[0, ends][np.r_[0, np.cumsum([len(ws) for ws in words])]])
-        return ids, per_text
+        # position of each id: its piece's start, plus how far into the piece it is
+        ids = self.ids[np.repeat(self.start[index] - (ends - sizes), sizes) + np.arange(sizes.sum())]
+        return ids, np.diff(np.r_[0, np.cumsum(per_word)][np.r_[0, np.cumsum([len(ws) for ws in split])]])
+
+
+class _Letters(dict):
+    """What each letter is to the merges, asked of the tokenizer letter by letter."""
+
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer = tokenizer
+
+    def __missing__(self, code: int) -> str:
+        normal = self.tokenizer.normalizer.normalize_str(chr(code)) if self.tokenizer.normalizer else chr(code)
+        if len(normal) != 1 or not normal.isalpha():
+            raise ValueError
+        pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)
+        if len(pieces) != 1:
+            raise ValueError
+        self[code] = pieces[0][0]
+        return self[code]
 
 
 def write(docs: DataFrame, folder: str, tokenizer_json: str, end_id: int, planes: str = "byte", parts: int | None = None) -> None:
@@ -147,7 +205,7 @@ def write(docs: DataFrame, folder: str, tokenizer_json: str, end_id: int, planes
             kinds = {"part": pa.int32(), "chunk": pa.int32(), "planes": pa.string(), "doc_ids": pa.binary(), "lengths": pa.binary(), "sizes": pa.binary(), "data": pa.binary()}
             return pa.record_batch({k: pa.array([v], kinds.get(k, pa.int64())) for k, v in row.items()})
 
-        for batch in pieces(batches, most=1 << 20):
+        for batch in pieces(batches):
             ids, lengths = encoder.encode(texts(batch))
             ends = np.cumsum(lengths)
             ids = np.insert(ids, ends, end_id)
