@@ -3,7 +3,8 @@
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
 
 `ingest` maps every table to facts and appends them to a parquet log with a snapshot of state;
-`stats`, folds and the business questions then read that log. The rest run on the tables. Each
+`stats`, folds and the business questions then read that log, and `plan_write_commit` checks and
+commits one batch to it. The rest run on the tables. Each
 query is timed after one warm-up run.
 """
 
@@ -14,6 +15,7 @@ import os
 import sys
 import tempfile
 import time
+from datetime import datetime
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from factloom.model import kernel_attributes, registry  # noqa: E402
-from factloom.operators import fold, profile  # noqa: E402
-from factloom.plans import load, world  # noqa: E402
+from factloom.operators import fold, ingest, profile  # noqa: E402
+from factloom.plans import load, stored, world  # noqa: E402
 from factloom.sources import log  # noqa: E402
 from factloom.store import FactLog  # noqa: E402
 
@@ -54,7 +56,7 @@ def main() -> None:
     def ingest(path: str) -> None:
         facts = world.facts(spark, folder)
         log.append_facts(facts, path, world.DAY_TX)
-        log.append_attributes(registry(spark, kernel_attributes() + world.ATTRIBUTES), path, 0)
+        log.append_attributes(registry(spark, [*kernel_attributes(), *world.ATTRIBUTES, stored.EVIDENCE]), path, 0)
         log.append_transactions(world.transactions(spark, folder), path, world.DAY_TX)
         log.write_state(fold.state(log.scan(spark, path)), path, world.DAY_TX)
 
@@ -64,6 +66,12 @@ def main() -> None:
     store = FactLog.open(spark, path)
     facts = store.log().count()
 
+    def commit() -> None:
+        """A planned write by lookups: validation, identity, diff, stamp and append."""
+        now = FactLog.open(spark, path)
+        plan = ingest.plan_write(stored.shipped(spark, folder), now.state(), now.log(), now.attrs, stored.FIRST_NEW)
+        log.commit(spark, path, plan, 100, datetime(2002, 1, 1))
+
     def stats() -> None:
         for df in profile.statistics(store).values():
             run(df)
@@ -80,6 +88,7 @@ def main() -> None:
     for name, fn in on_log.items():
         fn()
         out[name] = timed(fn)
+    out["plan_write_commit"] = timed(commit)
     queries = load().QUERIES
     for name in TABLES:
         run(queries[name](spark, folder))

@@ -191,3 +191,42 @@ def excised_store(spark: SparkSession, sf: str) -> DataFrame:
         "state total": store.state().where(F.col("a") == world.BY_IDENT["order/total"].id), "entities named": store.attr("fs/excised_entity").select("v").distinct(),
         "attributes named": store.attr("fs/excised_attribute").where(F.col("v") == world.BY_IDENT["order/status"].id), "transactions": store.tx.where(F.col("id") >= first)}
     return union([df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n") for what, df in counts.items()])
+
+
+def package(spark: SparkSession, sf: str, cardinality: str) -> DataFrame:
+    """A vocabulary with an attribute for each nation, each declared distinct from all others."""
+    names = world.table(spark, sf, "nation").select(F.col("n_nationkey").alias("idx"), F.concat(F.lit("geo/n"), "n_nationkey", F.lit("_"), F.regexp_replace(F.lower("n_name"), "[^a-z]", "_")).alias("ident"))
+    # no more than there are nations
+    every = F.array(*(F.lit(r.ident) for r in names.select("ident").collect()))
+    return names.select(
+        "idx", "ident", F.lit("string").alias("type"), F.lit(cardinality).alias("cardinality"), F.lit("none").alias("unique"),
+        F.concat(F.lit("What is told of "), "ident", F.lit(".")).alias("doc"), F.array_remove(every, F.col("ident")).alias("distinct_from"))
+
+
+@query("installed_package", """
+SELECT 'registered' AS what, count(*) AS n FROM nation UNION ALL SELECT 'identity facts', count(*) FROM nation UNION ALL SELECT 'many after evolution', count(*) FROM nation
+UNION ALL SELECT 'schema facts replaced', count(*) FROM nation UNION ALL SELECT 'transactions', 2 FROM (SELECT count(*) FROM region) UNION ALL SELECT 'refused', 1 FROM (SELECT count(*) FROM region)
+UNION ALL SELECT 'orders read', count(*) FROM orders""")
+def installed_package(spark: SparkSession, sf: str) -> DataFrame:
+    """A package installed, installed again, evolved, and one of near names refused, in a store of orders."""
+    from factloom.sources import registering
+
+    stored = Stored(spark, sf)
+    at = datetime(2002, 1, 1)
+    first = registering.install(spark, stored.path, package(spark, sf, "one"), 100, at)
+    again = registering.install(spark, stored.path, package(spark, sf, "one"), 100, at)
+    evolved = registering.install(spark, stored.path, package(spark, sf, "many"), 100, at)
+    near = package(spark, sf, "one").withColumn("ident", F.concat("ident", F.lit("s"))).withColumn("distinct_from", F.array().cast("array<string>"))
+    try:
+        registering.register(spark, stored.path, near, 100, at)
+        refused = 0
+    except registering.Refused:
+        refused = 1
+    store = FactLog.open(spark, stored.path)
+    mine = store.attrs.where(F.col("ident").startswith("geo/"))
+    schema = store.history("fs/cardinality")
+    counts = {
+        "registered": mine, "identity facts": store.attr("fs/ident").where(F.col("v").startswith("geo/")), "many after evolution": mine.where("cardinality = 'many'"),
+        "schema facts replaced": schema.where((F.col("v") == "one") & (F.col("op") == "retract")), "transactions": spark.range(len(first) + len(again) + len(evolved)),
+        "refused": spark.range(refused), "orders read": store.attr("order/status")}
+    return union([df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n") for what, df in counts.items()])
