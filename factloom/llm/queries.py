@@ -105,7 +105,7 @@ def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's statistics and the verdict of the base rules and the learned list."""
     found = rules.judge(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
-    return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
 def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:

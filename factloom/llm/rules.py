@@ -38,10 +38,10 @@ def _let(value: Column, body) -> Column:
 
 def repeated_words(words: Column) -> Column:
     """How many of `words` lie in a 3-word window that occurs twice or more in the text."""
-    def over(hashes: Column) -> Column:
-        windows = F.transform(F.sequence(F.lit(1), F.size(hashes) - 2), lambda i: F.struct(
-            F.xxhash64(F.get(hashes, i - 1), F.get(hashes, i), F.get(hashes, i + 1)).alias("h"), i.alias("i")))
-        return _let(F.sort_array(windows), repeated)
+    def over(windows: Column) -> Column:
+        # most texts repeat no window, and need no sort
+        placed = F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), 0).otherwise(_let(F.sort_array(placed), repeated))
 
     def repeated(ordered: Column) -> Column:
         twice = F.filter(ordered, lambda x, n: (F.get(ordered, n - 1)["h"] == x["h"]) | (F.get(ordered, n + 1)["h"] == x["h"]))
@@ -50,7 +50,8 @@ def repeated_words(words: Column) -> Column:
     def covered(places: Column) -> Column:
         # each place covers three words, or those up to the next place
         return F.aggregate(F.transform(places, lambda p, n: F.least(F.lit(3), F.coalesce(F.get(places, n + 1) - p, F.lit(3)))), F.lit(0), lambda a, b: a + b)
-    return F.when(F.size(words) < 4, 0).otherwise(_let(F.transform(words, lambda w: F.xxhash64(w)), over)).cast("long")
+    windows = F.slice(F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))), 1, F.greatest(F.size(words) - 2, F.lit(0)))
+    return F.when(F.size(words) < 4, 0).otherwise(_let(windows, over)).cast("long")
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -59,7 +60,8 @@ def statistics(docs: DataFrame) -> DataFrame:
     Whole texts are read; a null text has no words. Shares of an empty text are 0.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    inner = F.btrim(text, F.lit(SPACES))
+    words = F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[\x20\x09-\x0D]+"))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     base = docs.select(F.struct("*").alias("row"), text.alias("_text"), words.alias("_words"), lines.alias("_lines"))
     counts = base.select(
@@ -191,17 +193,31 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(0) if out is None else out.otherwise(0)
 
 
+def judged(measured: DataFrame, rules: list[Rule]) -> DataFrame:
+    """`measured` (with what `statistics` gives) with `rule`, the first rule that covers a row (0: none), and `kept`.
+
+    A document fails if the base rules fail it or a learned rule covers it.
+    """
+    return measured.withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+
+
+def learn_from(measured: DataFrame, labels: DataFrame) -> list[Rule]:
+    """The decision list of `measured` (doc_id and what `statistics` gives) and `labels` (doc_id, quality 0/1).
+
+    Learned from the documents that the base rules pass, since it decides only about those. Rows
+    with a null id or quality tell nothing; repeated labels of a document count once each; without
+    labels the list is empty. Statistics meet labels, so no text is shuffled.
+    """
+    bad = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 0).cast("int").alias("bad"))
+    passed = measured.where("doc_id is not null and not base_failed").select(F.col("doc_id").cast("long").alias("doc_id"), *STATISTICS)
+    return learn(passed.join(bad, "doc_id"))
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`statistics` of every row of `docs`, with `rule` (the first rule that covers it, 0 for none) and `kept`.
+    """(doc_id, what `statistics` gives, rule, kept) of every row of `docs` (doc_id, text), judged by a list learned from `labels`.
 
-    The list is learned from the documents with a non-null quality in `labels` (doc_id, quality);
-    a document fails if the base rules fail it or a learned rule covers it. Repeated labels of a
-    document count once each. Without labels only the base rules decide.
+    The statistics are computed once, into a table without texts. To filter documents, use
+    `judged(statistics(docs), rules)`, which keeps whole rows.
     """
-    bad = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("_id"), (F.col("quality") == 0).cast("int").alias("bad"))
-    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_t"))
-    rows = known.join(bad, "_id").select(F.col("_id").alias("doc_id"), F.col("_t").alias("text"), "bad")
-    # learned from what the base rules pass: the list decides only about those
-    labelled = statistics(rows).where("not base_failed").select("row.doc_id", "row.bad", *STATISTICS)
-    number = verdict(learn(labelled))
-    return statistics(docs).withColumn("rule", number).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    measured = written(statistics(docs.select("doc_id", "text")).withColumn("doc_id", F.col("row.doc_id")).drop("row"))
+    return judged(measured, learn_from(measured, labels))

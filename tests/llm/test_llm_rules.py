@@ -43,7 +43,7 @@ def test_a_planted_rule_is_learned_and_clean_documents_stay(spark):
         return " ".join(w + "***" if i % 4 == 0 else w.upper() if i % 9 == 1 else w for w in words) + "."
     docs = spark.createDataFrame([(i, text(i)) for i in range(600)] + [(None, text(0)), (None, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 0 if i % 4 == 0 or i % 9 == 1 else 1) for i in range(400)] + [(400, None), (None, 0)], "doc_id long, quality int")
-    out = rules.judge(docs, labels).select("row.doc_id", "kept", "rule").collect()
+    out = rules.judge(docs, labels).select("doc_id", "kept", "rule").collect()
     assert len(out) == 602
     for r in out:
         if r.doc_id is not None:
