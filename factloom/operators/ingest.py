@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from factloom.functions import values as V
 from factloom.model import (COMMIT_ONLY, FACT_SCHEMA, IDENT_PATTERN, KERNEL, MAX_KEY_LENGTH, REGISTRATION_ONLY,
                             SCHEMA_FACTS, SPARK_TYPE, VALUE_COLUMN, VALUES)
-from factloom.operators import fold
 from factloom.operators.ordered import Running, numbered, previous, running
 from factloom.session import cut, written
 

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.model import SPARK_TYPE
-from factloom.operators import fold
 
 
 @dataclass(frozen=True)

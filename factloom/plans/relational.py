@@ -14,7 +14,6 @@ from factloom.plans import world
 from factloom.plans.business import money
 from factloom.plans.registry import query
 from factloom.plans.temporal import WALK, event_store, quotes
-from factloom.store import capped
 
 LINE = "line AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS part, min(l_suppkey) AS supp, sum(CAST(l_quantity AS DECIMAL(18,2))) AS q, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS p, min(l_shipdate) AS d FROM lineitem GROUP BY 1, 2)"
 
@@ -416,6 +415,3 @@ def carrier_identity(spark: SparkSession, sf: str) -> DataFrame:
     names = world.table(spark, sf, "customer").select(F.col("c_name").alias("v")).unionByName(world.table(spark, sf, "supplier").select(F.col("s_name").alias("v")))
     state = fold.state(store.log(["customer/name", "supplier/name", "nation/name", "part/name", "order/number"]))
     return relate.carrier_identity(names, state).join(store.attrs.select(F.col("id").alias("a"), "ident"), "a").select(F.col("ident").alias("a"), "n")
-
-
-__all__ = ["capped"]

@@ -10,7 +10,6 @@ from factloom.operators import fold, ingest
 from factloom.plans import world
 from factloom.plans.business import money
 from factloom.plans.registry import query
-from factloom.sources.mapping import as_facts
 
 # The event feed walked one event at a time per (user, type): the state before and after each.
 WALK = """
@@ -254,7 +253,6 @@ def coerce(spark: SparkSession, sf: str) -> DataFrame:
                       V.coerce("ref", F.col("ref")).alias("ref"), V.coerce("boolean", F.col("flag")).alias("flag"))
 
 
-__all__ = ["as_facts", "event_store", "quotes"]
 
 
 @query("keyed_fold", WALK + LAST.format(tx=EVERY) + "SELECT e, a, v, tx FROM held")
