@@ -12,6 +12,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,11 @@ _STARTS = [a for a, _ in SCRIPTS]
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _lower(text: str) -> str:
+    """Small letters, as many characters as before: the one letter that would become two is replaced first."""
+    return text.replace("\u0130", "i").lower()
+
+
 def script_of(word: str) -> str:
     at = bisect_right(_STARTS, ord(word[0]))
     return SCRIPTS[at - 1][1] if at else "other"
@@ -65,16 +71,18 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """
     rows = labelled.select(F.xxhash64("doc_id").alias("at"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(
         F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    first = [r["at"] for r in rows.select("at").orderBy("at").limit(sample_rows).collect()]
-    if not first:
+    total = rows.count()
+    if not total:
         return Model([])
-    sample = rows.where(F.col("at") <= max(first)).select("text", "lang")
+    # the hash is uniform over the longs: a bound on it takes about as many rows as asked
+    bound = min((1 << 63) - 1, round((1 << 64) * sample_rows / total) - (1 << 63))
+    sample = rows.where(F.col("at") <= bound).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             grams: Counter = Counter()
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                for word, n in Counter(_WORD.findall(text.lower())).items():
+                for word, n in Counter(_WORD.findall(_lower(text))).items():
                     grams[lang, "script", script_of(word)] += n * len(word)
                     for gram in _trigrams(word):
                         grams[lang, "gram", gram] += n
@@ -101,32 +109,42 @@ class _Words(dict):
 
     def __init__(self, model: Model) -> None:
         self.model = model
+        # the last row is for scripts that no language was seen in: every language is possible
+        self.scripts = {s: i for i, s in enumerate(model.candidates)}
+        self.possible = np.array([*model.candidates.values(), np.ones(len(model.languages), bool)])
         self._new()
 
     def _new(self) -> None:
         self.clear()
-        self.scores = np.zeros((1024, len(self.model.languages)))
-        self.letters = np.zeros(1024, np.int64)
-
-    def __missing__(self, word: str) -> int:
-        at, model = len(self), self.model
-        if at == len(self.letters):
-            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        unseen = len(model.rows)
-        possible = model.candidates.get(script_of(word))
-        if possible is not None and possible.any():
-            row = model.scores[[model.rows.get(g, unseen) for g in _trigrams(word)]].sum(axis=0)
-            # a language that isn't a candidate scores below every one that is
-            self.scores[at] = np.where(possible, row - row[possible].max(), row[possible].min() - row[possible].max() - SWITCH)
-        self.letters[at] = sum(map(str.isalpha, word))
-        self[word] = at
-        return at
-
-    def of(self, words: list[str]) -> np.ndarray:
+        self.scores = np.zeros((0, len(self.model.languages)))
+        self.letters = np.zeros(0, np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        model, unseen = self.model, len(self.model.rows)
+        grams = np.fromiter((model.rows.get(g, unseen) for w in words for g in _trigrams(w)), np.int64)
+        # a word has as many trigrams as characters
+        starts = np.cumsum([0, *map(len, words[:-1])])
+        sums = np.add.reduceat(model.scores[grams], starts, axis=0)
+        script = np.fromiter((self.scripts.get(script_of(w), -1) for w in words), np.int64)
+        possible = self.possible[script] | ~self.possible[script].any(axis=1, keepdims=True)
+        top = np.where(possible, sums, -np.inf).max(axis=1, keepdims=True)
+        low = np.where(possible, sums, np.inf).min(axis=1, keepdims=True)
+        # a language that isn't a candidate scores below every one that is; a script of none tells nothing
+        scores = np.where(possible, sums - top, low - top - SWITCH)
+        scores[script < 0] = 0.0
+        self.scores = np.concatenate([self.scores, scores])
+        self.letters = np.concatenate([self.letters, [len(w) if w.isalpha() else sum(map(str.isalpha, w)) for w in words]])
+        self.update(zip(words, range(len(self), len(self) + len(words)), strict=True))
+
+    def of(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The rows of the words of each text."""
         if len(self) > MEMO_WORDS:
             self._new()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        words = list(chain.from_iterable(texts))
+        if new := list(set(words) - self.keys()):
+            self._learn(new)
+        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.split(rows, np.cumsum([len(t) for t in texts[:-1]]))
 
 
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -158,8 +176,13 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
 def _spans(text: str, path: np.ndarray, letters: np.ndarray, names: list[str]) -> list[dict]:
     starts = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])
     ends = np.r_[starts[1:], len(path)]
+    if len(starts) == 1:
+        end = len(text)
+        while not _WORD.match(text, end - 1):
+            end -= 1
+        return [{"lang": names[path[0]], "start": _WORD.search(text).start(), "end": end, "letters": int(letters.sum())}]
     sums = np.add.reduceat(letters, starts)
-    places = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+    places = [m.span() for m in _WORD.finditer(text)]
     return [{"lang": names[path[a]], "start": places[a][0], "end": places[b - 1][1], "letters": int(n)} for a, b, n in zip(starts, ends, sums, strict=True)]
 
 
@@ -180,9 +203,8 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame
         memo = _Words(received(shipped))
         for batch in pieces(batches):
             found, scores, spans = [], [], []
-            for text in batch.column("text").to_pylist():
-                words = _WORD.findall((text or "").lower()) if names else []
-                index = memo.of(words)
+            texts = [_lower(t or "") for t in batch.column("text").to_pylist()]
+            for text, index in zip(texts, memo.of([_WORD.findall(t) if names else [] for t in texts]), strict=True):
                 letters = memo.letters[index]
                 if not letters.sum():
                     found.append(UNKNOWN)
@@ -196,7 +218,7 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame
                 total = each[path == best].sum(axis=0)
                 found.append(names[best])
                 scores.append(float(share[best] / share.sum() / np.exp(total - total[best]).clip(max=1e9).sum()))
-                spans.append(_spans(text.lower(), path, letters, names))
+                spans.append(_spans(text, path, letters, names))
             yield pa.record_batch({"row": batch.column("row"), "lang_pred": pa.array(found, pa.string()), "score": pa.array(scores, pa.float64()),
                                    "spans": pa.array(spans, pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("letters", pa.int64())])))})
     rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
