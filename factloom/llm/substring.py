@@ -28,6 +28,7 @@ from factloom.session import written
 WINDOW = 50
 ANCHOR = 12
 MOST_RUNS = 256
+SPANS = "array<struct<start: int, n: int>>"
 
 
 class SuffixAutomaton:
@@ -126,11 +127,11 @@ def _runs(rows: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 def _streamed(contested: DataFrame, window: int) -> DataFrame:
-    """(key, run, first, n) of the contested runs in, (key, run, start, n) of their covered windows out."""
+    """(key, run, spans) of the contested runs (key, run, first, words): the (start, n) of their covered windows."""
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, automaton, waiting, doc = None, SuffixAutomaton(), [], None
         for batch in batches:
-            out: dict[str, list] = {"key": [], "run": [], "start": [], "n": []}
+            keys, runs, spans = [], [], []
             for k, run, first, words in zip(*(batch.column(c).to_pylist() for c in ("key", "run", "first", "words")), strict=True):
                 sequence = np.frombuffer(words, np.int64).tolist()
                 if k != key:
@@ -142,13 +143,14 @@ def _streamed(contested: DataFrame, window: int) -> DataFrame:
                 if len(automaton.link) > 1:
                     found = np.array(automaton.matching(sequence))[window - 1:] >= window
                     edges = np.flatnonzero(np.diff(np.r_[False, found, False].astype(np.int8)))
-                    for a, b in edges.reshape(-1, 2).tolist():
-                        for name, value in (("key", k), ("run", run), ("start", a), ("n", b - a)):
-                            out[name].append(value)
+                    if len(edges):
+                        keys.append(k)
+                        runs.append(run)
+                        spans.append([{"start": a, "n": b - a} for a, b in edges.reshape(-1, 2).tolist()])
                 waiting.append(sequence)
-            yield pa.record_batch({"key": pa.array(out["key"], pa.int64()), "run": pa.array(out["run"], pa.int64()),
-                                   "start": pa.array(out["start"], pa.int32()), "n": pa.array(out["n"], pa.int32())})
-    return contested.repartition("key").sortWithinPartitions("key", "first").mapInArrow(match, "key long, run long, start int, n int")
+            yield pa.record_batch({"key": pa.array(keys, pa.int64()), "run": pa.array(runs, pa.int64()),
+                                   "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())])))})
+    return contested.repartition("key").sortWithinPartitions("key", "first").mapInArrow(match, f"key long, run long, spans {SPANS}")
 
 
 def _words_of(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -189,7 +191,8 @@ def _by_window(hot: DataFrame, window: int) -> DataFrame:
                                    "window": pa.array(lines, pa.binary()), "start": pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))})
     each = hot.select("key", "run", "first", "words").mapInArrow(windows, "key long, run long, first long, window binary, start int")
     least = each.groupBy("window").agg(F.min("first").alias("least"))
-    return each.join(least, "window").where("least < first").select("key", "run", "start", F.lit(1).alias("n"))
+    # one row a run again: no longer than the run
+    return each.join(least, "window").where("least < first").groupBy("key", "run").agg(F.collect_list(F.struct("start", F.lit(1).alias("n"))).alias("spans"))
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -211,16 +214,19 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
     met = written(_streamed(words.where(F.col("runs") <= MOST_RUNS), window).unionByName(_by_window(words.where(F.col("runs") > MOST_RUNS), window)))
     # all of a run that an earlier document holds, and the parts found in the document that holds it first
     whole = runs.join(firsts.select("key", "run", F.col("doc_id").alias("first")), ["key", "run"])
-    later = whole.where("doc_id > first").select("doc_id", "th", "start", "n")
+    later = whole.where("doc_id > first").select("doc_id", "th", F.array(F.struct("start", "n")).alias("spans"))
     first = whole.where("doc_id = first").select("doc_id", "th", "key", "run", F.col("start").alias("at"))
-    parts = first.join(met, ["key", "run"]).select("doc_id", "th", (F.col("at") + F.col("start")).alias("start"), "n")
-    return later.unionByName(parts).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    parts = first.join(met, ["key", "run"]).select("doc_id", "th", F.transform(
+        "spans", lambda s: F.struct((F.col("at") + s["start"]).alias("start"), s["n"].alias("n"))).alias("spans"))
+    return later.unionByName(parts).groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def _cut(docs: DataFrame, columns: str, cut, window: int, anchor: int) -> DataFrame:
     """`cut(batch, words of each row, mask of the words to remove)` over all rows and their repeats."""
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    joined = rows.join(repeats(docs, window, anchor), ["doc_id", "th"], "left")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"))
+    # the text crosses the shuffle once, inside its row
+    joined = rows.join(repeats(docs, window, anchor), ["doc_id", "th"], "left").select(
+        "row", "doc_id", "spans", F.col("row.text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -261,13 +267,16 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     def cut(batch: pa.RecordBatch, words: list[list[bytes]], gone: list[np.ndarray]) -> pa.RecordBatch:
         out = []
         for text, ws, g in zip(texts(batch), words, gone, strict=True):
-            kept, at, since = [], 0, 0
+            kept, at, since, before = [], 0, 0, False
             for w, x in zip(ws, g.tolist(), strict=True) if g.any() else ():
                 begin = text.index(w, at)
-                if x:
-                    kept.append(text[since:begin])
-                    since = begin + len(w)
                 at = begin + len(w)
+                if x:
+                    # white space inside a removed passage goes with it
+                    if not before:
+                        kept.append(text[since:begin])
+                    since = at
+                before = x
             out.append(b"".join(kept) + text[since:])
         return pa.record_batch({"row": batch.column("row"), "cut": pa.array(out, pa.binary()).cast(pa.string())})
     row = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
