@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from factloom.model import kernel_attributes, registry  # noqa: E402
-from factloom.operators import fold, ingest, profile  # noqa: E402
+from factloom.operators import fold, profile  # noqa: E402
+from factloom.operators.ingest import plan_write  # noqa: E402
 from factloom.plans import load, stored, world  # noqa: E402
 from factloom.sources import log  # noqa: E402
 from factloom.store import FactLog  # noqa: E402
@@ -69,7 +70,7 @@ def main() -> None:
     def commit() -> None:
         """A planned write by lookups: validation, identity, diff, stamp and append."""
         now = FactLog.open(spark, path)
-        plan = ingest.plan_write(stored.shipped(spark, folder), now.state(), now.log(), now.attrs, stored.FIRST_NEW)
+        plan = plan_write(stored.shipped(spark, folder), now.state(), now.log(), now.attrs, stored.FIRST_NEW)
         log.commit(spark, path, plan, 100, datetime(2002, 1, 1))
 
     def stats() -> None:
