@@ -1,6 +1,7 @@
-"""SentencePiece encoding and decoding by streaming Viterbi.
+"""SentencePiece encoding and decoding: streaming Viterbi for unigram models, merges for BPE models.
 
-The encoder reads a text character by character and keeps the best node of each boundary only as
+A BPE model's ids come from its merges (`lattice.Merges`), segment by segment; no best path gives
+them. For a unigram model the encoder reads a text character by character and keeps the best node of each boundary only as
 far back as the longest piece reaches. Whenever the paths of all nodes kept lead back to one
 boundary, everything before it is decided: its ids are committed and let go. See `lattice` for the
 model and the ties.
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.batches import MEMO_WORDS, pieces, received, sent
-from factloom.llm.lattice import BYTE, CONTROL, SPACE, UNKNOWN, UNKNOWN_TEXT, PieceTable, load
+from factloom.llm.lattice import BPE, BYTE, CONTROL, SPACE, UNKNOWN, UNKNOWN_TEXT, Merges, PieceTable, load
 
 #: Longer segments are streamed; others are decided whole, and remembered.
 MOST_REMEMBERED = 64
@@ -122,13 +123,27 @@ class Encoder(dict):
 
     def __init__(self, table: PieceTable) -> None:
         self.table = table
+        self.merges = Merges(table) if table.model_type == BPE else None
+
+    def merged(self, segment: str) -> tuple[int, ...]:
+        """The ids of `segment` under a BPE model."""
+        table, ids = self.table, []
+        for piece in self.merges.cut(segment):
+            hit = table.usable.get(piece)
+            if hit is not None:
+                ids.append(hit[1])
+            elif table.byte_ids:
+                ids += [table.byte_ids[b] for b in piece.encode()]
+            else:
+                ids.append(table.unknown_id)
+        return tuple(ids)
 
     def __missing__(self, segment: str) -> tuple[int, ...]:
         if len(segment) > MOST_REMEMBERED:
-            return tuple(stream(self.table, segment))
+            return self.merged(segment) if self.merges else tuple(stream(self.table, segment))
         if len(self) >= MEMO_WORDS:
             self.clear()
-        found = self[segment] = whole(self.table, segment)
+        found = self[segment] = self.merged(segment) if self.merges else whole(self.table, segment)
         return found
 
     def encode(self, text: str) -> np.ndarray:

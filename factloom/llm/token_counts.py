@@ -1,6 +1,7 @@
-"""Token counts: the number of pieces and the score of a text's best segmentation, without the pieces.
+"""Token counts: the number of pieces and the score of a text's segmentation, without the pieces.
 
-An Aho-Corasick automaton over the vocabulary enumerates the pieces that end at each character; the
+For a BPE model these are the pieces that its merges leave (`lattice.Merges`), and the score is the
+sum of theirs, an unknown character counting as in a unigram model. For a unigram model an Aho-Corasick automaton over the vocabulary enumerates the pieces that end at each character; the
 dynamic programme carries only the best score and its piece count. See `lattice` for the ties.
 """
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.batches import MEMO_WORDS, pieces, received, sent
-from factloom.llm.lattice import PieceTable, load
+from factloom.llm.lattice import BPE, Merges, PieceTable, load
 
 #: Segments longer than this are counted each time, not remembered.
 MOST_REMEMBERED = 64
@@ -29,6 +30,20 @@ class Counter(dict):
         for piece, (score, _) in table.usable.items():
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.merges = Merges(table) if table.model_type == BPE else None
+
+    def merged(self, segment: str) -> tuple[float, int]:
+        """(score, pieces) of `segment` under a BPE model."""
+        table, score, n, open_unknown = self.table, 0.0, 0, False
+        for piece in self.merges.cut(segment):
+            hit = table.usable.get(piece)
+            if hit is not None:
+                score, n, open_unknown = score + hit[0], n + 1, False
+            else:
+                # without byte pieces, neighbouring unknown characters are one piece
+                n += len(piece.encode()) if table.byte_ids else int(not open_unknown)
+                score, open_unknown = score + table.unknown_score * len(piece), True
+        return score, n
 
     def count(self, segment: str) -> tuple[float, int]:
         table, n = self.table, len(segment)
@@ -62,7 +77,7 @@ class Counter(dict):
         return sum(s for s, _ in found), sum(n for _, n in found)
 
     def __missing__(self, segment: str) -> tuple[float, int]:
-        found = self.count(segment)
+        found = self.merged(segment) if self.merges else self.count(segment)
         if len(segment) <= MOST_REMEMBERED:
             if len(self) >= MEMO_WORDS:
                 self.clear()
@@ -71,7 +86,7 @@ class Counter(dict):
 
 
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, score): pieces and score of the best segmentation of each whole text by the model at `path`.
+    """(doc_id, n_tokens, score): pieces and score of the segmentation of each whole text by the model at `path`.
 
     A null or empty text has no pieces and score 0. Repeated rows and null ids give a row each;
     other columns are ignored.

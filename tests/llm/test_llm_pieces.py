@@ -96,3 +96,38 @@ def test_rows_in_spark(spark):
     empty = docs.where("false")
     assert token_counts.count_tokens(empty, MODEL).count() == 0
     assert sentences.encode(empty, MODEL).count() == 0
+
+
+def changed(tmp_path, **kinds):
+    """The given BPE model with some pieces of other types, or of another model type."""
+    with open(MODEL, "rb") as f:
+        model = sentencepiece_model_pb2.ModelProto.FromString(f.read())
+    model.trainer_spec.model_type = kinds.pop("model_type", 2)
+    if not kinds.pop("byte_fallback", True):
+        model.trainer_spec.byte_fallback = False
+        for p in model.pieces:
+            p.type = 1 if p.type == 6 else p.type
+    for p in model.pieces:
+        p.type = kinds.get(p.piece, p.type)
+    path = tmp_path / "changed.model"
+    path.write_bytes(model.SerializeToString())
+    return str(path)
+
+
+@pytest.mark.parametrize("kinds", [{}, {"byte_fallback": False}, {"th": 4, "ing": 4, "er": 5, "▁the": 5, "ion": 5}])
+def test_bpe_files_give_their_own_merges(tmp_path, lines, kinds):
+    path = changed(tmp_path, **kinds) if kinds else MODEL
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    table = lattice.load(path)
+    encoder, counter = sentences.Encoder(table), token_counts.Counter(table)
+    for line in lines:
+        ids = library.encode(line)
+        assert encoder.encode(line).tolist() == ids, line
+        if table.byte_ids:
+            assert counter.total(line)[1] == len(ids), line
+
+
+@pytest.mark.parametrize("model_type", [3, 4])
+def test_other_model_types_are_refused(tmp_path, model_type):
+    with pytest.raises(ValueError, match="not supported"):
+        lattice.load(changed(tmp_path, model_type=model_type))
