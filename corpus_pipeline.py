@@ -11,6 +11,8 @@ from factloom.session import written
 
 #: A document goes if no language holds this much of it.
 LEAST_LANGUAGE_SCORE = 0.4
+#: Near copies share this much of their sets of shingles of so many words.
+SHINGLE_WORDS, LEAST_SIMILARITY = 5, 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component: the one with the smallest doc_id."""
-    return simhash.representatives(docs)
+    return simhash.representatives(docs, lambda rows: simhash.near_copies(rows, SHINGLE_WORDS, LEAST_SIMILARITY))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,20 +9,25 @@ Under each pattern the fingerprints are sorted by Gray rank and a tree is built
 run: a node holds the bits its members share. Pairs of nodes are descended together; differences on
 newly shared bits add up, and a pair of groups is dropped as soon as they exceed the distance or
 all members are linked already. Only one edge per fingerprint leaves a pattern, never all pairs.
+
+`near_copies` links by similarity instead: texts whose shingle sets have Jaccard similarity of at
+least a bound. At 0.8 a fingerprint differs in about ten bits, which no masked pattern survives, so
+the upper nodes are bands of minimum hashes there; the tree under them drops pairs at a wide
+distance, and each pair that is left is decided by its exact sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
-from factloom.llm.batches import pieces, signed, texts
+from factloom.llm.batches import WordHashes, mixed, pieces, shingles, signed, texts
 from factloom.operators.graph import components
 from factloom.session import written
 
@@ -33,6 +38,10 @@ SEED = 42
 SEGMENTS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 #: Patterns shared by more fingerprints than this are refined.
 MOST_UNDER_PATTERN = 4096
+#: Bands of minimum hashes, and hashes in each: at similarity 0.8 two sets share a band with probability 0.99994.
+BANDS, BAND_HASHES = 32, 6
+#: Sets of similarity 0.8 differ in 10 of 64 bits (12 for a few words), five deviations below this.
+SIMILAR_DISTANCE = 28
 _LEAF, _FAN = 16, 8
 _BLOCK = 1 << 16
 
@@ -102,8 +111,11 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def linked_runs(x: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
-    """For fingerprints in Gray order, the index of each one's linked set: its smallest member index."""
+def linked_runs(x: np.ndarray, distance: int = DISTANCE, check: Callable[[int, int], bool] | None = None) -> np.ndarray:
+    """For fingerprints in Gray order, the index of each one's linked set: its smallest member index.
+
+    With `check`, pairs of indices within the distance are linked only if it says so.
+    """
     label = np.arange(len(x))
     levels = _tree(x)
     whole = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -136,7 +148,12 @@ def linked_runs(x: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
         ok = (i < j) & (i < np.repeat(end[a], _LEAF * _LEAF)) & (j < np.repeat(end[b], _LEAF * _LEAF))
         i, j = i[ok], j[ok]
         near = np.bitwise_count(x[i] ^ x[j]) <= distance
-        _merge(label, i[near], j[near])
+        if check is None:
+            _merge(label, i[near], j[near])
+            continue
+        for a, b in zip(i[near].tolist(), j[near].tolist(), strict=True):
+            if label[a] != label[b] and check(a, b):
+                _merge(label, np.array([a]), np.array([b]))
     return label
 
 
@@ -166,6 +183,13 @@ def _refined(fp: Column, key: Column) -> Column:
     return cases
 
 
+def _rank(fp: Column) -> Column:
+    """`gray_rank` as an expression, so that the sort is Spark's."""
+    for s in (1, 2, 4, 8, 16, 32):
+        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, s))
+    return fp
+
+
 def linked_pairs(distinct: DataFrame) -> DataFrame:
     """(src, dst): edges between distinct fingerprints (fp) that connect exactly what links connect."""
     fp = F.col("fp")
@@ -176,12 +200,8 @@ def linked_pairs(distinct: DataFrame) -> DataFrame:
     plain = under.where(F.col("n") <= MOST_UNDER_PATTERN).select("fp", "key", F.lit(0).alias("part"), F.lit(0).cast("long").alias("bits"))
     hot = under.where(F.col("n") > MOST_UNDER_PATTERN).select("fp", "key", F.explode(_refined(fp, F.col("key"))).alias("f")).select(
         "fp", "key", "f.part", "f.bits")
-    # reflected Gray rank as an expression, so that the sort is Spark's
-    rank = fp
-    for s in (1, 2, 4, 8, 16, 32):
-        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, s))
     nodes = plain.unionByName(hot).select("key", "part", "bits", "fp")
-    runs = nodes.repartition("key", "part", "bits").withColumn("rank", rank).sortWithinPartitions("key", "part", "bits", "rank").drop("rank")
+    runs = nodes.repartition("key", "part", "bits").withColumn("rank", _rank(fp)).sortWithinPartitions("key", "part", "bits", "rank").drop("rank")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -234,13 +254,133 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """`docs` with one row of each component: the row of its smallest doc_id.
+def shingle_set(hashes: WordHashes, words: list[bytes], k: int) -> np.ndarray:
+    """The sorted hashes of the distinct `k`-word shingles; a shorter text is one shingle, a blank one has none."""
+    if 0 < len(words) < k:
+        return np.array([xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    return np.unique(shingles(hashes.of(words), k))
+
+
+def band_keys(items: np.ndarray) -> np.ndarray:
+    """A key for each band: sets that share one agree on all minimum hashes of the band."""
+    random = np.random.default_rng(SEED)
+    factors = random.integers(0, 1 << 63, BANDS * BAND_HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
+    weights = random.integers(0, 1 << 63, BAND_HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(len(factors), 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for at in range(0, len(items), 512):
+        np.minimum(least, (items[at:at + 512, None] * factors).min(axis=0), out=least)
+    return mixed((least.reshape(BANDS, BAND_HASHES) * weights).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sets, sorted, have a Jaccard similarity of at least `least`."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return shared >= least * (len(both) - shared)
+
+
+def _described(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, name, same, fp, keys): digests of text and shingle set, the set's fingerprint and bands."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in pieces(batches):
+            same, prints, keys = [], [], []
+            for text in texts(batch):
+                items = shingle_set(hashes, text.lower().split(), k)
+                counts = np.unpackbits(items.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                same.append(xxh3_64_intdigest(items.tobytes()))
+                prints.append(np.packbits(2 * counts > len(items), bitorder="little").view(np.uint64)[0])
+                keys.append(signed(band_keys(items)) if len(items) else np.empty(0, np.int64))
+            offsets = np.r_[0, np.cumsum([len(x) for x in keys])].astype(np.int32)
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "name": batch.column("name"), "same": pa.array(signed(np.array(same, np.uint64))),
+                                   "fp": pa.array(signed(np.array(prints, np.uint64))), "keys": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))})
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _name(text).alias("name"), text.alias("text")).mapInArrow(
+        run, "doc_id long, name string, same long, fp long, keys array<long>")
+
+
+def _name(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def _sets(named: DataFrame, k: int) -> DataFrame:
+    """(name, items): the shingle sets of the texts of `named` (name, text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in pieces(batches):
+            items = [signed(shingle_set(hashes, t.lower().split(), k)) for t in texts(batch)]
+            offsets = np.r_[0, np.cumsum([len(x) for x in items])].astype(np.int32)
+            yield pa.record_batch({"name": batch.column("name"), "items": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(items)))})
+    return named.select("name", "text").mapInArrow(run, "name string, items array<long>")
+
+
+def similar_pairs(groups: DataFrame, least: float) -> DataFrame:
+    """(src, dst): edges that connect what pairs of similarity `least` connect inside each group.
+
+    `groups` is (n, sig, same, fp, items), a group being all rows with one (n, sig).
+    """
+    runs = groups.repartition("n", "sig").withColumn("rank", _rank(F.col("fp"))).sortWithinPartitions("n", "sig", "rank").select("n", "sig", "same", "fp", "items")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held = None, []
+
+        def edges(members: list[tuple[int, int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+            same, prints = np.array([m[0] for m in members], np.int64), np.array([m[1] for m in members], np.int64).view(np.uint64)
+            label = linked_runs(prints, SIMILAR_DISTANCE, lambda a, b: similar(members[a][2], members[b][2], least))
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            return same[moved], same[label[moved]]
+
+        def batch_of(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            none = [np.empty(0, np.int64)]
+            return pa.record_batch({"src": pa.array(np.concatenate([s for s, _ in found] or none)), "dst": pa.array(np.concatenate([d for _, d in found] or none))})
+
+        for batch in batches:
+            n, sig, same, prints = (batch.column(c).to_pylist() for c in ("n", "sig", "same", "fp"))
+            items, found = batch.column("items"), []
+            for i in range(batch.num_rows):
+                if (n[i], sig[i]) != name and held:
+                    found.append(edges(held))
+                    held = []
+                name = n[i], sig[i]
+                # copied, so that no batch is held for one of its rows
+                held.append((same[i], prints[i], items[i].values.to_numpy(zero_copy_only=False).view(np.uint64).copy()))
+            yield batch_of(found)
+        if held:
+            yield batch_of([edges(held)])
+    return runs.mapInArrow(link, "src long, dst long").distinct()
+
+
+def near_copies(docs: DataFrame, words: int, least: float) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of `docs` (doc_id, text): `near_duplicates` by similarity.
+
+    Texts are linked whose sets of `words`-word shingles (A-Z lower-cased) have a Jaccard similarity
+    of at least `least`; `fp` is the fingerprint of the set. Blank texts are copies of each other.
+    """
+    rows = written(_described(docs, words))
+    classes = written(rows.groupBy("same").agg(F.min("doc_id").alias("least"), F.min(F.struct("name", "fp", "keys")).alias("m")).select("same", "least", "m.*"))
+    keyed = classes.select("same", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("same")).alias("sig")).where("n > 1")
+    # bands with the same members are one group
+    members = written(keyed.join(shared, "key").select("n", "sig", "same").distinct())
+    wanted = classes.join(members.select("same").distinct(), "same", "left_semi").select("same", "name", "fp")
+    text = F.col("text").cast("string")
+    named = docs.select(_name(text).alias("name"), text.alias("text")).join(wanted.select("name"), "name", "left_semi").dropDuplicates(["name"])
+    sets = written(_sets(named, words).join(wanted, "name").select("same", "fp", "items"))
+    found = components(similar_pairs(members.join(sets, "same"), least)).select(F.col("e").alias("same"), "root")
+    rooted = classes.join(found, "same", "left").select("same", "least", F.coalesce("root", "same").alias("root"))
+    first = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.select("doc_id", "fp", "same").join(rooted.join(first, "root").select("same", "component_id"), "same").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, near: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+    """`docs` with one row of each component that `near` finds: the row of its smallest doc_id.
 
     Where rows repeat that doc_id, the one with the smallest text stays. Rows without a doc_id are
     all kept, since the rule cannot name them.
     """
-    found = near_duplicates(docs)
+    found = near(docs)
     kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"))
     one = rows.join(kept, "_id", "left_semi").groupBy("_id").agg(F.min_by("row", F.struct(F.col("row.text"))).alias("row"))

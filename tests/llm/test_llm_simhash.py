@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from factloom.llm import simhash
 
 
@@ -88,3 +89,47 @@ def test_documents(spark):
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(set(least.values()))
     assert kept.where("doc_id is null").count() == 1
     assert simhash.near_duplicates(df.where("false")).count() == 0
+
+
+def test_near_copies_by_similarity(spark):
+    r = random.Random(5)
+    texts = {}
+    for base in range(0, 120, 4):
+        words = [f"w{r.randrange(10**6)}" for _ in range(r.choice([3, 5, 30, 120, 600]))]
+        texts[base] = " ".join(words)
+        for n in range(1, 4):
+            # a chain of edits: each a copy of the one before with some words replaced
+            words = list(words)
+            for i in r.sample(range(len(words)), len(words) // r.choice([40, 60, 90])):
+                words[i] = f"x{r.randrange(10**6)}"
+            texts[base + n] = " ".join(words)
+    texts |= {200: None, 201: " ", 202: texts[8].upper(), 203: "one two", 204: "One  two", 205: "one three"}
+    sets = {}
+    for k, t in texts.items():
+        w = (t or "").lower().split()
+        sets[k] = {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+    label = {k: k for k in texts}
+    changed = True
+    while changed:
+        changed = False
+        for a in texts:
+            for b in texts:
+                near = 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])
+                if near and label[a] != label[b]:
+                    label[a] = label[b] = min(label[a], label[b])
+                    changed = True
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(df, 5, 0.8).collect()}
+    assert got == label
+    assert len(set(label.values())) < len(texts) - 40
+    assert simhash.near_copies(df.where("false"), 5, 0.8).count() == 0
+
+
+def test_pipeline_drops_copies_of_similarity_0_8(spark):
+    words = [f"w{i}" for i in range(300)]
+    edited = list(words)
+    for i in (40, 100, 160, 220, 270):
+        edited[i] = "other"
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(edited))], "doc_id long, text string")
+    assert (brute_print(" ".join(words)) ^ brute_print(" ".join(edited))).bit_count() > simhash.DISTANCE
+    assert [x.doc_id for x in corpus_pipeline.simhash_near_dedup(spark, df, "").collect()] == [1]
