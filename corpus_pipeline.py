@@ -41,8 +41,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids) of every document that is left."""
-    return sentences.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    """(doc_id, ids, text) of every document that is left: its piece ids, and the text they decode to."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return sentences.decode(sentences.encode(docs, model), model)
 
 
 STAGES = [
@@ -50,7 +51,7 @@ STAGES = [
     ("SimHash near-dedup", simhash_near_dedup),
     ("substring dedup", substring_dedup),
     ("benchmark decontamination", benchmark_decontamination),
-    ("SentencePiece encoding", sentencepiece_ids),
+    ("SentencePiece encoding and decoding", sentencepiece_ids),
 ]
 #: Fingerprints and Viterbi paths are beyond SQL; the tests compare with brute force.
 ORACLE_SQL = None

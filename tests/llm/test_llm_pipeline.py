@@ -54,3 +54,10 @@ def test_stages_keep_the_columns(spark, folder):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(path)).columns == docs.columns, name
         assert stage(spark, docs.where("false"), str(path)).count() == 0, name
+
+
+def test_last_stage_decodes(spark):
+    docs = spark.createDataFrame([(1, "the  cat\nsat ☃"), (2, None)], "doc_id long, text string")
+    name, stage = corpus_pipeline.STAGES[-1]
+    assert "decoding" in name
+    assert {r.doc_id: r.text for r in stage(spark, docs, "").collect()} == {1: "the  cat\nsat ☃", 2: ""}
