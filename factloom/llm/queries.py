@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, extract, language, rules, sentences, shards, simhash, substring, token_counts, token_store
+from factloom.llm import centroids, decontaminate, extract, language, negatives, neighbours, rules, sentences, shards, simhash, substring, token_counts, token_store
 from factloom.session import ensure_checkpoint_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -113,6 +113,64 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return extract.extract(spark.read.parquet(f"{folder}/pages.parquet"))
 
 
+def embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/embeddings.parquet")
+
+
+def op11_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector's cluster of eight after ten rounds, its distance, and each cluster's inertia and centroid."""
+    return centroids.summarised(centroids.cluster(embeddings(spark, folder), k=8, rounds=10, dims=64, scale=1024))
+
+
+def _op11_sql(k: int = 8, rounds: int = 10, dims: int = 64) -> str:
+    """The rounds one after the other: each assigns, then replaces centroids."""
+    def far(v: str, c: str) -> str:
+        return f"list_sum(list_transform(range(1, {dims + 1}), lambda j: ({v}[j] - {c}[j]) * ({v}[j] - {c}[j])))::BIGINT"
+
+    def assigned(n: int) -> str:
+        return (f"a{n} AS MATERIALIZED (SELECT r, vec_id, x, min(struct_pack(d := d, k := k)) AS m FROM "
+                f"(SELECT v.r, v.vec_id, v.x, c.k, {far('v.x', 'c.c')} AS d FROM v, c{n} c) GROUP BY r, vec_id, x)")
+
+    def moved(n: int) -> str:
+        return (f"s{n} AS (SELECT k, j, (s - (((s % n) + n) % n)) // n AS f FROM (SELECT m.k AS k, j, sum(x[j])::BIGINT AS s, count(*) AS n "
+                f"FROM a{n}, range(1, {dims + 1}) t(j) GROUP BY 1, 2)), "
+                f"g{n} AS (SELECT k, list(f ORDER BY j) AS c FROM s{n} GROUP BY k), "
+                f"c{n + 1} AS MATERIALIZED (SELECT c{n}.k, coalesce(g{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN g{n} USING (k))")
+    steps = [part for n in range(rounds) for part in (assigned(n), moved(n))] + [assigned(rounds)]
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), x) - 1 AS k, x AS c FROM v QUALIFY k < {k}),
+{", ".join(steps)}
+SELECT vec_id, m.k::INT AS cluster, m.d AS distance, sum(m.d) OVER (PARTITION BY m.k)::BIGINT AS cluster_inertia, sum(m.d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(c.c, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON c.k = a.m.k"""
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """The hard negatives of every hundredth vector and its positives, some labels shifted first."""
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(embeddings(spark, folder).withColumn("label", shifted))
+
+
+OP12_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS mine, v.vec_id, v.label, list_sum(list_transform(range(1, len(a.x) + 1), lambda j: a.x[j] * v.x[j]))::BIGINT AS score
+  FROM v a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, mine, vec_id AS positive_id, score AS positive_score FROM s WHERE label = mine
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id, mine) WHERE label <> mine AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5"""
+
+
+def op13_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest found of every fiftieth vector, by cosine."""
+    return neighbours.nearest(embeddings(spark, folder))
+
+
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_benchmark_decontamination, op3_language_id, op4_token_counts, op5_token_store, op6_sentencepiece,
-                                  op7_sharding, op8_simhash_near_dedup, op9_quality_rules, op10_html_extraction)}
-ORACLES = {"op1_substring_dedup": OP1_SQL, "op2_benchmark_decontamination": OP2_SQL}
+                                  op7_sharding, op8_simhash_near_dedup, op9_quality_rules, op10_html_extraction,
+                                  op11_centroid_clustering, op12_hard_negatives, op13_nearest_neighbours)}
+ORACLES = {"op1_substring_dedup": OP1_SQL, "op2_benchmark_decontamination": OP2_SQL, "op11_centroid_clustering": _op11_sql(), "op12_hard_negatives": OP12_SQL}
