@@ -44,6 +44,13 @@ def received(held: Broadcast):
     return pickle.loads(held.value)
 
 
+def made_once(held: Broadcast, make):
+    """`make` of the value, made by a worker's first task and kept with the broadcast for its others; its memos must be bounded."""
+    if not hasattr(held, "made"):
+        held.made = make(received(held))
+    return held.made
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The UTF-8 bytes of each row; a null text is empty."""
     return [b"" if x is None else x for x in batch.column(column).cast(pa.binary()).to_pylist()]

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from itertools import accumulate, chain, count
+from itertools import accumulate, chain
 from unicodedata import is_normalized
 
 import numpy as np
@@ -24,13 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.batches import MEMO_WORDS, pieces, received, sent, texts
+from factloom.llm.batches import made_once, pieces, sent, texts
 
 BLOCK_IDS = 1 << 16
 #: Ids after which a chunk is closed, at the end of a document.
 CHUNK_IDS = 1 << 20
 LEVEL = 1
 PLANES = ("byte", "bit")
+#: Words a worker remembers before it forgets the rare ones.
+MEMO_WORDS = 600_000
 CHUNKS = ("part int, chunk int, docs_in_part long, ids_in_part long, n_docs long, n_ids long, first_doc long, "
           "doc_ids binary, lengths binary, planes string, sizes binary, data binary")
 
@@ -65,18 +67,30 @@ def unpack(sizes: np.ndarray, data: bytes, n_ids: int, planes: str = "byte") ->
     return np.concatenate(out or [np.empty(0, "<u4")])
 
 
+class _Slots(dict):
+    """A number for each word, in the order they are first asked for; the new ones are noted."""
+
+    def __init__(self) -> None:
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class WordEncoder:
     """Ids by whole text, for tokenizers of which no token crosses white space.
 
     Such a tokenizer gives a text the ids of its white-space-separated words, one after the other,
-    so each word is encoded once. Most words are letters with marks behind. If the tokenizer turns
-    letters to small ones and parts them from marks (tried on `PROBES` first), letters and marks
-    are looked up apart, and a run of letters, being one piece before merging, goes straight to the
-    merges. All else takes the tokenizer's whole way.
+    so each word is encoded once and remembered. Most words are letters with marks behind. If the
+    tokenizer turns letters to small ones and parts them from marks (tried on `PROBES` first), the
+    letters are encoded apart from marks, and a run of letters, being one piece before merging, goes
+    straight to the merges. All else takes the tokenizer's whole way.
     """
 
     MARKS = b".,!?;:*#%&$"
-    PROBES = ("word", "Word.", "WORD,,", "étés!?", "ÉTÉ***", "straße:", "Ñandú;", "мир.", "don't", "İx.", "e\u0301x.", "x1.", "1.", "...", "<|endoftext|>.", "<|ENDOFTEXT|>", "日本!", "a.b.")
+    PROBES = ("word", "Word.", "WORD,,", "étés!?", "ÉTÉ***", "straße:", "Ñandú;", "мир.", "don't", "İx.", "İ.", "SEVGİ!", "e\u0301x.", "x1.", "1.", "...", "<|endoftext|>.", "<|ENDOFTEXT|>", "日本!", "a.b.")
 
     def __init__(self, tokenizer_json: str) -> None:
         # one core a task: the library's own threads would take others' cores, and memory for each
@@ -84,72 +98,101 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.letters = _Letters(self.tokenizer)
+        self.letters, self.before_marks = _Letters(self.tokenizer), _BeforeMarks(self.tokenizer)
         self._new()
-        self.parts = True
+        self.parts, self.plain = True, False
         self.parts = all(self.encode([w.encode()])[0].tolist() == self.tokenizer.encode(w, add_special_tokens=False).ids for w in self.PROBES)
+        small = "abcdefghijklmnopqrstuvwxyz"
+        #: Whether small letters of ASCII are themselves to the merges.
+        self.plain = self.parts and small.translate(self.letters) == small
         self._new()
 
     def _new(self) -> None:
-        # piece 0 is empty: the marks of a word without any
-        self.known: dict[bytes, int] = {b"": 0}
-        self.ids = np.empty(0, np.uint32)
-        self.start, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.slots, self.known = _Slots(), {}
+        self.ids, self.start, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def _pieces_of(self, word: bytes) -> tuple[bytes, bytes]:
+    def _parted(self, word: bytes) -> tuple[bytes, bytes]:
+        """Letters and the marks behind them, or the whole word."""
         if not self.parts or b"<|" in word:
             return word, b""
         core = word.rstrip(self.MARKS)
-        if len(core) == len(word):
-            return word.lower(), b""
-        # marks behind anything but a letter may belong to it
-        if core[-1:].isalpha() or core[-4:].decode(errors="ignore")[-1:].isalpha():
+        if core and (len(core) == len(word) or core[-1:].isalpha() or self.before_marks[core[-4:].decode(errors="ignore")[-1:]]):
             return core.lower(), word[len(core):]
         return word, b""
 
     def _learn(self, words: list[bytes]) -> None:
-        merges, found, rest = self.tokenizer.model.tokenize, [], []
+        known, merges, marks, parted, rest = self.known, self.tokenizer.model.tokenize, self.MARKS, [], []
         for word in words:
-            text = word.decode()
+            core = word.rstrip(marks)
+            # letters of ASCII, in front of marks or alone
+            if self.plain and core.isalpha():
+                core = core.lower()
+                if core not in known:
+                    known[core] = [t.id for t in merges(core.decode())]
+                parted.append((core, word[len(core):]))
+            else:
+                parted.append(self._parted(word))
+        for piece in dict.fromkeys(chain.from_iterable(parted)):
+            if piece in known:
+                continue
+            text = piece.decode()
             if self.parts and text.isalpha() and is_normalized("NFC", text):
                 try:
-                    found.append((word, [t.id for t in merges(text.translate(self.letters))]))
+                    known[piece] = [t.id for t in merges(text.translate(self.letters))]
                     continue
                 except ValueError:
                     pass
-            rest.append(word)
+            rest.append(piece)
         for at in range(0, len(rest), 1024):
             part = rest[at:at + 1024]
             whole = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            found += zip(part, (x.ids for x in whole), strict=True)
-        if not found:
-            return
-        sizes = np.fromiter((len(ids) for _, ids in found), np.int64, len(found))
+            known.update(zip(part, (x.ids for x in whole), strict=True))
+        found = [known[a] + known[b] if b else known[a] for a, b in parted]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(sizes) - sizes])
         self.size = np.concatenate([self.size, sizes])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids for _, ids in found), np.uint32, int(sizes.sum()))])
-        self.known.update(zip((word for word, _ in found), range(len(self.known), len(self.known) + len(found)), strict=True))
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
+
+    def _forget(self, at: np.ndarray) -> None:
+        """Keeps what the last texts hold several times, whose words are `at`."""
+        often = np.flatnonzero(np.bincount(at, minlength=len(self.slots)) >= 3)
+        words = list(self.slots)
+        kept = _Slots()
+        kept.update(zip((words[n] for n in often), range(len(often)), strict=True))
+        sizes, start = self.size[often], self.start[often]
+        self.ids = self.ids[np.repeat(start - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+        self.slots, self.size, self.start, self.known = kept, sizes, np.cumsum(sizes) - sizes, {}
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, ids of each)."""
-        if len(self.known) > MEMO_WORDS:
-            self._new()
         split = [t.split() for t in texts]
-        words = list(chain.from_iterable(split))
-        distinct = dict(zip(dict.fromkeys(words), count(), strict=False))
-        # two pieces a word, the marks' often empty
-        parted = list(chain.from_iterable(map(self._pieces_of, distinct)))
-        self._learn(list(set(parted) - self.known.keys()))
-        pieces_of = np.fromiter(map(self.known.__getitem__, parted), np.int64, len(parted)).reshape(-1, 2)
-        pairs = pieces_of[np.fromiter(map(distinct.__getitem__, words), np.int64, len(words))]
-        per_word = self.size[pairs].sum(axis=1)
-        index = pairs.ravel()
-        index = index[index > 0]
-        sizes = self.size[index]
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        at = np.fromiter(map(self.slots.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        if self.slots.fresh:
+            self._learn(self.slots.fresh)
+            self.slots.fresh = []
+        sizes = self.size[at]
         ends = np.cumsum(sizes)
-        # position of each id: its piece's start, plus how far into the piece it is
-        ids = self.ids[np.repeat(self.start[index] - (ends - sizes), sizes) + np.arange(sizes.sum())]
-        return ids, np.diff(np.r_[0, np.cumsum(per_word)][np.r_[0, np.cumsum([len(ws) for ws in split])]])
+        # position of each id: its word's start, plus how far into the word it is
+        ids = self.ids[np.repeat(self.start[at] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        if len(self.slots) > MEMO_WORDS:
+            self._forget(at)
+        return ids, np.diff(np.r_[0, ends][np.r_[0, np.cumsum(counts)]])
+
+
+class _BeforeMarks(dict):
+    """Whether the tokenizer parts marks from a character before them; it may turn a letter into more than letters."""
+
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer = tokenizer
+
+    def __missing__(self, char: str) -> bool:
+        normal, pieces = self.tokenizer.normalizer, []
+        if char.isalpha():
+            text = f"a{char}."
+            pieces = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal.normalize_str(text) if normal else text)]
+        self[char] = len(pieces) == 2 and pieces[1] == "."
+        return self[char]
 
 
 class _Letters(dict):
@@ -183,7 +226,7 @@ def write(docs: DataFrame, folder: str, tokenizer_json: str, end_id: int, planes
     dealt = rows.repartitionByRange(*([parts] if parts else []), *keys).sortWithinPartitions(*keys, "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, chunk, n_docs, n_ids = WordEncoder(received(shipped)), TaskContext.get().partitionId(), 0, 0, 0
+        encoder, part, chunk, n_docs, n_ids = made_once(shipped, WordEncoder), TaskContext.get().partitionId(), 0, 0, 0
         docs_held: list[pa.Array] = []
         ids_held: list[np.ndarray] = []
         lengths_held: list[np.ndarray] = []

@@ -1,5 +1,7 @@
 """Token stores: exact round trips of planes, and of documents against the tokenizers library."""
 
+from unicodedata import normalize
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -20,6 +22,26 @@ def test_planes_round_trip(planes, n):
     assert (token_store.unpack(sizes, data, n, planes) == ids).all()
 
 
+def test_ids_of_letters_that_change_and_of_marks():
+    """Every letter whose cases or normal form have other lengths, behind and before each mark, is encoded as the library does."""
+    letters = [c for c in map(chr, range(0x80, 0x30000)) if c.isalpha() and (len(c.lower()) > 1 or len(c.upper()) > 1 or (c > "\uffff" or c < "\u3400") and normalize("NFC", c) != c)]
+    letters += [chr(c) for c in range(0x300, 0x370)]
+    words = [f"{a}{c}{m}{b}" for n, c in enumerate(letters) for m in (token_store.WordEncoder.MARKS.decode()[n % 11], ".") for a, b in (("x", ""), ("", "y"), ("SEVG", "."))]
+    encoder, library = token_store.WordEncoder(TOKENIZER), Tokenizer.from_str(TOKENIZER)
+    ids, sizes = encoder.encode([w.encode() for w in words])
+    want = [x.ids for x in library.encode_batch(words, add_special_tokens=False)]
+    assert encoder.parts and ids.tolist() == [i for ids in want for i in ids] and sizes.tolist() == list(map(len, want))
+
+
+def test_forgetting_changes_nothing(monkeypatch):
+    monkeypatch.setattr(token_store, "MEMO_WORDS", 20)
+    encoder, library = token_store.WordEncoder(TOKENIZER), Tokenizer.from_str(TOKENIZER)
+    for n in range(30):
+        texts = [f"the word{k % 9}, of It. the the new{k * n} {k}" for k in range(25)]
+        ids, sizes = encoder.encode([t.encode() for t in texts])
+        assert ids.tolist() == [i for x in library.encode_batch(texts, add_special_tokens=False) for i in x.ids] and len(encoder.slots) < 500
+
+
 @pytest.mark.parametrize("planes", token_store.PLANES)
 def test_store_round_trip(spark, tmp_path, monkeypatch, planes):
     monkeypatch.setattr(token_store, "CHUNK_IDS", 300)
