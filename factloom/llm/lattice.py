@@ -20,6 +20,8 @@ UNKNOWN_PENALTY = 10.0
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_TEXT = " ⁇ "
+#: Symbols of a segment that is merged without an agenda, and the order of a pair that is no piece.
+SHORT, NEVER = 40, float("inf")
 
 
 @dataclass
@@ -41,11 +43,14 @@ class PieceTable:
     endings: dict[str, tuple[float, int] | None] = field(init=False)
     longest: int = field(init=False)
     cuts: re.Pattern = field(init=False)
+    #: Neighbouring characters inside pieces; every segmentation has a boundary between any others.
+    inside: frozenset[str] = field(init=False)
 
     def __post_init__(self) -> None:
         self.endings = {p[i:]: None for p in self.usable for i in range(1, len(p))} | self.usable
         self.longest = max(map(len, self.usable), default=1)
         formed = self.usable | self.unused
+        self.inside = frozenset(p[i:i + 2] for p in formed for i in range(len(p) - 1))
         crossing = any(SPACE in p.lstrip(SPACE) for p in formed)
         alone = bool(self.byte_ids) and not any("\n" in p for p in formed)
         # every path passes the boundary before a space that follows text, unless a piece crosses it;
@@ -80,6 +85,8 @@ class Merges:
     def cut(self, segment: str) -> list[str]:
         """Pieces and unknown characters of `segment`, in order."""
         parts = self.symbols(segment)
+        if len(parts) <= SHORT and not self.fixed:
+            return self._short(parts)
         n, order, fixed = len(parts), self.order, self.fixed
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda = []
@@ -108,6 +115,24 @@ class Merges:
         parts = [p for p in parts if p]
         return [q for p in parts for q in self._split(p, formed)] if formed else parts
 
+    def _short(self, parts: list[str]) -> list[str]:
+        """`cut` of few symbols: the best pair is looked for in a list each time, which takes less than an agenda."""
+        find, unused, formed = self.order.get, self.unused, {}
+        order = [find(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while order and (best := min(order)) != NEVER:
+            # the leftmost of equals
+            i = order.index(best)
+            pair = parts[i] + parts[i + 1]
+            if pair in unused:
+                formed[pair] = parts[i], parts[i + 1]
+            parts[i] = pair
+            del parts[i + 1], order[i]
+            if i < len(order):
+                order[i] = find(pair + parts[i + 1], NEVER)
+            if i:
+                order[i - 1] = find(parts[i - 1] + pair, NEVER)
+        return [q for p in parts for q in self._split(p, formed)] if formed else parts
+
     def _split(self, piece: str, formed: dict[str, tuple[str, str]]) -> list[str]:
         """`piece`, or what it was formed of if it is no result."""
         if piece not in formed:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.batches import MEMO_WORDS, pieces, received, sent
+from factloom.llm.batches import MEMO_WORDS, made_once, pieces, sent
 from factloom.llm.lattice import BPE, BYTE, CONTROL, SPACE, UNKNOWN, UNKNOWN_TEXT, Merges, PieceTable, load
 
 #: Longer segments are streamed; others are decided whole, and remembered.
@@ -124,11 +124,18 @@ class Encoder(dict):
     def __init__(self, table: PieceTable) -> None:
         self.table = table
         self.merges = Merges(table) if table.model_type == BPE else None
+        self.id_of = {p: i for p, (_, i) in table.usable.items()}
+        #: What was remembered before the memo was half full.
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merged(self, segment: str) -> tuple[int, ...]:
         """The ids of `segment` under a BPE model."""
+        cut = self.merges.cut(segment)
+        found = tuple(map(self.id_of.get, cut))
+        if None not in found:
+            return found
         table, ids = self.table, []
-        for piece in self.merges.cut(segment):
+        for piece in cut:
             hit = table.usable.get(piece)
             if hit is not None:
                 ids.append(hit[1])
@@ -141,9 +148,20 @@ class Encoder(dict):
     def __missing__(self, segment: str) -> tuple[int, ...]:
         if len(segment) > MOST_REMEMBERED:
             return self.merged(segment) if self.merges else tuple(stream(self.table, segment))
-        if len(self) >= MEMO_WORDS:
+        found = self.older.get(segment)
+        if found is None:
+            # characters at the end that no piece joins to what is before them, as most marks
+            end, inside = len(segment), self.table.inside
+            while end > 1 and segment[end - 2:end] not in inside:
+                end -= 1
+            if end < len(segment):
+                found = tuple(chain(self[segment[:end]], *map(self.__getitem__, segment[end:])))
+            else:
+                found = self.merged(segment) if self.merges else whole(self.table, segment)
+        if len(self) >= MEMO_WORDS // 2:
+            self.older = dict(self)
             self.clear()
-        found = self[segment] = self.merged(segment) if self.merges else whole(self.table, segment)
+        self[segment] = found
         return found
 
     def encode(self, text: str) -> np.ndarray:
@@ -177,7 +195,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     shipped = sent(docs, load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(received(shipped))
+        encoder = made_once(shipped, Encoder)
         for batch in pieces(batches, most=PIECE_BYTES):
             ids = [encoder.encode(t or "") for t in batch.column("text").to_pylist()]
             offsets = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
@@ -190,7 +208,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     shipped = sent(encoded, load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(received(shipped))
+        decoder = made_once(shipped, Decoder)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.batches import MEMO_WORDS, pieces, received, sent
+from factloom.llm.batches import MEMO_WORDS, made_once, pieces, sent
 from factloom.llm.lattice import BPE, Merges, PieceTable, load
 
 #: Segments longer than this are counted each time, not remembered.
@@ -94,7 +94,7 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     shipped = sent(docs, load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(received(shipped))
+        counter = made_once(shipped, Counter)
         for batch in pieces(batches):
             found = [counter.total(text or "") for text in batch.column("text").to_pylist()]
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_tokens": pa.array([n for _, n in found], pa.int64()),
