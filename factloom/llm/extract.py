@@ -34,8 +34,12 @@ BAD_WORDS = frozenset("ad ads alert announcement advert adverts advertisement ad
                       "footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promotion recommended "
                       "related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split())
 GOOD_WORDS = frozenset("article articlebody body content entry main maincontent post story text".split())
+#: First words of names that say how an element is laid out or filed, not what it is.
+STATE_WORDS = frozenset("category disable disabled format has hide is js lang no not show status tag tagged with without".split())
+#: Tags that are content whatever else their names say.
+CONTENT_TAGS = frozenset(["article", "main"])
 #: Log-odds of content for each kind of ancestor.
-TAG_ODDS = {"article": 5.0, "main": 4.0, "nav": -12.0, "aside": -12.0, "footer": -12.0, "form": -12.0, "menu": -12.0, "dialog": -12.0, "fieldset": -12.0}
+TAG_ODDS = {"p": 1.0, "article": 5.0, "main": 4.0, "nav": -12.0, "aside": -12.0, "footer": -12.0, "form": -12.0, "menu": -12.0, "dialog": -12.0, "fieldset": -12.0}
 HEADER, HEADER_IN_ARTICLE, BAD_NAME, GOOD_NAME, HEADING = -12.0, -1.0, -12.0, 2.0, 1.0
 #: Capacity between neighbours in the page (divided by their distance in the tree), and to the container.
 NEXT, CONTAINER = 2.0, 0.5
@@ -43,6 +47,8 @@ NEXT, CONTAINER = 2.0, 0.5
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Differences of capacities that are rounding.
+_LEAST = 1e-9
 
 
 @dataclass
@@ -69,16 +75,27 @@ def _opened(tag: str, attributes: str, parent: Element | None) -> Element:
     inside = parent is not None and parent.in_article
     odds = (HEADER_IN_ARTICLE if inside else HEADER) if tag == "header" else TAG_ODDS.get(tag, 0.0)
     if attributes and tag not in ("html", "body"):
-        words = {w.lower() for value in _NAMES.findall(attributes) for w in _PART.findall(unescape(value))}
-        if words & BAD_WORDS:
-            odds += BAD_NAME
-        elif words & GOOD_WORDS:
-            odds += GOOD_NAME
+        odds += _named(tag, attributes)
     if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
         odds += HEADING
     return Element(tag, parent, parent.depth + 1 if parent else 0, odds + (parent.odds if parent else 0.0), inside or tag == "article")
 
 
+def _named(tag: str, attributes: str) -> float:
+    """What the names of an element speak for: a bad one only where neither its tag nor another name says content.
+
+    A name is bad if any of its words is (`comment-list`), unless the first tells a state
+    (`no-comments`, `with-sidebar`); it is good if it is a good word, or all its words are.
+    """
+    names = [[w.lower() for w in _PART.findall(name)] for value in _NAMES.findall(attributes) for name in unescape(value).strip("\"'").split()]
+    names = [words for words in names if words and words[0] not in STATE_WORDS]
+    if any(GOOD_WORDS.issuperset(words) for words in names):
+        return GOOD_NAME
+    if tag not in CONTENT_TAGS and any(not BAD_WORDS.isdisjoint(words) for words in names):
+        return BAD_NAME
+    return GOOD_NAME if any(not GOOD_WORDS.isdisjoint(words) and BAD_WORDS.isdisjoint(words) for words in names) else 0.0
+
+
 def blocks(html: str) -> list[Block]:
     """The blocks with text of a page, in order; a tag that the page's end cuts off is markup."""
     root = Element("", None, 0, 0.0, False)
@@ -222,7 +239,12 @@ def minimum_cut(odds: list[float], near: list[dict[int, float]]) -> list[bool]:
 
 
 def _flow_side(rest: list[int], odds: list[float], near: list[dict[int, float]]) -> set[int]:
-    """The nodes that residual capacity reaches from the source (-1) after a maximum flow to the sink (-2)."""
+    """The nodes that residual capacity reaches from the source (-1) after a maximum flow to the sink (-2).
+
+    Flow is sent in phases: levels by distance from the source first, then along edges that go one
+    level on until none does, each edge being given up once it leads nowhere. A phase looks at
+    every edge a few times, and a phase's paths are longer than those of the one before.
+    """
     left: dict[int, dict[int, float]] = {i: dict(near[i]) for i in rest} | {-1: {}, -2: {}}
     for i in rest:
         if odds[i] > 0:
@@ -230,23 +252,40 @@ def _flow_side(rest: list[int], odds: list[float], near: list[dict[int, float]])
         elif odds[i] < 0:
             left[i][-2], left[-2][i] = -odds[i], 0.0
     while True:
-        before, queue = {-1: -1}, deque([-1])
-        while queue and -2 not in before:
-            i = queue.popleft()
-            for j, capacity in left[i].items():
-                if capacity > 1e-9 and j not in before:
-                    before[j] = i
-                    queue.append(j)
-        if -2 not in before:
-            return set(before) - {-1}
-        path, j = [], -2
-        while j != -1:
-            path.append((before[j], j))
-            j = before[j]
-        flow = min(left[i][j] for i, j in path)
-        for i, j in path:
-            left[i][j] -= flow
-            left[j][i] = left[j].get(i, 0.0) + flow
+        level, edge = {-1: 0}, [-1]
+        while edge and -2 not in level:
+            further = []
+            for i in edge:
+                for j, capacity in left[i].items():
+                    if capacity > _LEAST and j not in level:
+                        level[j] = level[i] + 1
+                        further.append(j)
+            edge = further
+        if -2 not in level:
+            return set(level) - {-1}
+        ways, at = {i: list(left[i]) for i in level}, dict.fromkeys(level, 0)
+        path = [-1]
+        while path:
+            i = path[-1]
+            if i == -2:
+                steps = list(zip(path, path[1:], strict=False))
+                flow = min(left[a][b] for a, b in steps)
+                for a, b in steps:
+                    left[a][b] -= flow
+                    left[b][a] = left[b].get(a, 0.0) + flow
+                # on from before the first edge that is full
+                del path[next(n for n, (a, b) in enumerate(steps) if left[a][b] <= _LEAST) + 1:]
+                continue
+            mine, k = ways[i], at[i]
+            while k < len(mine) and not (left[i][mine[k]] > _LEAST and level.get(mine[k]) == level[i] + 1):
+                k += 1
+            at[i] = k
+            if k < len(mine):
+                path.append(mine[k])
+            else:
+                path.pop()
+                if path:
+                    at[path[-1]] += 1
 
 
 def labelled(html: str) -> list[tuple[str, bool]]:

@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import pytest
+
 from factloom.llm import extract
 
 PROSE = "A paragraph of the article that goes on for some time, as paragraphs of articles do, until it ends."
@@ -41,6 +43,32 @@ def test_pages_without_an_article_tag():
     assert extract.main_text(page) == f"{PROSE} Mid. {PROSE}"
 
 
+@pytest.mark.parametrize("page", ['<main class="with-sidebar">{}</main>', '<article class="post category-notices tag-social">{}</article>', '<div id="content" class="no-comments">{}</div>',
+                                  '<div class="page has-share">{}</div>', '<div class="main-content sidebar">{}</div>', "<body>{}</body>"])
+def test_names_that_tell_a_state_lose_nothing(page):
+    assert extract.main_text(page.format(f"<p>{PROSE}</p><p>Hello there</p>")) == f"{PROSE} Hello there"
+
+
+@pytest.mark.parametrize("name", ["comment-list", "post-comments", "shareButtons", "widget related-posts", "cookie_banner", "ad", "site-footer"])
+def test_names_of_boilerplate(name):
+    assert extract.main_text(f'<article><p>{PROSE}</p><div class="{name}"><p>{PROSE}</p></div></article>') == PROSE
+
+
+def test_long_undecided_runs():
+    """Blocks that only the flow can decide; a chain of them has the labels that a pass along it gives."""
+    r = random.Random(1)
+    for n in (300, 20_000):
+        odds = [r.choice([-0.5, 0.5, 0.8, -0.8, 1.2]) for _ in range(n)]
+        near = [{j: 2.0 for j in (i - 1, i + 1) if 0 <= j < n} for i in range(n)]
+        # least cost of a prefix that ends in boilerplate, in content
+        low, high = max(odds[0], 0), max(-odds[0], 0)
+        for o in odds[1:]:
+            low, high = min(low, high + 2) + max(o, 0), min(high, low + 2) + max(-o, 0)
+        side = extract.minimum_cut(odds, near)
+        cost = sum(max(-o, 0) if s else max(o, 0) for o, s in zip(odds, side, strict=True)) + 2 * sum(a != b for a, b in itertools.pairwise(side))
+        assert abs(cost - min(low, high)) < 1e-6
+
+
 def test_odd_markup():
     assert extract.main_text("") == ""
     assert extract.main_text("<nav>a</nav>") == ""
