@@ -306,27 +306,71 @@ def excision_facts(wanted: DataFrame, stamps: DataFrame) -> DataFrame:
             .unionByName(rows(stamps, "fs/at", "v_instant", F.col("at"), "id")))
 
 
-def evolution_errors(requests: DataFrame, attrs: DataFrame, state: DataFrame) -> DataFrame:
-    """(ident, code) of schema changes that are not allowed.
+#: The kernel attribute of each field of a registry entry that may change.
+FIELDS = {"cardinality": KERNEL["fs/cardinality"], "unique": KERNEL["fs/unique"], "doc": KERNEL["fs/doc"]}
+REPLACED_BY = KERNEL["fs/replaced_by"]
+
+
+def evolution_codes(requests: DataFrame, attrs: DataFrame, state: DataFrame) -> DataFrame:
+    """`requests` (ident, field, value, …) with `code`: why the change is not allowed, or NULL.
 
-    `requests` is (ident, field, value) with field cardinality, unique or doc. Cardinality goes one
-    to many only; uniqueness none to identity only, and only if no key is on two entities.
+    Cardinality goes one to many only; uniqueness none to identity only, and only if no key is on
+    two entities. What holds already is allowed. Another field than cardinality, unique or doc is not.
     """
-    r = requests.join(attrs, "ident", "left")
-    keys = state.join(r.where("field = 'unique' and value = 'identity'").select(F.col("id").alias("a")).distinct(), "a",
+    known = attrs.select("ident", F.col("id").alias("_id"), F.col("type").alias("_type"), F.col("cardinality").alias("_cardinality"), F.col("uniq").alias("_unique"), F.col("doc").alias("_doc"))
+    r = requests.join(known, "ident", "left")
+    keys = state.join(r.where("field = 'unique' and value = 'identity'").select(F.col("_id").alias("a")).distinct(), "a",
                       "left_semi").select("a", key_column().alias("key"), "e").distinct()
     shared = keys.groupBy("a", "key").agg(F.count("*").alias("n")).groupBy("a").agg(
-        F.bool_or(F.col("n") > 1).alias("shared"), F.bool_or(F.length("key") > MAX_KEY_LENGTH).alias("long"))
-    r = r.join(shared.withColumnRenamed("a", "id"), "id", "left")
-    code = (F.when(F.col("id").isNull(), "unknown")
+        F.bool_or(F.col("n") > 1).alias("_shared"), F.bool_or(F.length("key") > MAX_KEY_LENGTH).alias("_long"))
+    r = r.join(shared.withColumnRenamed("a", "_id"), "_id", "left")
+    held = F.when(F.col("field") == "cardinality", F.col("_cardinality")).when(F.col("field") == "unique", F.col("_unique")).when(F.col("field") == "doc", F.col("_doc"))
+    code = (F.when(F.col("_id").isNull(), "unknown")
             .when(F.col("ident").startswith("fs/"), "kernel")
+            .when(~F.coalesce(F.col("field").isin(*FIELDS), F.lit(False)), "field")
+            .when(F.col("value").isNull(), "value")
+            .when(F.col("value") == held, None)
             .when((F.col("field") == "cardinality") & (F.col("value") != "many"), "one to many only")
             .when((F.col("field") == "unique") & (F.col("value") != "identity"), "none to identity only")
-            .when((F.col("field") == "unique") & (F.col("type") == "boolean"), "boolean identity")
-            .when((F.col("field") == "unique") & F.col("shared"), "shared keys")
-            .when((F.col("field") == "unique") & F.col("long"), "long keys")
+            .when((F.col("field") == "unique") & (F.col("_type") == "boolean"), "boolean identity")
+            .when((F.col("field") == "unique") & F.col("_shared"), "shared keys")
+            .when((F.col("field") == "unique") & F.col("_long"), "long keys")
             .when((F.col("field") == "doc") & ((F.trim("value") == "") | F.col("value").contains("\n")), "doc"))
-    return r.select("ident", code.alias("code")).where(F.col("code").isNotNull())
+    return r.select(*requests.columns, code.alias("code"))
+
+
+def evolution_errors(requests: DataFrame, attrs: DataFrame, state: DataFrame) -> DataFrame:
+    """(ident, code) of schema changes `requests` (ident, field, value) that are not allowed."""
+    return evolution_codes(requests, attrs, state).where(F.col("code").isNotNull()).select("ident", "code")
+
+
+def schema_errors(changes: DataFrame, attrs: DataFrame, state: DataFrame) -> DataFrame:
+    """(e, a, code) of changes to attributes that break the rules of evolution and of replacement."""
+    from factloom.operators.vocabulary import replacement_errors
+
+    names = attrs.select(F.col("id").alias("e"), "ident")
+    asserted = changes.where(F.col("op") & F.col("a").isin(REPLACED_BY, *FIELDS.values())).join(names, "e", "left").withColumn("ident", F.coalesce("ident", F.lit("")))
+    field = None
+    for name, a in FIELDS.items():
+        field = F.when(F.col("a") == a, name) if field is None else field.when(F.col("a") == a, name)
+    requests = asserted.where(F.col("a") != REPLACED_BY).select("e", "a", "ident", field.alias("field"), F.col("v_string").alias("value"))
+    evolved = evolution_codes(requests, attrs, state).where(F.col("code").isNotNull()).select("e", "a", "code")
+    moved = asserted.where(F.col("a") == REPLACED_BY).join(attrs.select(F.col("id").alias("v_ref"), F.col("ident").alias("other")), "v_ref", "left").select(
+        "e", "a", "ident", F.coalesce("other", F.lit("")).alias("other"))
+    moved = cut(moved)
+    bad = replacement_errors(moved.select("ident", "other"), attrs).distinct()
+    return evolved.unionByName(moved.join(bad, "ident").select("e", "a", "code"))
+
+
+def changed_registry(changes: DataFrame, attrs: DataFrame) -> DataFrame:
+    """The registry's rows of the attributes that `changes` are about, as they are afterwards."""
+    def new(a: int, column: str) -> Column:
+        return F.max(F.when(F.col("op") & (F.col("a") == a), F.col(column)))
+    moved = changes.where(F.col("a").isin(REPLACED_BY, *FIELDS.values())).groupBy(F.col("e").alias("id")).agg(
+        *(new(a, "v_string").alias(f"_{name}") for name, a in FIELDS.items()), new(REPLACED_BY, "v_ref").alias("_by"), F.bool_or(F.col("a") == REPLACED_BY).alias("_moved"))
+    return attrs.join(moved, "id").select(
+        "id", "ident", "type", F.coalesce("_cardinality", "cardinality").alias("cardinality"), F.coalesce("_unique", "uniq").alias("uniq"),
+        F.trim(F.coalesce("_doc", "doc")).alias("doc"), F.when(F.col("_moved"), F.col("_by")).otherwise(F.col("replaced_by")).alias("replaced_by"))
 
 
 # --- the whole write ------------------------------------------------------------------------
@@ -340,6 +384,10 @@ class Written:
     errors: DataFrame
     unchanged: DataFrame
     lookups: DataFrame
+    #: (idx) of proposed rows that are among the changes.
+    changed: DataFrame
+    #: The registry's new rows, where the batch changes attributes.
+    registry: DataFrame | None = None
 
 
 def plan_write(proposed: DataFrame, state: DataFrame, facts: DataFrame, attrs: DataFrame, first_entity: int) -> Written:
@@ -347,7 +395,10 @@ def plan_write(proposed: DataFrame, state: DataFrame, facts: DataFrame, attrs: D
 
     `proposed` is (idx, e, a, v, op) text with e and ref values given as `123` (an entity id),
     `tmp:name` (a new entity), `tmp:tx` (the transaction written), or `ident=value` (a lookup on an
-    identity attribute). Every row ends as a change, as unchanged, or with an error.
+    identity attribute). Every row ends as a change, as unchanged, or with an error, and every error
+    names its row; `outcomes` tells which. Facts about attributes (`fs/cardinality`, `fs/unique`,
+    `fs/doc`, `fs/replaced_by`) are held to the rules of evolution and replacement, and what they
+    make of the registry is part of the write.
     """
     reg = attrs.select(F.col("id").alias("aid"), F.col("ident").alias("a"), "type", "cardinality", "uniq")
     rows = cut(proposed.withColumn("op", F.coalesce("op", F.lit("assert"))).join(reg, "a", "left"))
@@ -403,17 +454,43 @@ def plan_write(proposed: DataFrame, state: DataFrame, facts: DataFrame, attrs: D
     # the batch and its changes are each computed once; every check below reads them
     batch = written(ops.unionByName(made))
     changes = written(diff(batch, state, attrs))
-    errors = validate(rows.select("idx", "e", "a", "v", "op"), attrs).unionByName(bad_lookup)
-    errors = errors.unionByName(lookups.where("outcome = 'missing'").select(
-        F.lit(None).cast("long").alias("idx"), F.lit("missing entity").alias("code"),
-        F.concat(F.lit("no entity has the value "), F.col("key")).alias("message")))
-    numbers = named.where(F.col("name").rlike(r"^0*[1-9]\d{0,17}$")).select(F.col("name").cast("long").alias("e"))
-    errors = errors.unionByName(missing_entities(numbers, facts).select(
-        F.lit(None).cast("long").alias("idx"), F.lit("no such entity").alias("code"), F.col("e").cast("string").alias("message")))
-    errors = errors.unionByName(dangling_temporaries(temporary.where("place = 'v'"), temporary.where("place = 'e'")).select(
-        F.lit(None).cast("long").alias("idx"), F.lit("dangling").alias("code"), F.col("name").alias("message")))
-    errors = errors.unionByName(batch_conflicts(batch, attrs).select(
-        F.lit(None).cast("long").alias("idx"), "code", F.concat_ws(" ", "e", "a").alias("message")))
-    errors = errors.unionByName(identity_conflicts(changes, index, attrs).select(
-        F.lit(None).cast("long").alias("idx"), "code", F.concat_ws(" ", "a", "key").alias("message")))
-    return Written(changes, errors, unchanged(batch.where("idx IS NOT NULL"), changes).select("idx"), lookups)
+    told = batch.where("idx IS NOT NULL")
+
+    def wrong(df: DataFrame, code: Column, message: Column) -> DataFrame:
+        return df.select("idx", code.alias("code"), message.alias("message"))
+
+    errors = [validate(rows.select("idx", "e", "a", "v", "op"), attrs), bad_lookup]
+    used = good.select("idx", F.col("la").alias("a"), "key")
+    errors.append(wrong(used.join(lookups.where("outcome = 'missing'").select("a", "key"), ["a", "key"]).distinct(), F.lit("missing entity"),
+                        F.concat(F.lit("no entity has the value "), F.col("key"))))
+    numbers = named.where(F.col("name").rlike(r"^0*[1-9]\d{0,17}$")).select("idx", F.col("name").cast("long").alias("e")).distinct()
+    # an attribute is an entity, also where the log tells nothing of it
+    unheard = missing_entities(numbers, facts).join(attrs.select(F.col("id").alias("e")), "e", "left_anti")
+    errors.append(wrong(numbers.join(unheard, "e"), F.lit("no such entity"), F.col("e").cast("string")))
+    as_value = temporary.where("place = 'v'").select("idx", "name")
+    errors.append(wrong(as_value.join(dangling_temporaries(as_value, temporary.where("place = 'e'")), "name"), F.lit("dangling"), F.col("name")))
+    clashing = told.select("idx", "e", "a", "op").join(batch_conflicts(batch, attrs), ["e", "a"]).where((F.col("code") == "both") | F.col("op"))
+    errors.append(wrong(clashing.distinct(), F.col("code"), F.concat_ws(" ", "e", "a")))
+    # who claims a key: rows that assert it, and rows whose lookup makes an entity of it
+    claims = told.where("op").select("idx", "a", key_column().alias("key"), "e").unionByName(
+        used.join(lookups.where("created").select("a", "key", "e"), ["a", "key"]).select("idx", "a", "key", "e"))
+    taken = identity_conflicts(changes, index, attrs).withColumnRenamed("e", "_e")
+    claimed = claims.join(taken, ["a", "key"]).where((F.col("code") == "claimed twice") | (F.col("e") == F.col("_e")))
+    errors.append(wrong(claimed.distinct(), F.col("code"), F.concat_ws(" ", "a", "key")))
+    registry = None
+    if told.where(F.col("a").isin(REPLACED_BY, *FIELDS.values())).take(1):
+        broken = schema_errors(changes, attrs, state)
+        errors.append(wrong(told.where("op").select("idx", "e", "a").join(broken, ["e", "a"]), F.col("code"), F.concat_ws(" ", "e", "a")))
+        registry = changed_registry(changes, attrs)
+    found = errors[0]
+    for more in errors[1:]:
+        found = found.unionByName(more)
+    still = unchanged(told, changes).select("idx")
+    return Written(changes, found, still, lookups, told.select("idx").join(still, "idx", "left_anti"), registry)
+
+
+def outcomes(write: Written) -> DataFrame:
+    """(idx, outcome) of every proposed row: the code of an error (of several, the first by name), `changed` or `unchanged`."""
+    wrong = write.errors.groupBy("idx").agg(F.min("code").alias("_wrong"))
+    right = write.changed.select("idx", F.lit("changed").alias("_right")).unionByName(write.unchanged.select("idx", F.lit("unchanged").alias("_right")))
+    return wrong.join(right, "idx", "full").select("idx", F.coalesce("_wrong", "_right").alias("outcome"))

@@ -32,7 +32,12 @@ def entity_signatures(rows: DataFrame) -> DataFrame:
     groups below move a long and never an array.
     """
     sets = rows.groupBy("e").agg(F.array_sort(F.collect_set("a")).alias("sig"))
-    return sets.withColumn("sid", F.xxhash64(F.array_join(F.transform("sig", lambda a: a.cast("string")), ",")))
+    return sets.withColumn("sid", signature_id(F.col("sig")))
+
+
+def signature_id(sig: Column) -> Column:
+    """The 64-bit id of a sorted set of attributes."""
+    return F.xxhash64(F.array_join(F.transform(sig, lambda a: a.cast("string")), ","))
 
 
 def masked_signatures(rows: DataFrame, ids: list[int]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.text import extent_similarity, set_similarity, trigram_list, trigrams
-from factloom.model import IDENT_PATTERN, SPARK_TYPE
+from factloom.model import ATTR_SCHEMA, IDENT_PATTERN, KERNEL, SPARK_TYPE
 from factloom.operators.similar import containing
 from factloom.session import cut
 
@@ -158,11 +158,23 @@ def replacement_errors(requests: DataFrame, attrs: DataFrame) -> DataFrame:
     new = rows.where(F.col("to").isNotNull() & F.col("id").isNotNull()).select(F.col("id").alias("src"), F.col("to").alias("dst"))
     old = attrs.where(F.col("replaced_by").isNotNull()).select(F.col("id").alias("src"), F.col("replaced_by").alias("dst")).join(
         new.select("src"), "src", "left_anti")
-    rings = graph.chain_roots(old.unionByName(new)).where("cyclic").select(F.col("e").alias("id"))
+    rings = graph.chain_roots(old.unionByName(new)).where("cyclic").select(F.col("e").alias("id")).unionByName(
+        new.where("src = dst").select(F.col("src").alias("id"))).distinct()
     cyclic = rows.join(rings, "id", "left_semi").select("ident", F.lit("cycle").alias("code"))
     return unknown.unionByName(cyclic)
 
 
+def registry_of(facts: DataFrame, tx: int | None = None) -> DataFrame:
+    """The registry that the log's own schema facts tell, now or as of a transaction: each attribute that was registered in it."""
+    from factloom.operators import fold
+
+    parts = {"ident": ("fs/ident", "v_string"), "type": ("fs/type", "v_string"), "cardinality": ("fs/cardinality", "v_string"), "uniq": ("fs/unique", "v_string"),
+             "doc": ("fs/doc", "v_string"), "replaced_by": ("fs/replaced_by", "v_ref")}
+    held = fold.state(facts.where(F.col("a").isin([KERNEL[k] for k, _ in parts.values()])), tx)
+    rows = held.groupBy(F.col("e").alias("id")).agg(*(F.max(F.when(F.col("a") == KERNEL[k], F.col(c))).alias(name) for name, (k, c) in parts.items()))
+    return rows.where(F.col("ident").isNotNull()).withColumn("uniq", F.coalesce("uniq", F.lit("none"))).select(*ATTR_SCHEMA.fieldNames())
+
+
 def unfilled(attrs: DataFrame, state: DataFrame) -> DataFrame:
     """(ident): registered attributes that hold no value."""
     return attrs.where(~F.col("ident").startswith("fs/")).join(state.select(F.col("a").alias("id")).distinct(), "id", "left_anti").select("ident")

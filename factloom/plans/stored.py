@@ -13,7 +13,7 @@ from factloom.operators import fold, ingest, pattern
 from factloom.operators.pattern import Var
 from factloom.plans import world
 from factloom.plans.registry import query
-from factloom.session import ensure_checkpoint_dir
+from factloom.session import cut, ensure_checkpoint_dir
 from factloom.sources import log
 from factloom.sources.mapping import union
 from factloom.store import FactLog
@@ -57,8 +57,7 @@ SELECT o_orderkey AS idx, CASE WHEN o_orderstatus = 'P' THEN 'changed' WHEN o_or
 def plan_write_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     """What became of every proposed row: its error, unchanged, or changed. None is lost."""
     plan = mixed_plan(spark, sf)
-    told = plan.errors.select("idx", F.col("code").alias("outcome")).unionByName(plan.unchanged.select("idx", F.lit("unchanged").alias("outcome")))
-    return mixed_batch(spark, sf).select("idx").join(told, "idx", "left").select("idx", F.coalesce("outcome", F.lit("changed")).alias("outcome"))
+    return mixed_batch(spark, sf).select("idx").join(ingest.outcomes(plan), "idx", "left").select("idx", "outcome")
 
 
 @query("plan_write_changes", """
@@ -91,7 +90,7 @@ class Stored:
     def commit(self, proposed: DataFrame) -> int | None:
         store = FactLog.open(self.spark, self.path)
         plan = ingest.plan_write(proposed, store.state(), store.log(), store.attrs, FIRST_NEW)
-        return log.commit(self.spark, self.path, plan, 100, datetime(2002, 1, 1))
+        return log.commit(self.spark, self.path, plan, 100, datetime(2002, 1, 1), store.number)
 
 
 def shipped(spark: SparkSession, sf: str) -> DataFrame:
@@ -230,3 +229,114 @@ def installed_package(spark: SparkSession, sf: str) -> DataFrame:
         "schema facts replaced": schema.where((F.col("v") == "one") & (F.col("op") == "retract")), "transactions": spark.range(len(first) + len(again) + len(evolved)),
         "refused": spark.range(refused), "orders read": store.attr("order/status")}
     return union([df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n") for what, df in counts.items()])
+
+
+@query("wrong_rows", """
+SELECT o_orderkey AS idx, CASE o_orderkey % 7 WHEN 0 THEN 'no such entity' WHEN 1 THEN 'missing entity' WHEN 2 THEN 'dangling' WHEN 3 THEN 'several'
+  WHEN 4 THEN CASE WHEN o_orderkey + 1 IN (SELECT o_orderkey FROM orders) THEN 'held' ELSE 'changed' END
+  WHEN 5 THEN 'unchanged' ELSE 'changed' END AS outcome FROM orders
+UNION ALL SELECT 1000000000 + o_orderkey, 'several' FROM orders WHERE o_orderkey % 7 = 3""")
+def wrong_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """What became of rows that are wrong together, or wrong by what the store holds: each error names its row."""
+    key = F.col("o_orderkey")
+    kind = key % 7
+    own = world.entity("order", key).cast("string")
+    orders = world.table(spark, sf, "orders")
+    rows = orders.select(
+        key.alias("idx"), F.when(kind == 0, F.concat(F.lit("7777"), own)).when(kind == 1, F.concat(F.lit("order/number=none "), key)).otherwise(own).alias("e"),
+        F.when(kind == 2, "order/customer").when(kind == 4, "order/number").otherwise("order/status").alias("a"),
+        F.when(kind == 2, F.concat(F.lit("tmp:"), key)).when(kind == 3, "X").when(kind == 4, F.concat(F.lit("O-"), key + 1)).when(kind == 5, F.col("o_orderstatus"))
+        .when(kind == 1, F.col("o_orderstatus")).otherwise("Z").alias("v"),
+        F.when(kind == 1, "retract").otherwise("assert").alias("op"))
+    twice = orders.where(kind == 3).select((key + 1_000_000_000).alias("idx"), own.alias("e"), F.lit("order/status").alias("a"), F.lit("Y").alias("v"), F.lit("assert").alias("op"))
+    batch = rows.unionByName(twice)
+    facts = world.facts(spark, sf, ORDER_FACTS)
+    plan = ingest.plan_write(batch, fold.state(facts), facts, _attrs(spark), FIRST_NEW)
+    return batch.select("idx").join(ingest.outcomes(plan), "idx", "left").select("idx", "outcome")
+
+
+def part_attributes(spark: SparkSession, sf: str) -> DataFrame:
+    """An attribute for each part, as registry rows."""
+    key = F.col("p_partkey")
+    return world.table(spark, sf, "part").select((key + 500_000_000).alias("id"), F.concat(F.lit("spec/p"), key).alias("ident"), F.lit("string").alias("type"), F.lit("one").alias("cardinality"),
+                                                 F.lit("none").alias("uniq"), F.concat(F.lit("What is told of part "), key).alias("doc"), F.lit(None).cast("long").alias("replaced_by"))
+
+
+def schema_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """A proposed change to each part's attribute, three of eight not allowed."""
+    key, kind = F.col("p_partkey"), F.col("p_partkey") % 8
+    return world.table(spark, sf, "part").select(
+        key.alias("idx"), (key + 500_000_000).cast("string").alias("e"),
+        F.when(kind.isin(0, 1, 7), "fs/cardinality").when(kind.isin(2, 3), "fs/unique").when(kind.isin(4, 5), "fs/replaced_by").otherwise("fs/doc").alias("a"),
+        F.when(kind == 0, "many").when(kind == 1, "banana").when(kind == 7, "one").when(kind == 2, "identity").when(kind == 3, "sometimes")
+        .when(kind == 4, F.lit(str(world.BY_IDENT["part/name"].id))).when(kind == 5, (key + 500_000_000).cast("string")).otherwise(F.concat(F.lit("New text of "), key)).alias("v"),
+        F.lit("assert").alias("op"))
+
+
+class Schemed(Stored):
+    """A stored log of orders with an attribute for each part."""
+
+    def __init__(self, spark: SparkSession, sf: str) -> None:
+        super().__init__(spark, sf)
+        log.append_attributes(part_attributes(spark, sf), self.path, 1)
+
+
+@query("schema_outcomes", """
+SELECT p_partkey AS idx, CASE p_partkey % 8 WHEN 1 THEN 'one to many only' WHEN 3 THEN 'none to identity only' WHEN 5 THEN 'cycle' ELSE 'changed' END AS outcome FROM part""")
+def schema_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """What became of proposed changes to attributes, each told by its row."""
+    store = FactLog.open(spark, Schemed(spark, sf).path)
+    return ingest.outcomes(ingest.plan_write(schema_batch(spark, sf), store.state(), store.log(), store.attrs, FIRST_NEW)).select("idx", "outcome")
+
+
+@query("schema_writes", """
+WITH p AS (SELECT p_partkey AS k, p_partkey % 8 AS c FROM part)
+SELECT m AS moment, 'spec/p' || k AS ident, CASE WHEN m = 'after' AND c = 0 THEN 'many' ELSE 'one' END AS cardinality, CASE WHEN m = 'after' AND c = 2 THEN 'identity' ELSE 'none' END AS uniq,
+  CASE WHEN m = 'after' AND c = 6 THEN 'New text of ' || k ELSE 'What is told of part ' || k END AS doc, CASE WHEN m = 'after' AND c = 4 THEN 'part/name' END AS replaced_by
+FROM p, (SELECT unnest(['before', 'after']) AS m)""")
+def schema_writes(spark: SparkSession, sf: str) -> DataFrame:
+    """The registry before and after the allowed changes were committed as an ordinary write."""
+    stored = Schemed(spark, sf)
+    before = FactLog.open(spark, stored.path)
+    stored.commit(schema_batch(spark, sf).where(~(F.col("idx") % 8).isin(1, 3, 5)))
+    out = []
+    for moment, store in (("before", before), ("after", before.refresh())):
+        names = store.attrs.select(F.col("id").alias("replaced_by"), F.col("ident").alias("by"))
+        out.append(store.attrs.where(F.col("ident").startswith("spec/")).join(names, "replaced_by", "left").select(
+            F.lit(moment).alias("moment"), "ident", "cardinality", "uniq", "doc", F.col("by").alias("replaced_by")))
+    return union(out)
+
+
+@query("manifest_reads", """
+WITH b AS (SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1), a AS (SELECT CASE o_orderstatus WHEN 'P' THEN 'F' ELSE o_orderstatus END AS s, count(*) AS n FROM orders GROUP BY 1)
+SELECT 'broken off' AS moment, s AS status, n AS orders FROM b UNION ALL SELECT m, s, n FROM a, (SELECT unnest(['committed', 'held while compacted', 'compacted', 'vacuumed']) AS m)
+UNION ALL SELECT 'refused', NULL, 1 FROM (SELECT count(*) FROM orders)""")
+def manifest_reads(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders by status around a job that broke off, two commits planned on one version, and a compaction in place.
+
+    Each count is made before the folders that it reads are deleted.
+    """
+    stored = Stored(spark, sf)
+
+    def counts(store: FactLog, moment: str) -> DataFrame:
+        found = store.attr("order/status").groupBy(F.col("v").alias("status")).agg(F.count("*").alias("orders"))
+        return found.select(F.lit(moment).alias("moment"), "status", "orders")
+    # all facts again under other transactions, written and never committed
+    world.facts(spark, sf, ["order/status"]).withColumn("v_string", F.lit("lost")).withColumn("tx", F.col("tx") + 1_000_000).write.partitionBy("a").parquet(
+        f"{stored.path}/fact/part=broken/batch=99")
+    out = [cut(counts(FactLog.open(spark, stored.path), "broken off"))]
+    store = FactLog.open(spark, stored.path)
+    first, second = (ingest.plan_write(shipped(spark, sf), store.state(), store.log(), store.attrs, FIRST_NEW) for _ in range(2))
+    log.commit(spark, stored.path, first, 100, datetime(2002, 1, 1), store.number)
+    try:
+        log.commit(spark, stored.path, second, 100, datetime(2002, 1, 1), store.number)
+        refused = 0
+    except log.Conflict:
+        refused = 1
+    held = FactLog.open(spark, stored.path)
+    out.append(cut(counts(held, "committed")))
+    log.compact(spark, stored.path)
+    out += [cut(counts(held, "held while compacted")), cut(counts(FactLog.open(spark, stored.path), "compacted"))]
+    log.vacuum(spark, stored.path)
+    out.append(counts(FactLog.open(spark, stored.path), "vacuumed"))
+    return union([*out, spark.range(refused).select(F.lit("refused").alias("moment"), F.lit(None).cast("string").alias("status"), F.lit(1).cast("long").alias("orders"))])

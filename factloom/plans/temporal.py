@@ -280,3 +280,74 @@ def incremental_state(spark: SparkSession, sf: str) -> DataFrame:
         log.append_facts(part, f"{base}/store", number)
         jobs.keep_state(jobs.changes(spark, f"{base}/store"), f"{base}/kept", f"{base}/progress").awaitTermination()
     return whole(named(jobs.current(spark, f"{base}/kept"))).select("e", "a", "v", "tx")
+
+
+def _followed(spark: SparkSession, sf: str):
+    """A store into which the event log comes in three batches, one that broke off between them, and a function that brings kept tables up to it."""
+    import uuid
+
+    from factloom.session import ensure_checkpoint_dir
+    from factloom.sources import log
+    from factloom.streaming import jobs
+
+    base = f"{ensure_checkpoint_dir(spark)}/feed-{uuid.uuid4().hex}"
+    events = world.event_log(spark, sf)
+    days = ("2024-01-08T00:00:00+00:00", "2024-01-15T00:00:00+00:00")
+    first, second = (event_store(spark, sf).resolve(d) for d in days)
+
+    def follow(keep, name: str) -> str:
+        keep(jobs.changes(spark, f"{base}/store"), f"{base}/{name}", f"{base}/{name}-progress").awaitTermination()
+        return f"{base}/{name}"
+
+    def batches():
+        yield lambda: log.append_facts(events.where(F.col("tx") <= first), f"{base}/store", 1)
+        yield lambda: events.withColumn("tx", F.col("tx") + 50_000_000).write.partitionBy("a").parquet(f"{base}/store/fact/part=broken/batch=9")
+        yield lambda: log.append_facts(events.where((F.col("tx") > first) & (F.col("tx") <= second)), f"{base}/store", 2)
+        yield lambda: log.compact(spark, f"{base}/store")
+        yield lambda: log.append_facts(events.where(F.col("tx") > second), f"{base}/store", 3)
+    return f"{base}/store", batches, follow
+
+
+@query("change_feed", WALK + LAST.format(tx=EVERY) + "SELECT e, a, v, tx FROM held")
+def change_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """State kept from the change feed, which sees each committed batch once: neither a job that broke off nor what a compaction wrote anew."""
+    from factloom.streaming import jobs
+
+    _, batches, follow = _followed(spark, sf)
+    for n, step in enumerate(batches()):
+        step()
+        if n % 2 == 0:
+            target = follow(jobs.keep_state, "kept")
+    words = spark.read.parquet(f"{target}/delta")
+    # a batch fed twice or a broken one would be here, though the fold might hide it
+    twice = words.groupBy("e", "a", "v_decimal", "k").count().where("count > 1").select(F.lit(-1).cast("long").alias("e"), F.lit("fed twice").alias("a"), F.lit(0).cast("int").alias("v"), F.lit(-1).cast("long").alias("tx"))
+    held = whole(named(jobs.current(spark, target))).select("e", "a", "v", "tx")
+    return held.unionByName(twice.select(*(F.col(c).cast(held.schema[c].dataType).alias(c) for c in held.columns)))
+
+
+@query("kept_signatures", WALK + LAST.format(tx=EVERY) + """, s AS (SELECT e, string_agg(DISTINCT a, ',' ORDER BY a) AS signature FROM held WHERE e % 10 <> 3 GROUP BY e)
+SELECT moment, signature, count(*) AS entities FROM (SELECT 'excised' AS moment, signature FROM s UNION ALL SELECT 'fed', signature FROM s) GROUP BY 1, 2""")
+def kept_signatures(spark: SparkSession, sf: str) -> DataFrame:
+    """Which sets of attributes users carry, kept batch by batch, after every user with last digit 3 was excised: at once, and when the feed has brought it."""
+    from datetime import datetime
+
+    from factloom.session import cut
+    from factloom.sources import log
+    from factloom.streaming import jobs
+
+    store, batches, follow = _followed(spark, sf)
+    for n, step in enumerate(batches()):
+        step()
+        if n % 2 == 0:
+            target = follow(jobs.keep_signatures, "signatures")
+    erased = log.scan(spark, store).where(F.col("e") % 10 == 3).select("e", F.lit(None).cast("long").alias("a")).distinct()
+    log.excise(spark, store, erased, 95_000_000_000, datetime(2025, 1, 1), 100)
+    names = F.create_map(*(x for t in world.EVENT_TYPES for x in (F.lit(world.BY_IDENT[f"user/{t}"].id).cast("long"), F.lit(f"user/{t}"))))
+
+    def told(counts: DataFrame, moment: str) -> DataFrame:
+        # the excisions are entities of the store too
+        users = counts.where(~F.exists("sig", lambda a: a < 100))
+        return users.select(F.lit(moment).alias("moment"), F.array_join(F.array_sort(F.transform("sig", lambda a: names[a])), ",").alias("signature"), "entities")
+    at_once = cut(told(jobs.signature_counts(spark, target, store), "excised"))
+    follow(jobs.keep_signatures, "signatures")
+    return at_once.unionByName(told(jobs.signature_counts(spark, target), "fed"))

@@ -7,7 +7,6 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.model import ATTR_SCHEMA, KERNEL, SPARK_TYPE, VALUE_COLUMN
 from factloom.operators import ingest, vocabulary
 from factloom.session import cut
 from factloom.sources import log
@@ -28,19 +27,18 @@ def _refuse(problems: DataFrame) -> None:
 
 
 def _write(store: FactLog, path: str, facts: DataFrame, rows: DataFrame, tx: int, actor: int, at: datetime) -> int:
-    """Facts (without tx), the registry rows that go with them, and the transaction; the registry comes last."""
+    """Facts (without tx), the registry rows that go with them, and the transaction, by one entry on the version that was read."""
     spark = facts.sparkSession
     last = store.tx.agg(F.max("at")).first()[0]
     when = F.lit(at) if last is None else ingest.next_instant(F.lit(last), F.lit(at))
-    log.append_facts(ingest.stamp(facts, tx, actor, when), path, tx)
-    log.append_transactions(spark.range(1).select(F.lit(tx).cast("long").alias("id"), F.lit(actor).cast("long").alias("actor"), when.alias("at")), path, tx)
-    log.append_attributes(rows.select(*ATTR_SCHEMA.fieldNames()), path, tx)
+    stamps = spark.range(1).select(F.lit(tx).cast("long").alias("id"), F.lit(actor).cast("long").alias("actor"), when.alias("at"))
+    log.append(path, tx, "registration", facts=ingest.stamp(facts, tx, actor, when), transactions=stamps, registry=rows, base=store.number)
     return tx
 
 
 def _next(store: FactLog) -> int:
-    """A number past every transaction and entity."""
-    return max(store.tx.agg(F.max("id")).first()[0] or 0, store.log().agg(F.max("e")).first()[0] or 0) + 1
+    """A number past every transaction and entity, which the manifest knows, and past every attribute."""
+    return max(store.high or 0, store.attrs.agg(F.max("id")).first()[0] or 0) + 1
 
 
 def register(spark: SparkSession, path: str, specs: DataFrame, actor: int, at: datetime) -> int | None:
@@ -65,26 +63,26 @@ def register(spark: SparkSession, path: str, specs: DataFrame, actor: int, at: d
 
 
 def evolve(spark: SparkSession, path: str, requests: DataFrame, actor: int, at: datetime) -> int | None:
-    """Change attributes by `requests` (ident, field, value): cardinality, unique or doc; the transaction, or None.
+    """Change attributes by `requests` (ident, field, value): cardinality, unique, doc or replaced_by (another attribute's ident); the transaction, or None.
 
-    Held to the evolution rules; values that hold already change nothing.
+    Held to the rules of evolution and replacement, as any write that names these facts; values that hold already change nothing.
     """
     store = FactLog.open(spark, path)
-    _refuse(ingest.evolution_errors(requests, store.attrs, store.state()))
-    held = F.when(F.col("field") == "cardinality", F.col("cardinality")).when(F.col("field") == "unique", F.col("uniq")).otherwise(F.col("doc"))
-    moved = cut(requests.join(store.attrs, "ident").withColumn("old", held).where(~F.col("value").eqNullSafe(F.col("old"))))
-    if moved.isEmpty():
+    by = F.col("field") == "replaced_by"
+    _refuse(ingest.evolution_errors(requests.where(~by), store.attrs, store.state()))
+    _refuse(vocabulary.replacement_errors(requests.where(by).select("ident", F.col("value").alias("other")), store.attrs))
+    ids = store.attrs.select("ident", F.col("id").cast("string").alias("e"))
+    held = store.attrs.alias("r").join(store.attrs.select(F.col("id").alias("replaced_by"), F.col("ident").alias("by")), "replaced_by", "left").select(
+        "ident", F.create_map(F.lit("cardinality"), F.col("cardinality"), F.lit("unique"), F.col("uniq"), F.lit("doc"), F.col("doc"), F.lit("replaced_by"), F.col("by")).alias("held"))
+    moved = requests.join(held, "ident").where(~F.col("value").eqNullSafe(F.element_at("held", F.col("field"))))
+    other = ids.select(F.col("ident").alias("value"), F.col("e").alias("to"))
+    rows = cut(moved.join(ids, "ident").join(other, "value", "left").select(
+        F.monotonically_increasing_id().alias("idx"), "e", F.concat(F.lit("fs/"), F.col("field")).alias("a"), F.when(by, F.col("to")).otherwise(F.col("value")).alias("v"), F.lit("assert").alias("op")))
+    if rows.isEmpty():
         return None
-    kernel = F.when(F.col("field") == "cardinality", KERNEL["fs/cardinality"]).when(F.col("field") == "unique", KERNEL["fs/unique"]).otherwise(KERNEL["fs/doc"])
-
-    def facts(value: str, op: bool) -> DataFrame:
-        return moved.where(F.col(value).isNotNull()).select(F.col("id").alias("e"), kernel.cast("long").alias("a"), *[
-            (F.col(value) if t == "string" else F.lit(None)).cast(SPARK_TYPE[t]).alias(c) for t, c in VALUE_COLUMN.items()], F.lit(op).alias("op"))
-    new = {f: F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"_{f}") for f in ("cardinality", "unique", "doc")}
-    rows = moved.groupBy("id").agg(*new.values()).join(store.attrs, "id").select(
-        "id", "ident", "type", F.coalesce("_cardinality", "cardinality").alias("cardinality"), F.coalesce("_unique", "uniq").alias("uniq"),
-        F.coalesce("_doc", "doc").alias("doc"), "replaced_by")
-    return _write(store, path, facts("old", False).unionByName(facts("value", True)), rows, _next(store), actor, at)
+    plan = ingest.plan_write(rows, store.state(), store.log(), store.attrs, _next(store))
+    _refuse(plan.errors)
+    return log.commit(spark, path, plan, actor, at, store.number)
 
 
 def install(spark: SparkSession, path: str, specs: DataFrame, actor: int, at: datetime) -> list[int]:

@@ -53,6 +53,9 @@ class FactLog:
         self._tx = tx
         self._known = {a.ident: a for a in known or []}
         self._again: Callable[[], FactLog] | None = None
+        #: Of a store on disk, its version's number, for `commit`, and the greatest id in it.
+        self.number: int | None = None
+        self.high: int | None = None
 
     @property
     def tx(self) -> DataFrame:
@@ -75,6 +78,7 @@ class FactLog:
                     log.attributes(spark, path, at), log.transactions(spark, path, at),
                     snapshot=log.snapshot(spark, path, at))
         store._again = lambda: cls.open(spark, path)
+        store.number, store.high = at.number, at.high
         return store
 
     def refresh(self) -> FactLog:

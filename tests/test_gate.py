@@ -4,6 +4,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from check_gate import compare, duck
+from conftest import ROOT
 
 from factloom.plans import load
 
@@ -37,3 +38,15 @@ def test_query_agrees(outcomes, name):
 def test_entry_and_contract():
     import __spark_entry__ as entry
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 150
+
+
+def test_entry_without_the_training_data_operators(tmp_path):
+    """A copy in which both folders are gone still has all other queries, and no pipeline."""
+    import shutil
+    import subprocess
+    import sys
+
+    shutil.copytree(ROOT, tmp_path / "copy", ignore=shutil.ignore_patterns("llm", ".git", "__pycache__"))
+    found = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); print(len(q), set(e.oracle_sql()) <= set(q), [n for n in q if n.startswith('op1') or n == 'pipeline'])"],
+                           cwd=tmp_path / "copy", capture_output=True, text=True, check=True)
+    assert found.stdout.split(maxsplit=1) == [str(len(REG.QUERIES)), "True []\n"]

@@ -178,3 +178,104 @@ def test_commit_writes_once_and_refuses_errors(spark, tmp_path):
     assert store.attr("order/status", as_of=2000).first().v == "open"
     with pytest.raises(ValueError):
         write([("2010", "order/nothing", "x", None)])
+
+
+def told(w):
+    return {r.idx: r.outcome for r in ingest.outcomes(w).collect()}
+
+
+def test_every_row_is_answered(spark):
+    w = plan(spark, [
+        ("999", "order/status", "x", None), ("shopify/order_id=none", "order/status", "x", "retract"), ("tmp:a", "order/status", "x", None),
+        ("10", "order/status", "a", None), ("10", "order/status", "b", None), ("11", "order/status", "q", None), ("11", "order/status", "q", "retract"),
+        ("12", "shopify/order_id", "A1", None), ("10", "order/tag", "x", None), ("shopify/order_id=new", "order/status", "x", None), ("12", "order/status", "paid", None),
+        ("tmp:b", "shopify/order_id", "twice", None), ("tmp:c", "shopify/order_id", "twice", None), ("what", "order/status", "x", None)])
+    assert all(r.idx is not None for r in w.errors.collect())
+    got = told(w)
+    assert got == {0: "no such entity", 1: "missing entity", 2: "changed", 3: "several", 4: "several", 5: "both", 6: "both", 7: "held", 8: "unchanged", 9: "changed", 10: "changed",
+                   11: "claimed twice", 12: "claimed twice", 13: "entity"}
+
+
+def test_schema_facts_obey_the_rules(spark):
+    rows = [("1002", "fs/cardinality", "many", None), ("1003", "fs/cardinality", "one", None), ("1002", "fs/cardinality", "banana", None)]
+    assert [set(told(plan(spark, [r])).values()) for r in rows] == [{"changed"}, {"one to many only"}, {"one to many only"}]
+    w = plan(spark, [("1002", "fs/replaced_by", "1003", None), ("1003", "fs/replaced_by", "1002", None)])
+    assert set(told(w).values()) == {"cycle"}
+    assert told(plan(spark, [("1002", "fs/replaced_by", "1002", None)])) == {0: "cycle"}
+    assert told(plan(spark, [("1002", "fs/replaced_by", "8", None)])) == {0: "target"}
+    assert told(plan(spark, [("tmp:n", "fs/cardinality", "many", None)])) == {0: "unknown"}
+    assert told(plan(spark, [("1002", "fs/unique", "identity", None), ("1002", "fs/doc", " ", None)])) == {0: "shared keys", 1: "doc"}
+    assert told(plan(spark, [("5", "fs/doc", "x", None)])) == {0: "kernel"}
+    w = plan(spark, [("1003", "fs/replaced_by", "1002", None), ("1003", "fs/doc", "Old tags.", None)])
+    assert told(w) == {0: "changed", 1: "changed"}
+    assert [(r.id, r.cardinality, r.doc, r.replaced_by) for r in w.registry.collect()] == [(1003, "many", "Old tags.", 1002)]
+    assert plan(spark, [("10", "order/status", "x", None)]).registry is None
+
+
+def stored(spark, tmp_path):
+    path = str(tmp_path / "store")
+    disk.append_facts(naive.facts(spark, [(2010, 1001, "A1", 2000, True), (2010, 1002, "open", 2000, True), (2010, 1003, "t", 2000, True)]), path, 2000)
+    disk.append_attributes(registry(spark, ALL), path, 0)
+    disk.append_transactions(spark.createDataFrame([(2000, 100, datetime(2024, 1, 1))], TX_SCHEMA), path, 2000)
+    return path
+
+
+def test_schema_writes_reach_the_registry(spark, tmp_path):
+    from factloom.operators import vocabulary
+    from factloom.sources import registering
+
+    path, at = stored(spark, tmp_path), datetime(2024, 2, 1)
+    before = FactLog.open(spark, path)
+    spec = spark.createDataFrame([(0, "ship/carrier", "string", "one", None, "Who carries a shipment.", [])], "idx int, ident string, type string, cardinality string, unique string, doc string, distinct_from array<string>")
+    registering.register(spark, path, spec, 100, at)
+    request = "ident string, field string, value string"
+    tx = registering.evolve(spark, path, spark.createDataFrame([("order/tag", "replaced_by", "order/status"), ("ship/carrier", "cardinality", "many"), ("ship/carrier", "doc", "Who carries a shipment.")], request), 100, at)
+    now = {r.ident: r for r in FactLog.open(spark, path).attrs.collect()}
+    assert (now["order/tag"].replaced_by, now["ship/carrier"].cardinality) == (1002, "many")
+    assert {r.ident: r.replaced_by for r in before.attrs.collect()}["order/tag"] is None
+    assert registering.evolve(spark, path, spark.createDataFrame([("order/tag", "replaced_by", "order/status")], request), 100, at) is None
+    for bad in (("order/tag", "colour", "red"), ("order/status", "replaced_by", "order/tag"), ("order/status", "replaced_by", "no/such"), ("order/tag", "cardinality", "one hundred")):
+        with pytest.raises(registering.Refused):
+            registering.evolve(spark, path, spark.createDataFrame([bad], request), 100, at)
+    # the log's own facts tell the registered attribute as it is, and as it was
+    facts = disk.scan(spark, path)
+    assert [tuple(r) for r in vocabulary.registry_of(facts).where("ident = 'ship/carrier'").collect()] == [tuple(now["ship/carrier"])]
+    assert vocabulary.registry_of(facts, tx - 1).where("ident = 'ship/carrier'").first().cardinality == "one"
+    with pytest.raises(ValueError):
+        proposed = spark.createDataFrame([(0, "2010", "order/tag", "u", None)], "idx long, e string, a string, v string, op string")
+        store = FactLog.open(spark, path)
+        disk.commit(spark, path, ingest.plan_write(proposed, store.state(), store.log(), store.attrs, 3000), 100, at)
+
+
+def test_two_commits_on_one_version(spark, tmp_path):
+    path = stored(spark, tmp_path)
+    store = FactLog.open(spark, path)
+
+    def planned(value):
+        return ingest.plan_write(spark.createDataFrame([(0, "2010", "order/status", value, None)], "idx long, e string, a string, v string, op string"), store.state(), store.log(), store.attrs, 3000)
+    a, b = planned("paid"), planned("lost")
+    tx = disk.commit(spark, path, a, 100, datetime(2024, 2, 1), store.number)
+    with pytest.raises(disk.Conflict):
+        disk.commit(spark, path, b, 100, datetime(2024, 2, 1), store.number)
+    with pytest.raises(disk.Conflict):
+        disk.publish(spark, path, "commit", [], base=store.number)
+    assert tx == 2011 and FactLog.open(spark, path).attr("order/status").first().v == "paid"
+    assert store.attr("order/status").first().v == "open"
+
+
+def test_compaction_in_place(spark, tmp_path):
+    path = stored(spark, tmp_path)
+    disk.append_facts(naive.facts(spark, [(2010, 1002, "open", 2001, False), (2010, 1002, "paid", 2001, True)]), path, 2001)
+    old = FactLog.open(spark, path)
+    before = naive.rows(old.log())
+    disk.compact(spark, path)
+    new = FactLog.open(spark, path)
+    assert naive.rows(new.log()) == before == naive.rows(old.log())
+    assert len(disk.version(spark, path).fact) == 1 and new.has_snapshot() and new.attr("order/status").first().v == "paid"
+    assert new.attr("order/status", as_of=2000).first().v == "open" and new.high == old.high
+    disk.append_facts(naive.facts(spark, [(2010, 1003, "later", 2002, True)]), path, 2002)
+    assert FactLog.open(spark, path).state().count() == 4
+    assert disk.vacuum(spark, path) > 0 and naive.rows(FactLog.open(spark, path).log().where("tx < 2002")) == before
+    # a batch written again takes the place of its first writing
+    disk.append_facts(naive.facts(spark, [(2010, 1003, "again", 2002, True)]), path, 2002)
+    assert {r.v for r in FactLog.open(spark, path).attr("order/tag").collect()} == {"t", "again"}
