@@ -303,7 +303,7 @@ def main_text(html: str) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars): the main text of every row of `pages` (page_id, url, html).
 
-    A null html is empty, and a page without content has an empty text. Repeated rows and nulls in
+    A null html is empty, a page without content has an empty text, and an empty table gives no rows. Repeated rows and nulls in
     other columns give a row each; further columns are ignored.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

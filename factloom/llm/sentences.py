@@ -189,8 +189,8 @@ class Decoder:
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids): the piece ids of each whole text under the model at `path`.
 
-    A null or empty text has no ids. Repeated rows and null ids give a row each; other columns are
-    ignored.
+    A null or empty text has no ids, an empty table no rows. Repeated rows and null ids give a row
+    each; other columns are ignored.
     """
     shipped = sent(docs, load(path))
 
@@ -204,7 +204,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """The rows of `encoded` (doc_id, ids) with their `text`; null ids are an empty text."""
+    """The rows of `encoded` (doc_id, ids) with their `text`; null ids are an empty text, and an empty table gives no rows."""
     shipped = sent(encoded, load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

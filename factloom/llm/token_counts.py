@@ -88,7 +88,7 @@ class Counter(dict):
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, score): pieces and score of the segmentation of each whole text by the model at `path`.
 
-    A null or empty text has no pieces and score 0. Repeated rows and null ids give a row each;
+    A null or empty text has no pieces and score 0, an empty table no rows. Repeated rows and null ids give a row each;
     other columns are ignored.
     """
     shipped = sent(docs, load(path))
