@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.model import Attribute, kernel_attributes, registry
-from factloom.operators import pull
+from factloom.operators import crosswalk, pull
 from factloom.plans import world
 from factloom.plans.graphs import order_chain
 from factloom.plans.registry import query
+from factloom.session import written
 from factloom.sources.mapping import as_facts, union
 from factloom.store import FactLog
 
@@ -82,3 +83,47 @@ def pulled_rows(spark: SparkSession, sf: str) -> DataFrame:
     told = F.when(F.col("attribute") == "order/replaces", "a reference").when(F.col("attribute") == "order/total", "an amount").otherwise(F.col("value"))
     return found.groupBy((F.size("path") - 1).alias("depth"), "attribute", told.alias("value")).agg(
         F.count("*").alias("n"), F.count_if("cut").alias("cut"), F.sum(F.col("root") % world.WIDTH).alias("roots"))
+
+
+#: Ids of a part: its own, and what its lines lead to.
+_ON_ORDER = ("~line/part", "line/order")
+_BUYER = (*_ON_ORDER, "order/customer")
+_SELLER = ("~line/part", "line/supplier")
+PART_SYSTEMS: dict[str, crosswalk.System] = {
+    "name": ((), "part/name"), "brand": ((), "part/brand"), "type": ((), "part/type"),
+    "order_no": (_ON_ORDER, "order/number"), "status": (_ON_ORDER, "order/status"),
+    "buyer": (_BUYER, "customer/name"), "buyer_nation": ((*_BUYER, "customer/nation"), "nation/name"),
+    "buyer_region": ((*_BUYER, "customer/nation", "nation/region"), "region/name"),
+    "seller": (_SELLER, "supplier/name"), "seller_nation": ((*_SELLER, "supplier/nation"), "nation/name"),
+    "seller_region": ((*_SELLER, "supplier/nation", "nation/region"), "region/name"),
+}
+_PART_IDS = """
+WITH l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS part, min(l_suppkey) AS supp FROM lineitem GROUP BY 1, 2),
+x AS (SELECT part AS hub, 'O-' || o_orderkey AS order_no, o_orderstatus AS status, c_name AS buyer, cn.n_name AS buyer_nation, cr.r_name AS buyer_region,
+   s_name AS seller, sn.n_name AS seller_nation, sr.r_name AS seller_region
+ FROM l JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation cn ON cn.n_nationkey = c_nationkey JOIN region cr ON cr.r_regionkey = cn.n_regionkey
+ JOIN supplier ON s_suppkey = supp JOIN nation sn ON sn.n_nationkey = s_nationkey JOIN region sr ON sr.r_regionkey = sn.n_regionkey),
+ids AS (SELECT DISTINCT hub, system, value FROM x UNPIVOT (value FOR system IN (order_no, status, buyer, buyer_nation, buyer_region, seller, seller_nation, seller_region))
+ UNION ALL SELECT p_partkey, 'name', p_name FROM part UNION ALL SELECT p_partkey, 'brand', p_brand FROM part UNION ALL SELECT p_partkey, 'type', p_type FROM part)
+"""
+
+
+@query("crosswalk_systems", _PART_IDS + """
+SELECT hub, """ + ", ".join(f"min(value) FILTER (WHERE system = '{s}') AS {s}, count(*) FILTER (WHERE system = '{s}') AS {s}_n" for s in PART_SYSTEMS) + """
+FROM ids GROUP BY hub""")
+def crosswalk_systems(spark: SparkSession, sf: str) -> DataFrame:
+    """A row a part over eleven systems, eight of them through its lines."""
+    known = crosswalk.ids(world.store(spark, sf), PART_SYSTEMS)
+    return crosswalk.table(known, PART_SYSTEMS).withColumn("hub", F.col("hub") % world.WIDTH)
+
+
+@query("crosswalk_from_names", _PART_IDS + """
+SELECT given, system, count(*) AS n, min(value) AS least, max(value) AS greatest
+FROM (SELECT DISTINCT g.value AS given, k.system, k.value FROM ids g JOIN ids k ON k.hub = g.hub WHERE g.system = 'name' AND (k.system <> 'name' OR k.value <> g.value))
+GROUP BY 1, 2""")
+def crosswalk_from_names(spark: SparkSession, sf: str) -> DataFrame:
+    """From the name of every part to its ids in the other systems."""
+    known = written(crosswalk.ids(world.store(spark, sf), PART_SYSTEMS))
+    given = world.table(spark, sf, "part").select(F.lit("name").alias("system"), F.col("p_name").alias("value"))
+    return crosswalk.translate(known, given).groupBy("given", "system").agg(
+        F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("greatest"))
