@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.model import Attribute, kernel_attributes, registry
-from factloom.operators import crosswalk, pull
+from factloom.operators import closure, crosswalk, pull
 from factloom.plans import world
 from factloom.plans.graphs import order_chain
 from factloom.plans.registry import query
@@ -127,3 +127,35 @@ def crosswalk_from_names(spark: SparkSession, sf: str) -> DataFrame:
     given = world.table(spark, sf, "part").select(F.lit("name").alias("system"), F.col("p_name").alias("value"))
     return crosswalk.translate(known, given).groupBy("given", "system").agg(
         F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("greatest"))
+
+
+@query("closed_sample_limited", """
+WITH RECURSIVE line AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS k, l_orderkey AS o, l_partkey AS p, l_suppkey AS s FROM lineitem),
+up AS (SELECT 'nation' AS st, CAST(n_nationkey AS BIGINT) AS s, 'region' AS tt, CAST(n_regionkey AS BIGINT) AS t, NULL AS most FROM nation
+ UNION ALL SELECT 'customer', c_custkey, 'nation', c_nationkey, 20 FROM customer UNION ALL SELECT 'supplier', s_suppkey, 'nation', s_nationkey, 0 FROM supplier
+ UNION ALL SELECT 'orders', o_orderkey, 'customer', o_custkey, 3 FROM orders UNION ALL SELECT DISTINCT 'lineitem', k, 'orders', o, 2 FROM line
+ UNION ALL SELECT DISTINCT 'lineitem', k, 'part', p, 0 FROM line UNION ALL SELECT DISTINCT 'lineitem', k, 'supplier', s, 0 FROM line),
+edge AS (SELECT st AS a, s AS x, tt AS b, t AS y FROM up UNION ALL SELECT tt, t, st, s FROM
+  (SELECT *, row_number() OVER (PARTITION BY st, tt, t ORDER BY sha256(CAST(s AS VARCHAR))) AS n FROM up) WHERE most IS NULL OR n <= most),
+reach AS (SELECT 'region' AS kind, CAST(2 AS BIGINT) AS k UNION SELECT b, y FROM reach JOIN edge ON a = kind AND x = k),
+kept AS (SELECT 'region' AS name, r_regionkey AS k FROM region UNION ALL SELECT 'nation', n_nationkey FROM nation UNION ALL SELECT 'customer', c_custkey FROM customer
+ UNION ALL SELECT 'supplier', s_suppkey FROM supplier UNION ALL SELECT 'part', p_partkey FROM part UNION ALL SELECT 'orders', o_orderkey FROM orders
+ UNION ALL SELECT 'lineitem', l_orderkey * 10 + l_linenumber FROM lineitem)
+SELECT name, count(*) AS n, CAST(sum(kept.k) AS BIGINT) AS keys, CAST(0 AS BIGINT) AS dangling FROM kept JOIN reach ON kind = name AND reach.k = kept.k GROUP BY name""")
+def closed_sample_limited(spark: SparkSession, sf: str) -> DataFrame:
+    """One region with its nations, 20 customers of a nation, 3 orders of each, 2 lines of each, and all that these name."""
+    keys = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey"}
+    tables = {name: (world.table(spark, sf, name).withColumn(key, F.col(key).cast("long")), key) for name, key in keys.items()}
+    tables["lineitem"] = (world.table(spark, sf, "lineitem").withColumn("line", F.col("l_orderkey") * 10 + F.col("l_linenumber")), "line")
+    names = [closure.Reference("nation", "n_regionkey", "region", None), closure.Reference("customer", "c_nationkey", "nation", 20),
+             closure.Reference("supplier", "s_nationkey", "nation"), closure.Reference("orders", "o_custkey", "customer", 3),
+             closure.Reference("lineitem", "l_orderkey", "orders", 2), closure.Reference("lineitem", "l_partkey", "part"),
+             closure.Reference("lineitem", "l_suppkey", "supplier")]
+    sample = closure.closed_sample(tables, names, {"region": spark.range(2, 3).select(F.col("id").alias("key"))})
+    sample = {name: written(rows) for name, rows in sample.items()}
+    lost = closure.dangling(sample, tables, names).groupBy(F.col("table").alias("name")).agg(F.sum("n").alias("dangling"))
+    out = None
+    for name, rows in sample.items():
+        part = rows.agg(F.count("*").alias("n"), F.sum(tables[name][1]).alias("keys")).select(F.lit(name).alias("name"), "n", "keys")
+        out = part if out is None else out.unionByName(part)
+    return out.join(lost, "name", "left").select("name", "n", "keys", F.coalesce("dangling", F.lit(0)).alias("dangling"))
