@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.model import Attribute, kernel_attributes, registry
-from factloom.operators import closure, crosswalk, pull
+from factloom.operators import closure, crosswalk, layouts, pull
 from factloom.plans import world
 from factloom.plans.graphs import order_chain
 from factloom.plans.registry import query
@@ -159,3 +159,87 @@ def closed_sample_limited(spark: SparkSession, sf: str) -> DataFrame:
         part = rows.agg(F.count("*").alias("n"), F.sum(tables[name][1]).alias("keys")).select(F.lit(name).alias("name"), "n", "keys")
         out = part if out is None else out.unionByName(part)
     return out.join(lost, "name", "left").select("name", "n", "keys", F.coalesce("dangling", F.lit(0)).alias("dangling"))
+
+
+_PROFORMA = layouts.Layout(
+    "proforma", ("PROFORMA INVOICE", r"(?m)^Your PO:", r"Item \| Qty \| Amount"),
+    {"order": r"(?m)^Your PO: *(\S+)", "total": r"(?m)^Total: *([0-9.]+)", "day": r"(?m)^Date: *(\S+)"},
+    layouts.Rows(r"(?m)^(\d+) \| ([0-9.]+) \| ([0-9.]+)$", ("item", "quantity", "amount"), after=r"Item \| Qty \| Amount\n", before=r"\nTotal"),
+    required=("order", "total"), least=2)
+_COMMERCIAL = layouts.Layout(
+    "commercial", ("COMMERCIAL INVOICE", r"(?m)^Invoice for O-", r"pcs of item"),
+    {"order": r"Invoice for (O-\d+)", "total": r"Sum due ([0-9.]+)", "day": r"of (\d{4}-\d\d-\d\d)"},
+    layouts.Rows(r"([0-9.]+) pcs of item (\d+) at ([0-9.]+);", ("quantity", "item", "amount")), required=("order", "total"), least=2)
+FORMS = [_PROFORMA, _COMMERCIAL]
+
+
+def printed_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """(k, text): a form of every order, by its status: one of two layouts, or a note of neither; urgent ones lack their total."""
+    def number(c: str) -> Column:
+        return F.format_string("%.2f", F.col(c))
+    lines = world.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        F.min("l_partkey").alias("item"), F.sum(world.cents("l_quantity")).alias("q"), F.sum(world.cents("l_extendedprice")).alias("p"))
+    lines = lines.withColumn("q", F.col("q") / 100).withColumn("p", F.col("p") / 100)
+    told = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(
+        "l_linenumber", F.concat_ws(" | ", F.col("item").cast("string"), number("q"), number("p")).alias("a"),
+        F.concat(number("q"), F.lit(" pcs of item "), F.col("item").cast("string"), F.lit(" at "), number("p"), F.lit(";")).alias("b")))).alias("x"))
+    orders = world.table(spark, sf, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd")).join(told, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    plain = F.col("o_orderpriority") != "1-URGENT"
+    total = number("o_totalprice")
+    name = F.concat(F.lit("O-"), "o_orderkey")
+    proforma = F.concat(F.lit("PROFORMA INVOICE\nYour PO: "), name, F.lit("\nDate: "), "day", F.lit("\n7 | 1.00 | 1.00\nItem | Qty | Amount\n"),
+                        F.coalesce(F.array_join(F.col("x.a"), "\n"), F.lit("")), F.lit("\nTotal"), F.when(plain, F.concat(F.lit(": "), total)).otherwise(""), F.lit("\n8 | 1.00 | 1.00"))
+    commercial = F.concat(F.lit("COMMERCIAL INVOICE\nInvoice for "), name, F.lit(" of "), "day", F.lit("\n"),
+                          F.coalesce(F.array_join(F.col("x.b"), " "), F.lit("")), F.when(plain, F.concat(F.lit(" Sum due "), total)).otherwise(""))
+    text = F.when(F.col("o_orderstatus") == "O", proforma).when(F.col("o_orderstatus") == "F", commercial).otherwise(F.concat(F.lit("Note on "), name))
+    return orders.select(F.col("o_orderkey").alias("k"), text.alias("text"))
+
+
+_PRINTED = """
+WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_partkey) AS item, sum(CAST(l_quantity AS DECIMAL(18,2))) AS q, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS p FROM lineitem GROUP BY 1, 2),
+o AS (SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'O' THEN 'proforma' WHEN 'F' THEN 'commercial' END AS layout, o_orderpriority <> '1-URGENT' AS plain,
+  o_totalprice AS total, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders)
+"""
+
+
+@query("layout_fields", _PRINTED + """
+SELECT k, layout, 'O-' || k AS "order", CASE WHEN plain THEN total END AS total, day FROM o WHERE layout IS NOT NULL""")
+def layout_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Order, total and day of every printed form."""
+    found = layouts.fields(layouts.read(printed_orders(spark, sf), "text", FORMS), "k")
+    one = found.groupBy("k", "layout").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in ("order", "total", "day")])
+    return one.withColumn("total", F.col("total").cast("double"))
+
+
+@query("layout_rows", _PRINTED + """
+SELECT k, layout, CAST(row_number() OVER (PARTITION BY k ORDER BY n) AS INT) AS row, item, CAST(q AS DOUBLE) AS quantity, CAST(p AS DOUBLE) AS amount FROM l JOIN o USING (k) WHERE layout IS NOT NULL""")
+def layout_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every item row of the forms' tables, and nothing from outside these."""
+    found = layouts.table_rows(layouts.read(printed_orders(spark, sf), "text", FORMS), "k", ("item", "quantity", "amount"))
+    return found.select("k", "layout", "row", F.col("item").cast("long"), F.col("quantity").cast("double"), F.col("amount").cast("double"))
+
+
+@query("layout_review", _PRINTED + """
+SELECT k, layout, 'no layout' AS reason, CAST(NULL AS VARCHAR) AS field FROM o WHERE layout IS NULL
+UNION ALL SELECT k, layout, 'missing', 'total' FROM o WHERE layout IS NOT NULL AND NOT plain
+UNION ALL SELECT k, layout, 'no rows', NULL FROM o WHERE layout IS NOT NULL AND k NOT IN (SELECT k FROM l)""")
+def layout_review(spark: SparkSession, sf: str) -> DataFrame:
+    """Forms that a person has to look at, and why."""
+    docs = printed_orders(spark, sf)
+    return layouts.review(layouts.read(docs, "text", FORMS), "k", "text", FORMS)
+
+
+_PAGES = [layouts.Layout("article", ("<article>", "<h1>", "<footer>"), {"title": "<title>([^<]*)</title>", "lang": '<html lang="([a-z-]+)"', "heading": "<h1>([^<]*)</h1>"},
+                         layouts.Rows('<a href="([^"]*)">([^<]*)</a>', ("target", "label")), required=("title", "heading"), least=2),
+          layouts.Layout("listing", ("<table", "<tr"), {"title": "<title>([^<]*)</title>"}, least=1)]
+
+
+@query("layout_pages", """
+SELECT page_id, trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS heading, regexp_extract(html, '<html lang="([a-z-]+)"', 1) AS lang,
+ regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)[i] AS target, trim(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)[i]) AS label, CAST(i AS INT) AS row
+FROM (SELECT *, unnest(range(1, len(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>')) + 1)) AS i FROM pages)""")
+def layout_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Headings of every page beside each of its links."""
+    read = layouts.read(world.table(spark, sf, "pages").select("page_id", "html"), "html", _PAGES)
+    rows = read.where("layout = 'article'").select("page_id", F.col("fields")["heading"].alias("heading"), F.col("fields")["lang"].alias("lang"), F.posexplode("rows").alias("at", "x"))
+    return rows.select("page_id", "heading", "lang", F.col("x")["target"].alias("target"), F.col("x")["label"].alias("label"), (F.col("at") + 1).alias("row"))
