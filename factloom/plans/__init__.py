@@ -1,6 +1,6 @@
 """Composite plans: the registered queries and the mapping of the provided tables to facts."""
 
-MODULES = ("business", "temporal", "writing", "graphs", "relational", "profiles", "matching", "documents", "stored", "further", "records")
+MODULES = ("business", "temporal", "writing", "graphs", "relational", "profiles", "matching", "documents", "stored", "further", "records", "files")
 
 
 def load():

@@ -124,6 +124,11 @@ def truth_links(spark: SparkSession, path: str, key: str = "sku") -> DataFrame:
     return df.select(F.col(key).alias("hub"), F.inline(cells)).where("value <> ''").select("system", "hub", "value")
 
 
+def vendor_truth(spark: SparkSession, path: str) -> DataFrame:
+    """(code, legal_name): the legal name stated for each vendor code."""
+    return read_csv(spark, path).select(F.col("vendor").alias("code"), "legal_name").where("code <> ''")
+
+
 def duplicate_pairs(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path).select(F.col("customer_id").alias("src"), F.col("same_person_as").alias("dst"))
 
