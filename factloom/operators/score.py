@@ -111,6 +111,29 @@ def pairs_right(expected: DataFrame, found: DataFrame) -> DataFrame:
     return want.join(hit, ["a", "b"], "left").agg(F.count("*").alias("pairs"), F.count("_hit").alias("right"))
 
 
+def splits_and_twins(truth: DataFrame, stored: DataFrame) -> DataFrame:
+    """One row (things, found, split, entities, twins, right) of where keys of true things lie in a store.
+
+    `truth` is (key, thing), `stored` (key, e). A thing is split when its keys lie in several
+    entities, an entity is a twin when it holds keys of several things; `right` counts the things
+    with all their keys in one entity that holds nothing else's. Each (thing, entity) is folded
+    once before anything is counted, so a thing with a third of all keys is no task's burden.
+    """
+    keys = truth.select("key", "thing").distinct()
+    cells = keys.join(stored.select("key", "e").distinct(), "key", "left").groupBy("thing", "e").agg(F.count("*").alias("n"))
+    held = cells.where("e is not null")
+    crowd = held.groupBy("e").agg(F.count("*").alias("things"))
+    placed = held.join(crowd, "e").select("thing", F.lit(1).alias("here"), F.lit(0).alias("lost"), "things").unionByName(
+        cells.where("e is null").select("thing", F.lit(0).alias("here"), F.lit(1).alias("lost"), F.lit(0).alias("things")))
+    per_thing = placed.groupBy("thing").agg(F.sum("here").alias("here"), F.sum("lost").alias("lost"), F.max("things").alias("crowd"))
+    here = F.col("here")
+    things = per_thing.agg(F.count("*").alias("things"), F.count_if(here > 0).alias("found"), F.count_if(here > 1).alias("split"),
+                           F.count_if((here == 1) & (F.col("lost") == 0) & (F.col("crowd") == 1)).alias("right"))
+    entities = crowd.agg(F.count("*").alias("entities"), F.count_if(F.col("things") > 1).alias("twins"))
+    names = ("things", "found", "split", "entities", "twins", "right")
+    return things.unionByName(entities, allowMissingColumns=True).agg(*[F.max(n).alias(n) for n in names])
+
+
 def closed_sample(seeds: DataFrame, tables: dict[str, tuple[DataFrame, str, str | None]]) -> dict[str, DataFrame]:
     """Every row of `tables` that names a seed (key), following references on.
 

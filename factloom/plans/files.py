@@ -131,16 +131,17 @@ def read_warehouse(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("read_vendors", """
-SELECT 'V' || s_suppkey AS vendor, s_name AS company, CAST(CAST(s_acctbal AS DECIMAL(18,2)) AS DOUBLE) AS balance, CAST(s_nationkey AS VARCHAR) AS nation, s_name || ' Ltd.' AS legal FROM supplier""")
+SELECT 'V' || s_suppkey AS vendor, 'S' || s_suppkey AS code, s_name AS company, CAST(CAST(s_acctbal AS DECIMAL(18,2)) AS DOUBLE) AS balance, CAST(s_nationkey AS VARCHAR) AS nation, s_name || ' Ltd.' AS legal FROM supplier""")
 def read_vendors(spark: SparkSession, sf: str) -> DataFrame:
     """A ledger's vendor list, amounts with thousands separators, beside the legal names stated for its codes."""
     supplier = world.table(spark, sf, "supplier")
     code = F.concat(F.lit("V"), "s_suppkey")
     listed = _csv(supplier.select(code.alias("Vendor"), F.col("s_name").alias("Company name"), F.lit("USD").alias("Currency"), F.lit("30").alias("Terms"), F.lit("").alias("Email"),
                                   F.format_number("s_acctbal", 2).alias("Open balance"), F.col("s_nationkey").alias("Nation")))
-    stated = _csv(supplier.select(code.alias("vendor"), F.concat("s_name", F.lit(" Ltd.")).alias("legal_name")))
-    return tabular.vendors(spark, listed).join(tabular.vendor_truth(spark, stated).withColumnRenamed("code", "vendor"), "vendor").select(
-        "vendor", "company", F.col("balance").cast("double"), F.col("others")["Nation"].alias("nation"), F.col("legal_name").alias("legal"))
+    stated = _csv(supplier.select(F.concat(F.lit("S"), "s_suppkey").alias("supplier_code"), F.concat("s_name", F.lit(" Ltd.")).alias("legal_name"),
+                                  code.alias("quickbooks_vendor"), F.lit("").alias("wechat_contact")))
+    return tabular.vendors(spark, listed).join(tabular.vendor_truth(spark, stated).withColumnRenamed("ledger_name", "vendor"), "vendor").select(
+        "vendor", "code", "company", F.col("balance").cast("double"), F.col("others")["Nation"].alias("nation"), F.col("legal_name").alias("legal"))
 
 
 @query("read_csv", """

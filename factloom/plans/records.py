@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.model import Attribute, kernel_attributes, registry
-from factloom.operators import closure, crosswalk, layouts, pull
+from factloom.operators import closure, crosswalk, layouts, pull, relate, score, wholes
 from factloom.plans import world
 from factloom.plans.graphs import order_chain
 from factloom.plans.registry import query
@@ -243,3 +243,74 @@ def layout_pages(spark: SparkSession, sf: str) -> DataFrame:
     read = layouts.read(world.table(spark, sf, "pages").select("page_id", "html"), "html", _PAGES)
     rows = read.where("layout = 'article'").select("page_id", F.col("fields")["heading"].alias("heading"), F.col("fields")["lang"].alias("lang"), F.posexplode("rows").alias("at", "x"))
     return rows.select("page_id", "heading", "lang", F.col("x")["target"].alias("target"), F.col("x")["label"].alias("label"), (F.col("at") + 1).alias("row"))
+
+
+#: Lines of orders twice: as they are, and as a store that merges the second line of some orders into
+#: the first, and keeps the ship day of large lines apart.
+_TWO_STORES = """
+WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, min(l_partkey) AS item, sum(CAST(l_quantity AS DECIMAL(18,2))) AS q, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS p, min(l_shipdate) AS d FROM lineitem GROUP BY 1, 2),
+a AS (SELECT o AS whole, o * 10 + n AS part, unnest(['i' || item, 'p' || p, 'd' || strftime(d, '%Y-%m-%d')]) AS key, n, q FROM l),
+b AS (SELECT whole + 5 AS whole, CASE WHEN whole % 3 = 0 AND n = 2 THEN part - 1 ELSE part END + CASE WHEN q > 45 AND key LIKE 'd%' THEN 1000000000000 ELSE 0 END AS part, key FROM a),
+x AS (SELECT whole, key, min(part) AS part FROM (SELECT DISTINCT whole, part, key FROM a) GROUP BY 1, 2 HAVING count(*) = 1),
+y AS (SELECT whole, key, min(part) AS part FROM (SELECT DISTINCT whole, part, key FROM b) GROUP BY 1, 2 HAVING count(*) = 1),
+c0 AS (SELECT x.part AS l, y.part AS r, count(DISTINCT x.key) AS votes FROM x JOIN y ON y.whole = x.whole + 5 AND y.key = x.key GROUP BY 1, 2)"""
+_ROUNDS = "".join(f""",
+m{i} AS (SELECT l, r, votes FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY votes DESC, l, r) AS i, row_number() OVER (PARTITION BY r ORDER BY votes DESC, l, r) AS j FROM c{i}) WHERE i = 1 AND j = 1),
+c{i + 1} AS (SELECT * FROM c{i} WHERE l NOT IN (SELECT l FROM m{i}) AND r NOT IN (SELECT r FROM m{i}))""" for i in range(4))
+
+
+def two_stores(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(whole, part, key) of either store, and the orders (left, right) they share by number."""
+    lines = world.lines(spark, sf)
+    keys = F.explode(F.array(F.concat(F.lit("i"), "part"), F.concat(F.lit("p"), "price"), F.concat(F.lit("d"), F.date_format("shipped_on", "yyyy-MM-dd"))))
+    here = lines.select(F.col("l_orderkey").alias("whole"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("part"), keys.alias("key"), "l_linenumber", "quantity")
+    merged = F.when((F.col("whole") % 3 == 0) & (F.col("l_linenumber") == 2), F.col("part") - 1).otherwise(F.col("part"))
+    apart = F.when((F.col("quantity") > 45) & F.col("key").startswith("d"), F.lit(1_000_000_000_000)).otherwise(F.lit(0))
+    there = here.select((F.col("whole") + 5).alias("whole"), (merged + apart).alias("part"), "key")
+    numbers = world.table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("O-"), "o_orderkey").alias("v"))
+    shared = relate.across(numbers.select(F.col("o_orderkey").alias("e"), "v"), numbers.select((F.col("o_orderkey") + 5).alias("e"), "v"))
+    return here.select("whole", "part", "key"), there, shared.where("left is not null and right is not null").select("left", "right")
+
+
+@query("linked_by_wholes", _TWO_STORES + _ROUNDS + "\n" + " UNION ALL ".join(f"SELECT l AS left, r AS right, votes FROM m{i}" for i in range(4)))
+def linked_by_wholes(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of two stores without ids of their own, linked one to one through the orders they are part of."""
+    return wholes.assign(wholes.votes(*two_stores(spark, sf)))
+
+
+@query("splits_and_twins", _TWO_STORES + """,
+cell AS (SELECT DISTINCT a.part AS thing, b.part AS e FROM a JOIN b ON b.whole = a.whole + 5 AND b.key = a.key),
+crowd AS (SELECT e, count(*) AS things FROM cell GROUP BY 1),
+per AS (SELECT thing, count(*) AS k, max(things) AS crowd FROM cell JOIN crowd USING (e) GROUP BY 1)
+SELECT (SELECT count(*) FROM per) AS things, (SELECT count(*) FROM per) AS found, (SELECT count(*) FROM per WHERE k > 1) AS split, (SELECT count(*) FROM crowd) AS entities,
+ (SELECT count(*) FROM crowd WHERE things > 1) AS twins, (SELECT count(*) FROM per WHERE k = 1 AND crowd = 1) AS right,
+ (SELECT count(DISTINCT part) FROM a) AS pairs, (SELECT count(DISTINCT part) FROM a JOIN b USING (part)) AS pairs_right""")
+def splits_and_twins(spark: SparkSession, sf: str) -> DataFrame:
+    """What the second store did to the lines of the first: split, merged with others, or kept; and pairs it links rightly."""
+    here, there, _ = two_stores(spark, sf)
+    told = score.splits_and_twins(here.select(F.concat_ws(":", "whole", "key").alias("key"), F.col("part").alias("thing")),
+                                  there.select(F.concat_ws(":", F.col("whole") - 5, "key").alias("key"), F.col("part").alias("e")))
+    want = here.select(F.col("part").alias("a"), F.col("part").alias("b"))
+    pairs = score.pairs_right(want, there.select(F.col("part").alias("a"), F.col("part").alias("b"))).select("pairs", F.col("right").alias("pairs_right"))
+    both = told.unionByName(pairs, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
+
+
+@query("identities_by_wholes", """
+WITH l AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS k, l_orderkey FROM lineitem)
+SELECT 'order/number' AS ident, 'x/number' AS found, (SELECT count(DISTINCT o_orderkey) FROM orders) AS n, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'P') AS shared,
+ 'x/line' AS of_parts, (SELECT count(*) FROM l JOIN orders ON o_orderkey = l_orderkey) AS parts""")
+def identities_by_wholes(spark: SparkSession, sf: str) -> DataFrame:
+    """Which attribute of another store is the order number, and by what the parts of orders are known there."""
+    orders, lines = world.table(spark, sf, "orders"), world.lines(spark, sf)
+    number = F.concat(F.lit("O-"), "o_orderkey")
+    known = orders.select(F.lit("order/number").alias("ident"), number.alias("v"))
+    held = orders.select(F.lit("x/number").alias("ident"), F.when(F.col("o_orderstatus") != "P", number).otherwise(F.col("o_orderpriority")).alias("v")).unionByName(
+        orders.select(F.lit("x/status").alias("ident"), F.col("o_orderstatus").alias("v")))
+    line, order, buyer = F.concat(F.lit("l"), F.col("l_orderkey") * 10 + F.col("l_linenumber")), F.concat(F.lit("o"), "o_orderkey"), F.concat(F.lit("c"), "o_custkey")
+    part_of = lines.select(line.alias("part"), F.concat(F.lit("o"), "l_orderkey").alias("whole")).unionByName(orders.select(order.alias("part"), buyer.alias("whole")))
+    kinds = wholes.in_wholes(part_of).where(F.col("part").startswith("l") & F.col("whole").startswith("o")).join(
+        orders.select(order.alias("whole"), F.lit("order/number").alias("whole_kind")), "whole").select("part", "whole_kind")
+    carried = lines.select(line.alias("e"), F.lit("x/line").alias("ident")).unionByName(lines.where("quantity > 25").select(line.alias("e"), F.lit("x/pallet").alias("ident")))
+    named = wholes.identity_of_parts(kinds, carried).select(F.col("whole_kind").alias("ident"), F.col("ident").alias("of_parts"), F.col("n").alias("parts"))
+    return wholes.same_attribute(known, held).join(named, "ident").select("ident", "found", "n", "shared", "of_parts", "parts")

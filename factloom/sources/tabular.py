@@ -125,8 +125,9 @@ def truth_links(spark: SparkSession, path: str, key: str = "sku") -> DataFrame:
 
 
 def vendor_truth(spark: SparkSession, path: str) -> DataFrame:
-    """(code, legal_name): the legal name stated for each vendor code."""
-    return read_csv(spark, path).select(F.col("vendor").alias("code"), "legal_name").where("code <> ''")
+    """(code, legal_name, ledger_name, contact): under which names each supplier code goes."""
+    return read_csv(spark, path).where("supplier_code <> ''").select(
+        F.col("supplier_code").alias("code"), "legal_name", F.col("quickbooks_vendor").alias("ledger_name"), F.col("wechat_contact").alias("contact"))
 
 
 def duplicate_pairs(spark: SparkSession, path: str) -> DataFrame:
