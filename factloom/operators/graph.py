@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.session import cut, is_empty
+from factloom.session import cut, is_empty, written
 
 
 def chain_roots(edges: DataFrame) -> DataFrame:
@@ -183,22 +183,26 @@ def levels(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, Da
     """Depth of each node over `edges` (src depends on dst), the dangling targets, and the unsettled.
 
     A node's level is one more than its deepest dependency's; nodes that never settle are on or
-    above a cycle. One round per level.
+    above a cycle. Each node keeps a count of its open dependencies. A round takes those that have
+    none, and only the edges that point at these: what hangs on them is counted down by partial
+    sums, and the nodes left are written once. The edges are never rewritten, and the round's own
+    nodes are a table of known size, so that Spark sends them to the edges where they are few.
     """
     known = nodes.select("e").distinct()
     dangling = edges.join(known.select(F.col("e").alias("dst")), "dst", "left_anti").select("src", "dst")
-    inner = edges.join(known.select(F.col("e").alias("dst")), "dst", "left_semi").select("src", "dst").distinct()
-    rest, open_edges = cut(known), cut(inner)
+    inner = written(edges.select("src", "dst").distinct().join(known.select(F.col("e").alias("dst")), "dst", "left_semi"))
+    rest = written(known.join(inner.groupBy(F.col("src").alias("e")).agg(F.count("*").alias("open")), "e", "left").select(
+        "e", F.coalesce("open", F.lit(0)).alias("open")))
     settled, level = [], 0
-    while not is_empty(rest):
-        ready = cut(rest.join(open_edges.select(F.col("src").alias("e")), "e", "left_anti"))
+    while True:
+        ready = written(rest.where("open = 0").select("e", F.lit(level).alias("level")))
         if is_empty(ready):
             break
-        settled.append(ready.withColumn("level", F.lit(level)))
-        rest = cut(rest.join(ready, "e", "left_anti"))
-        open_edges = cut(open_edges.join(ready.select(F.col("e").alias("dst")), "dst", "left_anti"))
+        settled.append(ready)
+        if len(settled) >= 8:
+            settled = [written(_together(settled))]
+        done = inner.join(ready.select(F.col("e").alias("dst")), "dst").groupBy(F.col("src").alias("e")).agg(F.count("*").alias("done"))
+        rest = written(rest.where("open > 0").join(done, "e", "left").select("e", (F.col("open") - F.coalesce("done", F.lit(0))).alias("open")))
         level += 1
-    out = settled[0] if settled else known.limit(0).withColumn("level", F.lit(0))
-    for s in settled[1:]:
-        out = out.unionByName(s)
-    return out, dangling, rest
+    out = _together(settled) if settled else known.limit(0).withColumn("level", F.lit(0))
+    return out, dangling, rest.select("e")

@@ -85,3 +85,19 @@ def test_levels_dangling_and_cycles(spark):
     assert {r.e: r.level for r in out.collect()} == {"a": 0, "b": 1, "c": 2, "d": 0}
     assert [tuple(r) for r in dangling.collect()] == [("gone", "d")] or [tuple(r) for r in dangling.collect()] == [("d", "gone")]
     assert sorted(r.e for r in rest.collect()) == ["x", "y"]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_levels_against_peeling(spark, seed):
+    """Deep, with repeated edges, a self-reference, dangling targets and a ring."""
+    r = random.Random(seed)
+    edges = [(i, r.randrange(max(0, i - 3), i)) for i in range(1, 25) for _ in range(2)] + [(30, 31), (31, 30), (32, 30), (33, 33), (5, 99), (98, 1)]
+    nodes = [*range(25), 30, 31, 32, 33, 3, 3]
+    deps = {n: {d for s, d in edges if s == n and d in nodes} for n in nodes}
+    level, k = {}, 0
+    while ready := [n for n in deps if n not in level and all(d in level and level[d] < k for d in deps[n])]:
+        level.update({n: k for n in ready})
+        k += 1
+    out, dangling, rest = graph.levels(spark.createDataFrame([(n,) for n in nodes], "e long"), spark.createDataFrame(edges, "src long, dst long"))
+    assert {x.e: x.level for x in out.collect()} == level and out.count() == len(level)
+    assert sorted(map(tuple, dangling.collect())) == [(5, 99)] and sorted(x.e for x in rest.collect()) == [30, 31, 32, 33]
