@@ -104,23 +104,25 @@ def signature_without_bare(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def registrations(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(facts, transactions): each nation's region registers an attribute named for the nation."""
-    nations = world.table(spark, sf, "nation")
-    tx = (F.lit(5000) + F.col("n_nationkey")).cast("long")
-    facts = nations.select(tx.alias("e"), F.lit(KERNEL["fs/ident"]).cast("long").alias("a"), *[
-        (F.concat(F.lit("nation/n"), "n_nationkey") if t == "string" else F.lit(None)).cast(SPARK_TYPE[t]).alias(c) for t, c in VALUE_COLUMN.items()],
-        tx.alias("tx"), (F.col("n_nationkey") >= 0).alias("op"))
-    return facts, nations.select(tx.alias("id"), world.entity("region", "n_regionkey").alias("actor"), F.lit("2001-01-01").cast("timestamp").alias("at"))
-
-
-@query("registered_by", "SELECT 'nation/n' || n_nationkey AS ident, r_name AS actor FROM nation JOIN region ON r_regionkey = n_regionkey")
+    """(facts, transactions): each order's customer registers an attribute named for the order, those of finished orders among the kernel's names; part-shipped ones are taken back."""
+    orders = world.table(spark, sf, "orders")
+    tx = (F.lit(5000) + F.col("o_orderkey")).cast("long")
+    ident = F.concat(F.when(F.col("o_orderstatus") == "F", "fs/n").otherwise("order/n"), "o_orderkey")
+    facts = orders.select(tx.alias("e"), F.lit(KERNEL["fs/ident"]).cast("long").alias("a"), *[
+        (ident if t == "string" else F.lit(None)).cast(SPARK_TYPE[t]).alias(c) for t, c in VALUE_COLUMN.items()],
+        tx.alias("tx"), (F.col("o_orderstatus") != "P").alias("op"))
+    return facts, orders.select(tx.alias("id"), world.entity("customer", "o_custkey").alias("actor"), F.lit("2001-01-01").cast("timestamp").alias("at"))
+
+
+@query("registered_by", """
+SELECT CASE WHEN o_orderstatus = 'F' THEN 'fs/n' ELSE 'order/n' END || o_orderkey AS ident, c_name AS actor FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus <> 'P'""")
 def registered_by(spark: SparkSession, sf: str) -> DataFrame:
-    return vocabulary.registered_by(*registrations(spark, sf), world.store(spark, sf).attr("region/name"))
+    return vocabulary.registered_by(*registrations(spark, sf), world.store(spark, sf).attr("customer/name"))
 
 
-@query("installed_packages", "SELECT DISTINCT r_name AS actor FROM nation JOIN region ON r_regionkey = n_regionkey")
+@query("installed_packages", "SELECT DISTINCT c_name AS actor FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'O'")
 def installed_packages(spark: SparkSession, sf: str) -> DataFrame:
-    return vocabulary.installed(vocabulary.registered_by(*registrations(spark, sf), world.store(spark, sf).attr("region/name")))
+    return vocabulary.installed(vocabulary.registered_by(*registrations(spark, sf), world.store(spark, sf).attr("customer/name")))
 
 
 @query("field_authority", """
