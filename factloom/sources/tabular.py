@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import codes
+from factloom.sources import quoted
 
 
 def read_csv(spark: SparkSession, path: str | list[str], *, sep: str = ",", multi_line: bool = True) -> DataFrame:
     """Every column as trimmed text, blanks for nulls, a byte-order mark and blanks off the header.
 
     Files with other headers are read by the names in their own and united by name; a column that
-    a file lacks is blank there. `multi_line` False reads large files in splits, if no quoted field
-    holds a line break.
+    a file lacks is blank there. Large files are read in splits, also where quoted fields hold line
+    breaks; `multi_line` False spares the search for these where there are none.
     """
     parts = [_read_alike(spark, files, sep, multi_line) for files in _by_header(spark, path)]
     out = parts[0]
@@ -35,7 +36,7 @@ def _by_header(spark: SparkSession, path: str | list[str]) -> list[str | list[st
 def _read_alike(spark: SparkSession, path: str | list[str], sep: str, multi_line: bool) -> DataFrame:
     raw = spark.read.csv(path, header=True, sep=sep, multiLine=multi_line, quote='"', escape='"')
     names = [c.lstrip("\ufeff").strip() for c in raw.columns]
-    df = raw.toDF(*names)
+    df = quoted.read(spark, path, names, sep) if multi_line else raw.toDF(*names)
     return df.select(*[F.coalesce(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c) for c in names if c])
 
 
