@@ -6,12 +6,15 @@ rows in cells between evenly spaced probes; cells that hold a wanted splitter an
 the tolerance, and cells with too many rows for a task, are probed again, more finely (by hash
 until a cell holds one hash, then by id). When no cell is left to refine, each shard ends at the
 cell boundary nearest to its share of the bytes, every cell's first slot is known, and the rows are
-exchanged once, by cell.
+exchanged once, by cell. A splitter that falls into equal texts moves to their nearer edge, if that
+is within a small share of a shard or one of these rows; only larger groups are split.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +27,9 @@ SHARDS = 40
 ROW_BYTES = 16
 #: Share of a shard's bytes by which a splitter may miss its place.
 TOLERANCE = 0.001
+#: A splitter moves to the edge of a group of equal texts within GROUP_TOLERANCE of a shard, or within one of
+#: the group's rows if that is under MOST_MOVED of a shard.
+GROUP_TOLERANCE, MOST_MOVED = 0.01, 0.125
 #: Probes of the first round, and of a cell in later rounds.
 FIRST_BITS, PROBES = 12, 256
 #: A cell is refined while it has more than this share of all rows (and over MOST_ROWS).
@@ -87,12 +93,32 @@ def _counted(probed: DataFrame, depth: int) -> list[_Cell]:
     return sorted((_Cell(tuple(r[c] for c in _at(depth)), r["size"], r["rows"], (r["h0"], r["h1"], r["i0"], r["i1"])) for r in rows), key=lambda c: c.path)
 
 
+def _marks(cells: list[_Cell], shards: int) -> list[int]:
+    """Where each splitter belongs, in bytes below it times `shards`: at its share, or at the edge of a group near there."""
+    total, below = sum(c.size for c in cells), 0
+    marks = [k * total for k in range(1, shards)]
+    # equal texts are one cell, or a run of cells of one hash
+    for _, group in groupby(enumerate(cells), lambda at: ("hash", at[1].ends[0]) if at[1].one_hash else ("cell", at[0])):
+        held = [c for _, c in group]
+        size, rows = sum(c.size for c in held), sum(c.rows for c in held)
+        low, high = below * shards, (below + size) * shards
+        below += size
+        if not held[0].one_hash:
+            continue
+        most = max(GROUP_TOLERANCE * total, min(size / rows * shards, MOST_MOVED * total))
+        for i in range(bisect_right(marks, low), bisect_left(marks, high)):
+            edge = low if marks[i] - low <= high - marks[i] else high
+            if abs(edge - marks[i]) <= most:
+                marks[i] = edge
+    return marks
+
+
 def _to_refine(cells: list[_Cell], shards: int, tolerance: float) -> list[_Cell]:
     total, count = sum(c.size for c in cells), sum(c.rows for c in cells)
-    out, below = [], 0
+    marks, out, below = _marks(cells, shards), [], 0
     for c in cells:
         # splitters wanted strictly inside the cell
-        inside = below * shards // total != (below + c.size - 1) * shards // total if total else False
+        inside = bisect_right(marks, below * shards) < bisect_right(marks, (below + c.size - 1) * shards)
         if not c.atomic and (inside and c.size > tolerance * total / shards or c.rows > max(MOST_ROWS, ROW_SHARE * count)):
             out.append(c)
         below += c.size
@@ -101,13 +127,13 @@ def _to_refine(cells: list[_Cell], shards: int, tolerance: float) -> list[_Cell]
 
 def _placed(cells: list[_Cell], shards: int) -> list[tuple[int, int]]:
     """(shard, first slot) of each cell in key order."""
-    total, below, bounds = sum(c.size for c in cells), 0, [0]
+    below, bounds = 0, [0]
     for c in cells:
         below += c.size
-        bounds.append(below)
+        bounds.append(below * shards)
     first, at = [], 0
-    for k in range(1, shards):
-        while at < len(cells) and abs(bounds[at + 1] - k * total / shards) < abs(bounds[at] - k * total / shards):
+    for mark in _marks(cells, shards):
+        while at < len(cells) and abs(bounds[at + 1] - mark) < abs(bounds[at] - mark):
             at += 1
         first.append(at)
     out, shard, slot = [], 0, 0
@@ -123,8 +149,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -
     """(row, size, text_crc32, shard, slot): every row of `docs` as a struct, with its shard and its place there.
 
     Slots count from 0 without gaps in key order. Sizes of shards differ from an equal share by the
-    tolerance, or by the rows at a boundary if these are larger; rows that repeat both text and id
-    are one key and stay together. A null text counts as empty, a null id comes first. An empty
+    tolerances, or by the rows at a boundary if these are larger. Equal texts share a shard unless a
+    splitter falls so far into them that they have to be split, by id; rows that repeat both text and
+    id are one key and stay together. A null text counts as empty, a null id comes first. An empty
     table gives no rows.
     """
     rows = sized(docs)

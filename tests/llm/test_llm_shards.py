@@ -50,3 +50,22 @@ def test_a_very_hot_text_is_refined_by_id(spark, monkeypatch):
     rows = [(i * i, "hot") for i in range(3000)]
     sums = check(rows, placed(spark.createDataFrame(rows, "doc_id long, text string"), shards=7), 7)
     assert max(sums) - min(sums) <= 2 * 19
+
+
+def test_equal_texts_are_split_only_where_no_edge_is_near(spark):
+    rows = [(i, f"é{i // 2} " * (1 + i // 2 % 90)) for i in range(4000)] + [(5000 + i, "some copies") for i in range(20)]
+    got = placed(spark.createDataFrame(rows, "doc_id long, text string"), shards=13)
+    sums = check(rows, got, 13)
+    share = sum(sums) / 13
+    # every pair and the group of 20 (under a fiftieth of a shard) lie in one shard each
+    held = {}
+    for r in got:
+        held.setdefault(r.text, set()).add(r.shard)
+    assert max(map(len, held.values())) == 1
+    assert max(abs(s - share) for s in sums) <= 2 * max(shards.GROUP_TOLERANCE * share, max(r.size for r in got))
+
+
+def test_large_pairs_do_not_empty_a_shard(spark):
+    rows = [(i, f"{i // 2}" + "x" * 10000) for i in range(12)]
+    sums = check(rows, placed(spark.createDataFrame(rows, "doc_id long, text string"), shards=12), 12)
+    assert min(sums) > 0 and max(sums) - min(sums) < 100
