@@ -24,6 +24,8 @@ SYMBOLS = "#*$%&|<>"
 MOST_REPEATED, LEAST_WORDS = 50, 50
 #: Thresholds tried for each statistic, tests of a rule, rules of a list.
 BINS, MOST_TESTS, MOST_RULES = 32, 4, 16
+#: Thresholds are percentiles of values to so many bits after the leading one.
+GRID_BITS = 10
 #: A rule is kept if at least this share of what it covers is bad, in both parts of the labelled documents.
 LEAST_PRECISION = 0.9
 #: And if it covers at least so many.
@@ -153,18 +155,35 @@ def _worth(rows: DataFrame, rules: list[Rule]) -> list[tuple[int, int]]:
     return [(sums[f"b{i}"] or 0, sums[f"g{i}"] or 0) for i in range(len(rules))]
 
 
+def _on_grid(value: Column) -> Column:
+    """A value of zero or more with its first `GRID_BITS` bits after the leading one, the rest cut off."""
+    step = F.pow(F.lit(2.0), F.floor(F.log2(value)) - GRID_BITS)
+    return F.when(value > 0, F.floor(value / step) * step).otherwise(F.lit(0.0))
+
+
+def _thresholds(rows: DataFrame) -> dict[str, list[float]]:
+    """The percentiles of each statistic, `BINS` apart; none without rows.
+
+    Taken from counts of values on a grid, which no number of rows makes longer than some 2^GRID_BITS
+    cells for each power of two, so that none of the tasks that rank them grows with the data.
+    """
+    marks = F.array(*(F.lit(i / BINS) for i in range(1, BINS)))
+    cells = rows.select(F.inline(F.array(*(F.struct(F.lit(n).alias("name"), _on_grid(F.col(n).cast("double")).alias("cell")) for n in STATISTICS))))
+    ranked = cells.groupBy("name", "cell").count().groupBy("name").agg(F.percentile("cell", marks, F.col("count")).alias("at")).collect()
+    return {r["name"]: sorted(set(r["at"])) for r in sorted(ranked, key=lambda r: STATISTICS.index(r["name"]))}
+
+
 def learn(labelled: DataFrame) -> list[Rule]:
     """The decision list of `labelled` (doc_id, bad 0/1, and `STATISTICS`); without bad or good rows, an empty one.
 
     A third of the documents, by a hash of their ids, is set apart for pruning. What the driver
-    gathers are histograms: `BINS` thresholds of each statistic.
+    gathers are histograms: `BINS` thresholds of each statistic. Of tests that gain the same, the
+    first in order of statistics and thresholds is taken.
     """
     rows = written(labelled.where("bad is not null").select("bad", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("apart"), *STATISTICS))
-    marks = [i / BINS for i in range(1, BINS)]
-    cuts = rows.where("not apart").agg(*(F.percentile(n, F.array(*map(F.lit, marks))).alias(n) for n in STATISTICS), F.count("*").alias("n")).first()
-    if not cuts["n"]:
+    thresholds = _thresholds(rows.where("not apart"))
+    if not thresholds:
         return []
-    thresholds = {n: sorted(set(cuts[n])) for n in STATISTICS}
     rules: list[Rule] = []
     grow, prune = rows.where("not apart"), rows.where("apart")
     while len(rules) < MOST_RULES:
@@ -216,7 +235,8 @@ def learn_from(measured: DataFrame, labels: DataFrame) -> list[Rule]:
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, what `statistics` gives, rule, kept) of every row of `docs` (doc_id, text), judged by a list learned from `labels`.
 
-    The statistics are computed once, into a table without texts. To filter documents, use
+    Repeated rows are judged alike, each for itself; an empty table gives no rows. The statistics
+    are computed once, into a table without texts. To filter documents, use
     `judged(statistics(docs), rules)`, which keeps whole rows.
     """
     measured = written(statistics(docs.select("doc_id", "text")).withColumn("doc_id", F.col("row.doc_id")).drop("row"))

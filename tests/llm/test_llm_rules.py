@@ -62,3 +62,18 @@ def test_the_plan_is_native(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = rules.statistics(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_thresholds_are_percentiles_on_a_grid_however_many_values(spark):
+    values = spark.range(20000).select(*[(F.col("id") * (i + 1) / 7.0).alias(n) for i, n in enumerate(rules.STATISTICS)])
+    found = rules._thresholds(values)
+    for i, n in enumerate(rules.STATISTICS):
+        assert len(found[n]) == rules.BINS - 1
+        for k, t in enumerate(found[n], 1):
+            exact = 19999 * k / rules.BINS * (i + 1) / 7.0
+            assert exact * (1 - 2 ** -rules.GRID_BITS) - 1 <= t <= exact
+    assert values.select(rules._on_grid(F.col(rules.STATISTICS[0])).alias("c")).distinct().count() < 20000 * 2 / 3
+    # few values are kept as they are
+    few = spark.createDataFrame([(float(v),) * len(rules.STATISTICS) for v in (0, 0, 1, 3)], list(rules.STATISTICS))
+    assert set(rules._thresholds(few)["stops_per_word"]) <= {x / 32 for x in range(97)} and min(rules._thresholds(few)["stops_per_word"]) == 0
+    assert rules._thresholds(few.where("false")) == {}
