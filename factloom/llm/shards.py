@@ -29,7 +29,7 @@ ROW_BYTES = 16
 TOLERANCE = 0.001
 #: A splitter moves to the edge of a group of equal texts within GROUP_TOLERANCE of a shard, or within one of
 #: the group's rows if that is under MOST_MOVED of a shard.
-GROUP_TOLERANCE, MOST_MOVED = 0.01, 0.125
+GROUP_TOLERANCE, MOST_MOVED = 0.01, 0.25
 #: Probes of the first round, and of a cell in later rounds.
 FIRST_BITS, PROBES = 12, 256
 #: A cell is refined while it has more than this share of all rows (and over MOST_ROWS).
