@@ -98,8 +98,7 @@ def container_codes(spark: SparkSession, sf: str) -> DataFrame:
 SELECT 'order/status' AS a FROM orders WHERE o_orderstatus <> 'P' HAVING count(*) > 0 UNION ALL SELECT 'order/total' FROM orders WHERE o_orderstatus <> 'P' HAVING count(*) > 0""")
 def signature_without_bare(spark: SparkSession, sf: str) -> DataFrame:
     """What every order carries, once those that carry one attribute only are left out."""
-    state = gappy(spark, sf).state()
-    found = profile.data_signature(state, state.select("e").distinct(), bare=False)
+    found = profile.data_signature(profile.current(gappy(spark, sf).log()), bare=False)
     return found.join(world.store(spark, sf).attrs.select(F.col("id").alias("a"), "ident"), "a").select(F.col("ident").alias("a"))
 
 

@@ -123,7 +123,8 @@ def shape_members(spark: SparkSession, sf: str) -> DataFrame:
     ids = {i: a.id for i, a in world.BY_IDENT.items()}
     shapes = spark.createDataFrame([("dated", [ids["order/placed_on"], ids["order/status"]]), ("moved", [ids["line/shipped_on"], ids["line/part"]])],
                                    "name string, attributes array<bigint>")
-    return profile.shape_members(world.store(spark, sf).state(), shapes).groupBy("name").agg(F.count("*").alias("members"))
+    log = world.store(spark, sf).log(["order/placed_on", "order/status", "line/shipped_on", "line/part"])
+    return profile.shape_members(profile.current(log), shapes).groupBy("name").agg(F.count("*").alias("members"))
 
 
 @query("column_profile", """
