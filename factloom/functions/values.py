@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from factloom.model import DECIMAL, VALUES
 
 _NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
+#: Numbers without an exponent and with no more significant fraction digits than the type keeps.
+_SHORT = rf"^\s*[+-]?\d*(\.\d{{0,{DECIMAL.scale}}}0*)?\s*$"
 _DAY = r"^\d{4}-\d{2}-\d{2}$"
 _INSTANT = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})$"
 
@@ -20,7 +22,7 @@ def coerce(type_: str, raw: Column) -> Column:
     if type_ == "string":
         return raw
     if type_ == "decimal":
-        return F.when(raw.rlike(_NUMBER) & _exact(raw), F.trim(raw).try_cast(DECIMAL))
+        return F.when(raw.rlike(_NUMBER) & (raw.rlike(_SHORT) | _exact(raw)), F.trim(raw).try_cast(DECIMAL))
     if type_ == "boolean":
         return F.when(raw.isin("true", "false"), raw == "true")
     if type_ == "date":

@@ -124,7 +124,8 @@ def key_column() -> Column:
 
 def identity_index(state: DataFrame, attrs: DataFrame) -> DataFrame:
     """(a, key, e) of current identity values."""
-    ids = attrs.where(F.col("uniq") == "identity").select(F.col("id").alias("a"))
+    # a table of known size is broadcast where it is small, so the state stays where it is
+    ids = written(attrs.where(F.col("uniq") == "identity").select(F.col("id").alias("a")))
     return state.join(ids, "a", "left_semi").select("a", key_column().alias("key"), "e")
 
 
@@ -179,7 +180,7 @@ def diff(proposed: DataFrame, state: DataFrame, attrs: DataFrame) -> DataFrame:
     held_now = F.coalesce(F.col("_held"), F.lit(False))
     direct = met.where(F.col("_asked").isNotNull() & (F.col("_asked") != held_now)).select(
         "e", "a", *VALUES, F.col("_asked").alias("op"))
-    one = attrs.where(F.col("cardinality") == "one").select(F.col("id").alias("a"))
+    one = attrs.where((F.col("cardinality") == "one") & F.col("id").isin(named)).select(F.col("id").alias("a"))
     replaced = direct.where("op").join(one, "a", "left_semi").select("e", "a", F.lit(True).alias("_replaced")).distinct()
     old = met.where(held_now & F.col("_asked").isNull()).join(replaced, ["e", "a"], "left_semi").select(
         "e", "a", *VALUES, F.lit(False).alias("op"))
@@ -400,7 +401,9 @@ def plan_write(proposed: DataFrame, state: DataFrame, facts: DataFrame, attrs: D
     `fs/doc`, `fs/replaced_by`) are held to the rules of evolution and replacement, and what they
     make of the registry is part of the write.
     """
-    reg = attrs.select(F.col("id").alias("aid"), F.col("ident").alias("a"), "type", "cardinality", "uniq")
+    # few attributes are named by many rows: as a table of known size they are broadcast, however large the registry
+    asked = written(attrs.join(proposed.select(F.col("a").alias("ident")).distinct(), "ident", "left_semi").select(*attrs.columns))
+    reg = asked.select(F.col("id").alias("aid"), F.col("ident").alias("a"), "type", "cardinality", "uniq")
     rows = cut(proposed.withColumn("op", F.coalesce("op", F.lit("assert"))).join(reg, "a", "left"))
     asserted = F.col("op") == "assert"
 
@@ -436,30 +439,34 @@ def plan_write(proposed: DataFrame, state: DataFrame, facts: DataFrame, attrs: D
     targets = cut(targets.unionByName(ids.where("kind = 1").select(F.col("key").alias("name"), "e")))
 
     def place(df: DataFrame, column: str, out: str) -> DataFrame:
-        found = df.join(targets.select(F.col("name").alias(column), F.col("e").alias("_t")), column, "left")
-        return found.withColumn(out, F.when(F.col(column) == OWN_TX_NAME, OWN_TX).otherwise(
-            F.coalesce("_t", F.when(F.col(column).rlike(r"^\d+$"), V.coerce("ref", F.col(column)))))).drop("_t")
+        # only names that have to be found meet the targets: numbers and NULLs would all meet in one task
+        name = F.col(column)
+        asks = F.coalesce((name.startswith("tmp:") & (name != OWN_TX_NAME)) | name.rlike(IDENT_PATTERN[:-1] + "="), F.lit(False))
+        number = F.when(name == OWN_TX_NAME, OWN_TX).when(name.rlike(r"^\d+$"), V.coerce("ref", name))
+        found = df.where(asks).join(targets.select(F.col("name").alias(column), F.col("e").cast("long").alias(out)), column, "left")
+        return df.where(~asks).withColumn(out, number.cast("long")).unionByName(found)
 
     placed = place(rows.withColumn("_e", F.col("e")).withColumn("_v", F.when(F.col("type") == "ref", F.col("v"))), "_e", "eid")
     placed = place(placed, "_v", "vid")
     typed = [F.when(F.col("type") == t, F.col("vid") if t == "ref" else V.coerce(t, F.col("v"))).alias(c)
              for t, c in VALUE_COLUMN.items()]
     ops = placed.where(F.col("aid").isNotNull()).select("idx", F.col("eid").alias("e"), F.col("aid").alias("a"), *typed,
-                                                        asserted.alias("op")).where(F.col("e").isNotNull() & V.one_value())
+                                                        asserted.alias("op"))
     # a created entity carries the value it was looked up by
     made = lookups.where("created").join(attrs.select(F.col("id").alias("a"), "type"), "a").select(
         F.lit(None).cast("long").alias("idx"), "e", "a",
         *[F.when(F.col("type") == t, V.coerce(t, F.col("key"))).alias(c) for t, c in VALUE_COLUMN.items()],
         F.lit(True).alias("op"))
     # the batch and its changes are each computed once; every check below reads them
-    batch = written(ops.unionByName(made))
+    # (the test of what was read comes after the write: before it, each text would be read again for the test)
+    batch = written(ops.unionByName(made)).where(F.col("e").isNotNull() & V.one_value())
     changes = written(diff(batch, state, attrs))
     told = batch.where("idx IS NOT NULL")
 
     def wrong(df: DataFrame, code: Column, message: Column) -> DataFrame:
         return df.select("idx", code.alias("code"), message.alias("message"))
 
-    errors = [validate(rows.select("idx", "e", "a", "v", "op"), attrs), bad_lookup]
+    errors = [validate(rows.select("idx", "e", "a", "v", "op"), asked), bad_lookup]
     used = good.select("idx", F.col("la").alias("a"), "key")
     errors.append(wrong(used.join(lookups.where("outcome = 'missing'").select("a", "key"), ["a", "key"]).distinct(), F.lit("missing entity"),
                         F.concat(F.lit("no entity has the value "), F.col("key"))))

@@ -279,3 +279,33 @@ def test_compaction_in_place(spark, tmp_path):
     # a batch written again takes the place of its first writing
     disk.append_facts(naive.facts(spark, [(2010, 1003, "again", 2002, True)]), path, 2002)
     assert {r.v for r in FactLog.open(spark, path).attr("order/tag").collect()} == {"t", "again"}
+
+
+def test_numbers_of_every_length_are_read_or_refused(spark):
+    from factloom.functions import values
+    texts = {"1": True, "-1.5": True, ".5": True, "1.": True, "+0012.3400": True, "1.5" + "0" * 30: True, "1." + "0" * 17 + "1": True, "1." + "0" * 18 + "1": False, "": False,
+             ".": False, "1e-18": True, "1e-19": False, "1.5e-18": False, "0e-40": True, " 7 ": True, "x": False, "1" * 21: False}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.v for r in rows.select("t", values.coerce("decimal", F.col("t")).isNotNull().alias("v")).collect()} == texts
+
+
+def test_only_names_that_are_looked_up_meet_the_targets(spark, monkeypatch):
+    one = Attribute(1001, "x/one", "string", "one", "identity")
+    attrs = registry(spark, [*kernel_attributes(), one, Attribute(1002, "x/many", "string", "many"), Attribute(1003, "x/ref", "ref", "many")])
+    facts = naive.facts(spark, [(i, 1001, f"k{i}", 1, True) for i in range(1, 9)])
+    rows = [(i, str(1 + i % 8), "x/many", f"v{i}", "assert") for i in range(200)] + [(900, "x/one=k3", "x/ref", "x/one=k4", "assert"), (901, "tmp:a", "x/ref", "5", "assert"),
+                                                                                  (902, "tmp:tx", "x/ref", "tmp:a", "assert"), (903, "x/one=new", "x/many", "n", "assert")]
+    batch = spark.createDataFrame(rows, "idx long, e string, a string, v string, op string")
+    seen = []
+    plain = type(batch).join
+
+    def join(self, other, on=None, how=None):
+        if isinstance(on, str) and on in ("_e", "_v"):
+            seen.append(self.count())
+        return plain(self, other, on, how)
+    monkeypatch.setattr(type(batch), "join", join)
+    plan = ingest.plan_write(batch, fold.state(facts), facts, attrs, 500)
+    found = {(r.e, r.a, r.v_ref) for r in plan.changes.where("v_ref is not null").collect()}
+    assert seen == [3, 2]
+    new = next(e for e, a, v in found if v == 5)
+    assert (3, 1003, 4) in found and (-1, 1003, new) in found and plan.changes.where("a = 1002").count() == 201
