@@ -9,6 +9,7 @@ from factloom.operators import graph
 from factloom.operators.ordered import previous, running
 from factloom.plans import world
 from factloom.plans.registry import query
+from factloom.session import written
 
 # Each order supersedes its customer's order before it.
 PREVIOUS = """
@@ -82,7 +83,7 @@ def reachability_back(spark: SparkSession, sf: str) -> DataFrame:
   UNION ALL SELECT edge.src, depth + 1 FROM walk JOIN edge ON edge.dst = walk.e) SELECT e, depth FROM walk""")
 def fixpoint(spark: SparkSession, sf: str) -> DataFrame:
     """A recursive relation: how many orders of its customer came before each order."""
-    edges = order_chain(spark, sf)
+    edges = written(order_chain(spark, sf))
     firsts = world.table(spark, sf, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("e")).select("e", F.lit(0).alias("depth"))
     return graph.fixpoint(firsts, lambda newest: newest.join(edges, newest["e"] == edges["dst"]).select(
         F.col("src").alias("e"), (F.col("depth") + 1).alias("depth")))
