@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import set_similarity
-from factloom.session import cut
+from factloom.session import cut, written
 
 
 def containing(left: DataFrame, right: DataFrame, fraction: float) -> DataFrame:
@@ -37,3 +39,12 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
 
 def keyed(df: DataFrame, key: Column, items: Column, name: str) -> DataFrame:
     return df.select(key.alias(name), items.alias("items"))
+
+
+def scored_once(rows: DataFrame, left: str, right: str, score: Callable[[Column, Column], Column]) -> DataFrame:
+    """`rows` with `score` of two of its text columns; each distinct pair of texts is scored once, in a number of tasks of its own."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = written(rows.select(F.col(left).alias("_left"), F.col(right).alias("_right")).distinct())
+    scored = written(pairs.repartition(tasks).withColumn("score", score(F.col("_left"), F.col("_right"))))
+    same = F.col(left).eqNullSafe(F.col("_left")) & F.col(right).eqNullSafe(F.col("_right"))
+    return rows.join(scored, same, "left").drop("_left", "_right")

@@ -240,7 +240,8 @@ def extent_sql(wanted: str, ordered: str) -> str:
 SELECT k, round(""" + extent_sql("a", "b") + ", 9) AS score FROM t")
 def word_similarity(spark: SparkSession, sf: str) -> DataFrame:
     long = F.concat_ws(" ", "p_type", "p_name", "p_brand")
-    return world.table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.round(text.word_similarity(F.col("p_name"), long), 9).alias("score"))
+    rows = world.table(spark, sf, "part").select(F.col("p_partkey").alias("k"), "p_name", long.alias("long"))
+    return similar.scored_once(rows, "p_name", "long", text.word_similarity).select("k", F.round("score", 9).alias("score"))
 
 
 @query("similar_names", """

@@ -199,3 +199,17 @@ def test_registration_facts_and_who_registered(spark):
     reg = attrs(spark, [("po/etd", "date", "one", "none", "d"), ("po/tag", "string", "one", "none", "d")])
     systems = spark.createDataFrame([(1000, "erp")], "e long, v string")
     assert sorted(map(tuple, vocabulary.field_authority(reg, systems).collect())) == [("po/etd", "erp"), ("po/tag", None)]
+
+
+def test_each_pair_of_texts_is_scored_once(spark):
+    from factloom.operators import similar
+    rows = spark.createDataFrame([(1, "a", "ab"), (2, "a", "ab"), (3, None, "ab"), (4, None, "ab"), (5, "b", "b")], "k int, l string, r string")
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("int", useArrow=False)
+    def score(a, b):
+        calls.add(1)
+        return len(b) - len(a or "")
+    out = similar.scored_once(rows, "l", "r", score)
+    assert {r.k: r.score for r in out.collect()} == {1: 1, 2: 1, 3: 2, 4: 2, 5: 0} and out.columns == ["k", "l", "r", "score"]
+    assert calls.value == 3
