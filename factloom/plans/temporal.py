@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import values as V
+from factloom.model import registry
 from factloom.operators import fold, ingest
 from factloom.plans import world
 from factloom.plans.business import money
 from factloom.plans.registry import query
+from factloom.session import written
+from factloom.store import FactLog
 
 # The event feed walked one event at a time per (user, type): the state before and after each.
 WALK = """
@@ -76,16 +79,12 @@ def asof_fold(spark: SparkSession, sf: str) -> DataFrame:
 
 def event_store(spark: SparkSession, sf: str):
     """The event log with one transaction per event."""
-    from factloom.model import registry
-    from factloom.store import FactLog
-
     tx = world.table(spark, sf, "events").select((F.lit(world.EVENT_TX) + F.col("event_id")).alias("id"),
                                                  world.entity("user", "user_id").alias("actor"),
                                                  F.col("ts").cast("timestamp").alias("at"))
 
     def read(attributes):
-        log = world.event_log(spark, sf)
-        return log if attributes is None else log.where(F.col("a").isin([a.id for a in attributes]))
+        return world.event_log(spark, sf, None if attributes is None else [a.ident for a in attributes])
     return FactLog(read, registry(spark, world.ATTRIBUTES), tx, known=world.ATTRIBUTES)
 
 
@@ -122,7 +121,8 @@ def first_value(spark: SparkSession, sf: str) -> DataFrame:
 SELECT h.e, f.v AS first, h.v FROM held h JOIN (SELECT e, arg_min(v, tx) AS v FROM canon WHERE op AND a = 'user/purchase' GROUP BY e) f
 ON f.e = h.e WHERE h.a = 'user/purchase' AND h.v > f.v""")
 def slipped(spark: SparkSession, sf: str) -> DataFrame:
-    store = event_store(spark, sf)
+    log = written(event_store(spark, sf).log(["user/purchase"]))
+    store = FactLog.of(log, registry(spark, world.ATTRIBUTES), world.transactions(spark, sf))
     rows = fold.slipped(store.attr("user/purchase"), store.history("user/purchase"))
     return rows.select("e", F.col("first").cast("long").alias("first"), F.col("v").cast("long").alias("v"))
 

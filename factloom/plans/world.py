@@ -166,9 +166,9 @@ def facts(spark: SparkSession, sf_dir: str, idents: list[str] | None = None) ->
     return union(parts)
 
 
-def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event feed as raw facts, not yet canonical."""
-    rows = feed(spark, sf_dir)
+def raw_feed(spark: SparkSession, sf_dir: str, types: list[str] | None = None) -> DataFrame:
+    """The event feed, or its events of some types, as raw facts, not yet canonical."""
+    rows = feed(spark, sf_dir) if types is None else feed(spark, sf_dir).where(F.col("event_type").isin(types))
     a = None
     for t in EVENT_TYPES:
         hit = F.col("event_type") == t
@@ -177,11 +177,15 @@ def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("e", a.cast("long").alias("a"), *typed_values(BY_IDENT["user/view"], F.col("v")), "tx", "op")
 
 
-def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event feed made canonical: what a store would hold after writing it in order."""
+def event_log(spark: SparkSession, sf_dir: str, idents: list[str] | None = None) -> DataFrame:
+    """The event feed made canonical: what a store would hold after writing it in order.
+
+    Attributes don't touch each other, so those that are not wanted are left out before.
+    """
     from factloom.operators.ingest import canonical_one
 
-    return canonical_one(raw_feed(spark, sf_dir))
+    types = None if idents is None else [t for t in EVENT_TYPES if f"user/{t}" in idents]
+    return canonical_one(raw_feed(spark, sf_dir, types))
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
