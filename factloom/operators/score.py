@@ -119,8 +119,10 @@ def splits_and_twins(truth: DataFrame, stored: DataFrame) -> DataFrame:
     with all their keys in one entity that holds nothing else's. Each (thing, entity) is folded
     once before anything is counted, so a thing with a third of all keys is no task's burden.
     """
-    keys = truth.select("key", "thing").distinct()
-    cells = keys.join(stored.select("key", "e").distinct(), "key", "left").groupBy("thing", "e").agg(F.count("*").alias("n"))
+    # dealt by key once: rows that repeat go where they meet the other side, and neither moves again
+    tasks = 4 * int(truth.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = truth.select("key", "thing").repartition(tasks, "key").distinct()
+    cells = keys.join(stored.select("key", "e").repartition(tasks, "key").distinct(), "key", "left").groupBy("thing", "e").agg(F.count("*").alias("n"))
     held = cells.where("e is not null")
     crowd = held.groupBy("e").agg(F.count("*").alias("things"))
     placed = held.join(crowd, "e").select("thing", F.lit(1).alias("here"), F.lit(0).alias("lost"), "things").unionByName(

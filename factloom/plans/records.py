@@ -261,7 +261,7 @@ c{i + 1} AS (SELECT * FROM c{i} WHERE l NOT IN (SELECT l FROM m{i}) AND r NOT IN
 
 def two_stores(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(whole, part, key) of either store, and the orders (left, right) they share by number."""
-    lines = world.lines(spark, sf)
+    lines = written(world.lines(spark, sf).drop("supplier"))
     keys = F.explode(F.array(F.concat(F.lit("i"), "part"), F.concat(F.lit("p"), "price"), F.concat(F.lit("d"), F.date_format("shipped_on", "yyyy-MM-dd"))))
     here = lines.select(F.col("l_orderkey").alias("whole"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("part"), keys.alias("key"), "l_linenumber", "quantity")
     merged = F.when((F.col("whole") % 3 == 0) & (F.col("l_linenumber") == 2), F.col("part") - 1).otherwise(F.col("part"))
