@@ -48,8 +48,9 @@ def votes(left: DataFrame, right: DataFrame, wholes: DataFrame) -> DataFrame:
     whole's parts are listed, and a whole with a third of all parts is spread by its keys.
     """
     def single(side: DataFrame, part: str) -> DataFrame:
-        said = side.where("key is not null").select("whole", "part", "key").distinct()
-        return said.groupBy("whole", "key").agg(F.count("*").alias("n"), F.min("part").alias(part)).where("n = 1").drop("n")
+        # one part says it where the least and the greatest that do are the same
+        said = side.where("key is not null").groupBy("whole", "key").agg(F.min("part").alias(part), F.max("part").alias("_most"))
+        return said.where(F.col(part) == F.col("_most")).drop("_most")
     here = single(left, "left").withColumnRenamed("whole", "_left").join(
         wholes.select(F.col("left").alias("_left"), F.col("right").alias("whole")).distinct(), "_left")
     return here.join(single(right, "right"), ["whole", "key"]).groupBy("left", "right").agg(F.count_distinct("key").alias("votes"))
