@@ -42,8 +42,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, text) of every document that is left: its piece ids, and the text they decode to."""
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    return sentences.decode(sentences.encode(docs, model), model)
+    return sentences.encode_and_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 STAGES = [

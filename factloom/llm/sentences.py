@@ -203,6 +203,24 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids, text): `decode` of `encode`, in one pass of one worker a task.
+
+    The two in a row keep two Python workers for each core of an executor, with a model in each.
+    """
+    shipped = sent(docs, load(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = made_once(shipped, lambda table: (Encoder(table), Decoder(table)))
+        for batch in pieces(batches, most=PIECE_BYTES):
+            ids = [encoder.encode(t or "") for t in batch.column("text").to_pylist()]
+            offsets = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))),
+                                   "text": pa.array(map(decoder.decode, ids), pa.string())})
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+        run, "doc_id long, ids array<int>, text string")
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The rows of `encoded` (doc_id, ids) with their `text`; null ids are an empty text, and an empty table gives no rows."""
     shipped = sent(encoded, load(path))

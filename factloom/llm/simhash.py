@@ -365,8 +365,12 @@ def near_copies(docs: DataFrame, words: int, least: float) -> DataFrame:
     # bands with the same members are one group
     members = written(keyed.join(shared, "key").select("n", "sig", "same").distinct())
     wanted = classes.join(members.select("same").distinct(), "same", "left_semi").select("same", "name", "fp")
-    text = F.col("text").cast("string")
-    named = docs.select(_name(text).alias("name"), text.alias("text")).join(wanted.select("name"), "name", "left_semi").dropDuplicates(["name"])
+    # one row of each text is chosen before texts move, so that the copies of one don't meet in a task
+    chosen = rows.groupBy("name").agg(F.min("doc_id").alias("_id")).join(wanted.select("name"), "name", "left_semi").select(
+        "name", F.coalesce("_id", F.lit(0)).alias("_id"), F.col("_id").isNull().alias("_none"))
+    text, own = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    texts_of = docs.select(_name(text).alias("name"), F.coalesce(own, F.lit(0)).alias("_id"), own.isNull().alias("_none"), text.alias("text"))
+    named = texts_of.join(chosen, ["name", "_id", "_none"], "left_semi").select("name", "text").dropDuplicates(["name"])
     sets = written(_sets(named, words).join(wanted, "name").select("same", "fp", "items"))
     found = components(similar_pairs(members.join(sets, "same"), least)).select(F.col("e").alias("same"), "root")
     rooted = classes.join(found, "same", "left").select("same", "least", F.coalesce("root", "same").alias("root"))

@@ -61,3 +61,12 @@ def test_last_stage_decodes(spark):
     name, stage = corpus_pipeline.STAGES[-1]
     assert "decoding" in name
     assert {r.doc_id: r.text for r in stage(spark, docs, "").collect()} == {1: "the  cat\nsat ☃", 2: ""}
+
+
+def test_last_stage_needs_one_worker_a_task(spark):
+    docs = spark.createDataFrame([(1, "the  cat\nsat ☃"), (2, None), (2, None), (None, ""), (3, "x")], "doc_id long, text string")
+    model = corpus_pipeline.public_tokenizers.path("piece_bpe_32k.model")
+    found = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    want = sentences.decode(sentences.encode(docs, model), model)
+    assert found.schema == want.schema and sorted(map(str, found.collect())) == sorted(map(str, want.collect()))

@@ -133,3 +133,11 @@ def test_pipeline_drops_copies_of_similarity_0_8(spark):
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(edited))], "doc_id long, text string")
     assert (brute_print(" ".join(words)) ^ brute_print(" ".join(edited))).bit_count() > simhash.DISTANCE
     assert [x.doc_id for x in corpus_pipeline.simhash_near_dedup(spark, df, "").collect()] == [1]
+
+
+def test_near_copies_of_rows_without_an_id_of_their_own(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b = " ".join(words), " ".join([*words, "more"])
+    rows = [(None, a), (None, a), (7, b), (7, b), (3, "quite other words than those"), (None, None)]
+    got = sorted((x.doc_id is not None, x.doc_id, x.component_id) for x in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 5, 0.8).where("fp <> 0").collect() if x.component_id is not None)
+    assert got.count((True, 7, 7)) == 2 and (True, 3, 3) in got and sum(1 for _, i, c in got if i is None and c == 7) == 2
