@@ -5,6 +5,9 @@ quotes. Here every line is first a map of that one bit: the state it ends in if
 quotes, and if it starts inside. Maps compose, so each split is a map too, and a file's splits, a row
 each, give the state every split starts in. Then every line knows its own. Records of one line are
 parsed where they are; only the lines of longer ones are brought together.
+
+`read` does this for files with a record of several lines. One look at each line tells the others,
+in which no line ends in quotes: their lines are records, and none is shuffled.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from factloom.session import written
+
 #: Lines that hold no record: nothing, or what a carriage return leaves of it.
 BLANK = ["", "\r"]
 
@@ -54,9 +59,16 @@ def records(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataF
     are. Blank lines between records are none. A quote that is never closed makes the rest of its
     file one record, as it does in Spark's reader. An empty file has no records.
     """
-    line = F.col("value")
-    lines = spark.read.text(path, lineSep="\n").select(
+    return _records(_lines(spark, path), sep)
+
+
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return spark.read.text(path, lineSep="\n").select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), "value")
+
+
+def _records(lines: DataFrame, sep: str) -> DataFrame:
+    line = F.col("value")
     maps = _before(lines.withColumn("f0", _ends_inside(line, sep, False)).withColumn("f1", _ends_inside(line, sep, True)), ["file", "at"], "n")
     full = ~line.isin(BLANK)
     splits = maps.groupBy("file", "at").agg(
@@ -77,9 +89,27 @@ def records(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataF
     return whole.unionByName(longer).withColumn("record", F.regexp_replace("record", "\r$", ""))
 
 
+def _bodies(spark: SparkSession, path: str | list[str], sep: str) -> DataFrame:
+    """(record): the records of every file without its header."""
+    lines, line = _lines(spark, path), F.col("value")
+    full = ~line.isin(BLANK)
+    # a row a file, of known size, so that lines stay where they are when they meet it
+    files = written(lines.groupBy("file").agg(F.bool_or(_ends_inside(line, sep, False)).alias("longer"),
+                                              F.min_by(F.when(full, line), F.when(full, F.struct("at", "n"))).alias("head")))
+    own = lines.where(full).join(files.where("not longer").select("file", "head"), "file")
+    # lines like the header are alike, so all but one of them are records, whichever came first
+    again = own.where(line == F.col("head")).groupBy("file", "value").agg(F.count("*").alias("n")).where("n > 1").select(
+        "value", F.explode(F.sequence(F.lit(2).cast("long"), "n")))
+    found = own.where(line != F.col("head")).select("value").unionByName(again.select("value")).select(F.regexp_replace("value", "\r$", "").alias("record"))
+    if files.where("longer").isEmpty():
+        return found
+    longer = lines.join(files.where("longer").select("file"), "file", "left_semi")
+    return found.unionByName(_records(longer, sep).where("number > 1").select("record"))
+
+
 def read(spark: SparkSession, path: str | list[str], names: list[str], sep: str = ",") -> DataFrame:
     """The cells of files that have one header, as text by `names`; null where a record is too short."""
     cells = StructType([StructField(f"_{i}", StringType()) for i in range(len(names))])
     options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true"}
-    found = records(spark, path, sep).where("number > 1").select(F.from_csv("record", cells.simpleString(), options).alias("cells"))
+    found = _bodies(spark, path, sep).select(F.from_csv("record", cells.simpleString(), options).alias("cells"))
     return found.select(*(F.col(f"cells._{i}").alias(name) for i, name in enumerate(names)))
