@@ -164,19 +164,24 @@ def batch_conflicts(proposed: DataFrame, attrs: DataFrame) -> DataFrame:
     return both.unionByName(several)
 
 
-def diff(proposed: DataFrame, state: DataFrame, attrs: DataFrame) -> DataFrame:
+def diff(proposed: DataFrame, state: DataFrame, attrs: DataFrame, *, folded: bool = False) -> DataFrame:
     """Changes (fact columns without tx, plus `implied`) a batch makes to current state.
 
     Asserts of held values and retracts of absent ones drop out. A new value of a `one` attribute
     retracts the held one, marked implied. Batch and state, of the attributes the batch names, meet
     on (e, a, value) in one shuffle; the implied retractions join the few effective asserts back to
-    what met on (e, a).
+    what met on (e, a). With `folded`, the state is a fold of this plan, which has dealt it by these
+    keys: the batch is dealt alike, and the state does not move again.
     """
     # the attributes a batch names are no more than the registry has
     named = [r.a for r in proposed.select("a").distinct().collect()]
     asked = proposed.select("e", "a", *VALUES, F.col("op").alias("_asked"), F.lit(None).cast("boolean").alias("_held"))
     held = state.where(F.col("a").isin(named)).select("e", "a", *VALUES, F.lit(None).cast("boolean").alias("_asked"), F.lit(True).alias("_held"))
-    met = cut(asked.unionByName(held).groupBy("e", "a", *VALUES).agg(F.max("_asked").alias("_asked"), F.max("_held").alias("_held")))
+    if folded:
+        asked = asked.repartition("e", "a", *VALUES)
+    met = asked.unionByName(held).groupBy("e", "a", *VALUES).agg(F.max("_asked").alias("_asked"), F.max("_held").alias("_held"))
+    # what is asked for and held already is nobody's change
+    met = cut(met.where(~(F.coalesce("_asked", F.lit(False)) & F.coalesce("_held", F.lit(False)))))
     held_now = F.coalesce(F.col("_held"), F.lit(False))
     direct = met.where(F.col("_asked").isNotNull() & (F.col("_asked") != held_now)).select(
         "e", "a", *VALUES, F.col("_asked").alias("op"))

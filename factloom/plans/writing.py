@@ -37,7 +37,7 @@ UNION ALL SELECT e, 'order/total', CAST(CAST(t AS DOUBLE) AS VARCHAR), false, tr
 UNION ALL SELECT e, 'order/total', CAST(CAST(t + 1 AS DOUBLE) AS VARCHAR), true, false FROM p""")
 def upsert_diff(spark: SparkSession, sf: str) -> DataFrame:
     store = world.store(spark, sf)
-    changes = ingest.diff(new_prices(spark, sf), order_state(spark, sf), store.attrs)
+    changes = ingest.diff(new_prices(spark, sf), order_state(spark, sf), store.attrs, folded=True)
     a = F.when(F.col("a") == STATUS.id, "order/status").otherwise("order/total")
     return changes.select("e", a.alias("a"), F.coalesce("v_string", F.col("v_decimal").cast("double").cast("string")).alias("v"), "op", "implied")
 
@@ -46,7 +46,7 @@ def upsert_diff(spark: SparkSession, sf: str) -> DataFrame:
 def reingest_noop(spark: SparkSession, sf: str) -> DataFrame:
     """Loading the whole store's facts again changes nothing."""
     log = world.facts(spark, sf)
-    return ingest.diff(log.drop("tx"), fold.state(log), world.store(spark, sf).attrs).select("e", "a", "op")
+    return ingest.diff(log.drop("tx"), fold.state(log), world.store(spark, sf).attrs, folded=True).select("e", "a", "op")
 
 
 @query("apply_changes", """
@@ -54,7 +54,7 @@ SELECT o_orderstatus AS was, count(*) AS orders, CAST(sum(CASE WHEN o_orderstatu
 def apply_changes(spark: SparkSession, sf: str) -> DataFrame:
     """Status after the diff is applied, against the status before, per former status."""
     store, state = world.store(spark, sf), order_state(spark, sf)
-    after = ingest.apply_changes(state, ingest.diff(new_prices(spark, sf), state, store.attrs), F.lit(999_999_999).cast("long"))
+    after = ingest.apply_changes(state, ingest.diff(new_prices(spark, sf), state, store.attrs, folded=True), F.lit(999_999_999).cast("long"))
     now = after.where(F.col("a") == STATUS.id).select("e", F.col("v_string").alias("now"))
     was = state.where(F.col("a") == STATUS.id).select("e", F.col("v_string").alias("was"))
     return was.join(now, "e").groupBy("was").agg(F.count("*").alias("orders"), F.count_if(F.col("was") != F.col("now")).alias("moved"))

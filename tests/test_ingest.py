@@ -309,3 +309,20 @@ def test_only_names_that_are_looked_up_meet_the_targets(spark, monkeypatch):
     assert seen == [3, 2]
     new = next(e for e, a, v in found if v == 5)
     assert (3, 1003, 4) in found and (-1, 1003, new) in found and plan.changes.where("a = 1002").count() == 201
+
+
+def test_diff_with_a_fold_moves_the_state_once_and_keeps_no_row_that_changes_nothing(spark, monkeypatch):
+    from factloom.plans import world, writing
+
+    met, cut = [], ingest.cut
+    monkeypatch.setattr(ingest, "cut", lambda df: met.append(df) or cut(df))
+    sf = "/root/testdata/sf0.001"
+    log = world.facts(spark, sf, ["order/status", "order/number"])
+    attrs = world.store(spark, sf).attrs
+    assert ingest.diff(log.drop("tx"), fold.state(log), attrs, folded=True).count() == 0
+    assert met[0].count() == 0
+    plan = met[0]._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "Exchange" not in plan[:plan.index("Union")] and plan.count("Exchange hashpartitioning") == 2
+    state = writing.order_state(spark, sf)
+    there, plain = (ingest.diff(writing.new_prices(spark, sf), state, attrs, folded=f) for f in (True, False))
+    assert plain.count() > 0 and plain.exceptAll(there).isEmpty() and there.exceptAll(plain).isEmpty()
