@@ -97,10 +97,11 @@ def _bodies(spark: SparkSession, path: str | list[str], sep: str) -> DataFrame:
     files = written(lines.groupBy("file").agg(F.bool_or(_ends_inside(line, sep, False)).alias("longer"),
                                               F.min_by(F.when(full, line), F.when(full, F.struct("at", "n"))).alias("head")))
     own = lines.where(full).join(files.where("not longer").select("file", "head"), "file")
+    # records depend on the header, so that what is asked of them is not asked of it before it is out
     # lines like the header are alike, so all but one of them are records, whichever came first
-    again = own.where(line == F.col("head")).groupBy("file", "value").agg(F.count("*").alias("n")).where("n > 1").select(
-        "value", F.explode(F.sequence(F.lit(2).cast("long"), "n")))
-    found = own.where(line != F.col("head")).select("value").unionByName(again.select("value")).select(F.regexp_replace("value", "\r$", "").alias("record"))
+    again = own.where(line == F.col("head")).groupBy("file").agg(F.min("value").alias("value"), F.count("*").alias("n")).where("n > 1").select(
+        F.when(F.col("n") > 1, F.col("value")).alias("value"), F.explode(F.sequence(F.lit(2).cast("long"), "n")))
+    found = own.where(line != F.col("head")).select(F.when(line != F.col("head"), line).alias("value")).unionByName(again.select("value")).select(F.regexp_replace("value", "\r$", "").alias("record"))
     if files.where("longer").isEmpty():
         return found
     longer = lines.join(files.where("longer").select("file"), "file", "left_semi")
