@@ -123,9 +123,8 @@ FROM (SELECT DISTINCT g.value AS given, k.system, k.value FROM ids g JOIN ids k
 GROUP BY 1, 2""")
 def crosswalk_from_names(spark: SparkSession, sf: str) -> DataFrame:
     """From the name of every part to its ids in the other systems."""
-    known = written(crosswalk.ids(world.store(spark, sf), PART_SYSTEMS))
     given = world.table(spark, sf, "part").select(F.lit("name").alias("system"), F.col("p_name").alias("value"))
-    return crosswalk.translate(known, given).groupBy("given", "system").agg(
+    return crosswalk.translated(world.store(spark, sf), PART_SYSTEMS, given).groupBy("given", "system").agg(
         F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("greatest"))
 
 
