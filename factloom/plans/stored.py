@@ -83,8 +83,7 @@ class Stored:
         log.append_facts(facts, self.path, world.DAY_TX)
         log.append_attributes(_attrs(spark), self.path, 0)
         log.append_transactions(world.transactions(spark, sf), self.path, world.DAY_TX)
-        last = log.transactions(spark, self.path).agg(F.max("id")).first()[0]
-        log.write_state(fold.state(log.scan(spark, self.path)), self.path, last)
+        log.take_snapshot(spark, self.path)
         self.before = FactLog.open(spark, self.path)
 
     def commit(self, proposed: DataFrame) -> int | None:
