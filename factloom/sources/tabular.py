@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,25 +16,17 @@ def read_csv(spark: SparkSession, path: str | list[str], *, sep: str = ",", mult
     a file lacks is blank there. Large files are read in splits, also where quoted fields hold line
     breaks; `multi_line` False spares the search for these where there are none.
     """
-    parts = [_read_alike(spark, files, sep, multi_line) for files in _by_header(spark, path)]
+    parts = [_read_alike(spark, files, sep, multi_line) for files in quoted.alike(spark, path, sep) or [quoted.Alike(path, "", 0, [])]]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
     return out.fillna("")
 
 
-def _by_header(spark: SparkSession, path: str | list[str]) -> list[str | list[str]]:
-    """The files of a path in groups of one header line each; the path itself where all are alike."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"),
-                                         F.col("_metadata.file_block_start").alias("start")).where("start = 0")
-    heads = lines.groupBy("file").agg(F.min_by("value", "line").alias("head")).groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("head").collect()
-    return [path] if len(heads) < 2 else [[unquote(f) for f in h.files] for h in heads]
-
-
-def _read_alike(spark: SparkSession, path: str | list[str], sep: str, multi_line: bool) -> DataFrame:
-    raw = spark.read.csv(path, header=True, sep=sep, multiLine=multi_line, quote='"', escape='"')
+def _read_alike(spark: SparkSession, files: quoted.Alike, sep: str, multi_line: bool) -> DataFrame:
+    raw = spark.read.csv(files.path, header=True, sep=sep, multiLine=multi_line, quote='"', escape='"')
     names = [c.lstrip("\ufeff").strip() for c in raw.columns]
-    df = quoted.read(spark, path, names, sep) if multi_line else raw.toDF(*names)
+    df = quoted.read(spark, files, names, sep) if multi_line else raw.toDF(*names)
     return df.select(*[F.coalesce(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c) for c in names if c])
 
 

@@ -1,6 +1,7 @@
 """Quoted line breaks in splits: the same records as Spark's reader gives from one task."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,3 +63,49 @@ def test_only_lines_of_longer_records_are_shuffled_again(spark, tmp_path):
     (tmp_path / "tabs" / "t.txt").write_text('id\ta|b\n1\t"x\ty\nz"\n')
     found = tabular.read_csv(spark, str(tmp_path / "tabs" / "t.txt"), sep="\t")
     assert found.where(F.col("id") == "1").first()["a|b"] == "x\ty\nz"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_stay_where_they_are_in_files_without_longer_records(spark, tmp_path, small_splits):
+    rows = [f'{i},"q, {i}",v' for i in range(60)]
+    (tmp_path / "a.csv").write_text("\n\nid,a,b\n" + "\n".join([*rows[:30], "id,a,b", "", "id,a,b", *rows[30:]]) + "\r\n", newline="")
+    (tmp_path / "empty.csv").write_text("")
+    plain = tabular.read_csv(spark, str(tmp_path / "a.csv"))
+    assert "Window" not in plan(plain) and "Exchange" not in plan(plain)
+    want = [(str(i), f"q, {i}", "v") for i in range(60)] + [("id", "a", "b")] * 2
+    assert sorted(map(tuple, plain.collect())) == sorted(want)
+    (tmp_path / "b.csv").write_text('id,a,b\r\n7,"two\nlines",x\r\nid,a,b\r\n', newline="")
+    want += [("7", "two\nlines", "x"), ("id", "a", "b")]
+    assert sorted(map(tuple, tabular.read_csv(spark, str(tmp_path / "*.csv")).collect())) == sorted(want)
+    (tmp_path / "c.csv").write_text('b,id\n1,"8\n9"\n2,10\n')
+    (found,) = [f for f in quoted.alike(spark, str(tmp_path / "*.csv")) if f.head == "b,id"]
+    assert (found.plain, len(found.longer)) == (0, 1)
+    assert sorted(map(tuple, tabular.read_csv(spark, str(tmp_path / "*.csv")).select("id", "a", "b").collect())) == sorted([*want, ("8\n9", "", "1"), ("10", "", "2")])
+
+
+def test_what_is_asked_of_cells_is_never_asked_of_a_header(spark, tmp_path, small_splits):
+    (tmp_path / "a.csv").write_text("id,n\n" + "".join(f"{i},{i}\n" for i in range(90)))
+    read = tabular.read_csv(spark, str(tmp_path / "a.csv"))
+    numbers = read.select("id", F.col("n").cast("long").alias("n")).where("n >= 30")
+    other = spark.range(40, 200).select(F.col("id").alias("n"))
+    assert (numbers.count(), numbers.join(other, "n").count(), numbers.distinct().agg(F.sum("n")).first()[0]) == (60, 50, sum(range(30, 90)))
+
+
+def test_a_window_holds_a_run_of_lines_and_no_split(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text("id,a\n" + "".join(f'{i},"two\n\nlines, {i}"\n' if i % 3 else f"{i},x\n" for i in range(300)))
+    for bits in (0, 2, quoted.RUN_BITS):
+        monkeypatch.setattr(quoted, "RUN_BITS", bits)
+        df = tabular.read_csv(spark, str(tmp_path / "a.csv"))
+        assert sorted(map(tuple, df.collect())) == sorted((str(i), f"two\n\nlines, {i}" if i % 3 else "x") for i in range(300))
+    assert "run#" in re.search(r"hashpartitioning\(file#\d+, at#\d+L, (\w+#)", plan(df))[1]
+
+
+def test_headers_are_found_without_sorting_lines(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text("id,a\n1,x\n")
+    seen = []
+    monkeypatch.setattr(quoted, "cut", lambda df: seen.append(df) or df)
+    assert quoted.alike(spark, str(tmp_path / "a.csv")) == [quoted.Alike(str(tmp_path / "a.csv"), "id,a", 1, [])]
+    assert "ObjectHashAggregate" in plan(seen[0]) and "Sort" not in plan(seen[0])
