@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from factloom.functions import values as V
 from factloom.model import (COMMIT_ONLY, FACT_SCHEMA, IDENT_PATTERN, KERNEL, MAX_KEY_LENGTH, REGISTRATION_ONLY,
                             SCHEMA_FACTS, SPARK_TYPE, VALUE_COLUMN, VALUES)
+from factloom.operators import fold
 from factloom.operators.ordered import Running, numbered, previous, running
-from factloom.session import cut, written
+from factloom.session import cut, is_empty, written
 
 COLUMNS = FACT_SCHEMA.fieldNames()
 V_STRUCT = "struct<" + ",".join(f"{c}:{SPARK_TYPE[t].simpleString()}" for t, c in VALUE_COLUMN.items()) + ">"
@@ -192,6 +193,51 @@ def diff(proposed: DataFrame, state: DataFrame, attrs: DataFrame, *, folded: boo
     return direct.withColumn("implied", F.lit(False)).unionByName(old.withColumn("implied", F.lit(True)))
 
 
+#: An attribute's entities are compared in so many pieces; a task sends a row for each at most.
+PIECES = 1024
+
+
+def _piece() -> Column:
+    return F.pmod(F.xxhash64("e"), F.lit(PIECES)).alias("piece")
+
+
+def _marks() -> list[Column]:
+    """128 bits of a fact's (e, a, value) in four numbers that can be added up. Which columns hold a value counts, since hashes pass over NULL."""
+    held = sum((F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(VALUES)), F.lit(0))
+    return [half for seed in (0, 1) for h in [F.xxhash64(F.lit(seed), "e", "a", held, *VALUES)] for half in (h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))]
+
+
+def differing(proposed: DataFrame, facts: DataFrame) -> DataFrame:
+    """(a, piece): the pieces of an attribute's entities in which a batch may change what a log holds.
+
+    Elsewhere neither retracts anything, and the facts of both, less `tx`, are the same bag: the sums of
+    their marks are. No fact is moved to tell that. Pieces the batch says nothing about are none.
+    """
+    sides = [df.select("a", _piece(), "op", F.lit(asked).alias("asked"), *(m.alias(f"m{i}") for i, m in enumerate(_marks()))) for df, asked in ((proposed, True), (facts, False))]
+    # a sum too large for a long is NULL, and its piece differs
+    sums = sides[0].unionByName(sides[1]).groupBy("a", "piece").agg(
+        F.bool_or("asked").alias("asked"), F.bool_or(~F.coalesce("op", F.lit(False))).alias("retracts"),
+        *(F.try_sum(F.when(F.col("asked"), F.col(f"m{i}")).otherwise(-F.col(f"m{i}"))).alias(f"m{i}") for i in range(4)))
+    same = F.lit(True)
+    for i in range(4):
+        same = same & F.coalesce(F.col(f"m{i}") == 0, F.lit(False))
+    return sums.where(F.col("asked") & (F.col("retracts") | ~same)).select("a", "piece")
+
+
+def diff_log(proposed: DataFrame, facts: DataFrame, attrs: DataFrame) -> DataFrame:
+    """`diff` against the fold of a log: only pieces that differ are folded and dealt by value.
+
+    Values of other attributes or entities never decide a fact's, so the changes are those of the whole.
+    """
+    # a row a piece: its size is known, so that facts stay where they are when they meet it
+    pieces = written(differing(proposed, facts))
+    if is_empty(pieces):
+        asked, held = (df.where(F.lit(False)) for df in (proposed, facts))
+    else:
+        asked, held = (df.withColumn("piece", _piece()).join(pieces, ["a", "piece"], "left_semi").drop("piece") for df in (proposed, facts))
+    return diff(asked, fold.state(held), attrs, folded=True)
+
+
 def unchanged(proposed: DataFrame, changes: DataFrame) -> DataFrame:
     """Proposed rows (with idx) that change nothing: no effective change has their (e, a, value, op)."""
     on = F.col("p.e").eqNullSafe(F.col("c.e")) & (F.col("p.a") == F.col("c.a")) & (F.col("p.op") == F.col("c.op"))

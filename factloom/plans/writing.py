@@ -46,7 +46,7 @@ def upsert_diff(spark: SparkSession, sf: str) -> DataFrame:
 def reingest_noop(spark: SparkSession, sf: str) -> DataFrame:
     """Loading the whole store's facts again changes nothing."""
     log = world.facts(spark, sf)
-    return ingest.diff(log.drop("tx"), fold.state(log), world.store(spark, sf).attrs, folded=True).select("e", "a", "op")
+    return ingest.diff_log(log.drop("tx"), log, world.store(spark, sf).attrs).select("e", "a", "op")
 
 
 @query("apply_changes", """

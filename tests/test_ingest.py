@@ -326,3 +326,51 @@ def test_diff_with_a_fold_moves_the_state_once_and_keeps_no_row_that_changes_not
     state = writing.order_state(spark, sf)
     there, plain = (ingest.diff(writing.new_prices(spark, sf), state, attrs, folded=f) for f in (True, False))
     assert plain.count() > 0 and plain.exceptAll(there).isEmpty() and there.exceptAll(plain).isEmpty()
+
+
+def test_loading_a_log_again_deals_no_fact_by_value(spark, monkeypatch):
+    from factloom.plans import writing
+
+    met, cut = [], ingest.cut
+    monkeypatch.setattr(ingest, "cut", lambda df: met.append(df) or cut(df))
+    assert writing.reingest_noop(spark, "/root/testdata/sf0.001").count() == 0
+    assert len(met) == 1 and "Exchange" not in met[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def typed(spark, rows):
+    """Facts of rows (e, a, string, decimal, instant in microseconds, ref, tx, op)."""
+    df = spark.createDataFrame(rows, "e long, a long, v_string string, d int, i long, v_ref long, tx long, op boolean")
+    return df.select("*", F.col("d").cast("decimal(38,18)").alias("v_decimal"), F.lit(None).cast("boolean").alias("v_boolean"), F.lit(None).cast("date").alias("v_date"),
+                     F.timestamp_micros("i").alias("v_instant")).select(*ingest.COLUMNS)
+
+
+@pytest.mark.parametrize("seed,pieces", [(0, 1024), (1, 1024), (2, 1), (3, 3)])
+def test_diff_with_a_log_is_the_diff_with_its_fold(spark, monkeypatch, seed, pieces):
+    monkeypatch.setattr(ingest, "PIECES", pieces)
+    r, attrs = random.Random(seed), registry(spark, ALL)
+
+    def value():
+        n = r.randrange(4)
+        return r.choice([(f"v{n}", None, None, None), (None, n, None, None), (None, None, n, None), (None, None, None, n), (None,) * 4])
+    log = [(r.randrange(1, 60), r.choice([1002, 1003, 1004, 1005]), *value(), r.randrange(1, 9), r.random() < 0.95) for _ in range(150)]
+    for changed in (0, 0.05, 0.5):
+        batch = [(*f[:2], *(value() if r.random() < changed else f[2:6]), 0, f[7] if r.random() >= changed else r.random() < 0.7) for f in log if r.random() >= changed]
+        batch += [(*b[:6], 0, b[7]) for b in r.sample(batch, round(len(batch) * changed))]
+        facts, asked = typed(spark, log).repartition(3), typed(spark, batch).drop("tx").repartition(2)
+        want, got = ingest.diff(asked, fold.state(facts), attrs), ingest.diff_log(asked, facts, attrs)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_a_piece_is_the_same_only_where_its_facts_are(spark):
+    def found(log, batch):
+        return sorted(r.a for r in ingest.differing(typed(spark, [(e, a, *v, 0, op) for e, a, v, op in batch]).drop("tx"), typed(spark, [(e, a, *v, 5, op) for e, a, v, op in log])).collect())
+    x, y = ("x", None, None, None), ("y", None, None, None)
+    instant, ref, none = (None, None, 5, None), (None, None, None, 5), (None,) * 4
+    log = [(1, 1002, x, True), (2, 1002, y, True), (3, 1003, x, True)]
+    assert found(log, log) == [] and found(log, log[:2]) == [] and found(log, []) == []
+    assert found(log, [log[0]] * 3 + log[1:]) == [1002]
+    assert set(found(log, [(1, 1002, y, True), (2, 1002, x, True), log[2]])) == {1002}
+    assert found([(1, 1004, instant, True)], [(1, 1004, ref, True)]) == [1004]
+    assert found([(1, 1004, none, True)], [(1, 1004, ref, True)]) == [1004]
+    retracted = [*log, (1, 1002, x, False)]
+    assert found(retracted, retracted) == [1002]
