@@ -6,8 +6,8 @@ where they are, and none is shuffled.
 
 In the others every line is first a map of that one bit: the state it ends in if it starts outside
 quotes, and if it starts inside. Maps compose, so each run of lines is a map too, and a file's runs, a
-row each, give the state every run starts in. Then every line knows its own. Records of one line are
-parsed where they are; only the lines of longer ones are brought together.
+row each, give the state every run starts in. Then every line knows its own. Records within a run are
+parsed where they are; only the parts of those that go over its ends are brought together.
 """
 
 from __future__ import annotations
@@ -120,12 +120,14 @@ def records(spark: SparkSession, path: str | list[str], sep: str = ",", only: li
     begins = ~F.col("inside") & full
     # a line that goes on with a record of an earlier run counts as that one: none has begun in its own
     number = F.col("_first") + F.count_if(begins).over(Window.partitionBy(*run).orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
-    numbered = known.select("file", "at", "n", "value", number.alias("number"), "inside", _through(F.col("inside")).alias("open")).where(F.col("inside") | full)
-    whole = numbered.where("not inside and not open").select("file", "number", line.alias("record"))
-    # only lines of records of several lines are shuffled again
-    longer = numbered.where("inside or open").groupBy("file", "number").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "n", "value"))), lambda x: x["value"]), "\n").alias("record"))
-    return whole.unionByName(longer).withColumn("record", _bare(F.col("record")))
+    numbered = known.select(*run, "n", "value", number.alias("number"), "inside", _through(F.col("inside")).alias("open")).where(F.col("inside") | full)
+
+    def joined(*order: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "value"))), lambda x: x["value"]), "\n").alias("value")
+    # a run's lines are together already; only what it has of records that go over its ends is shuffled again
+    parts = numbered.groupBy(*run, "number").agg(joined("n"), (F.bool_or(~F.col("inside")) & F.bool_or(~F.col("open"))).alias("whole"))
+    over = parts.where("not whole").groupBy("file", "number").agg(joined("at", "run"))
+    return parts.where("whole").select("file", "number", "value").unionByName(over).select("file", "number", _bare(F.col("value")).alias("record"))
 
 
 def _bodies(spark: SparkSession, files: Alike, sep: str) -> DataFrame:

@@ -109,3 +109,11 @@ def test_headers_are_found_without_sorting_lines(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(quoted, "cut", lambda df: seen.append(df) or df)
     assert quoted.alike(spark, str(tmp_path / "a.csv")) == [quoted.Alike(str(tmp_path / "a.csv"), "id,a", 1, [])]
     assert "ObjectHashAggregate" in plan(seen[0]) and "Sort" not in plan(seen[0])
+
+
+def test_only_records_over_the_ends_of_runs_are_shuffled_again(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,a\n" + "".join(f'{i},"two\nlines, {i}"\n' for i in range(9000)))
+    df = quoted.records(spark, str(tmp_path / "a.csv"))
+    assert [tuple(r) for r in df.where("number in (1, 2, 9001)").orderBy("number").select("number", "record").collect()] == [(1, "id,a"), (2, '0,"two\nlines, 0"'), (9001, '8999,"two\nlines, 8999"')]
+    assert df.count() == df.agg(F.max("number")).first()[0] == 9001
+    assert re.search(r"hashpartitioning\(file#\d+, number#\d+L?,[^\n]*\n(?:[^\n]*\n){1,5}[^\n]*Filter[^\n]*NOT whole#", plan(df))
